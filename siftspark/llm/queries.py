@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,16 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftspark.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(toxicity.fold() != 0))
+    scored = toxicity.score(docs, model).drop("text")
+    return scored.withColumn("held_out", F.coalesce(toxicity.fold() == 0, F.lit(False))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftspark.llm.compression_rules import measure
 
