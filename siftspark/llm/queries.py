@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftspark.llm.piece_codec import encode
+
+    return encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), check=True).drop("text")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftspark.llm.jaccard_join import near_components
 
