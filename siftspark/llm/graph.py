@@ -13,16 +13,14 @@ def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> Dat
 
     Large-star and small-star rounds (Kiveris et al., 2014): each round hangs every node below its smallest neighbour, so
     the edge count never grows and the depth falls by a constant factor. A round is two hash aggregates and two joins over
-    the edges; its result is written to the shared folder. Nothing but one count and one checksum reaches the driver.
+    the edges; its result is written to the shared folder, and they end when every node hangs below one root. Only that answer reaches the driver.
     """
-    spark = edges.sparkSession
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    mark = None
     for _ in range(most_rounds):
-        found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_000_007).alias("h")).first()
-        if tuple(found) == mark or not found["n"]:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(now.select(F.col("b").alias("node"), F.lit(0), F.lit(1)) .toDF("node", "below", "above"))
+        odd = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0)))
+        if odd.isEmpty():  # each node hangs below one root, and no root below another
             break
-        mark = tuple(found)
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -35,5 +33,5 @@ def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> Dat
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
-    out._siftspark_path = getattr(now, "_siftspark_path", None)
-    return out if spark else out
+    out._siftspark_path = now._siftspark_path
+    return out

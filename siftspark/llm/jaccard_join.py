@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,7 +50,7 @@ class Join:
     denominator: int = 100
     #: shingles in one packed block of the first stage, and in one partition of the second
     block_tokens: int = 500_000
-    part_tokens: int = 2_000_000
+    part_tokens: int = 4_000_000
     #: a block with more classes or shingles is thinned and cut into chunks
     block_classes: int = 1000
     block_size: int = 2_000_000
@@ -80,11 +79,11 @@ def describe(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long")
 
 
-_PACKED = "part int, classes binary, sizes binary, runs binary, low binary"
+_PACKED = "part int, classes binary, runs binary, low binary"
 
 
 def _packed(docs: DataFrame, parts: int, how: Join) -> DataFrame:
-    """Blocks of shingle hashes by hash range: for each class its size, the length of its run and the hashes' low 48 bits.
+    """Blocks of shingle hashes by hash range: for each class the length of its run and the hashes' low 48 bits.
     A hash's high 16 bits give the part. 16 bits and 48 bits together are the hash, up to what parts leave open."""
 
     def flush(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
@@ -94,13 +93,13 @@ def _packed(docs: DataFrame, parts: int, how: Join) -> DataFrame:
         part = (((tokens >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)).astype(np.uint16)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        names, size = np.array(ids, dtype=np.int64), lens.astype(np.int32)
+        names = np.array(ids, dtype=np.int64)
         for p in range(parts):
             at = order[cuts[p] : cuts[p + 1]]
             if len(at):
                 who, runs = np.unique(owner[at], return_counts=True)
                 low = tokens[at].view(np.uint8).reshape(-1, 8)[:, :6]
-                yield p, names[who].tobytes(), size[who].tobytes(), runs.astype(np.int32).tobytes(), low.tobytes()
+                yield p, names[who].tobytes(), runs.astype(np.int32).tobytes(), low.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -112,7 +111,7 @@ def _packed(docs: DataFrame, parts: int, how: Join) -> DataFrame:
             rows = list(flush(ids, sets)) if ids else []
             for i in range(0, len(rows), 64):
                 cols = list(zip(*rows[i : i + 64], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "classes", "sizes", "runs", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "classes", "runs", "low"])
             ids.clear()
             sets.clear()
             seen.clear()
@@ -133,19 +132,12 @@ def _packed(docs: DataFrame, parts: int, how: Join) -> DataFrame:
     return docs.select("text").mapInArrow(run, _PACKED)
 
 
-def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Classes, sizes, run lengths and token bytes of packed rows, each class once."""
-    classes = np.frombuffer(b"".join(pdf["classes"]), np.int64)
-    sizes = np.frombuffer(b"".join(pdf["sizes"]), np.int32)
-    runs = np.frombuffer(b"".join(pdf["runs"]), np.int32)
-    return classes, sizes, runs, np.array([])
-
-
 def _shared(packed: DataFrame, parts: int, groups: int, how: Join) -> DataFrame:
     """Lists of two classes or more, dealt back by class."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        classes, sizes, runs, _ = _unpack(pdf)
+        classes = np.frombuffer(b"".join(pdf["classes"]), np.int64)
+        runs = np.frombuffer(b"".join(pdf["runs"]), np.int32)
         low = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, 6)
         tokens = np.zeros((len(low), 8), dtype=np.uint8)
         tokens[:, :6] = low
@@ -170,35 +162,41 @@ def _shared(packed: DataFrame, parts: int, groups: int, how: Join) -> DataFrame:
             back = np.argsort(owner, kind="stable")
             tokens, owner, times = tokens[back], owner[back], times[back]
             who, start, n = np.unique(owner, return_index=True, return_counts=True)
-            to = (classes[who].view(np.uint64) % np.uint64(groups)).astype(np.int64)
+            to = np.mod(classes[who], groups)
             for g in np.unique(to):
                 pick = np.flatnonzero(to == g)
                 at = np.concatenate([np.arange(start[i], start[i] + n[i]) for i in pick])
-                out.append((int(g), classes[who[pick]].tobytes(), sizes[who[pick]].tobytes(), n[pick].astype(np.int32).tobytes(), tokens[at].tobytes(), np.minimum(times[at], 2**31 - 1).astype(np.int32).tobytes()))
-        return pd.DataFrame(out, columns=["grp", "classes", "sizes", "runs", "tokens", "lengths"])
+                out.append((int(g), classes[who[pick]].tobytes(), n[pick].astype(np.int32).tobytes(), tokens[at].tobytes(), np.minimum(times[at], 2**31 - 1).astype(np.int32).tobytes()))
+        return pd.DataFrame(out, columns=["grp", "classes", "runs", "tokens", "lengths"])
 
-    return packed.repartition(parts, "part").groupBy("part").applyInPandas(run, "grp int, classes binary, sizes binary, runs binary, tokens binary, lengths binary")
+    return packed.repartition(parts, "part").groupBy("part").applyInPandas(run, "grp int, classes binary, runs binary, tokens binary, lengths binary")
 
 
-def _searchable(shared: DataFrame, groups: int, how: Join) -> DataFrame:
+def _searchable(shared: DataFrame, sizes: DataFrame, groups: int, how: Join) -> DataFrame:
     """(class, n, tokens, short): classes with at least T shared shingles, shortest list first; ``short`` lists suffice."""
 
-    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        classes, sizes, runs, _ = _unpack(pdf)
+    def run(pdf: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        classes = np.frombuffer(b"".join(pdf["classes"]), np.int64)
+        runs = np.frombuffer(b"".join(pdf["runs"]), np.int32)
         tokens = np.frombuffer(b"".join(pdf["tokens"]), np.int64)
         length = np.frombuffer(b"".join(pdf["lengths"]), np.int32)
         names, back = np.unique(classes, return_inverse=True)
-        n = np.zeros(len(names), dtype=np.int64)
-        n[back] = sizes
-        owner = np.repeat(back, runs)
-        held = np.bincount(owner, minlength=len(names))
+        if not len(names):
+            return pd.DataFrame([], columns=["class", "n", "tokens", "short"])
+        of = of.sort_values("class")
+        n = of["n"].to_numpy()[np.searchsorted(of["class"].to_numpy(), names)]
+        held = np.bincount(back, weights=runs, minlength=len(names)).astype(np.int64)
         least = -(-n * how.numerator // how.denominator)
+        live = np.repeat((held >= least)[back], runs)
+        tokens, length, owner = tokens[live], length[live], np.repeat(back, runs)[live]
         order = np.lexsort((tokens, length, owner))
-        ends = np.cumsum(held)
-        rows = [(int(names[i]), int(n[i]), tokens[order[ends[i] - held[i] : ends[i]]], int(held[i] - least[i] + 1)) for i in np.flatnonzero(held >= least)]
+        tokens, alive = tokens[order], np.flatnonzero(held >= least)
+        ends = np.cumsum(held[alive])
+        rows = [(int(names[i]), int(n[i]), tokens[e - held[i] : e], int(held[i] - least[i] + 1)) for i, e in zip(alive, ends, strict=True)]
         return pd.DataFrame(rows, columns=["class", "n", "tokens", "short"])
 
-    return shared.repartition(groups, "grp").groupBy("grp").applyInPandas(run, "class long, n long, tokens array<long>, short int")
+    n = sizes.where("class is not null").groupBy("class").agg(F.max("n_shingles").alias("n")).withColumn("grp", F.pmod("class", F.lit(groups)).cast("int"))
+    return shared.groupBy("grp").cogroup(n.groupBy("grp")).applyInPandas(run, "class long, n long, tokens array<long>, short int")
 
 
 def heap_merge(lists: list[list[int]], least: int) -> dict[int, int]:
@@ -238,73 +236,88 @@ class _Parts:
         self.up[max(i, j)] = min(i, j)
 
 
-def divide_skip(sizes: list[int], sets: list[np.ndarray], labels: list[int], how: Join, leaders_from: int = 64) -> list[tuple[int, int]]:
+def divide_skip(sizes: list[int], sets: list[np.ndarray], labels: list[int], how: Join, small: int = 64) -> list[tuple[int, int]]:
     """Links that connect what ``labels`` leaves apart, as (index, index); with distinct labels, links that span every
-    component of the block. Each class is sought among those before it. In blocks of over ``leaders_from`` classes it is
-    first probed against the last part it could join, and needs no search where all classes before it are in its part."""
+    component of the block.
+
+    Classes are taken by size, each sought among those before it. Lists hold positions in that order. Up to ``small`` classes
+    the short lists are merged by a heap and long ones probed by bisection; beyond, the merge and the probes of all
+    candidates are done on arrays. There a class is also probed against the last member of the parts met last, and
+    is not sought any further where all classes before it are in its part."""
+    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
     parts, out = _Parts(labels), []
-    index: dict[int, list[int]] = {}
-    known: list[frozenset[int]] = []
-    roots: dict[int, int] = {}
-    distinct = 0
+    few = len(order) <= small
+    owner = np.repeat(np.arange(len(order)), [len(sets[i]) for i in order])
+    tokens = np.concatenate([sets[i] for i in order]) if order else np.empty(0, np.int64)
+    by = np.argsort(tokens, kind="stable")
+    names, start = np.unique(tokens[by], return_index=True)
+    lists = np.split(owner[by], start[1:])
+    index = dict(zip(names.tolist(), [x.tolist() for x in lists] if few else lists, strict=True))
+    lasts: dict[int, int] = {}  # part -> its last member so far
 
     def linked(i: int, j: int, common: int) -> bool:
         return how.denominator * common >= how.numerator * (sizes[i] + sizes[j] - common)
 
-    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-    where: list[int] = []  # position in order -> class; lists hold positions, ascending
-    for i in order:
-        mine = sets[i].tolist()
+    def join(i: int, j: int) -> None:
+        parts.join(i, j)
+        out.append((i, j))
+
+    for me, i in enumerate(order):
         least = -(-sizes[i] * how.numerator // how.denominator)
-        own = parts.root(i)
-        if len(order) > leaders_from and roots:
-            for j in list(roots.values())[-2:]:
-                if parts.root(j) != own and linked(i, j, sum(1 for t in mine if t in known[j_at[j]])):
-                    parts.join(i, j)
-                    out.append((i, j))
-                    break
-        mixed = len({parts.root(j) for j in roots.values()} | {parts.root(i)}) > 1
-        if where and mixed:
-            found = sorted((index[t] for t in mine if t in index), key=len)
-            if len(found) >= least:
-                widest = len(found[-1])
-                long = min(least - 1, int(least / (0.5 * np.log2(widest + 1) + 1)))
-                long = max(long, min(least - 1, sum(1 for x in found if len(x) > 4 * len(found[0]))))
-                short, probes = found[: len(found) - long], found[len(found) - long :]
-                for at, times in heap_merge(short, max(1, least - long)).items():
-                    j = where[at]
-                    if parts.root(i) == parts.root(j):
-                        continue
-                    for k, x in enumerate(probes):
-                        if times + len(probes) - k < least:
-                            break
-                        p = bisect_left(x, at)
-                        times += p < len(x) and x[p] == at
-                    else:
-                        if linked(i, j, times):
-                            parts.join(i, j)
-                            out.append((i, j))
-        for t in mine:
-            index.setdefault(t, []).append(len(where))
-        if len(order) > leaders_from:
-            if not known:
-                j_at: dict[int, int] = {}
-            j_at[i] = len(known)
-            known.append(frozenset(mine))
-            fresh: dict[int, int] = {}
-            for j in [*roots.values(), i]:
-                fresh[parts.root(j)] = j
-            if len(fresh) <= 64:
-                for j in set(roots.values()) - set(fresh.values()):
-                    known[j_at[j]] = frozenset()
-            roots = fresh
-        else:
-            roots[i] = i
-        where.append(i)
-        distinct += 1
+        if not few:
+            for j in list(lasts.values())[-3:]:
+                if parts.root(j) != parts.root(i) and linked(i, j, len(np.intersect1d(sets[i], sets[j], assume_unique=True))):
+                    join(i, j)
+        if any(parts.root(j) != parts.root(i) for j in lasts.values()) and len(sets[i]) >= least:
+            found = sorted((index[t] for t in sets[i].tolist()), key=len)
+            long = _long_lists([len(x) for x in found], least)
+            short, probes = found[: len(found) - long], found[len(found) - long :]
+            for at, times in (_sought(me, short, probes, least, long) if few else _sought_on_arrays(me, short, probes, least, long, lambda at, own=i: parts.root(order[at]) != parts.root(own))):
+                if parts.root(order[at]) != parts.root(i) and linked(i, order[at], times):
+                    join(i, order[at])
+        fresh = {parts.root(j): j for j in lasts.values()}
+        fresh.pop(parts.root(i), None)
+        lasts = fresh | {parts.root(i): i}
     return out
 
 
+def _long_lists(lengths: list[int], least: int) -> int:
+    """How many of the longest lists are probed and not merged: more of them where they are much longer than the rest."""
+    long = int(least / (0.5 * np.log2(lengths[-1] + 1) + 1))
+    return min(least - 1, max(long, sum(1 for x in lengths if x > 4 * lengths[0])))
+
+
+def _sought(me: int, short: list[list[int]], probes: list[list[int]], least: int, long: int) -> Iterator[tuple[int, int]]:
+    """Positions before ``me`` on ``least`` lists or more, with the number of lists."""
+    for at, times in heap_merge(short, max(1, least - long)).items():
+        if at >= me:
+            continue
+        for k, x in enumerate(probes):
+            if times + len(probes) - k < least:
+                break
+            p = bisect_left(x, at)
+            times += p < len(x) and x[p] == at
+        if times >= least:
+            yield at, times
+
+
+def _sought_on_arrays(me: int, short: list[np.ndarray], probes: list[np.ndarray], least: int, long: int, wanted) -> Iterator[tuple[int, int]]:
+    at, times = np.unique(np.concatenate(short), return_counts=True)
+    use = (at < me) & (times >= max(1, least - long))
+    at, times = at[use], times[use]
+    use = np.fromiter(map(wanted, at.tolist()), bool, len(at))
+    at, times = at[use], times[use]
+    for k, x in enumerate(probes):
+        use = times + (len(probes) - k) >= least
+        if not use.all():
+            at, times = at[use], times[use]
+        if not len(at):
+            return
+        p = np.minimum(np.searchsorted(x, at), len(x) - 1)
+        times = times + (x[p] == at)
+    yield from ((a, t) for a, t in zip(at.tolist(), times.tolist(), strict=True) if t >= least)
+
+
 def _search(blocks: DataFrame, tasks: int, how: Join) -> DataFrame:
     """(a, b): links found in each block; several blocks share a task. ``blocks(block, task, class, label, n, tokens)``."""
 
@@ -332,17 +345,19 @@ def _links_of_large(big: DataFrame, edges: DataFrame, how: Join) -> tuple[DataFr
     near = edges.join(side("a", 1), "a").join(side("b", 2), "b").withColumn("c", F.size(F.array_intersect("t1", "t2")))
     hub = materialize(near.where(F.col("c") * how.denominator >= how.numerator * (F.col("n1") + F.col("n2") - F.col("c"))).select("a", "b"), "hub-links")
     parts = components(hub, "hub-parts")
-    labelled = materialize(big.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root"), "hub-labels")
-    posts = labelled.select("class", "label", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))
+    labels = materialize(big.select("class", "block", F.size("tokens").alias("w")).join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root"), "hub-labels")
+    posts = big.select("class", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token")).join(labels.select("class", "label"), "class")
     mixed = posts.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    open_ = materialize(labelled.join(posts.join(mixed, "token").select("class").distinct(), "class", "left_semi"), "hub-open")
-    per = open_.groupBy("block").agg(F.count("*").alias("k"), F.sum(F.size("tokens")).alias("w"))
+    open_ = materialize(labels.join(posts.join(mixed, "token").select("class").distinct(), "class"), "hub-open")
+    per = open_.groupBy("block").agg(F.count("*").alias("k"), F.sum("w").alias("w")).agg(F.max("k").alias("k"), F.count("*").alias("blocks")).first()
+    if not per["blocks"]:
+        return hub, [hub, parts, labels, open_]
+    per = open_.groupBy("block").agg(F.count("*").alias("k"), F.sum("w").alias("w"))
     chunks = F.greatest(F.ceil(F.col("k") / (how.block_classes // 2)), F.ceil(F.col("w") / (how.block_size // 2)), F.lit(1)).cast("int")
-    dealt = open_.join(per.select("block", chunks.alias("chunks")), "block").withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("class", "label", "n", "tokens", F.struct("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("pair"))
-    blocks = pairs.withColumn("block", F.xxhash64("pair")).withColumn("task", F.col("block"))
-    found = _search(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")), how)
-    return hub.unionByName(found), [hub, parts, labelled, open_]
+    dealt = open_.drop("w").join(per.select("block", chunks.alias("chunks")), "block").withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    pairs = dealt.join(big.select("class", "n", "tokens"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("class", "label", "n", "tokens", F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
+    found = _search(pairs.withColumn("task", F.col("block")), int(spark.conf.get("spark.sql.shuffle.partitions")), how)
+    return hub.unionByName(found), [hub, parts, labels, open_]
 
 
 def class_links(docs: DataFrame, sizes: DataFrame, how: Join = Join()) -> tuple[DataFrame, list[DataFrame]]:
@@ -352,7 +367,7 @@ def class_links(docs: DataFrame, sizes: DataFrame, how: Join = Join()) -> tuple[
     parts = int(min(60_000, max(4, total // how.part_tokens + 1)))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(parts // 2, min(shuffles, 64), 1)
-    searchable = materialize(_searchable(_shared(_packed(docs, parts, how), parts, groups, how), groups, how), "searchable")
+    searchable = materialize(_searchable(_shared(_packed(docs, parts, how), parts, groups, how), sizes, groups, how), "searchable")
     posts = searchable.select("class", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))
     heads = posts.groupBy("token").agg(F.min("class").alias("head"), F.count("*").alias("k")).where("k > 1").select("token", "head")
     edges = materialize(posts.join(heads, "token").where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct(), "edges")

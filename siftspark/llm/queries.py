@@ -42,5 +42,17 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftspark.llm.preference import against_neighbour
+
+    return against_neighbour(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op8_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftspark.llm.mixing import mixed_ids
+
+    return mixed_ids(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
