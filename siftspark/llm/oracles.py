@@ -42,11 +42,11 @@ said as (
   from (select conv_id, n, 'p' part, unnest(p) t, unnest(range(1, len(p) + 1)) i from parts
         union all select conv_id, n, 'c', unnest(c), unnest(range(1, len(c) + 1)) from parts
         union all select conv_id, n, 'r', unnest(r), unnest(range(1, len(r) + 1)) from parts)),
-placed as (select *, sum(length(head) + length(body)) over (partition by conv_id, part order by i) - length(head) - length(body) at from said),
+placed as (select *, sum(length(head) + length(body)) over (partition by conv_id, part order by i) - length(head) - length(body) pos from said),
 text as (
   select conv_id, part, string_agg(head || body, '' order by i) txt,
-    string_agg(cast(at as varchar) || '-' || cast(at + length(head) as varchar) || ':0,' || cast(at + length(head) as varchar) || '-'
-      || cast(at + length(head) + length(body) as varchar) || case when a then ':1' else ':0' end, ',' order by i) mask
+    string_agg(cast(pos as varchar) || '-' || cast(pos + length(head) as varchar) || ':0,' || cast(pos + length(head) as varchar) || '-'
+      || cast(pos + length(head) + length(body) as varchar) || case when a then ':1' else ':0' end, ',' order by i) mask
   from placed group by conv_id, part)
 select conv_id, cast(n as bigint) n_prompt, coalesce(p.txt, '') prompt, coalesce(c.txt, '') chosen, coalesce(r.txt, '') rejected,
   coalesce(c.mask, '') chosen_mask, coalesce(r.mask, '') rejected_mask

@@ -54,5 +54,11 @@ def op8_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_ids(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op9_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftspark.llm.fingerprint import compare_with_edits
+
+    return compare_with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
