@@ -20,6 +20,12 @@ def op1_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), check=True).drop("text")
 
 
+def op2_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftspark.llm.kd_shards import shards
+
+    return shards(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftspark.llm.jaccard_join import near_components
 
