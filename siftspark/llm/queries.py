@@ -26,6 +26,12 @@ def op2_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op3_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftspark.llm.weak_quality import judge
+
+    return judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftspark.llm.jaccard_join import near_components
 
@@ -66,5 +72,13 @@ def op9_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftspark.llm import pseudo_lm
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = pseudo_lm.vocabulary(docs)
+    return pseudo_lm.score(docs, vocab, pseudo_lm.train(docs, vocab)).drop("text")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
