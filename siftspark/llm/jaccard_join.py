@@ -146,16 +146,20 @@ def _shared(packed: DataFrame, parts: int, groups: int, how: Join) -> DataFrame:
         _, first = np.unique(classes, return_index=True)
         whole = np.zeros(len(classes), dtype=bool)
         whole[first] = True  # a class met in several blocks counts once
-        owner = np.repeat(np.arange(len(classes)), runs)
-        use = whole[owner]
-        tokens, owner = tokens[use], owner[use]
-        order = np.argsort(tokens, kind="stable")
-        ordered = tokens[order]
-        head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
-        length = np.diff(np.append(head, len(ordered)))
+        owner = np.repeat(np.arange(len(classes), dtype=np.int32), runs)
+        if not whole.all():
+            use = whole[owner]
+            tokens, owner = tokens[use], owner[use]
+            del use
+        order = np.argsort(tokens, kind="stable").astype(np.int32)
+        tokens, owner = tokens[order], owner[order]
+        del order
+        head = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, np.int64)
+        length = np.diff(np.append(head, len(tokens))).astype(np.int32)
         times = np.repeat(length, length)
         live = times > 1
-        tokens, owner, times = ordered[live], owner[order][live], times[live]
+        tokens, owner, times = tokens[live], owner[live], times[live]
+        del live
         tokens = tokens | (np.uint64(int(pdf["part"].iloc[0])) << np.uint64(48))
         out = []
         if len(tokens):
