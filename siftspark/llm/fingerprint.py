@@ -145,7 +145,7 @@ def with_likeness(rows: DataFrame, a: str, b: str, into: str) -> DataFrame:
     return x.withColumn(into, F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise((F.size(a) - alone["l"]) / (F.size(a) + alone["r"]).cast("double"))).drop("__groups", "__alone")
 
 
-def with_next(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, cell: int = CELL, rows: int = RANGE_ROWS) -> DataFrame:
     """``docs(doc_id, t, keys)`` with ``next`` (t, keys) of the document that follows, by ranges of about ``rows`` ids."""
     ids = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
     low, high, n = ids["low"] or 0, ids["high"] or 0, ids["n"]
@@ -153,11 +153,11 @@ def with_next(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     ranged = docs.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long")))
     by = W.partitionBy("range").orderBy(F.asc_nulls_first("doc_id"), "t")
     own = F.struct("t", "keys")
-    seen = ranged.withColumn("next", F.lead(own).over(by)).withColumn("last", F.lead(F.lit(1)).over(by).isNull()).withColumn("first", F.lag(F.lit(1)).over(by).isNull())
+    seen = ranged.withColumn("next", F.lead(own).over(by)).withColumn("last", F.lead(F.lit(1)).over(by).isNull())
     ranges = ranged.groupBy("range").agg(F.count("*").alias("k")).select("range", F.floor(F.col("range") / 1000).alias("above"))
     heads = ranges.groupBy("above").agg(F.min("range").alias("head")).withColumn("after", F.lead("head").over(W.orderBy("above")))
     follow = ranges.withColumn("to", F.lead("range").over(W.partitionBy("above").orderBy("range"))).join(heads.select("above", "after"), "above").select("range", F.coalesce("to", "after").alias("to"))
-    first = seen.where("first").select(F.col("range").alias("to"), own.alias("found"))
+    first = ranged.groupBy(F.col("range").alias("to")).agg(F.min_by("t", F.struct("doc_id", "t")).alias("t")).select("to", F.struct("t", digests(F.col("t"), cell).alias("keys")).alias("found"))
     start = ranges.agg(F.min("range").alias("start"))
     edges = seen.where("last").join(follow, "range").join(start, how="left").withColumn("to", F.coalesce("to", "start")).join(first, "to", "left")
     inside = seen.where(~F.col("last")).select("doc_id", "t", "keys", "next")
@@ -167,7 +167,7 @@ def with_next(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
 def compare_with_edits(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """The fingerprint of each text and of its edited text, and their likeness; see the module."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t")).withColumn("keys", digests(F.col("t"), cell))
-    x = with_next(own).withColumn("n_chars", F.length("t").cast("long")).withColumn("half", F.expr("cast(n_chars div 2 as int)"))
+    x = with_next(own, cell).withColumn("n_chars", F.length("t").cast("long")).withColumn("half", F.expr("cast(n_chars div 2 as int)"))
     edited = F.concat(F.expr("substring(t, 1, cast(n_chars as int) - half)"), F.expr("substring(next.t, 1, half)"))
     x = x.select("doc_id", "n_chars", "keys", F.col("next.keys").alias("next_keys"), edited.alias("e"))
     x = x.select("doc_id", "n_chars", "keys", "next_keys", F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), digests(F.col("e"), cell).alias("edited_keys"))
