@@ -1 +1,175 @@
-def oracle_sql(): return {}
+"""DuckDB SQL for the queries of the reduction engine, written against the same tables."""
+
+from __future__ import annotations
+
+UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+STOP = "about after again also because before being between build check code could does each file files find first from have into make more need only other please should some sure than that their them then there these they this those through under until using what when where which while will with without would your fails failing failure error errors test tests warning change changes update work works working look issue problem run running output result results just like want fail failed around"
+SECRETS = "sk-|api_key|apikey|api-key|password|passwd|secret|bearer |token=|token:|credential|private key|authorization:|aws_access|ghp_|xoxb-|-----begin"
+
+_NUMBERED = """{name} as (select capture_id, 'stdout' stream, row_number() over (partition by capture_id order by {order}) - 1 line_no,
+  cast(sum(strlen(line)) over (partition by capture_id order by {order}) - strlen(line) as bigint) byte_start, cast(sum(strlen(line)) over (partition by capture_id order by {order}) as bigint) byte_end, line from ({sql}))"""
+_LOG = """select {capture} capture_id, event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || case when event_type = 'error' and value >= 150 then ' ERROR ' else ' INFO ' end
+  || case when event_type = 'error' then 'fault' else event_type end || ': user=' || cast(user_id as varchar) || ' cents=' || cast(cast(round(value * 100) as bigint) as varchar) || chr(10) line from events"""
+LOGS = _NUMBERED.format(name="lines", order="event_id", sql=_LOG.format(capture="'log-' || cast(cast(floor((day(ts) - 1) / 10) as int) as varchar)"))
+TYPED = _NUMBERED.format(name="lines", order="event_id", sql=_LOG.format(capture="'type-' || event_type"))
+TESTS = _NUMBERED.format(name="lines", order="o_orderkey", sql="select 'tests-' || cast(o_custkey % 20 as varchar) capture_id, o_orderkey, 'test orders::case_' || cast(o_orderkey as varchar) || ' ... ' || case when o_orderstatus = 'F' and o_orderkey % 50 = 0 then 'FAILED' else 'ok' end || chr(10) line from orders")
+HITS = _NUMBERED.format(name="lines", order="l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, line", sql="select 'hits-' || l_returnflag capture_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, 'src/p' || cast(l_orderkey % 40 as varchar) || '.rs:' || cast(l_linenumber as varchar) || ':' || case when l_partkey % 97 = 0 then 'pub fn line_' || cast(l_partkey as varchar) || '() {' else 'let status_value_for_line = next_line_of_order();' end || chr(10) line from lineitem")
+DIFFS = _NUMBERED.format(name="lines", order="n_nationkey, c, s", sql="""select 'diff-0' capture_id, * from (
+  select n_nationkey, -1 c, 0 s, 'diff --git a/' || path || ' b/' || path || chr(10) line from paths
+  union all select c_nationkey, c_custkey, 0, case when c_nationkey = 1 then '-    assert ' else '-    let ' end || replace(c_name, '#', '_') || ' ' || lower(c_mktsegment) || chr(10) from customer
+  union all select c_nationkey, c_custkey, 1, case when c_nationkey = 2 then '+    "' else '+    let ' end || replace(c_name, '#', '_') || case when c_nationkey = 2 then '": "^1.' else ' ' end || case when c_acctbal >= 5000 then 'gold' else 'plain' end || case when c_nationkey = 2 then '"' else '' end || chr(10) from customer)""")
+PATHS = "paths as (select n_nationkey, case when n_nationkey = 0 then 'Cargo.lock' when n_nationkey = 1 then 'tests/orders_test.py' when n_nationkey = 2 then 'package.json' else 'src/' || lower(replace(n_name, ' ', '_')) || '.rs' end path from nation)"
+DOCS = """lines as (
+  select capture_id, i - 1 line_no, cast(sum(strlen(line)) over (partition by capture_id order by i) - strlen(line) as bigint) byte_start, cast(sum(strlen(line)) over (partition by capture_id order by i) as bigint) byte_end, line
+  from (select 'doc-' || cast(doc_id as varchar) capture_id, unnest(p) line, unnest(range(1, len(p) + 1)) i from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') p from documents)))"""
+
+
+def fact(c: str) -> str:
+    low = f"translate({c}, '{UP}', '{LOW}')"
+    return f"""case when contains({low}, 'warning') or starts_with({low}, 'warn:') then 'distinct_warning' when regexp_matches({low}, 'assert|expected|actual:') then 'assertion'
+      when regexp_matches({low}, 'failed|panic|error|exception|traceback|fatal') then 'failure_identity' when contains({low}, '-->') then 'diagnostic_location' end"""
+
+
+def trim_end(c: str) -> str:
+    return f"rtrim({c}, chr(13) || chr(10))"
+
+
+def template(c: str) -> str:
+    return f"""array_to_string(list_transform(regexp_extract_all({trim_end(c)}, '[0-9A-Za-z]+|[^0-9A-Za-z]'),
+      lambda t: case when regexp_matches(t, '^[0-9A-Fa-f]{{7,}}$') and regexp_matches(t, '[0-9]') then '#' else regexp_replace(t, '[0-9]+', '#', 'g') end), '')"""
+
+
+def shape(c: str) -> str:
+    return f"""array_to_string(list_transform(list_filter(regexp_split_to_array({template(c)}, '\\s+'), lambda w: regexp_matches(w, '\\p{{L}}'))[1:3], lambda w: rtrim(w, ':,;') || ' '), '')"""
+
+
+LONG = f"""f as (select *, {fact('line')} fact, {shape('line')} shape from lines),
+  v as (select *, count(*) over (partition by capture_id) n, sum(strlen(line)) over (partition by capture_id) b, count(*) over (partition by capture_id, shape) alike,
+    max(case when fact in ('failure_identity', 'assertion') then 1 else 0 end) over (partition by capture_id order by line_no rows between 8 preceding and 2 following) heavy,
+    max(case when fact in ('distinct_warning', 'diagnostic_location') then 1 else 0 end) over (partition by capture_id order by line_no rows between 1 preceding and current row) light from f),
+  r as (select *, shape <> '' and alike <= 2 and strlen(trim(line, ' ' || chr(10))) >= 12 rare0 from v),
+  r2 as (select *, rare0 and count(*) filter (rare0) over (partition by capture_id) <= 40 and 20 * count(*) filter (rare0) over (partition by capture_id) <= n rare from r),
+  planned as (select *, case when n >= 150 and b >= 12288 and not (line_no < 30 or line_no >= n - 50 or heavy = 1 or light = 1 or rare) then 'long_output_middle' end reason from r2)"""
+PASSED = f"""p as (select *, {fact('line')} fact, regexp_matches({trim_end('line')}, '^test [^\\s]+ \\.\\.\\. ok$') pass from lines),
+  q as (select *, case when pass and count(*) filter (pass) over (partition by capture_id) > 2 then 'successful_test_inventory' end reason0 from p),
+  g0 as (select *, case when coalesce(reason0, '') is distinct from lag(coalesce(reason0, '')) over (partition by capture_id order by line_no) then 1 else 0 end st from q),
+  g1 as (select *, sum(st) over (partition by capture_id order by line_no) isl from g0),
+  planned0 as (select *, case when sum(strlen(line)) over (partition by capture_id, isl) < 72 then null else reason0 end reason from g1),
+  g2 as (select *, case when coalesce(reason, '') is distinct from lag(coalesce(reason, '')) over (partition by capture_id order by line_no) then 1 else 0 end st2 from planned0),
+  planned as (select *, sum(st2) over (partition by capture_id order by line_no) part from g2)"""
+OMITTED = "gone as (select capture_id, 'stdout-' || cast(min(byte_start) as varchar) || '-' || cast(max(byte_end) as varchar) section_id, min(byte_start) byte_start, max(byte_end) byte_end, count(*) factual_count, min(reason) reason from planned where reason is not null group by capture_id, part)"
+SHOWN = "shown as (select capture_id, min(byte_start) byte_start, max(byte_end) byte_end, string_agg(line, '' order by line_no) rendered_text from planned where reason is null group by capture_id, part)"
+VIEW = """parts as (select capture_id, byte_start, 0 n, rendered_text p from shown union all select capture_id, byte_start, factual_count, '... ' || cast(factual_count as varchar) || ' passing tests hidden [' || section_id || ']' || chr(10) from gone),
+  body as (select capture_id, sum(n) omitted, string_agg(p, '' order by byte_start) body from parts group by capture_id),
+  exits as (select capture_id, max(case when contains(line, 'FAILED') then 101 else 0 end) exit_code, max(byte_end) raw from lines group by capture_id),
+  view0 as (select capture_id, omitted, raw, 'siftspark exit=' || cast({exit} as varchar) || ' omitted=' || cast(cast(omitted as bigint) as varchar) || chr(10) || body
+    || case when omitted > 0 then 'recall: siftspark recall ' || left(capture_id, 8) || ' --section ID' || chr(10) else '' end as v from body join exits using (capture_id))"""
+RECEIPTS = """receipts as (select cast(user_id as varchar) session_id, 'run-' || cast(event_id as varchar) run_id, case when event_id % 7 = 0 then 'adaptive' else 'deterministic' end as mode,
+  event_id % 11 <> 0 captured, cents < raw replaced, case when event_id % 11 = 0 then 'capture_limit_exceeded' when cents >= raw then 'no_net_reduction' end bypass, raw raw_bytes, least(raw, cents) delivered, event_id % 3 recalls,
+  event_type command, 'cap-' || cast(event_id % 1000 as varchar) capture_id, event_type, event_id, case when event_type in ('signup', 'view') then event_id % 900 end tokens, case when event_type = 'signup' and event_id % 5 <> 0 then cents end micros
+  from (select *, event_id % 5000 + 1 raw, cast(round(value * 100) as bigint) cents from events))"""
+GOALS = "goals as (select conv_id session_id, turn tt, left(text, 600) goal, turn // 2 revision from conversations where role = 'user' and conv_id is not null)"
+RUNS = """runs as (select cast(l_partkey as varchar) scenario, 'suite-' || cast(l_partkey % 3 as varchar) suite, case l_returnflag when 'N' then 'native' when 'A' then 'rules' else 'ranker' end arm, cast(sum(cast(l_quantity * 100 as bigint)) as bigint) est_tokens,
+  bool_and(l_partkey % 4 <> 0) verified, 2 needles_total, case when l_returnflag = 'A' and l_partkey % 5 = 0 then 1 else 2 end needles_found from lineitem where l_linenumber = 1 group by l_partkey, l_returnflag)"""
+CHOICES = """numbered as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) r from events),
+  few as (select *, sum(value) over (partition by user_id) total from numbered where r <= 30),
+  choice as (select 'u' || cast(user_id as varchar) capture_id, 'e' || lpad(cast(event_id as varchar), 12, '0') candidate_id, round(case when total = 0 then 0 else value / total end, 6) probability, user_id % 9 / 2.0 need from few)"""
+
+
+def literals() -> str:
+    from siftspark.plans.queries import LITERALS
+
+    text = lambda x: "'" + x.replace("'", "''").replace("\r", "' || chr(13) || '") + "'"
+    return "literals(id, line) as (values " + ", ".join(f"({i}, {text(x)})" for i, x in enumerate(LITERALS)) + ")"
+
+
+def _classified() -> str:
+    """The expected labels of the literal lines, written out."""
+    from siftspark.plans.queries import LITERALS
+
+    passed = {0: "tests::alpha", 3: "test_one", 5: "TestGo", 6: "TestSub", 7: "test_x", 9: "adds numbers", 10: "renders", 11: "plain", 12: "name of it"}
+    at = {x: i for i, x in enumerate(LITERALS)}
+    boiler = {at[x] for x in ("running 12 tests", "collected 7 items", "===== test session starts =====", "==================================", "------------------------------", "ℹ skipped 0")}
+    progress = {at[x] for x in ("=== RUN   TestGo", "tests/test_a.py ..s..  [ 40%]")}
+    frames = {at[x] for x in LITERALS if x.startswith("    at node") or "(node:" in x or "node_modules" in x or "lib/python" in x or x.startswith("    at java")}
+    defs = {at[x] for x in ("pub fn a() {", "export default class B {", "#define X 1", "async def c():")}
+    build = {at["   Compiling serde v1.0.1"]: "serde", at["    Checking a_b v0.1.0 (/tmp/x)"]: "a_b"}
+    pick = lambda ids: "id in (" + ",".join(map(str, sorted(ids))) + ")"
+    case = lambda d: "case id " + " ".join(f"when {k} then '{v}'" for k, v in d.items()) + " end"
+    return f"with {literals()} select id, {fact('line')} fact, {case(passed)} passed, {pick(boiler)} boilerplate, {pick(progress)} progress, {pick(frames)} frame, {pick(defs)} definition, {case(build)} build, regexp_matches(lower(line), '{SECRETS}') secret, contains(line, chr(13)) redraw from literals"
+
+
+def oracle_sql() -> dict[str, str]:
+    stop = "(" + ",".join(f"'{w}'" for w in STOP.split()) + ")"
+    words = ["thing", "that", "stands", "under", "table", "with", "reason"]
+    out = {
+        "flagship_log_reduction": f"with {LOGS}, {LONG} select capture_id, count(*) n_lines, count(reason) hidden_lines, sum(strlen(line)) n_bytes, coalesce(sum(strlen(line)) filter (reason is not null), 0) hidden_bytes from planned group by capture_id",
+        "explode_lines": f"with {DOCS} select capture_id, line_no, byte_start, byte_end, md5(line) line_md5 from lines",
+        "trimmed_lines": f"with {DOCS} select capture_id, sum(length({trim_end('line')})) chars, count(*) filter ({trim_end('line')} = '') blanks from lines group by capture_id",
+        "classify_literals": _classified(),
+        "page_facts": f"with l as (select page_id, unnest(regexp_extract_all(html, '[^\\n]*\\n|[^\\n]+')) line from pages) select page_id, {fact('line')} fact, count(*) n from l group by all",
+        "secret_documents": f"select doc_id, coalesce(regexp_matches(translate(text, '{UP}', '{LOW}'), '{SECRETS}'), false) secret from documents",
+        "line_templates": f"with {LOGS} select capture_id, {template('line')} as template, count(*) n, min(line_no) as first from lines group by all",
+        "line_shapes": f"with {LOGS} select capture_id, {shape('line')} shape, count(*) n from lines group by all",
+        "parsed_hits": f"with {HITS}, h as (select *, regexp_extract(rtrim(line, chr(10)), '^([^:]+):([0-9]+):(.+)$', ['p', 'l', 'c']) x from lines) select capture_id, line_no, x.p path, cast(x.l as bigint) line, x.c as content from h",
+        "goal_tokens": f"with {GOALS}, t as (select session_id, tt, list_filter(list_transform(regexp_split_to_array(goal, '[^A-Za-z0-9_:./-]+'), lambda w: translate(trim(w, ':./-'), '{UP}', '{LOW}')), lambda w: strlen(w) >= 4 and w not in {stop}) w from goals), k as (select session_id, tt, list_filter(w, lambda x, i: list_position(w, x) = i) w from t) select session_id, tt as \"at\", array_to_string(w, '|') tokens, len(w) n from k",
+        "prompt_goals": "select conv_id, turn, case when regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' and not starts_with(ltrim(text), '/') then left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 600) end goal from conversations where role = 'user'",
+        "canonical_hashes": "select doc_id, sha256(unhex(printf('%016X', octet_length(encode(coalesce(text, ''))))) || encode(coalesce(text, '')) || unhex(printf('%016X', octet_length(encode(coalesce(source, ''))))) || encode(coalesce(source, ''))) raw_sha256 from documents",
+        "identical_runs": f"with {DOCS}, a as (select *, {trim_end('line')} t from lines), b as (select *, case when t is distinct from lag(t) over (partition by capture_id order by line_no) then 1 else 0 end st from a), c as (select *, sum(st) over (partition by capture_id order by line_no) isl from b), e as (select *, count(*) over (partition by capture_id, isl) k, row_number() over (partition by capture_id, isl order by line_no) r from c) select capture_id, line_no, 'repeated_identical_lines' reason from e where k >= 3 and r > 1",
+        "similar_runs": f"with {TYPED}, a as (select *, {template('line')} t, strlen({template('line')}) >= 6 and {fact('line')} is null ok from lines), b as (select *, case when not ok or not coalesce(lag(ok) over w, false) or t <> lag(t) over w then 1 else 0 end st from a window w as (partition by capture_id order by line_no)), c as (select *, sum(st) over (partition by capture_id order by line_no) isl from b), e as (select *, count(*) over (partition by capture_id, isl) k, row_number() over (partition by capture_id, isl order by line_no) r from c) select capture_id, case when ok and k >= 8 and r > 2 and r < k then 'similar_lines' else 'visible' end reason, count(*) n, sum(line_no) line_sum from e group by all",
+        "passing_tests": f"with {TESTS}, {PASSED} select capture_id, count(reason0) hidden, count(*) - count(reason0) as visible from q group by capture_id",
+        "test_omissions": f"with {TESTS}, {PASSED}, {OMITTED} select *, 'stdout' stream from gone",
+        "test_blocks": f"with {TESTS}, {PASSED}, {SHOWN} select capture_id, 'stdout' stream, byte_start, byte_end, sha256(rendered_text) sha256, rendered_text from shown",
+        "test_facts": f"with {TESTS}, {PASSED} select capture_id, 'stdout' stream, fact kind, {trim_end('line')} as value, byte_start, byte_end from q where reason0 is null and fact is not null",
+        "pack_tiles": f"with {TESTS} select distinct capture_id, 'stdout' stream, 0 gap from lines",
+        "pack_views": f"with {TESTS}, {PASSED}, {OMITTED}, {SHOWN}, {VIEW.format(exit='exit_code')} select capture_id, cast(omitted as bigint) omitted, md5(v) view_md5, strlen(v) view_bytes from view0",
+        "pack_decisions": f"with {TESTS}, {PASSED}, {OMITTED}, {SHOWN}, {VIEW.format(exit='0')} select capture_id, case when omitted = 0 then 'already_lean' when strlen(v) > 2048 then 'protected_or_retained_material_exceeds_budget' when strlen(v) >= raw then 'no_net_reduction' end reason from view0",
+        "search_head": f"with {HITS}, a as (select *, regexp_matches(regexp_extract(line, ':[0-9]+:(.*)', 1), '^pub fn ') def from lines), b as (select *, count(*) over w n, count(*) filter (def) over w nd from a window w as (partition by capture_id)) select capture_id, case when n >= 40 and line_no >= 12 and not (def and nd * 3 <= n) then 'search_matches_beyond_head' else 'visible' end reason, count(*) n, sum(line_no) line_sum from b group by all",
+        "repeated_hits": f"with {HITS}, a as (select *, line_no - row_number() over (partition by capture_id order by line_no) k from lines where not contains(line, 'pub fn')) select capture_id, case when count(*) >= 12 then count(*) - 4 else 0 end hidden, count(*) n from a group by capture_id",
+        "hit_sections": f"with {HITS}, h as (select *, split_part(line, ':', 1) path, cast(split_part(line, ':', 2) as bigint) l from lines), s as (select *, case when lag(path) over w = path and lag(l) over w + 1 = l then 0 else 1 end st from h window w as (partition by capture_id order by line_no)), i as (select *, sum(st) over (partition by capture_id order by line_no) section from s) select capture_id, cast(section as bigint) section, path, min(l) first_line, max(l) last_line, min(byte_start) byte_start, max(byte_end) byte_end, count(*) n from i group by capture_id, section, path",
+        "log_digest": f"with {LOGS}, k as (select *, {shape('line')} k from lines), g as (select capture_id, k, arg_min(rtrim(line, chr(10)), line_no) l, min(line_no) tt, count(*) n from k group by all) select capture_id, string_agg(l || case when n > 1 then '  [+' || cast(n - 1 as varchar) || ' similar]' else '' end || chr(10), '' order by tt) digest from g group by capture_id",
+        "rankable_chunks": f"with {LOGS}, {LONG}, m as (select *, case when reason is distinct from lag(reason) over (partition by capture_id order by line_no) then 1 else 0 end st from planned), i as (select *, sum(st) over (partition by capture_id order by line_no) isl from m), z as (select *, greatest(30, cast(ceil(count(*) over (partition by capture_id) / 60) as bigint)) size, row_number() over (partition by capture_id, isl order by line_no) - 1 pos from i where reason is not null) select capture_id, cast(floor(pos / size) as bigint) chunk, min(line_no) first_line, max(line_no) last_line, count(*) n from z group by capture_id, isl, pos // size, cast(floor(pos / size) as bigint)",
+        "changed_files": f"with {PATHS}, {DIFFS}, s as (select *, sum(case when starts_with(line, 'diff --git') then 1 else 0 end) over (order by line_no) section from lines), x as (select *, row_number() over (partition by section, left(line, 1) in ('+', '-') order by line_no) r, left(line, 1) sg from s) select 'diff-0' capture_id, cast(section as bigint) section, max(path) path, count(*) filter (sg = '+') added, count(*) filter (sg = '-') removed, false deleted, coalesce(string_agg(line, '' order by line_no) filter (sg in ('+', '-') and r <= 12), '') excerpt from x join paths on n_nationkey = section - 1 group by section",
+        "diff_findings": "with c as (select * from customer where c_nationkey in (1, 2)) select 'diff-0' capture_id, 'weakened_test' kind, 'tests/orders_test.py' path, cast(count(*) as varchar) || ' assertion or test lines removed, 0 added' evidence from c where c_nationkey = 1 having count(*) > 0 union all select 'diff-0', 'dependency_change', 'package.json', '+    \"' || replace(c_name, '#', '_') || '\": \"^1.' || case when c_acctbal >= 5000 then 'gold' else 'plain' end || '\"' from c where c_nationkey = 2",
+        "generated_diffs": "select 'diff-0' capture_id, (select case when 2 * count(*) + 1 > 6 then 2 * count(*) else 0 end from customer where c_nationkey = 0) hidden, (select 2 * count(*) from customer) + (select count(*) from nation) n",
+        "gain_report": f"with {RECEIPTS}, g as (select grouping(command) total, command, count(*) runs, sum(cast(replaced as int)) reduced_runs, sum(raw_bytes) raw, sum(delivered) delivered from receipts group by grouping sets ((command), ())) select cast(total as int) total, command, runs, reduced_runs, raw, delivered, greatest(0, raw - delivered) saved, (greatest(0, raw - delivered) + 3) // 4 saved_tokens, case when raw = 0 then 0 else 10000 * greatest(0, raw - delivered) // raw end saved_bp from g",
+        "top_commands": f"with {RECEIPTS}, g as (select command, count(*) runs, sum(cast(replaced as int)) reduced_runs, sum(raw_bytes) raw, sum(delivered) delivered from receipts group by command) select command, runs, reduced_runs, raw, delivered, greatest(0, raw - delivered) saved, (greatest(0, raw - delivered) + 3) // 4 saved_tokens, case when raw = 0 then 0 else 10000 * greatest(0, raw - delivered) // raw end saved_bp from g order by saved desc, command limit 15",
+        "bypass_histogram": f"with {RECEIPTS} select bypass reason, count(*) n from receipts where bypass is not null group by bypass",
+        "request_accounting": f"""with {RECEIPTS}, o as (select *, case event_type when 'signup' then 'succeeded' when 'error' then 'failed' when 'view' then 'cache_hit' when 'click' then 'not_attempted' end oc, tokens is not null or micros is not null used from receipts),
+          a as (select *, coalesce(oc = 'cache_hit', false) cached from o), b as (select *, not cached and (coalesce(oc in ('succeeded', 'failed'), false) or event_id % 13 = 0 or used) attempt, not cached and (coalesce(oc = 'succeeded', false) or (oc is null and used)) success, not cached and coalesce(oc = 'failed', false) failure,
+          oc is null and (mode = 'adaptive' or event_type = 'error') legacy, coalesce(micros >= 0, false) priced from a), c as (select *, not cached and not success and not failure and (attempt or legacy) unk from b)
+          select command, count(*) filter (attempt) attempted, count(*) filter (success) succeeded, count(*) filter (failure) failed, count(*) filter (cached) cache_hits, count(*) filter (unk) as unknown, count(*) filter (not cached and used) calls, coalesce(sum(coalesce(tokens, 0)) filter (not cached and used), 0) input_tokens,
+          count(*) filter (attempt and tokens is null) missing_tokens, count(*) filter (attempt and not priced) unpriced, coalesce(sum(micros) filter (attempt and priced), 0) cost_micros, count(*) filter (event_type = 'error') fallbacks,
+          count(*) filter (attempt and tokens is null) = 0 and count(*) filter (unk) = 0 input_tokens_complete, count(*) filter (attempt and not priced) = 0 and count(*) filter (unk) = 0 cost_complete from c group by command""",
+        "session_status": f"with {RECEIPTS} select session_id, case when count(distinct mode) = 1 then min(mode) else 'mixed' end as mode, count(*) runs, count(*) filter (captured) captured, count(*) filter (replaced) replaced, count(*) filter (bypass is not null) bypassed, sum(raw_bytes) raw, sum(delivered) delivered, sum(recalls) recalls, case when count(*) <= 8 then string_agg(run_id, ',' order by run_id) end run_ids from receipts group by session_id",
+        "recorded_recalls": f"with {RECEIPTS}, l as (select 'cap-' || cast(event_id % 700 as varchar) capture_id, count(*) n, sum(event_id % 97) b from events group by 1), r as (select *, row_number() over (partition by capture_id order by run_id) nth from receipts) select run_id, recalls + case when nth = 1 then coalesce(n, 0) else 0 end recalls, case when nth = 1 then coalesce(b, 0) else 0 end recalled_bytes from r left join l using (capture_id)",
+        "suite_totals": f"with {RUNS}, g as (select suite, arm, sum(est_tokens) tokens, sum(needles_found) as found, sum(needles_total) total from runs group by grouping sets ((suite, arm), (arm))) select g.suite, g.arm, g.tokens, g.found, g.total, ((n.tokens - g.tokens) * 10000) / greatest(n.tokens, 1) reduction0, trunc(((n.tokens - g.tokens) * 10000) / greatest(n.tokens, 1)) reduction_bp from g join g n on n.arm = 'native' and n.suite is not distinct from g.suite",
+        "effective_tokens": f"with {RUNS} select r.scenario, r.arm, r.est_tokens + case when r.needles_found < r.needles_total then n.est_tokens else 0 end effective from runs r join runs n on n.arm = 'native' and n.scenario = r.scenario",
+        "median_by_arm": f"with {RUNS} select arm, round(median(est_tokens), 6) median_est_tokens, count(*) n from runs group by arm",
+        "paired_savings": f"with {RUNS} select r.scenario, r.arm, r.est_tokens, n.est_tokens base_value, cast(trunc(((n.est_tokens - r.est_tokens) * 10000) / greatest(n.est_tokens, 1)) as bigint) saving_bp from runs r join runs n on n.arm = 'native' and n.scenario = r.scenario where r.arm <> 'native' and r.verified and n.verified",
+        "kept_candidates": f"with {CHOICES}, a as (select *, row_number() over w r, coalesce(sum(probability) over (w rows between unbounded preceding and 1 preceding), 0) b, count(*) over (partition by capture_id) n, cast(least(greatest(round(need), 0), 4) as int) lv from choice window w as (partition by capture_id order by probability desc, candidate_id)), k as (select *, count(*) filter (r <= least([1, 2, 4, 8, 16][lv + 1], n) and b < 0.55 + 0.1 * need) over (partition by capture_id) taken from a) select capture_id, candidate_id, r as rank from k where r <= greatest(taken, least([1, 1, 2, 4, 16][lv + 1], n), 1)",
+        "answer_errors": f"with {CHOICES} select capture_id, case when not (min(probability) >= 0 and max(probability) <= 1) then 'probability_range' when not sum(probability) between 0.98 and 1.02 then 'probability_sum' end error from choice group by capture_id",
+        "prefiltered_documents": "with s as (select source capture_id, doc_id idx, " + " + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in words) + " score from documents), r as (select *, row_number() over (partition by capture_id order by score desc, idx) r from s) select capture_id, idx, score from r where r <= 64",
+        "selected_lines": f"with {LOGS} select capture_id, line_no from lines where (capture_id = 'log-0' and byte_start >= 1000 and byte_end <= 5000) or (capture_id = 'log-1' and (byte_end <= 700 or (byte_start >= 90000 and byte_end <= 91000)))",
+        "goal_revisions": f"with {GOALS}, a as (select *, case when lag(tt) over w is null or tt - lag(tt) over w > 3 then 1 else 0 end fresh, lag(goal) over w old from goals window w as (partition by session_id order by tt)), b as (select *, sum(fresh) over (partition by session_id order by tt) era from a) select session_id, tt as \"at\", cast(sum(case when fresh = 1 or old <> goal then 1 else 0 end) over (partition by session_id, era order by tt) as bigint) revision from b",
+        "task_revisions": f"with {GOALS}, a as (select *, max(revision) over (partition by session_id order by tt rows between unbounded preceding and 1 preceding) top, first_value(goal) over (partition by session_id, revision order by tt) first from goals) select session_id, tt seq, revision, case when top is null or revision > top then 'accepted' when revision < top then 'stale' when goal = first then 'same' else 'conflict' end outcome from a",
+        "goals_at_runs": f"with {GOALS}, r as (select conv_id session_id, conv_id * 100 + turn run_id, turn tt from conversations where role = 'assistant'), l as (select r.*, (select arg_max(g.goal, g.tt) from goals g where g.session_id = r.session_id and g.tt <= r.tt) goal, (select max(g.tt) from goals g where g.session_id = r.session_id and g.tt <= r.tt) since from r) select session_id, run_id, tt as \"at\", case when tt - since <= 1 then goal end goal from l",
+        "recalled_bytes": "with r as (select cast(doc_id as varchar) capture_id, doc_id % 50 as start, doc_id % 50 + doc_id % 400 as stop, hex(encode(text)) h from documents) select capture_id, start, stop as \"end\", case when stop <= length(h) // 2 then substr(h, 2 * start + 1, 2 * (stop - start)) end hex, case when h is null then 'missing' when stop > length(h) // 2 then 'invalid_range' end error from r",
+        "recalled_lines": f"with {DOCS}, r as (select 'doc-' || cast(doc_id as varchar) capture_id, 1 + doc_id % 4 a, 1 + doc_id % 4 + doc_id % 5 b from documents), g as (select r.capture_id, a, b, max(line_no) + 1 n, string_agg(line, '' order by line_no) filter (line_no + 1 between a and b) t from r left join lines l on l.capture_id = r.capture_id group by all) select capture_id, a, b, case when b <= n then t end as text, case when n is null then 'missing' when b > n then 'invalid_range' end error from g",
+        "resolved_ids": "with c as (select md5(cast(doc_id as varchar)) full_id from documents), r as (select doc_id request_id, substr(md5(cast(doc_id * 2 as varchar)), 1, 6 + doc_id % 5) prefix from documents), g as (select request_id, prefix, count(full_id) n, min(full_id) f from r left join c on starts_with(full_id, prefix) and length(prefix) >= 8 group by all) select request_id, case when length(prefix) >= 8 and n = 1 then f end capture_id, case when length(prefix) < 8 then 'invalid_id' when n = 0 then 'missing' when n > 1 then 'invalid_id' end error from g",
+        "capture_limits": "with s as (select source run_id, doc_id seq, sum(strlen(text)) over (partition by source order by doc_id) so_far from documents) select run_id, seq, cast(so_far as bigint) so_far, max(so_far) over (partition by run_id) > 40000 bypassed from s",
+        "manifest_changes": "select cast(doc_id as varchar) path, case doc_id % 10 when 7 then 'missing' when 3 then 'extra' else 'changed' end as change from documents where doc_id % 10 in (3, 5, 7)",
+        "retained_events": "select event_id from events where event_id * 10 + 86400 >= 90000",
+    }
+    out["suite_totals"] = out["suite_totals"].replace("((n.tokens - g.tokens) * 10000) / greatest(n.tokens, 1) reduction0, trunc(", "cast(trunc(").replace("greatest(n.tokens, 1)) reduction_bp", "greatest(n.tokens, 1)) as bigint) reduction_bp")
+    hits = {"src/a.rs:12:let x = 1;": ("src/a.rs", 12, "let x = 1;"), "C:\\a\\b.rs:7:code": ("C:\\a\\b.rs", 7, "code"), "12:only content": ("one.rs", 12, "only content")}
+    rows = " ".join(f"when '{k}' then {{'p': '{v[0]}', 'l': {v[1]}, 'c': '{v[2]}'}}" for k, v in hits.items())
+    out["parsed_literal_hits"] = f"with {literals()}, h as (select id, line, case line {rows} end h from literals) select id, h.p path, cast(h.l as bigint) line, h.c as content, case when regexp_matches(line, ':[0-9]+:') then regexp_extract(line, '^.*?:[0-9]+:(.*)$', 1) else line end rest from h"
+    out["clipped_texts"] = """with b as (select doc_id, text, hex(encode(text)) h, octet_length(encode(text)) n from documents),
+      c as (select *, list_max(list_filter([317, 318, 319, 320], lambda i: not regexp_matches(substr(h, 2 * i + 1, 1), '[89AB]'))) cut from b)
+      select doc_id, md5(case when n <= 320 then text else decode(unhex(left(h, 2 * cut))) || '[... ' || cast(n - cut as varchar) || ' more bytes]' end) clip_md5 from c"""
+    out["edit_signatures"] = f"""with {PATHS}, {DIFFS}, s as (select *, sum(case when starts_with(line, 'diff --git') then 1 else 0 end) over (order by line_no) section from lines),
+      w as (select section, left(line, 1) sg, unnest(list_filter(regexp_split_to_array(substr(line, 2), '[^A-Za-z0-9_]+'), lambda x: regexp_matches(x, '^[A-Za-z_]'))) id from s where left(line, 1) in ('+', '-')),
+      k as (select section, id, bool_or(sg = '-') a, bool_or(sg = '+') b from w group by all), n as (select section, count(*) n from s where left(line, 1) in ('+', '-') group by all)
+      select 'diff-0' capture_id, cast(section as bigint) section, coalesce(string_agg(id, ',' order by id) filter (a and not b), '') gone, coalesce(string_agg(id, ',' order by id) filter (b and not a), '') come from k join n using (section) where n >= 4 group by section having bool_or(a <> b)"""
+    return out

@@ -96,14 +96,12 @@ def line_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def parsed_hits(spark: SparkSession, d: str) -> DataFrame:
-    h = X.hit(F.col("line"))
-    return A.hit_lines(spark, d).select("capture_id", "line_no", h["path"].alias("path"), h["line"].alias("line"), h["content"].alias("content"))
+    return A.hit_lines(spark, d).withColumn("h", X.hit(F.col("line"))).select("capture_id", "line_no", "h.path", "h.line", "h.content")
 
 
 @query
 def parsed_literal_hits(spark: SparkSession, d: str) -> DataFrame:
-    h = X.hit(F.col("line"), "one.rs")
-    return literals(spark).select("id", h["path"].alias("path"), h["line"].alias("line"), h["content"].alias("content"), X.hit_content(F.col("line")).alias("rest"))
+    return literals(spark).withColumn("h", X.hit(F.col("line"), "one.rs")).withColumn("rest", X.hit_content(F.col("line"))).select("id", "h.path", "h.line", "h.content", "rest")
 
 
 @query
