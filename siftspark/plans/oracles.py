@@ -162,7 +162,7 @@ def oracle_sql() -> dict[str, str]:
         "retained_events": "select event_id from events where event_id * 10 + 86400 >= 90000",
     }
     out["suite_totals"] = out["suite_totals"].replace("((n.tokens - g.tokens) * 10000) / greatest(n.tokens, 1) reduction0, trunc(", "cast(trunc(").replace("greatest(n.tokens, 1)) reduction_bp", "greatest(n.tokens, 1)) as bigint) reduction_bp")
-    hits = {"src/a.rs:12:let x = 1;": ("src/a.rs", 12, "let x = 1;"), "C:\\a\\b.rs:7:code": ("C:\\a\\b.rs", 7, "code"), "12:only content": ("one.rs", 12, "only content")}
+    hits = {"src/a.rs:12:let x = 1;": ("src/a.rs", 12, "let x = 1;"), "C:\\a\\b.rs:7:code": ("C:\\a\\b.rs", 7, "code"), "12:only content": ("one.rs", 12, "only content"), "2024-01-02T03:04:05Z INFO start: user=5 ok": ("2024-01-02T03", 4, "05Z INFO start: user=5 ok")}
     rows = " ".join(f"when '{k}' then {{'p': '{v[0]}', 'l': {v[1]}, 'c': '{v[2]}'}}" for k, v in hits.items())
     out["parsed_literal_hits"] = f"with {literals()}, h as (select id, line, case line {rows} end h from literals) select id, h.p path, cast(h.l as bigint) line, h.c as content, case when regexp_matches(line, ':[0-9]+:') then regexp_extract(line, '^.*?:[0-9]+:(.*)$', 1) else line end rest from h"
     out["clipped_texts"] = """with b as (select doc_id, text, hex(encode(text)) h, octet_length(encode(text)) n from documents),
