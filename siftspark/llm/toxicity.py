@@ -50,7 +50,9 @@ class Training:
     positives: int = 1500
     negatives: int = 3000
     text_bytes: int = 20_000
+    #: epochs, and more of them until so many batches were learned from
     epochs: int = 5
+    steps: int = 120
     batch: int = 256
     rate: float = 0.01
     #: of the toxic texts, so many with the least evidence sit out an epoch: labels are weak, and such texts teach noise
@@ -230,7 +232,9 @@ def train(texts: list[str], labels: list[int], shape: Shape = Shape(), how: Trai
         x = np.hstack([w["e1"][one] + w["e2"][two], np.add.reduceat(w["c"][rows], at, axis=0) / lens[:, None]]) if len(one) else np.zeros((0, shape.word_dim + shape.char_dim))
         return np.vstack([np.zeros((1, x.shape[1])), x]).astype(np.float32)
 
-    for epoch in range(how.epochs):
+    for epoch in range(max(how.epochs, how.steps)):
+        if epoch >= how.epochs and tick >= how.steps:
+            break
         x = table()
         if epoch:
             proj = x @ w["wx"] + w["bx"]
