@@ -262,6 +262,33 @@ def tidy(x: DataFrame, p: Params = Params()) -> DataFrame:
     return set_reason(x, (F.col("kind") != "diff") & F.col("vis") & F.col("said").endswith(":") & (F.col("seen") > 1) & (F.coalesce("below", F.lit(0)) == 0), DUPLICATE, "vis", "said", "seen", "below")
 
 
+def with_selection(x: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``chosen``: whether a line lies in a selected byte range (capture_id, stream, start, end) of its stream."""
+    r = ranges.select("capture_id", "stream", "start", "end")
+    hit = x.select(*KEY, "line_no", "byte_start", "byte_end").join(r, list(KEY)).where("byte_start >= start and byte_end <= end").select(*KEY, "line_no").distinct().withColumn("chosen", F.lit(True))
+    return x.join(hit, [*KEY, "line_no"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+
+
+def adaptive_search(x: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Search hits outside the selected ranges go, but for definitions and what the goal names."""
+    h = X.hit(F.col("line"))
+    x = with_selection(x, ranges).withColumn("h", h)
+    goal = F.coalesce("goal_text", F.lit(""))
+    named = F.contains(goal, F.lower("h.path")) | F.contains(goal, F.lower("h.content"))
+    return set_reason(x, ~F.col("chosen") & ~F.coalesce(named, F.lit(False)) & ~C.is_definition(F.col("h.content")), "adaptive_search_nonselected", "h", "chosen")
+
+
+def adaptive_merge(x: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Selected chunks of long output are shown again. In diffs, a selected file shows its generated body, and others lose
+    theirs."""
+    y = with_selection(x, ranges)
+    out = y.withColumn("reason", F.when((F.col("kind") != "diff") & (F.col("reason") == MIDDLE) & F.col("chosen"), None).otherwise(F.col("reason")))
+    out = with_sections(out).withColumn("picked", F.max("chosen").over(whole("section"))).withColumn("any", F.max("chosen").over(whole()))
+    diff = (F.col("kind") == "diff") & (F.col("section") > 0)
+    out = out.withColumn("reason", F.when(diff & F.col("picked") & (F.col("reason") == GENERATED), None).otherwise(F.col("reason")))
+    return set_reason(out, diff & ~F.col("picked") & F.col("any") & (F.col("place") > 1), "adaptive_nonselected", "section", "path", "place", "picked", "any", "chosen")
+
+
 def tiny_gaps(x: DataFrame, p: Params = Params()) -> DataFrame:
     """Hidden runs of fewer bytes than a marker costs become visible again; silent reasons stay hidden."""
     group = F.when(F.col("reason") == PROGRESS_OF_TESTS, TESTS).otherwise(F.col("reason"))

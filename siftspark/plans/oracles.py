@@ -99,6 +99,12 @@ def _classified() -> str:
     return f"with {literals()} select id, {fact('line')} fact, {case(passed)} passed, {pick(boiler)} boilerplate, {pick(progress)} progress, {pick(frames)} frame, {pick(defs)} definition, {case(build)} build, regexp_matches(lower(line), '{SECRETS}') secret, contains(line, chr(13)) redraw from literals"
 
 
+def _values(names: str, rows: list[tuple]) -> str:
+    """Results worked out by hand, as rows."""
+    cell = lambda x: "null" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"select * from (values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
+
+
 def oracle_sql() -> dict[str, str]:
     stop = "(" + ",".join(f"'{w}'" for w in STOP.split()) + ")"
     words = ["thing", "that", "stands", "under", "table", "with", "reason"]
@@ -162,6 +168,28 @@ def oracle_sql() -> dict[str, str]:
         "retained_events": "select event_id from events where event_id * 10 + 86400 >= 90000",
     }
     out["suite_totals"] = out["suite_totals"].replace("((n.tokens - g.tokens) * 10000) / greatest(n.tokens, 1) reduction0, trunc(", "cast(trunc(").replace("greatest(n.tokens, 1)) reduction_bp", "greatest(n.tokens, 1)) as bigint) reduction_bp")
+    out |= {
+        "routed_commands": _values("id, parsed, eligible", [(0, "cargo|test", True), (1, "cargo|+nightly|test", True), (2, "cargo|run", False), (3, "go|vet|./...", True), (4, "python|-m|pytest|-q", True), (5, "python|app.py", False), (6, "C:toolsRG.exe|x", False), (7, "npm|run|build", True), (8, "npm|run|dev:web", False), (9, "npx|jest", True), (10, "grep|-rn|x|.", True), (11, "grep|--color|x", False), (12, "git|log|-3", True), (13, "git|push", False), (14, "cmake|--build|out", True), (15, "mvn|-q|verify", True), (16, "bundle|exec|rspec", True), (17, "docker|build|.", True), (18, "kubectl|get|pods", False), (19, "FOO=1|make", True), (20, "cd|a&make|b c", True), (21, None, False), (22, None, False), (23, "git|show|a b|c d", True), (24, None, False), (25, None, False), (26, None, False)]),
+        "search_privacy": _values("id, denied", [(0, None), (1, None), (2, "privacy_denied_query"), (3, "privacy_denied_query"), (4, "privacy_denied_search_target"), (5, "privacy_denied_search_target"), (6, "unsupported_search_command"), (7, "unsupported_search_command"), (8, "privacy_denied_query"), (9, "privacy_denied_search_target"), (10, "privacy_denied_query")]),
+        "command_labels": _values("id, label, display", [(0, "cargo test", "/usr/bin/Cargo [2 arguments redacted]"), (1, "python -m pytest", "C:\\py\\python.exe [2 arguments redacted]"), (2, "python", "python [2 arguments redacted]"), (3, "git", "git [0 arguments redacted]"), (4, "rg", "rg [1 arguments redacted]"), (5, "npm", "npm [1 arguments redacted]"), (6, "tool", "tool [1 arguments redacted]")]),
+        "hook_events": "select role tool, case when octet_length(encode(text)) > 524288 then 'too_large' end as skip, count(*) n, sum(octet_length(encode(text))) bytes from conversations where (conv_id + turn) % 9 <> 0 group by all",
+        "build_progress": "with a as (select 'build-' || p_brand capture_id, p_partkey, p_partkey % 100 <> 0 own from part), b as (select *, case when own is distinct from lag(own) over (partition by capture_id order by p_partkey) then 1 else 0 end st from a), c as (select *, sum(st) over (partition by capture_id order by p_partkey) isl from b), e as (select capture_id, own, count(*) k from c group by capture_id, isl, own) select capture_id, sum(case when own and k >= 16 then k - 4 else 0 end) hidden, sum(k) n from e group by capture_id",
+        "redrawn_lines": "select 'o-' || o_orderstatus capture_id, case when count(*) filter (o_orderkey % 3 = 0) >= 2 then count(*) filter (o_orderkey % 3 = 0) else 0 end hidden from orders group by 1",
+        "recalled_sections": f"with {TESTS}, {PASSED}, {OMITTED} select g.capture_id, g.section_id, sha256(string_agg(l.line, '' order by l.line_no)) sha256, null error from gone g join lines l on l.capture_id = g.capture_id and l.byte_start >= g.byte_start and l.byte_end <= g.byte_end group by all union all select distinct capture_id, 'stdout-5-6', null, 'invalid_range' from lines",
+        "capture_status": "select doc_id, case when doc_id % 9 = 0 then 'missing' when doc_id % 48 > 24 then 'expired' when doc_id % 7 = 0 then 'corrupt' else 'ok' end status from documents",
+        "pack_conflicts": "select doc_id pack_id, case when doc_id % 3 = 0 then 'append' when doc_id % 5 = 0 then 'conflict' else 'same' end outcome from documents",
+        "superseded_results": "select r.event_id run_id, exists (select 1 from events a where a.event_type = 'purchase' and a.user_id = r.user_id and a.event_id > r.event_id and a.event_id <= r.event_id + 500 and a.event_id // 100 > r.event_id // 100) superseded from events r where r.event_type = 'view'",
+        "purged_packs": "select cast(event_id as varchar) capture_id, event_id * 10 pack_id from events where event_id * 10 + 86400 >= 95000",
+        "traced_tokens": "with e as (select user_id as session, event_type, event_id % 97 n, cast((event_id % 97) % 7 as varchar) id from events where event_id % 50 <> 0), t as (select u.session, sum(r.n) tool_bytes, count(*) tool_calls from e u join e r on u.session = r.session and u.id = r.id and u.event_type = 'click' and r.event_type = 'view' group by u.session) select session, coalesce(sum(n) filter (event_type not in ('click', 'view')), 0) input_tokens, 0 output_tokens, coalesce(max(tool_bytes), 0) tool_bytes, coalesce(max(tool_calls), 0) tool_calls from e left join t using (session) group by session",
+        "consecutive_pairs": "with p as (select o_orderkey // 2 pair, count(*) n, count(*) filter (o_orderstatus = 'F') na, sum(cast(trunc(o_totalprice) as bigint)) filter (o_orderstatus = 'F') a, sum(cast(trunc(o_totalprice) as bigint)) filter (o_orderstatus <> 'F') b from orders group by 1) select pair, a, b, b - a delta from p where n = 2 and na = 1",
+        "found_needles": "select source scenario, cast(doc_id as varchar) arm, cast(contains(text, 'the') as int) + cast(contains(text, 'qui') as int) + cast(contains(text, 'zz') as int) needles_found, 3 needles_total, array_to_string(list_filter(['qui', 'the', 'zz'], lambda x: not contains(text, x)), ',') missing from documents",
+        "expected_levels": "with x as (select user_id, event_id % 5 as level, sum(round(value)) p from events where value > 0 group by all) select user_id, round(sum(level * p) / sum(p), 6) expected from x where p > 0 group by user_id",
+        "candidate_minimums": "with g as (select 'u' || cast(user_id as varchar) capture_id, case user_id % 3 when 0 then 'search' when 1 then 'diff' else 'output' end kind, count(*) n from events group by all) select *, case when kind = 'search' and n > 64 then 'search_candidate_limit' when n < case kind when 'search' then 6 when 'diff' then 3 else 2 end then 'no_rankable_sections' end fallback from g",
+        "evidence_gates": "select event_id, case when event_id % 100 < 70 then 'no_relevant_evidence' end fallback from events",
+        "adaptive_search": f"with {HITS} select capture_id, count(*) filter (not contains(line, ':pub fn') and not ((capture_id = 'hits-A' and byte_start >= 200 and byte_end <= 5000) or (capture_id = 'hits-N' and byte_end <= 400))) hidden, count(*) n from lines group by capture_id",
+        "new_source_files": "select 'new_file' kind, replace(p_name, ' ', '_') || case p_size % 3 when 0 then '.rs' else '.tsx' end path from part where p_size % 3 <> 1",
+        "stale_advice": "select cast(o_orderkey as varchar) capture_id, o_orderkey % 10 = 9 or o_orderkey % 6 = 0 or o_orderkey % 8 = 0 stale from orders",
+    }
     hits = {"src/a.rs:12:let x = 1;": ("src/a.rs", 12, "let x = 1;"), "C:\\a\\b.rs:7:code": ("C:\\a\\b.rs", 7, "code"), "12:only content": ("one.rs", 12, "only content"), "2024-01-02T03:04:05Z INFO start: user=5 ok": ("2024-01-02T03", 4, "05Z INFO start: user=5 ok")}
     rows = " ".join(f"when '{k}' then {{'p': '{v[0]}', 'l': {v[1]}, 'c': '{v[2]}'}}" for k, v in hits.items())
     out["parsed_literal_hits"] = f"with {literals()}, h as (select id, line, case line {rows} end h from literals) select id, h.p path, cast(h.l as bigint) line, h.c as content, case when regexp_matches(line, ':[0-9]+:') then regexp_extract(line, '^.*?:[0-9]+:(.*)$', 1) else line end rest from h"

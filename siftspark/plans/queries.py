@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import classify as C
 from siftspark.functions import text as X
-from siftspark.operators import pack, rank, recall, reduce, report, review
+from siftspark.operators import pack, rank, recall, reduce, report, review, route
 from siftspark.sources import adapters as A
 from siftspark.streaming import state
 
@@ -370,5 +370,162 @@ def retained_events(spark: SparkSession, d: str) -> DataFrame:
     return state.retain(A.table(spark, d, "events").selectExpr("event_id", "event_id * 10 at"), "at", 90_000, 24 * 3600).select("event_id")
 
 
+COMMANDS = [
+    "cargo test", "cargo +nightly test", "cargo run", "go vet ./...", "python -m pytest -q", "python app.py", "C:\\tools\\RG.exe x", "npm run build", "npm run dev:web", "npx jest", "grep -rn x .", "grep --color x", "git log -3", "git push",
+    "cmake --build out", "mvn -q verify", "bundle exec rspec", "docker build .", "kubectl get pods", "FOO=1 make", "cd a && make 'b c'", "ls | wc", "echo $(x)", 'git show "a b" c\\ d', "a && ", "echo 'open", "",
+]
+SEARCHES = [
+    ["rg", "-n", "-H", "needle"], ["/usr/bin/rg", "-n", "-H", "needle", "src", "--sort=path"], ["rg", "-n", "-H", "-x"], ["rg", "-n", "-H", "my password"], ["rg", "-n", "-H", "ok", "../up"], ["rg", "-n", "-H", "ok", "/etc"],
+    ["rg", "-n", "x"], ["grep", "-n", "-H", "x"], ["rg", "-n", "-H", "\u00e9"], ["rg", "-n", "-H", "q", "C:x"], ["rg", "-n", "-H", " "],
+]
+
+
+@query
+def routed_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Commands as words, and whether their last segment's program is one to reduce."""
+    x = route.with_segments(spark.createDataFrame(list(enumerate(COMMANDS)), "id long, command string"))
+    words = F.filter(F.element_at("segments", -1), lambda w: ~route.is_assignment(w))
+    x = x.withColumn("words", words)
+    yes = route.eligible(route.program_name(F.get("words", F.lit(0))), F.slice("words", 2, 1 << 20))
+    return x.select("id", F.array_join(F.transform("segments", lambda s: F.array_join(s, "|")), "&").alias("parsed"), F.coalesce(yes, F.lit(False)).alias("eligible"))
+
+
+@query
+def search_privacy(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(SEARCHES)), "id long, argv array<string>").select("id", route.query_privacy(F.col("argv")).alias("denied"))
+
+
+@query
+def hook_events(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as JSON hook events, every ninth malformed: what is replaced and what is passed over."""
+    x = A.table(spark, d, "conversations").select(F.when((F.col("conv_id") + F.col("turn")) % 9 == 0, F.lit("{not json")).otherwise(F.to_json(F.struct(F.concat(F.lit("s-"), F.col("conv_id").cast("string")).alias("session_id"), F.col("role").alias("tool"), F.col("text").alias("output")))).alias("value"))
+    e = A.read_events(x, "session_id string, tool string, output string").where("session_id is not null")
+    return route.tool_output(e).groupBy("tool", "skip").agg(F.count("*").alias("n"), F.sum(F.octet_length("output")).alias("bytes"))
+
+
+@query
+def build_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Build progress of the parts, a capture of each brand; a warning breaks the run of every hundredth."""
+    line = F.when(F.col("p_partkey") % 100 == 0, F.lit("warning: unused\n")).otherwise(F.concat(F.lit("   Compiling part-"), F.col("p_partkey").cast("string"), F.lit(" v1."), F.col("p_size").cast("string"), F.lit(".0\n")))
+    lines = A._numbered(A.table(spark, d, "part").select(F.concat(F.lit("build-"), F.col("p_brand")).alias("capture_id"), "p_partkey", line.alias("line")), "p_partkey")
+    x = reduce.build_progress(reduce.prepare(lines))
+    return x.groupBy("capture_id").agg(F.count("reason").alias("hidden"), F.count("*").alias("n"))
+
+
+@query
+def redrawn_lines(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("% done\rnext")).otherwise(F.lit(" plain")), F.lit("\n"))
+    lines = A._numbered(A.table(spark, d, "orders").select(F.concat(F.lit("o-"), F.col("o_orderstatus")).alias("capture_id"), "o_orderkey", line.alias("line")), "o_orderkey")
+    return reduce.redraws(reduce.prepare(lines)).groupBy("capture_id").agg(F.count("reason").alias("hidden"))
+
+
+@query
+def recalled_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Every omission of the test captures recalled, and a section that isn't there."""
+    lines = A.test_lines(spark, d)
+    gone = pack.omissions(reduce.tiny_gaps(reduce.passing_tests(reduce.prepare(lines))))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "")
+    captures = lines.groupBy("capture_id").agg(text.alias("stdout")).withColumn("stderr", F.lit(""))
+    requests = gone.select("capture_id", "section_id").unionByName(captures.select("capture_id", F.lit("stdout-5-6").alias("section_id")))
+    got = recall.by_section(requests, captures, gone)
+    return got.select("capture_id", "section_id", F.sha2("bytes", 256).alias("sha256"), "error")
+
+
+@query
+def capture_status(spark: SparkSession, d: str) -> DataFrame:
+    x = A.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("stdout"), F.lit("").alias("stderr"), F.expr("timestamp'2024-01-02 00:00:00' - make_interval(0, 0, 0, 0, cast(doc_id % 48 as int), 0, 0)").alias("created_at"))
+    x = x.withColumn("raw_sha256", X.canonical_hash(F.when(F.col("doc_id") % 7 == 0, F.lit("tampered")).otherwise(F.col("stdout")), F.col("stderr")))
+    return x.select("doc_id", recall.status(F.expr("timestamp'2024-01-02 00:00:00'")).alias("status"))
+
+
+@query
+def pack_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    x = A.table(spark, d, "documents")
+    new = x.select(F.col("doc_id").alias("pack_id"), F.md5(F.col("text").cast("binary")).alias("sha"))
+    old = x.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("pack_id"), F.when(F.col("doc_id") % 5 == 0, F.lit("other")).otherwise(F.md5(F.col("text").cast("binary"))).alias("sha"))
+    return recall.conflicts(new, old, ["pack_id"], "sha").select("pack_id", "outcome")
+
+
+@query
+def superseded_results(spark: SparkSession, d: str) -> DataFrame:
+    e = A.table(spark, d, "events").select(F.col("user_id").alias("session_id"), "event_id", "event_type")
+    runs = e.where("event_type = 'view'").selectExpr("session_id", "event_id run_id", "event_id div 100 revision", "event_id start", "event_id + 500 end")
+    accepted = e.where("event_type = 'purchase'").selectExpr("session_id", "event_id div 100 revision", "event_id at")
+    return state.superseded(runs, accepted).select("run_id", "superseded")
+
+
+@query
+def purged_packs(spark: SparkSession, d: str) -> DataFrame:
+    e = A.table(spark, d, "events").selectExpr("cast(event_id as string) capture_id", "event_id * 10 at")
+    return state.purge(e, e.selectExpr("capture_id", "at pack_id"), 95_000, 3600 * 24)[1].select("capture_id", "pack_id")
+
+
+@query
+def traced_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Agent traces from events: clicks use a tool, views answer it, the rest count tokens; some lines are broken."""
+    e = A.table(spark, d, "events").selectExpr("user_id session", "event_id", "event_type", "cast(event_id % 97 as bigint) n")
+    kind = F.when(F.col("event_type") == "click", "tool_use").when(F.col("event_type") == "view", "tool_result").otherwise("usage")
+    obj = F.to_json(F.struct(kind.alias("type"), (F.col("n") % 7).cast("string").alias("id"), F.lit("shell").alias("tool"), F.when(kind == "usage", F.col("n")).alias("input_tokens"), F.repeat(F.lit("x"), F.col("n").cast("int")).alias("content")))
+    return report.trace_sums(e.select("session", F.when(F.col("event_id") % 50 == 0, F.lit("oops {")).otherwise(obj).alias("value")))
+
+
+@query
+def consecutive_pairs(spark: SparkSession, d: str) -> DataFrame:
+    x = A.table(spark, d, "orders").selectExpr("o_orderkey idx", "case when o_orderstatus = 'F' then 'native' else 'rules' end arm", "cast(o_totalprice as bigint) value")
+    return report.consecutive_pairs(x, "native", "rules")
+
+
+@query
+def found_needles(spark: SparkSession, d: str) -> DataFrame:
+    x = A.table(spark, d, "documents").select(F.col("source").alias("scenario"), F.col("doc_id").cast("string").alias("arm"), F.col("text").alias("view"))
+    needles = A.table(spark, d, "documents").groupBy(F.col("source").alias("scenario")).agg(F.expr("array('the', 'qui', 'zz')").alias("n")).select("scenario", F.explode("n").alias("needle"))
+    return report.needles(x, needles)
+
+
+@query
+def expected_levels(spark: SparkSession, d: str) -> DataFrame:
+    x = A.table(spark, d, "events").where("value > 0").select(F.col("user_id"), (F.col("event_id") % 5).alias("level"), F.round("value").alias("probability")).groupBy("user_id", "level").agg(F.sum("probability").alias("probability")).where("probability > 0")
+    g = x.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("level", "probability"))).alias("levels"))
+    return g.select("user_id", F.round(rank.expected_level(F.col("levels")), 6).alias("expected"))
+
+
+@query
+def candidate_minimums(spark: SparkSession, d: str) -> DataFrame:
+    x = A.table(spark, d, "events").selectExpr("concat('u', cast(user_id as string)) capture_id", "case user_id % 3 when 0 then 'search' when 1 then 'diff' else 'output' end kind")
+    return rank.enough(x)
+
+
+@query
+def evidence_gates(spark: SparkSession, d: str) -> DataFrame:
+    return rank.gate(A.table(spark, d, "events").selectExpr("event_id", "event_id % 100 / 100.0D exists_p")).select("event_id", "fallback")
+
+
+@query
+def adaptive_search(spark: SparkSession, d: str) -> DataFrame:
+    ranges = spark.createDataFrame([("hits-A", "stdout", 200, 5000), ("hits-N", "stdout", 0, 400)], "capture_id string, stream string, start long, end long")
+    x = reduce.adaptive_search(reduce.prepare(A.hit_lines(spark, d), kind="search"), ranges)
+    return x.groupBy("capture_id").agg(F.count("reason").alias("hidden"), F.count("*").alias("n"))
+
+
+@query
+def new_source_files(spark: SparkSession, d: str) -> DataFrame:
+    x = A.table(spark, d, "part").selectExpr("concat(replace(p_name, ' ', '_'), case p_size % 3 when 0 then '.rs' when 1 then '.md' else '.tsx' end) path")
+    return review.new_file_findings(x)
+
+
+@query
+def stale_advice(spark: SparkSession, d: str) -> DataFrame:
+    x = A.table(spark, d, "orders").selectExpr("cast(o_orderkey as string) capture_id", "o_orderkey % 4 revision", "cast(o_custkey as string) candidate_sha256")
+    now = A.table(spark, d, "orders").where("o_orderkey % 10 <> 9").selectExpr("cast(o_orderkey as string) capture_id", "case when o_orderkey % 6 = 0 then 9 else o_orderkey % 4 end revision", "case when o_orderkey % 8 = 0 then 'x' else cast(o_custkey as string) end candidate_sha256")
+    return review.stale(x, now).select("capture_id", "stale")
+
+
+@query
+def command_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = [["/usr/bin/Cargo", "test", "-q"], ["C:\\py\\python.exe", "-m", "pytest"], ["python", "-m", "a.b"], ["git"], ["rg", "-n"], ["npm", "averyverylongword"], ["tool", "run2"]]
+    x = spark.createDataFrame(list(enumerate(rows)), "id long, argv array<string>")
+    return x.select("id", X.command_label(F.col("argv")).alias("label"), X.command_display(F.col("argv")).alias("display"))
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)
