@@ -114,7 +114,7 @@ def test_shards_are_even_and_gapless(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = kd_shards.shards(df).collect()
     assert len(got) == len(rows) and {r["law"] for r in got} == {"bytes"}
-    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in got) == sorted((i if i is not None else -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _, _ in rows)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((i if i is not None else -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _, _ in rows)
     size = {}
     for r in got:
         size.setdefault(r["shard"], []).append(r)
@@ -158,7 +158,7 @@ def test_preference_prompt_is_the_common_prefix(spark):
     schema = "pair_id long, turn long, role string, text string"
     got = {r["pair_id"]: r for r in preference.pair_up(spark.createDataFrame(chosen, schema), spark.createDataFrame(rejected, schema)).collect()}
     assert got[1]["n_prompt"] == 3 and got[1]["prompt"] == "<|user|>\nhi<|end|>\n<|assistant|>\nhello<|end|>\n<|user|>\nwhy<|end|>\n"
-    assert got[1]["chosen"] == "<|assistant|>\nbecause<|end|>\n" and got[1]["chosen_mask"] == "0-14:0,14-30:1"
+    assert got[1]["chosen"] == "<|assistant|>\nbecause<|end|>\n" and got[1]["chosen_mask"] == "0-14:0,14-29:1"
     assert got[2]["chosen"] == got[2]["rejected"] == "" and got[2]["n_prompt"] == 2
     assert got[3]["prompt"] == "" and got[3]["rejected"].startswith("<|unknown|>")
 
