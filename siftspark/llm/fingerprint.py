@@ -151,17 +151,16 @@ def with_next(docs: DataFrame, cell: int = CELL, rows: int = RANGE_ROWS) -> Data
     low, high, n = ids["low"] or 0, ids["high"] or 0, ids["n"]
     width = max(1, (high - low + 1) * rows // max(n, 1))
     ranged = docs.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long")))
-    by = W.partitionBy("range").orderBy(F.asc_nulls_first("doc_id"), "t")
-    own = F.struct("t", "keys")
-    seen = ranged.withColumn("next", F.lead(own).over(by)).withColumn("last", F.lead(F.lit(1)).over(by).isNull())
     ranges = ranged.groupBy("range").agg(F.count("*").alias("k")).select("range", F.floor(F.col("range") / 1000).alias("above"))
     heads = ranges.groupBy("above").agg(F.min("range").alias("head")).withColumn("after", F.lead("head").over(W.orderBy("above")))
     follow = ranges.withColumn("to", F.lead("range").over(W.partitionBy("above").orderBy("range"))).join(heads.select("above", "after"), "above").select("range", F.coalesce("to", "after").alias("to"))
-    first = ranged.groupBy(F.col("range").alias("to")).agg(F.min_by("t", F.struct("doc_id", "t")).alias("t")).select("to", F.struct("t", digests(F.col("t"), cell).alias("keys")).alias("found"))
-    start = ranges.agg(F.min("range").alias("start"))
-    edges = seen.where("last").join(follow, "range").join(start, how="left").withColumn("to", F.coalesce("to", "start")).join(first, "to", "left")
-    inside = seen.where(~F.col("last")).select("doc_id", "t", "keys", "next")
-    return inside.unionByName(edges.select("doc_id", "t", "keys", F.col("found").alias("next")))
+    follow = follow.join(ranges.agg(F.min("range").alias("start")), how="left").select("range", F.coalesce("to", "start").alias("to"))
+    first = ranged.groupBy(F.col("range").alias("to")).agg(F.min_by("t", F.struct("doc_id", "t")).alias("t"))
+    # a range ends with the first document of the next one, so that one window over ranges sees every successor
+    guests = follow.join(first, "to").select(F.lit(None).cast("long").alias("doc_id"), "t", digests(F.col("t"), cell).alias("keys"), "range", F.lit(True).alias("guest"))
+    held = ranged.select("doc_id", "t", "keys", "range", F.lit(False).alias("guest")).unionByName(guests)
+    by = W.partitionBy("range").orderBy("guest", F.asc_nulls_first("doc_id"), "t")
+    return held.withColumn("next", F.lead(F.struct("t", "keys")).over(by)).where("not guest").select("doc_id", "t", "keys", "next")
 
 
 def compare_with_edits(docs: DataFrame, cell: int = CELL) -> DataFrame:
