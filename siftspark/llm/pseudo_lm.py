@@ -5,8 +5,8 @@ by one of a few hash buckets. A bidirectional window network predicts each token
 token itself masked: position-wise embeddings are summed, squashed, and read by a two-step softmax (a class of tokens, then the
 member within it). A text's score is the sum of the log-probabilities of all its tokens.
 
-What is learned covers the corpus: word counts are over all texts, and each scan partition trains a copy on every text in it
-(a fixed share of its positions a round); copies are averaged, weighted by positions, up a tree of fan-in 64, so the driver gets 64
+What is learned covers the corpus: word counts are over all texts, and each scan partition trains a copy on every position of every
+text in it, in each round; copies are averaged, weighted by positions, up a tree of fan-in 64, so the driver gets 64
 models at most and what is gathered grows with the input. Scoring is one more pass, every token of every text.
 Network, gradients and Adagrad are plain numpy.
 
@@ -42,8 +42,8 @@ class Net:
     dim: int = 16
     hidden: int = 24
     rounds: int = 2
-    #: one position in so many is trained on in a round
-    every: int = 24
+    #: one position in so many is trained on in a round; 1 is all of them
+    every: int = 1
     batch: int = 512
     rate: float = 0.08
     seed: int = 5
@@ -200,7 +200,7 @@ def train(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], net: Net = Net(
         def run(batches: Iterator[pa.RecordBatch], w=w, turn=turn) -> Iterator[pa.RecordBatch]:
             own = {k: v.copy() for k, v in w.items()}
             square = {k: np.full_like(v, 1e-3) for k, v in own.items()}
-            part, rng = TaskContext.get().partitionId(), np.random.default_rng(net.seed + turn)
+            part, rng, most = TaskContext.get().partitionId(), np.random.default_rng(net.seed + turn), 256 * net.batch
             seen, cs, ts, held = 0, [], [], 0
 
             def drain() -> None:
@@ -221,11 +221,14 @@ def train(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], net: Net = Net(
                         at = np.arange((turn * net.every // net.rounds + len(ids)) % net.every, len(ids), net.every)
                         if len(ids) and not len(at):
                             at = np.array([turn % len(ids)])
-                        if len(at):
-                            cs.append(contexts(ids, at, net))
-                            ts.append(ids[at])
-                            held += len(at)
-                            seen += len(at)
+                        for j in range(0, len(at), most):
+                            block = at[j : j + most]
+                            cs.append(contexts(ids, block, net))
+                            ts.append(ids[block])
+                            held += len(block)
+                            seen += len(block)
+                            if held >= most:
+                                drain()
                     if held >= 16 * net.batch:
                         drain()
             if held:

@@ -230,3 +230,14 @@ def test_pseudo_likelihood_learns_an_order(spark):
     got = {r["doc_id"]: r for r in pseudo_lm.score(docs, vocab, pseudo_lm.train(docs, vocab, net), net).collect()}
     assert got[0]["mean_log_likelihood"] > -0.7 and got[900]["n_tokens"] == 0 and got[900]["log_likelihood"] == 0.0
     assert pseudo_lm.score(docs.where("false"), vocab, pseudo_lm.start(net), net).count() == 0
+
+
+def test_pseudo_likelihood_trains_on_every_position(spark):
+    words = ["a"] * 30
+    words[8:13] = ["p", "q", "z", "r", "s"]  # of texts of 30 words, a step of 24 takes positions 6 and 18 only
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(400)], "doc_id long, text string").coalesce(1)
+    net = pseudo_lm.Net(batch=64)
+    vocab = pseudo_lm.vocabulary(docs, net)
+    ids = pseudo_lm.ids_of(" ".join(words), *vocab, net)
+    lp = pseudo_lm.log_probs(pseudo_lm.contexts(ids, np.array([10]), net), ids[[10]], pseudo_lm.train(docs, vocab, net), net)
+    assert lp[0] > -1.0
