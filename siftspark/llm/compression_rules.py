@@ -2,7 +2,9 @@
 
 A text is compressed by zstandard as a whole and in fixed chunks. The ratio is compressed bytes over raw bytes. Repetitive
 text compresses far below prose of its length, random or encoded text far above; a long text that hides a bad passage
-shows it in one of its chunks. Limits depend on the length, since a short text pays for its headers and tables.
+shows it in one of its chunks, the last of which is what is left of the text. Limits depend on the length, since a short text
+pays for its headers and tables. Under 128 bytes zstandard stores much prose as it is, so encoded text is told there by the
+entropy of the bytes of its words.
 
 Defined results: a null or empty text has no words, so its base rule fails and it is not kept. Repeated rows are judged
 each for itself; other columns pass through untouched. Nothing is sampled and no text is cut: a row's memory is its text.
@@ -25,10 +27,15 @@ SYMBOLS = "#*$%&|<>"
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(SYMBOLS.encode())] = True
 
-#: (bytes from, lowest ratio, highest ratio) of a whole text.
-WHOLE_BANDS = ((0, 0.0, 9.9), (256, 0.20, 0.95), (1024, 0.17, 0.74), (4096, 0.14, 0.71), (16384, 0.11, 0.69))
-#: The same for fixed chunks, of which only full ones are judged.
+#: (bytes from, lowest ratio, highest ratio) of a whole text, and of what is left after its full chunks.
+WHOLE_BANDS = (
+    (0, 0.70, 9.9), (64, 0.60, 9.9), (96, 0.50, 9.9), (128, 0.42, 0.94), (192, 0.36, 0.90), (256, 0.30, 0.88), (384, 0.25, 0.82), (512, 0.20, 0.78),
+    (768, 0.20, 0.76), (1024, 0.17, 0.74), (4096, 0.14, 0.71), (16384, 0.11, 0.69),
+)
+#: The same for full chunks.
 CHUNK_BANDS = ((0, 0.0, 9.9), (4096, 0.10, 0.72))
+#: The same for the entropy of a whole text's words, which decides where the ratio has no high limit yet.
+ENTROPY_BANDS = ((0, 0.0, 0.54), (56, 0.0, 0.57), (96, 0.0, 0.60), (128, 0.0, 9.9))
 
 
 @dataclass(frozen=True)
@@ -36,7 +43,9 @@ class Bands:
     whole: tuple[tuple[int, float, float], ...] = WHOLE_BANDS
     chunk: tuple[tuple[int, float, float], ...] = CHUNK_BANDS
     chunk_bytes: int = 4096
+    #: a text is bad from this share of its bytes, or this many, in bad chunks
     bad_chunk_share: float = 0.34
+    bad_chunk_bytes: int = 2048
     level: int = 3
     min_words: int = 10
     repeat_percent: int = 20
@@ -65,6 +74,13 @@ def _band(bands: tuple[tuple[int, float, float], ...], size: int) -> tuple[float
     return low, high
 
 
+def _entropy(raw: np.ndarray) -> float:
+    """Bits of a byte of the words by the text's own counts, over 8."""
+    times = np.bincount(raw[~kernel._SEP[raw]])
+    p = times[times > 0] / max(times.sum(), 1)
+    return float(-(p * np.log2(p)).sum() / 8)
+
+
 def _repeats(words: np.ndarray, width: int = 5) -> int:
     w = kernel.windows(words, width)
     if not len(w):
@@ -104,19 +120,20 @@ def judge(text: str | None, bands: Bands, pack: zstandard.ZstdCompressor) -> tup
     verdict = "base" if failed else "kept"
     if data:
         low, high = _band(bands.whole, len(data))
-        full = [data[i : i + bands.chunk_bytes] for i in range(0, len(data) - bands.chunk_bytes + 1, bands.chunk_bytes)]
-        ratios = [len(pack.compress(x)) / len(x) for x in full] if len(data) > bands.chunk_bytes else []
-        if ratios:
-            lows, highs = min(ratios), max(ratios)
+        parts = [data[i : i + bands.chunk_bytes] for i in range(0, len(data), bands.chunk_bytes)]
+        sizes = np.array([len(x) for x in parts])
+        ratios = np.array([len(pack.compress(x)) / len(x) for x in parts]) if len(parts) > 1 else np.array([whole])
+        lows, highs = float(ratios.min()), float(ratios.max())
         if not failed:
-            clow, chigh = _band(bands.chunk, bands.chunk_bytes)
+            limits = [_band(bands.chunk if k == bands.chunk_bytes else bands.whole, k) for k in sizes]
+            most = min(bands.bad_chunk_share * len(data), bands.bad_chunk_bytes - 1)
             if whole < low:
                 verdict = "repetitive"
-            elif whole > high:
+            elif whole > high or (len(data) < ENTROPY_BANDS[-1][0] and _entropy(raw) > _band(ENTROPY_BANDS, len(data))[1]):
                 verdict = "incompressible"
-            elif ratios and sum(r < clow for r in ratios) > bands.bad_chunk_share * len(ratios):
+            elif sizes[[r < lo for r, (lo, _) in zip(ratios, limits, strict=True)]].sum() > most:
                 verdict = "repetitive_chunks"
-            elif ratios and sum(r > chigh for r in ratios) > bands.bad_chunk_share * len(ratios):
+            elif sizes[[r > hi for r, (_, hi) in zip(ratios, limits, strict=True)]].sum() > most:
                 verdict = "incompressible_chunks"
     return n, chars, symbols, dups, repeat, failed, verdict == "kept", whole, lows, highs, verdict
 

@@ -73,6 +73,29 @@ def test_bands_reject_repetition_and_noise():
     assert compression_rules.judge(prose, compression_rules.Bands(), pack)[-1] == "kept"
 
 
+def test_bands_reject_short_texts_and_hidden_passages():
+    import base64
+    import random
+
+    import zstandard
+
+    rng = random.Random(2)
+    pack = zstandard.ZstdCompressor(level=3)
+    verdict = lambda text: compression_rules.judge(text, compression_rules.Bands(), pack)[-1]
+    spaced = lambda n, width: " ".join(base64.b64encode(rng.randbytes(3 * width)).decode()[:width] for _ in range(n // width + 1))[:n]
+    stems = [a + b + c for a in ("the", "ri", "sto", "wal", "ben", "mor", "clo", "no") for b in ("", "ver", "ne", "king", "light") for c in ("", "s", "ing", "ed")]
+    prose = lambda n: " ".join(rng.choice(stems) for _ in range(n))[:n]
+    for size in (60, 63, 64, 80, 95, 100, 127, 128, 191, 192, 255, 256, 383, 500, 511, 700, 767, 900, 1023, 1024):
+        assert verdict(spaced(size, max(4, min(40, size // 11 - 1)))) == "incompressible", size
+        assert verdict(prose(size)) in ("kept", "base"), size
+    for size in (60, 150, 250):
+        assert verdict(" ".join("a" * k for k in range(1, 40))[-size:] + " b c d e f g h i j k") in ("repetitive", "base")
+    # 16 KiB of 60, and a tail of less than a chunk
+    assert verdict(prose(22 << 10) + " " + spaced(16 << 10, 76) + " " + prose(22 << 10)) == "incompressible_chunks"
+    assert verdict(prose(16 << 10) + spaced(4000, 76)) == "incompressible_chunks"
+    assert verdict(prose(60 << 10)) == "kept" and verdict(prose(5000)) == "kept"
+
+
 def test_measure_keeps_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (None, "a b", "y"), (1, None, "x")], "doc_id long, text string, KEPT string")
     got = compression_rules.measure(df).collect()
