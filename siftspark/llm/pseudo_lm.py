@@ -3,7 +3,9 @@
 A text's tokens are its words, lower-cased and without ASCII punctuation: the commonest words of the whole corpus by id, all others
 by one of a few hash buckets. A bidirectional window network predicts each token from the ``reach`` tokens on both sides, the
 token itself masked: position-wise embeddings are summed, squashed, and read by a two-step softmax (a class of tokens, then the
-member within it). A text's score is the sum of the log-probabilities of all its tokens.
+member within it). A word of a bucket is told from the others there by a further step, log(times / (times of the bucket + 1)), whose
+counts are of all words of the corpus and stay a table, joined by word; what is left of a bucket is for words never counted.
+A text's score is the sum of the log-probabilities of all its words.
 
 What is learned covers the corpus: word counts are over all texts, and each scan partition trains a copy on every position of every
 text in it, in each round; copies are averaged, weighted by positions, up a tree of fan-in 64, so the driver gets 64
@@ -138,8 +140,8 @@ def learn(context: np.ndarray, target: np.ndarray, w: Weights, square: Weights,
         w[k] -= net.rate * g[k] / (np.sqrt(square[k]) + 1e-4)
 
 
-def vocabulary(docs: DataFrame, net: Net = Net()) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the commonest words of all texts, and their ids by rank."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, times): hashes of all words of all texts, and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,13 +150,40 @@ def vocabulary(docs: DataFrame, net: Net = Net()) -> tuple[np.ndarray, np.ndarra
                 names, times = np.unique(np.concatenate(hashes), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(times.astype(np.int64))], names=["word", "times"])
 
-    counts = docs.select("text").mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    return docs.select("text").mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+
+
+def vocabulary(docs: DataFrame, net: Net = Net(), counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the commonest words of all texts, and their ids by rank."""
+    counts = word_counts(docs) if counts is None else counts
     top = counts.orderBy(F.desc("times"), "word").limit(net.tokens - net.rare).collect()
     names = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     by = np.argsort(names)
     return names[by], by.astype(np.int64)
 
 
+@dataclass(frozen=True)
+class Rare:
+    """Words of the buckets: a table (word, nano) of their log-probabilities within their bucket in 1e-9, so that sums don't depend
+    on an order; ``unseen`` is that of a word never counted, by bucket."""
+
+    words: DataFrame
+    unseen: list[int]
+
+
+def _bucket(net: Net) -> str:
+    """The bucket of a word, whose hash is unsigned."""
+    return f"cast(pmod(pmod(word, {net.rare}) + if(word < 0, {(1 << 64) % net.rare}, 0), {net.rare}) as int)"
+
+
+def rare_words(counts: DataFrame, vocab: tuple[np.ndarray, np.ndarray], net: Net = Net()) -> Rare:
+    rest = counts.where(~F.col("word").isin(vocab[0].view(np.int64).tolist())).withColumn("bucket", F.expr(_bucket(net)))
+    totals = {r["bucket"]: r["n"] for r in rest.groupBy("bucket").agg(F.sum("times").alias("n")).collect()}
+    total = F.element_at(F.array(*(F.lit(totals.get(k, 0) + 1) for k in range(net.rare))), F.col("bucket") + 1)
+    words = rest.select("word", F.round(F.log(F.col("times") / total) * 1e9).cast("long").alias("nano"))
+    return Rare(words, [-round(float(np.log(totals.get(k, 0) + 1)) * 1e9) for k in range(net.rare)])
+
+
 def _pack(w: Weights) -> bytes:
     return b"".join(w[k].astype(np.float32).tobytes() for k in sorted(w))
 
@@ -249,20 +278,30 @@ def score_text(text: str | None, vocab: tuple[np.ndarray, np.ndarray], w: Weight
     return len(ids), total
 
 
-def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], w: Weights, net: Net = Net(), text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``log_likelihood`` (sum) and ``mean_log_likelihood``."""
+def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], w: Weights, net: Net = Net(), text: str = "text", rare: Rare | None = None, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``log_likelihood`` (sum) and ``mean_log_likelihood``; words of a bucket count alike without ``rare``."""
+    from pyspark import TaskContext
+
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())]
     names = {f.name for f in new}
-    kept = [f for f in docs.schema.fields if f.name not in names]
+    kept = [f for f in docs.schema.fields if f.name not in names and (keep_text or f.name != text)]
     passed = [f.name for f in kept]
+    held = [T.StructField("__row", T.LongType()), T.StructField("__words", T.ArrayType(T.LongType())), T.StructField("__times", T.ArrayType(T.LongType()))] if rare else []
+    least = net.tokens - net.rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(w)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, total = [], []
+            n, total, words, times = [], [], [], []
             for i in range(0, batch.num_rows, 128):
                 texts = batch.column(batch.schema.get_field_index(text)).slice(i, 128).to_pylist()
                 ids = [ids_of(t, *vocab, net) for t in texts]
+                if held:
+                    for t, x in zip(texts, ids, strict=True):
+                        name, k = np.unique(kernel.word_hashes(_clean(t))[x >= least], return_counts=True)
+                        words.append(name.view(np.int64))
+                        times.append(k)
                 near = [contexts(x, np.arange(len(x)), net) for x in ids]
                 flat = np.concatenate(ids)
                 around = np.concatenate(near)
@@ -276,6 +315,21 @@ def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], w: Weights, net
                 total += sums.tolist()
             mean = [t / k if k else 0.0 for t, k in zip(total, n, strict=True)]
             cols = [batch.column(batch.schema.get_field_index(p)) for p in passed] + [pa.array(n, pa.int64()), pa.array([t if k else 0.0 for t, k in zip(total, n, strict=True)], pa.float64()), pa.array(mean, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*passed, *(f.name for f in new)])
-
-    return docs.select(*passed, *([text] if text not in passed else [])).mapInArrow(run, T.StructType([*kept, *new]))
+            if held:
+                cols += [pa.array(np.arange(row, row + batch.num_rows)), pa.array(words, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+                row += batch.num_rows
+            yield pa.RecordBatch.from_arrays(cols, names=[*passed, *(f.name for f in [*new, *held])])
+
+    asked = list(dict.fromkeys([*passed, text]))
+    scored = docs.select(*asked).mapInArrow(run, T.StructType([*kept, *new, *held]))
+    if rare is None:
+        return scored
+    # row ids are of one run of the scan, so both sides of the join read its table
+    scored = materialize(scored, "lm-scored")
+    pairs = scored.select("__row", F.explode(F.arrays_zip("__words", "__times")).alias("x")).select("__row", F.col("x.__words").alias("word"), F.col("x.__times").alias("k"))
+    unseen = F.element_at(F.array(*map(F.lit, rare.unseen)), F.expr(_bucket(net)) + 1)
+    more = pairs.join(rare.words, "word", "left").groupBy("__row").agg(F.sum(F.col("k") * F.coalesce("nano", unseen)).alias("__nano"))
+    total = F.col("log_likelihood") + F.coalesce("__nano", F.lit(0)) / F.lit(1e9)
+    return scored.drop("__words", "__times").join(more, "__row", "left").select(
+        *passed, "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).otherwise(0.0).alias("mean_log_likelihood")
+    )

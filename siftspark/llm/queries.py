@@ -74,10 +74,12 @@ def op9_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftspark.llm import pseudo_lm
+    from siftspark.llm.store import materialize
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocab = pseudo_lm.vocabulary(docs)
-    return pseudo_lm.score(docs, vocab, pseudo_lm.train(docs, vocab)).drop("text")
+    counts = materialize(pseudo_lm.word_counts(docs), "lm-words")
+    vocab = pseudo_lm.vocabulary(docs, counts=counts)
+    return pseudo_lm.score(docs, vocab, pseudo_lm.train(docs, vocab), rare=pseudo_lm.rare_words(counts, vocab), keep_text=False)
 
 
 def queries() -> dict[str, Query]:

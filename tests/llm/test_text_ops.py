@@ -264,3 +264,29 @@ def test_pseudo_likelihood_trains_on_every_position(spark):
     ids = pseudo_lm.ids_of(" ".join(words), *vocab, net)
     lp = pseudo_lm.log_probs(pseudo_lm.contexts(ids, np.array([10]), net), ids[[10]], pseudo_lm.train(docs, vocab, net), net)
     assert lp[0] > -1.0
+
+
+def test_pseudo_likelihood_tells_rare_words_apart(spark):
+    net = pseudo_lm.Net(classes=2, members=4, rare=2)
+    common = "a b c d e f " * 40
+    texts = [common + " ".join(f"rare{chr(97 + i % 25)} often" for i in range(j, j + 9)) for j in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, "!!!")], "doc_id long, text string").repartition(3)
+    counts = pseudo_lm.word_counts(docs)
+    vocab, w = pseudo_lm.vocabulary(docs, net, counts), pseudo_lm.start(net)
+    rare = pseudo_lm.rare_words(counts, vocab, net)
+    new = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (900, None), (901, "!!!"), (902, "a madeup b")], "doc_id long, text string")
+    got = pseudo_lm.score(new, vocab, w, net, rare=rare, keep_text=False).collect()
+    times, bucket = {}, lambda word: int(kernel.word_hashes(word.encode())[0] % np.uint64(net.rare))
+    known = set(vocab[0].tolist())
+    israre = lambda word: int(kernel.word_hashes(word.encode())[0]) not in known
+    for t in texts:
+        for word in filter(israre, t.split()):
+            times[word] = times.get(word, 0) + 1
+    totals = [sum(k for x, k in times.items() if bucket(x) == b) for b in range(net.rare)]
+    assert len(got) == len(texts) + 4 and "text" not in got[0].asDict()
+    for r in got:
+        text = {900: "", 901: "", 902: "a madeup b"}.get(r["doc_id"]) if r["doc_id"] >= 900 else texts[r["doc_id"]]
+        n, want = pseudo_lm.score_text(text, vocab, w, net)
+        want += sum(np.log(times.get(x, 1) / (totals[bucket(x)] + 1)) for x in filter(israre, text.split()))
+        assert r["n_tokens"] == n and abs(r["log_likelihood"] - want) < 1e-3 and abs(r["mean_log_likelihood"] - want / max(n, 1)) < 1e-4
+    assert len({r["log_likelihood"] for r in got if r["doc_id"] == 0}) == 1
