@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,19 +31,19 @@ def trim_start(c: Column) -> Column:
 def explode_lines(captures: DataFrame, text: str = "text") -> DataFrame:
     """A row for each line, terminator included: ``line_no`` from 0, ``byte_start`` and ``byte_end``. A last line
     without a terminator counts; nothing follows a last terminator. The other columns stay. No shuffle: offsets are
-    running sums inside the row's own array."""
+    running sums inside the row's own array, over blocks of lines and then inside each, since a running sum copies its array
+    at each step."""
     rest = [c for c in captures.columns if c != text]
+    block = 512
     parts = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"([^\n]*\n|[^\n]+)"), F.lit(1))
-    ends = F.aggregate("__parts", F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.octet_length(p))))
-    long_ = captures.withColumn("__parts", parts)
-    lines = long_.where(F.size("__parts") <= 512).withColumn("__ends", ends).select(*rest, F.posexplode(F.arrays_zip(F.col("__parts").alias("p"), F.slice("__ends", F.lit(1), F.size("__parts")).alias("s"))).alias("line_no", "__x"))
-    short = lines.select(*rest, F.col("line_no").cast("long").alias("line_no"), F.col("__x.s").alias("byte_start"), (F.col("__x.s") + F.octet_length("__x.p")).alias("byte_end"), F.col("__x.p").alias("line"))
-    # a running sum over an array copies it at each step, so captures of many lines are summed by a window
-    many = long_.where(F.size("__parts") > 512).select(*rest, F.posexplode("__parts").alias("line_no", "line"), F.monotonically_increasing_id().alias("__row"))
-    end = F.sum(F.octet_length("line").cast("long")).over(W.partitionBy("__key").orderBy("line_no"))
-    key = F.xxhash64(*rest) if rest else F.lit(0)
-    wide = many.withColumn("__key", key).withColumn("__end", end).select(*rest, F.col("line_no").cast("long").alias("line_no"), (F.col("__end") - F.octet_length("line")).alias("byte_start"), F.col("__end").alias("byte_end"), "line")
-    return short.unionByName(wide)
+    starts = lambda sizes: F.slice(F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))), F.lit(1), F.size(sizes))
+    x = captures.withColumn("__parts", parts).withColumn("__sizes", F.transform("__parts", lambda p: F.octet_length(p).cast("long")))
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("__parts") - 1) / block).cast("int")))
+    x = x.withColumn("__blocks", F.transform(at, lambda i: F.slice("__sizes", i * block + 1, F.lit(block))))
+    x = x.withColumn("__firsts", starts(F.transform("__blocks", lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda acc, n: acc + n))))
+    x = x.withColumn("__starts", F.flatten(F.transform(F.arrays_zip("__blocks", "__firsts"), lambda z: F.transform(starts(z["__blocks"]), lambda s: s + z["__firsts"]))))
+    lines = x.select(*rest, F.posexplode(F.arrays_zip(F.col("__parts").alias("p"), F.col("__starts").alias("s"))).alias("line_no", "__x"))
+    return lines.select(*rest, F.col("line_no").cast("long").alias("line_no"), F.col("__x.s").alias("byte_start"), (F.col("__x.s") + F.octet_length("__x.p")).alias("byte_end"), F.col("__x.p").alias("line"))
 
 
 def template(c: Column) -> Column:

@@ -112,3 +112,18 @@ def test_long_captures_take_the_window_path(spark):
     text = "".join(f"line {i}\n" for i in range(700))
     got = X.explode_lines(captures(spark, text, "a\nb")).orderBy("capture_id", "line_no").collect()
     assert len(got) == 702 and got[0]["byte_start"] == 0 and got[699]["byte_end"] == len(text) and got[701]["line"] == "b"
+
+
+def test_offsets_of_long_captures_whose_rows_repeat(spark):
+    texts = ["".join(f"line {i} {'é' * (i % 3)}\n" for i in range(n)) for n in (0, 1, 511, 512, 513, 1024, 1025, 1300)] + ["a\nb", "x\n" * 1100 + "end"]
+    rows = [t for t in texts for _ in range(2)]
+    ids = spark.createDataFrame([(None, t) for t in rows], "capture_id string, text string").coalesce(1)
+    for df in (ids, ids.select("text")):
+        got = sorted((r["line_no"], r["byte_start"], r["byte_end"], r["line"]) for r in X.explode_lines(df).collect())
+        want, lines = [], [t.splitlines(keepends=True) for t in rows]
+        for parts in lines:
+            at = 0
+            for i, p in enumerate(parts):
+                want.append((i, at, at + len(p.encode()), p))
+                at += len(p.encode())
+        assert got == sorted(want)
