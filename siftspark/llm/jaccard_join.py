@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import kernel
@@ -65,18 +65,23 @@ def _bytes(text: str | None) -> bytes:
 
 
 def describe(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, class): the size and the hash of each document's set; null class for an empty set."""
+    """(doc_id, text_id, n_shingles, class): the size and the hash of each document's set; null class for an empty set.
+    ``text_id`` is the hash of the text itself, and with doc_id tells rows apart whose doc_id repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, ids = [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 s = kernel.shingles(_bytes(x.as_py()), width)
                 n.append(len(s))
                 ids.append(_set_id(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "text_id", "n_shingles", "class"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return docs.select(F.col("doc_id").cast("long"), _text_id().alias("text_id"), "text").mapInArrow(run, "doc_id long, text_id long, n_shingles long, class long")
+
+
+def _text_id() -> Column:
+    return F.xxhash64("text")
 
 
 _PACKED = "part int, classes binary, runs binary, low binary"
@@ -392,25 +397,32 @@ def class_links(docs: DataFrame, sizes: DataFrame, how: Join = Join()) -> tuple[
     return links, kept
 
 
-def near_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
+def _rooted(docs: DataFrame, how: Join) -> DataFrame:
+    """(doc_id, text_id, n_shingles, class, root) for every row; null root for an empty set."""
     sizes = materialize(describe(docs, how.width), "sets")
     links, used = class_links(docs, sizes, how)
     root = components(links, "near")
     discard(*used)
-    keyed = sizes.join(root.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return sizes.join(root.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def near_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
+    keyed = _rooted(docs, how)
     least = keyed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
     return keyed.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one with the smallest doc_id. Rows that repeat that
-    doc_id stay once; documents without words stay."""
+    """``docs`` with one document of each group of near copies: the one with the smallest doc_id, and of several texts with
+    that doc_id in the group one of the smallest (class, text_id). Rows that repeat its doc_id and text stay once; documents
+    without words or without a doc_id stay."""
     names = docs.columns
-    found = near_components(docs.select("doc_id", "text"), how)
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min("doc_id").alias("__keep")).select("__keep").where("__keep is not null")
-    full = docs.withColumn("__words", F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    found = _rooted(docs.select("doc_id", "text"), how).where("root is not null and doc_id is not null")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "class", "text_id")).alias("x")).select(F.col("x.doc_id").alias("__keep"), F.col("x.text_id").alias("__keep_text"))
+    full = docs.withColumn("__words", F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("__text", _text_id())
     blank = full.where(~F.coalesce("__words", F.lit(False)) | F.col("doc_id").isNull()).select(*names)
     with_words = full.where(F.coalesce("__words", F.lit(False)) & F.col("doc_id").isNotNull())
-    kept = with_words.join(first, with_words["doc_id"] == first["__keep"], "left_semi").dropDuplicates(["doc_id"]).select(*names)
+    same = (F.col("doc_id") == F.col("__keep")) & (F.col("__text") == F.col("__keep_text"))
+    kept = with_words.join(first, same, "left_semi").dropDuplicates(["doc_id", "__text"]).select(*names)
     return kept.unionByName(blank)

@@ -102,6 +102,14 @@ def test_near_duplicates_keep_one_and_blanks(spark):
     assert jaccard_join.keep_one(got.where("false")).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids_keep_one_of_each_group(spark):
+    one, two, three = "a b c d e f g h", "other words are here for sure", "and a third text that nothing else is like"
+    rows = [(1, one), (1, two), (1, three), (2, one), (7, three), (3, two), (1, one)]
+    for order in (rows, rows[::-1]):
+        got = jaccard_join.keep_one(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(1, one), (1, two), (1, three)])
+
+
 def test_components_of_paths_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
