@@ -5,9 +5,9 @@ A text is lower-cased (A-Z), stripped of ASCII punctuation and split into words.
 Windows of ``width`` words, ``stride`` apart, cover every word of every text and overlap; each is read in both directions,
 its states are pooled by attention, and the text's score is that of its most toxic window.
 
-Training is plain numpy, on the driver, from a bounded sample (``sample``: documented limits on labelled rows and text
-length) chosen by hash over the whole label table; scoring is one pass over the scan's own partitions, without a shuffle.
-A worker's memory is its word table (bounded), one batch of windows and the text at hand.
+Training is plain numpy, in one task of the cluster, from a bounded sample (``Training``: documented limits on labelled rows and
+text length) chosen by hash over the whole label table; the driver gets the weights. Scoring is one pass over the scan's own
+partitions, without a shuffle. A worker's memory is its word table (bounded), one batch of windows and the text at hand.
 
 Defined results: null and empty texts score like a window without words. Without labels of both kinds, every text scores the
 share of toxic labels, 0 where there are none. Repeated rows score alike. Conflicting labels of a document: toxic wins.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftspark.llm import kernel
+from siftspark.llm.sampling import fitted, least_hashed
 
 _DROP = bytes(c for c in range(33, 127) if not chr(c).isalpha())
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -173,38 +174,45 @@ def _start(shape: Shape, rng: np.random.Generator) -> dict[str, np.ndarray]:
     return w
 
 
-def _log_odds(docs: list[list[bytes]], labels: np.ndarray, shape: Shape, w: dict[str, np.ndarray]) -> None:
-    """Words seen in three texts or more begin with their log odds in the first dimension of both word tables."""
-    times: dict[bytes, list[int]] = {}
+def _log_odds(docs: list[np.ndarray], labels: np.ndarray, one: np.ndarray, two: np.ndarray, w: dict[str, np.ndarray]) -> None:
+    """Words (numbers from 1) seen in three texts or more begin with their log odds in the first dimension of both word tables."""
+    times = np.zeros((2, len(one) + 1), dtype=np.int32)
     for x, y in zip(docs, labels, strict=True):
-        for t in set(x):
-            times.setdefault(t, [0, 0])[int(y)] += 1
-    seen = sorted(t for t, n in times.items() if sum(n) >= 3)
-    if not seen:
-        return
-    n = np.array([times[t] for t in seen], dtype=float)
-    odds = np.log((n[:, 1] + 0.5) / (labels.sum() + 1)) - np.log((n[:, 0] + 0.5) / (len(labels) - labels.sum() + 1))
-    odds = np.clip(odds, -1, 4) * np.minimum(1, n.sum(axis=1) / 20)
-    one, two, _, _ = _hashed(seen, shape)
+        times[int(y), np.unique(x)] += 1
+    seen = np.flatnonzero(times[:, 1:].sum(axis=0) >= 3)
+    n = times[:, 1:][:, seen].astype(float)
+    odds = np.log((n[1] + 0.5) / (labels.sum() + 1)) - np.log((n[0] + 0.5) / (len(labels) - labels.sum() + 1))
+    odds = np.clip(odds, -1, 4) * np.minimum(1, n.sum(axis=0) / 20)
+    order = np.argsort(n.sum(axis=0), kind="stable")  # of words in one row the commonest stays
     for table, rows in (("e1", one), ("e2", two)):
-        order = np.argsort(n.sum(axis=1), kind="stable")  # of words in one row the commonest stays
-        w[table][rows[order], 0] = odds[order] / 2
+        w[table][rows[seen[order]], 0] = odds[order] / 2
 
 
-def train(texts: list[str], labels: list[int], shape: Shape = Shape(), how: Training = Training(), share: float | None = None) -> Model:
+def _numbered(texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Texts as numbers of their words, from 1 in the order of the bytes, and those words."""
+    first: dict[bytes, int] = {}
+    docs = [np.fromiter((first.setdefault(t, len(first)) for t in words_of(text)), np.int32) for text in texts]
+    names = sorted(first)
+    rank = np.empty(len(names), np.int32)
+    rank[[first[t] for t in names]] = np.arange(1, len(names) + 1, dtype=np.int32)
+    return [rank[x] for x in docs], names
+
+
+def train(texts: list[str | None], labels: list[int], shape: Shape = Shape(), how: Training = Training(), share: float | None = None) -> Model:
     """A model from labelled texts. ``share``: that of toxic rows among all labels, where the sample has another one; the
-    last bias is moved by the difference of the log odds."""
+    last bias is moved by the difference of the log odds.
+
+    Texts are held as word numbers (4 bytes) and windows as starts and sizes; what a batch needs is built for that batch."""
     y = np.array(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return Model(shape, float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(how.seed)
-    docs = [words_of(t) for t in texts]
+    docs, vocabulary = _numbered(texts)
     w = _start(shape, rng)
-    _log_odds(docs, y, shape, w)
-    vocabulary = sorted({t for x in docs for t in x})
-    number = {t: i + 1 for i, t in enumerate(vocabulary)}
-    one, two, rows, at = _hashed(vocabulary, shape) if vocabulary else (np.empty(0, np.int64),) * 4
-    lens = np.diff(np.append(at, len(rows)))
+    one, two, rows, at = (x.astype(np.int32) for x in _hashed(vocabulary, shape)) if vocabulary else (np.empty(0, np.int32),) * 4
+    lens = np.diff(np.append(at, len(rows))).astype(np.int32)
+    del vocabulary
+    _log_odds(docs, y, one, two, w)
 
     def grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Trigram rows of some words of the vocabulary, end to end, and where each word's begin."""
@@ -212,54 +220,71 @@ def train(texts: list[str], labels: list[int], shape: Shape = Shape(), how: Trai
         start = np.cumsum(n) - n
         return rows[np.arange(n.sum()) + np.repeat(at[words] - start, n)], start
 
-    windows, owner = [], []
-    for i, x in enumerate(docs):
-        ids = [number[t] for t in x]
-        for s in window_starts(len(ids), shape):
-            windows.append(ids[s : s + shape.width])
-            owner.append(i)
-    owner_ = np.array(owner)
-    size = np.array([len(x) for x in windows])
-    grid = np.zeros((len(windows), shape.width), dtype=np.int64)
-    for i, x in enumerate(windows):
-        grid[i, : len(x)] = x
+    def vectors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of some words of the vocabulary, and their trigram rows."""
+        r, a = grams(words)
+        chars = np.add.reduceat(w["c"][r], a, axis=0) / lens[words].astype(np.float32)[:, None]
+        return np.hstack([w["e1"][one[words]] + w["e2"][two[words]], chars]).astype(np.float32, copy=False), r
+
+    starts = [np.asarray(window_starts(len(x), shape), dtype=np.int32) for x in docs]
+    count = [len(x) for x in starts]
+    ends = np.cumsum([len(x) for x in docs])
+    owner_ = np.repeat(np.arange(len(docs), dtype=np.int32), count)
+    inner = np.concatenate(starts)
+    base = inner + np.repeat(ends - [len(x) for x in docs], count)
+    size = np.minimum(np.repeat([len(x) for x in docs], count) - inner, shape.width).astype(np.int32)
+    flat = np.append(np.concatenate(docs), np.zeros(shape.width, np.int32))
+    del docs, starts, inner
+
+    def grid(pick: np.ndarray | slice) -> np.ndarray:
+        """Word numbers of some windows, 0 beyond their ends."""
+        cells = np.arange(shape.width)
+        return np.where(cells < size[pick][:, None], flat[base[pick][:, None] + cells], 0)
+
     dense = ("wx", "bx", "uf", "ub", "wa", "va", "wo", "bo")
     moment = {k: (np.zeros_like(w[k]), np.zeros_like(w[k])) for k in dense}
     square = {k: np.full(len(w[k]), 1e-6, np.float32) for k in ("e1", "e2", "c")}
     tick = 0
 
-    def table() -> np.ndarray:
-        x = np.hstack([w["e1"][one] + w["e2"][two], np.add.reduceat(w["c"][rows], at, axis=0) / lens[:, None]]) if len(one) else np.zeros((0, shape.word_dim + shape.char_dim))
-        return np.vstack([np.zeros((1, x.shape[1])), x]).astype(np.float32)
+    def projected() -> np.ndarray:
+        """Input parts of all words, row 0 for none."""
+        out = np.empty((len(one) + 1, 6 * shape.hidden), np.float32)
+        out[0] = w["bx"]
+        for i in range(0, len(one), 8192):
+            out[i + 1 : i + 8193] = vectors(np.arange(i, min(i + 8192, len(one))))[0] @ w["wx"] + w["bx"]
+        return out
 
     for epoch in range(max(how.epochs, how.steps)):
         if epoch >= how.epochs and tick >= how.steps:
             break
-        x = table()
+        logit = np.empty(len(base), np.float32)
         if epoch:
-            proj = x @ w["wx"] + w["bx"]
-            logit = np.concatenate([_logits(proj, grid[i : i + 4096], size[i : i + 4096], w, shape) for i in range(0, len(grid), 4096)])
+            proj = projected()
+            for i in range(0, len(base), 512):
+                logit[i : i + 512] = _logits(proj, grid(slice(i, i + 512)), size[i : i + 512], w, shape)
+            del proj
         else:  # before any step, a window is as toxic as its most telling word
-            logit = x[grid, 0].max(axis=1)
+            telling = np.append(np.float32(0), w["e1"][one, 0] + w["e2"][two, 0])
+            for i in range(0, len(base), 4096):
+                logit[i : i + 4096] = telling[grid(slice(i, i + 4096))].max(axis=1)
         order = np.lexsort((-logit, owner_))
         top = order[np.concatenate([[True], owner_[order][1:] != owner_[order][:-1]])]
         hits = top[y[owner_[top]] == 1]
         doubted = hits[np.argsort(logit[hits], kind="stable")][: int(how.trimmed * len(hits))]
         top = np.setdiff1d(top, doubted) if epoch else top
         others = np.flatnonzero(y[owner_] == 0)
-        chosen = np.concatenate([top, rng.choice(others, min(len(others), len(docs)), replace=False)])
+        chosen = np.concatenate([top, rng.choice(others, min(len(others), len(y)), replace=False)])
         rng.shuffle(chosen)
         for s in range(0, len(chosen), how.batch):
             pick = chosen[s : s + how.batch]
             pick = pick[np.argsort(-size[pick], kind="stable")]
-            ids = grid[pick]
+            ids = grid(pick)
             used, back = np.unique(ids, return_inverse=True)
             back = back.reshape(ids.shape).T
             real = used[used > 0] - 1
-            vec = np.zeros((len(used), x.shape[1]), np.float32)
+            vec = np.zeros((len(used), shape.word_dim + shape.char_dim), np.float32)
             if len(real):
-                r, a = grams(real)
-                vec[used > 0] = np.hstack([w["e1"][one[real]] + w["e2"][two[real]], np.add.reduceat(w["c"][r], a, axis=0) / lens[real][:, None]])
+                vec[used > 0], r = vectors(real)
             proj = (vec @ w["wx"] + w["bx"])[back]
             out, tape = forward(proj, size[pick], w, shape, keep=True)
             d = ((_sigmoid(out) - y[owner_[pick]]) / len(pick)).astype(np.float32)
@@ -276,7 +301,7 @@ def train(texts: list[str], labels: list[int], shape: Shape = Shape(), how: Trai
             if len(real):
                 dw = dvec[used > 0]
                 n = lens[real]
-                for k, to, by in (("e1", one[real], dw[:, : shape.word_dim]), ("e2", two[real], dw[:, : shape.word_dim]), ("c", r, np.repeat(dw[:, shape.word_dim :] / n[:, None], n, axis=0))):
+                for k, to, by in (("e1", one[real], dw[:, : shape.word_dim]), ("e2", two[real], dw[:, : shape.word_dim]), ("c", r, np.repeat(dw[:, shape.word_dim :] / n.astype(np.float32)[:, None], n, axis=0))):
                     rows_, total = _gathered(to, by)
                     square[k][rows_] += (total**2).mean(axis=1)
                     w[k][rows_] -= how.rate * total / np.sqrt(square[k][rows_])[:, None]
@@ -372,15 +397,28 @@ def fold(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, shape: Shape = Shape(), how: Training = Training()) -> Model:
     """Learn from labelled rows: of each label those with the least hash of doc_id, up to the bound. Only their ids (at
-    most positives + negatives) are broadcast to the scan of the texts, and only their texts reach the driver."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = pick(1, how.positives).unionByName(pick(0, how.negatives))
+    most positives + negatives) reach the driver and are broadcast to the scan of the texts; their texts go to the task that trains."""
+    spark = docs.sparkSession
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    chosen = [(k, y) for y, most in ((1, how.positives), (0, how.negatives)) if counts.get(y) for _, k in least_hashed(known.where(F.col("toxic") == y), F.xxhash64("doc_id"), "doc_id", most, counts[y])]
+    if not chosen:
+        return train([], [], shape, how)
     texts = docs.where(F.octet_length("text") <= how.text_bytes).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows], shape, how, share)
+    sample = texts.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int")), "doc_id")
+    share = counts.get(1, 0) / total
+
+    def learn(rows: list[dict]) -> Model:
+        least: dict[int, tuple[str, int]] = {}  # of several texts of a doc_id the least
+        for r in rows:
+            if r["doc_id"] not in least or r["text"] < least[r["doc_id"]][0]:
+                least[r["doc_id"]] = (r["text"], r["toxic"])
+        order = [least[i] for i in sorted(least)]
+        rows.clear()
+        return train([t for t, _ in order], [y for _, y in order], shape, how, share)
+
+    return fitted(sample, learn)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:

@@ -6,10 +6,13 @@ the share of good texts. The posterior of a text's pattern is its label. Posteri
 word shapes, character classes; logistic loss in numpy), which judges every text.
 
 Patterns are at most 3 ** labellers, whatever the corpus, so their counts can be collected. The scorer is fitted on a bounded sample
-(``Fit.rows`` rows with the least hash, texts up to ``Fit.text_bytes``); votes, counts, posteriors and scores cover all texts.
+(``Fit.rows`` rows with the least hash; of them, texts over ``Fit.text_bytes`` are left out), in one task; the driver gets keys and
+weights. Votes, counts, posteriors and scores cover all texts.
 
-Defined results: null and empty texts get votes like any text (too short), a posterior and a score. Repeated rows are alike. An
-empty table gives an empty result. Where only one kind is seen the scorer gives the posterior's mean. Other columns pass through.
+Defined results: null and empty texts get votes like any text (too short), a posterior and a score. Repeated rows are alike, and
+count once in the sample. Ties of the hash go by doc_id. An empty table gives an empty result. Where only one kind is seen the
+scorer gives the posterior's mean. ``label`` passes other columns through and replaces one named like its own, in any case of
+letters; ``judge`` reads doc_id and text and returns its own columns only.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftspark.llm import kernel
+from siftspark.llm.sampling import fitted, least_hashed
 
 GOOD, BAD, ABSTAIN = "g", "b", "-"
 _UPPER, _LETTER, _DIGIT, _SYMBOL, _HIGH = (np.zeros(256, dtype=bool) for _ in range(5))
@@ -155,7 +159,7 @@ def fit(texts: list[bytes], labels: list[float], how: Fit = Fit()) -> tuple[np.n
 
 def label(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``votes``, one letter for each labeller."""
-    kept = [f for f in docs.schema.fields if f.name != "votes"]
+    kept = [f for f in docs.schema.fields if f.name.lower() != "votes"]
     passed = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,13 +170,26 @@ def label(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*kept, T.StructField("votes", T.StringType())]))
 
 
+def _scorer(docs: DataFrame, total: int, posterior: dict[str, float], share: float, how: Fit) -> tuple[np.ndarray, float]:
+    """The scorer fitted to the sample: keys are chosen from hashes alone, then only their texts are fetched."""
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("k"), "text")
+    chosen = least_hashed(keyed, F.col("h"), "k", how.rows, total)
+    if not chosen:
+        return fit([], [], how)
+    sample = keyed.where(F.octet_length("text") <= how.text_bytes).join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "h long, k long")), ["h", "k"])
+
+    def learn(rows: list[dict]) -> tuple[np.ndarray, float]:
+        texts = [t.encode("utf-8", "surrogatepass") for _, t in sorted({(r["h"], r["text"]) for r in rows})]
+        return fit(texts, [posterior.get(votes(t), share) for t in texts], how)
+
+    return fitted(sample, learn)
+
+
 def judge(docs: DataFrame, how: Fit = Fit(), least: float = 0.5) -> DataFrame:
     """(doc_id, votes, posterior, score, kept) of each row of ``docs(doc_id, text)``."""
     counts = {r["votes"]: r["n"] for r in label(docs.select("text")).drop("text").groupBy("votes").agg(F.count("*").alias("n")).collect()}
     posterior, share, _ = estimate(counts, how)
-    pick = docs.where(F.octet_length("text") <= how.text_bytes).orderBy(F.xxhash64("doc_id", "text"), "doc_id").select("text").limit(how.rows)
-    texts = sorted(r["text"].encode("utf-8", "surrogatepass") for r in pick.collect())
-    w, b = fit(texts, [posterior.get(votes(t), share) for t in texts], how)
+    w, b = _scorer(docs, sum(counts.values()), posterior, share, how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
