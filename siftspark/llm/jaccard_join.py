@@ -2,9 +2,12 @@
 
 A document is the set of its distinct five-word shingles. Two documents link when 100 * |A and B| >= 80 * |A or B|.
 
-1. Equal sets are one *class*, named by a 64-bit hash of the set. Everything below works on classes.
-2. Lengths of the inverted lists. Shingle hashes travel in packed blocks, dealt by hash range, so a frequent shingle weighs
-   no more than its postings. A shingle that only one class has can't be shared and goes no further.
+1. Equal texts meet first and go on once. Texts are taken in blocks of some millions of shingles; a text is a two-byte number in
+   its block. Equal sets are one *class*, named by a 64-bit hash of the set; one text of a class is searched for all.
+2. Lengths of the inverted lists. A block's shingle hashes are sorted, and those of a hash range travel together as differences of
+   six bytes with the text's number: eight bytes a posting, however many ranges there are. A shingle that several texts of a block
+   have sends one posting with their count, so a shingle of a third of all texts weighs a posting a block. Ranges add the counts up,
+   and send the length of each list back to the blocks on it. A shingle that only one text has can't be shared and goes no further.
 3. A class of n shingles needs T = ceil(0.8 n) of them in any partner, whatever the partner's size. With fewer than T shared
    shingles it has no partner. The rest keep their shared shingles, shortest list first; all lists but the last T - 1 are
    *short*: a partner is on at least one.
@@ -19,6 +22,9 @@ A document is the set of its distinct five-word shingles. Two documents link whe
 
 Results are whole: no list, bucket or partner is capped. Links and components stay distributed.
 
+A posting is eight bytes at every size, but a block and a range meet in a row of its own: n shingles make (n / 2e6) * (n / 4e6) rows at
+most, few against n up to some 1e13.
+
 Defined results: a null or wordless text has no shingles, links with nothing and is its own component; a text of one to four
 words is one shingle. Repeated texts share a component. A null doc_id keeps its row, and is left out when the smallest id of
 a component is sought. Other columns aren't read. An empty table gives an empty result.
@@ -40,6 +46,7 @@ from pyspark.sql import functions as F
 
 from siftspark.llm import kernel
 from siftspark.llm.graph import components
+from siftspark.llm.joins import skew_join
 from siftspark.llm.store import discard, materialize
 
 
@@ -48,8 +55,8 @@ class Join:
     width: int = 5
     numerator: int = 80
     denominator: int = 100
-    #: shingles in one packed block of the first stage, and in one partition of the second
-    block_tokens: int = 500_000
+    #: shingles in one block of texts, and in one range of hashes
+    block_tokens: int = 2_000_000
     part_tokens: int = 4_000_000
     #: a block with more classes or shingles is thinned and cut into chunks
     block_classes: int = 1000
@@ -64,148 +71,190 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def describe(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, text_id, n_shingles, class): the size and the hash of each document's set; null class for an empty set.
-    ``text_id`` is the hash of the text itself, and with doc_id tells rows apart whose doc_id repeats."""
+def _text_id() -> list[Column]:
+    """A text's name: 96 bits of hashes."""
+    return [F.xxhash64("text").alias("text_id"), F.hash("text").alias("text_id2")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, ids = [], []
-            for x in batch.column(2):
-                s = kernel.shingles(_bytes(x.as_py()), width)
-                n.append(len(s))
-                ids.append(_set_id(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "text_id", "n_shingles", "class"])
 
-    return docs.select(F.col("doc_id").cast("long"), _text_id().alias("text_id"), "text").mapInArrow(run, "doc_id long, text_id long, n_shingles long, class long")
+#: range -1 - x stands for what goes past the ranges to block x's own place: the texts of a block and its repeated shingles
+_PACKED = "part int, block long, kind byte, width int, low binary, ords binary, counts binary"
+_TEXTS, _HELD, _POSTS = 0, 1, 2
+_MANY = 0xFFFF
+
+
+def part_of(tokens: np.ndarray, parts: int) -> np.ndarray:
+    return ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
 
+def part_start(part: int, parts: int) -> int:
+    """The least hash of a range."""
+    return -(-(part << 32) // parts) << 32
 
-def _text_id() -> Column:
-    return F.xxhash64("text")
 
+def pack(tokens: np.ndarray, start: int) -> tuple[int, bytes]:
+    """Ascending hashes as differences from the one before, in as few bytes as the largest takes, six at least."""
+    steps = np.diff(tokens, prepend=np.uint64(start))
+    most = int(steps.max()) if len(steps) else 0
+    width = max(6, (most.bit_length() + 7) // 8)
+    return width, steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-_PACKED = "part int, classes binary, runs binary, low binary"
 
+def unpack(low: bytes, width: int, start: int) -> np.ndarray:
+    steps = np.zeros((len(low) // width, 8), dtype=np.uint8)
+    steps[:, :width] = np.frombuffer(low, np.uint8).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(start)
 
-def _packed(docs: DataFrame, parts: int, how: Join) -> DataFrame:
-    """Blocks of shingle hashes by hash range: for each class the length of its run and the hashes' low 48 bits.
-    A hash's high 16 bits give the part. 16 bits and 48 bits together are the hash, up to what parts leave open."""
 
-    def flush(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
+def _packed(texts: DataFrame, parts: int, homes: int, how: Join) -> DataFrame:
+    """Blocks of texts. A block sends its postings to the ranges of their hashes, and to its home (one of ``homes`` numbers from
+    -1 down) the names, classes and sizes of its texts, and the members of each shingle that several of them have."""
+
+    def flush(names: list[tuple], sets: list[np.ndarray]) -> Iterator[tuple]:
+        block = names[0][0]
+        home = -1 - block % homes
+        table = np.array([(t, u, c, len(s)) for (t, u, c), s in zip(names, sets, strict=True)], dtype=np.int64)
+        yield home, block, _TEXTS, 0, table.tobytes(), b"", b""
         tokens = np.concatenate(sets)
-        lens = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(ids)), lens)
-        part = (((tokens >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)).astype(np.uint16)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        names = np.array(ids, dtype=np.int64)
-        for p in range(parts):
-            at = order[cuts[p] : cuts[p + 1]]
-            if len(at):
-                who, runs = np.unique(owner[at], return_counts=True)
-                low = tokens[at].view(np.uint8).reshape(-1, 8)[:, :6]
-                yield p, names[who].tobytes(), runs.astype(np.int32).tobytes(), low.tobytes()
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+        by = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[by], owner[by]
+        del by
+        head = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        times = np.diff(np.append(head, len(tokens)))
+        many = times > 1
+        if many.any():
+            members = owner[np.repeat(many, times)]
+            yield home, block, _HELD, 8, tokens[head[many]].tobytes(), members.tobytes(), times[many].astype(np.int32).tobytes()
+        ords = np.where(many, _MANY, owner[head]).astype(np.uint16)
+        tokens = tokens[head]
+        cuts = np.searchsorted(part_of(tokens, parts), np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            at = slice(cuts[p], cuts[p + 1])
+            width, low = pack(tokens[at], part_start(p, parts))
+            yield p, block, _POSTS, width, low, ords[at].tobytes(), times[at][many[at]].astype(np.int32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
+        names: list[tuple[int, int, int]] = []
         sets: list[np.ndarray] = []
-        seen: set[int] = set()
         total = 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            rows = list(flush(ids, sets)) if ids else []
-            for i in range(0, len(rows), 64):
-                cols = list(zip(*rows[i : i + 64], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "classes", "runs", "low"])
-            ids.clear()
+            held: list[tuple] = []
+            weight = 0
+            for row in flush(names, sets) if names else ():
+                held.append(row)
+                weight += len(row[4])
+                if len(held) >= 256 or weight > 1 << 22:
+                    yield _batch(held)
+                    held, weight = [], 0
+            if held:
+                yield _batch(held)
+            names.clear()
             sets.clear()
-            seen.clear()
 
         for batch in batches:
-            for x in batch.column(0):
+            for t, u, x in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
                 s = kernel.shingles(_bytes(x.as_py()), how.width)
-                if len(s) and (k := _set_id(s)) not in seen:
-                    seen.add(k)
-                    ids.append(k)
-                    sets.append(s)
-                    total += len(s)
-                    if total >= how.block_tokens:
-                        yield from emit()
-                        total = 0
+                if not len(s):
+                    continue
+                names.append((t, u, _set_id(s)))
+                sets.append(s)
+                total += len(s)
+                if total >= how.block_tokens or len(sets) >= _MANY:
+                    yield from emit()
+                    total = 0
         yield from emit()
 
-    return docs.select("text").mapInArrow(run, _PACKED)
+    return texts.select("text_id", "text_id2", "text").mapInArrow(run, _PACKED)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    kinds = (pa.int32(), pa.int64(), pa.int8(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "block", "kind", "width", "low", "ords", "counts"])
+
+
+_LISTS = "block long, kind byte, tokens binary, ords binary, lengths binary"
 
 
-def _shared(packed: DataFrame, parts: int, groups: int, how: Join) -> DataFrame:
-    """Lists of two classes or more, dealt back by class."""
+def _lists(packed: DataFrame, parts: int, homes: int) -> DataFrame:
+    """For each block: its texts, its repeated shingles, and of each range the shared shingles with the lengths of their lists."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        classes = np.frombuffer(b"".join(pdf["classes"]), np.int64)
-        runs = np.frombuffer(b"".join(pdf["runs"]), np.int32)
-        low = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, 6)
-        tokens = np.zeros((len(low), 8), dtype=np.uint8)
-        tokens[:, :6] = low
-        tokens = tokens.view(np.uint64).ravel()
-        del low
-        _, first = np.unique(classes, return_index=True)
-        whole = np.zeros(len(classes), dtype=bool)
-        whole[first] = True  # a class met in several blocks counts once
-        owner = np.repeat(np.arange(len(classes), dtype=np.int32), runs)
-        if not whole.all():
-            use = whole[owner]
-            tokens, owner = tokens[use], owner[use]
-            del use
-        order = np.argsort(tokens, kind="stable").astype(np.int32)
-        tokens, owner = tokens[order], owner[order]
-        del order
-        head = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, np.int64)
-        length = np.diff(np.append(head, len(tokens))).astype(np.int32)
-        times = np.repeat(length, length)
-        live = times > 1
-        tokens, owner, times = tokens[live], owner[live], times[live]
-        del live
-        tokens = tokens | (np.uint64(int(pdf["part"].iloc[0])) << np.uint64(48))
-        out = []
-        if len(tokens):
-            back = np.argsort(owner, kind="stable")
-            tokens, owner, times = tokens[back], owner[back], times[back]
-            who, start, n = np.unique(owner, return_index=True, return_counts=True)
-            to = np.mod(classes[who], groups)
-            for g in np.unique(to):
-                pick = np.flatnonzero(to == g)
-                at = np.concatenate([np.arange(start[i], start[i] + n[i]) for i in pick])
-                out.append((int(g), classes[who[pick]].tobytes(), n[pick].astype(np.int32).tobytes(), tokens[at].tobytes(), np.minimum(times[at], 2**31 - 1).astype(np.int32).tobytes()))
-        return pd.DataFrame(out, columns=["grp", "classes", "runs", "tokens", "lengths"])
+        part = int(pdf["part"].iloc[0])
+        if part < 0:
+            return pd.DataFrame({"block": pdf["block"], "kind": pdf["kind"], "tokens": pdf["low"], "ords": pdf["ords"], "lengths": pdf["counts"]})
+        start = part_start(part, parts)
+        blocks = pdf["block"].to_numpy()
+        size = (pdf["low"].str.len() // pdf["width"]).to_numpy()
+        tokens = np.concatenate([unpack(x, k, start) for x, k in zip(pdf["low"], pdf["width"], strict=True)])
+        ords = np.frombuffer(b"".join(pdf["ords"]), np.uint16)
+        counts = np.frombuffer(b"".join(pdf["counts"]), np.int32)
+        del pdf
+        weight = np.ones(len(tokens), dtype=np.int32)
+        weight[ords == _MANY] = counts
+        row = np.repeat(np.arange(len(blocks), dtype=np.int32), size)
+        by = np.argsort(tokens, kind="stable")
+        tokens, ords, weight, row = tokens[by], ords[by], weight[by], row[by]
+        del by
+        head = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        length = np.add.reduceat(weight.astype(np.int64), head)
+        length = np.repeat(length, np.diff(np.append(head, len(tokens))))
+        live = np.flatnonzero(length > 1)
+        live = live[np.argsort(row[live], kind="stable")]
+        cuts = np.searchsorted(row[live], np.arange(len(blocks) + 1))
+        out = [(int(blocks[i]), _POSTS, tokens[at].tobytes(), ords[at].tobytes(), np.minimum(length[at], 2**31 - 1).astype(np.int32).tobytes()) for i in np.flatnonzero(np.diff(cuts)).tolist() for at in (live[cuts[i] : cuts[i + 1]],)]
+        return pd.DataFrame(out, columns=["block", "kind", "tokens", "ords", "lengths"])
+
+    return packed.repartition(parts + homes, "part").groupBy("part").applyInPandas(run, _LISTS)
+
+
+def _members(lists: DataFrame) -> DataFrame:
+    """(block, ord, text_id, text_id2, class, n_shingles) of each text with a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(raw, np.int64).reshape(-1, 4)
+                for i in range(0, len(x), 10_000):
+                    y = x[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), block)), pa.array(np.arange(i, i + len(y), dtype=np.int32)), pa.array(y[:, 0]), pa.array(y[:, 1].astype(np.int32)), pa.array(y[:, 2]), pa.array(y[:, 3])], names=["block", "ord", "text_id", "text_id2", "class", "n_shingles"])
 
-    return packed.repartition(parts, "part").groupBy("part").applyInPandas(run, "grp int, classes binary, runs binary, tokens binary, lengths binary")
+    return lists.where(F.col("kind") == _TEXTS).select("block", "tokens").mapInArrow(run, "block long, ord int, text_id long, text_id2 int, class long, n_shingles long")
 
 
-def _searchable(shared: DataFrame, sizes: DataFrame, groups: int, how: Join) -> DataFrame:
+def _searchable(lists: DataFrame, members: DataFrame, how: Join) -> DataFrame:
     """(class, n, tokens, short): classes with at least T shared shingles, shortest list first; ``short`` lists suffice."""
 
-    def run(pdf: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
-        classes = np.frombuffer(b"".join(pdf["classes"]), np.int64)
-        runs = np.frombuffer(b"".join(pdf["runs"]), np.int32)
-        tokens = np.frombuffer(b"".join(pdf["tokens"]), np.int64)
-        length = np.frombuffer(b"".join(pdf["lengths"]), np.int32)
-        names, back = np.unique(classes, return_inverse=True)
-        if not len(names):
-            return pd.DataFrame([], columns=["class", "n", "tokens", "short"])
-        of = of.sort_values("class")
-        n = of["n"].to_numpy()[np.searchsorted(of["class"].to_numpy(), names)]
-        held = np.bincount(back, weights=runs, minlength=len(names)).astype(np.int64)
-        least = -(-n * how.numerator // how.denominator)
-        live = np.repeat((held >= least)[back], runs)
-        tokens, length, owner = tokens[live], length[live], np.repeat(back, runs)[live]
-        order = np.lexsort((tokens, length, owner))
-        tokens, alive = tokens[order], np.flatnonzero(held >= least)
-        ends = np.cumsum(held[alive])
-        rows = [(int(names[i]), int(n[i]), tokens[e - held[i] : e], int(held[i] - least[i] + 1)) for i, e in zip(alive, ends, strict=True)]
-        return pd.DataFrame(rows, columns=["class", "n", "tokens", "short"])
-
-    n = sizes.where("class is not null").groupBy("class").agg(F.max("n_shingles").alias("n")).withColumn("grp", F.pmod("class", F.lit(groups)).cast("int"))
-    return shared.groupBy("grp").cogroup(n.groupBy("grp")).applyInPandas(run, "class long, n long, tokens array<long>, short int")
+    def run(key: tuple, pdf: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame([], columns=["class", "n", "tokens", "short"])
+        posts, held = pdf[pdf["kind"] == _POSTS], pdf[pdf["kind"] == _HELD]
+        if not len(posts) or not len(of):
+            return empty
+        tokens, ords, length = (np.frombuffer(b"".join(posts[c]), t) for c, t in (("tokens", np.uint64), ("ords", np.uint16), ("lengths", np.int32)))
+        del posts
+        if len(held):  # members of the block's repeated shingles, with the lengths that came back for these
+            of_many = np.flatnonzero(ords == _MANY)
+            of_many = of_many[np.argsort(tokens[of_many])]
+            times = np.frombuffer(b"".join(held["lengths"]), np.int32)
+            alone = ords != _MANY
+            tokens = np.concatenate([tokens[alone], np.repeat(tokens[of_many], times)])
+            length = np.concatenate([length[alone], np.repeat(length[of_many], times)])
+            ords = np.concatenate([ords[alone], np.frombuffer(b"".join(held["ords"]), np.uint16)])
+        names, sizes = np.zeros(_MANY + 1, np.int64), np.full(_MANY + 1, -1, np.int64)
+        names[of["ord"]], sizes[of["ord"]] = of["class"], of["n_shingles"]
+        least = -(-sizes * how.numerator // how.denominator)
+        shared = np.bincount(ords, minlength=_MANY + 1)
+        fit = (sizes >= 0) & (shared >= least)
+        use = np.flatnonzero(fit[ords])
+        use = use[np.lexsort((tokens[use], length[use], ords[use]))]
+        alive = np.flatnonzero(fit)
+        ends, sorted_ = np.cumsum(shared[alive]), tokens[use].view(np.int64)
+        rows = [(int(names[i]), int(sizes[i]), sorted_[e - shared[i] : e], int(shared[i] - least[i] + 1)) for i, e in zip(alive, ends, strict=True)]
+        return pd.DataFrame(rows, columns=["class", "n", "tokens", "short"]) if rows else empty
+
+    first = members.groupBy("class").agg(F.min(F.struct("block", "ord", "n_shingles")).alias("x")).select(F.col("x.block").alias("block"), F.col("x.ord").alias("ord"), F.col("x.n_shingles").alias("n_shingles"), "class")
+    return lists.where(F.col("kind") != _TEXTS).groupBy("block").cogroup(first.groupBy("block")).applyInPandas(run, "class long, n long, tokens array<long>, short int")
 
 
 def heap_merge(lists: list[list[int]], least: int) -> dict[int, int]:
@@ -369,14 +418,25 @@ def _links_of_large(big: DataFrame, edges: DataFrame, how: Join) -> tuple[DataFr
     return hub.unionByName(found), [hub, parts, labels, open_]
 
 
-def class_links(docs: DataFrame, sizes: DataFrame, how: Join = Join()) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b): links between classes that give every component, and the tables they are read from."""
+def _prepared(docs: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
+    """(lists, members) of the texts of ``docs``; ``lists`` is written."""
     spark = docs.sparkSession
-    total = sizes.where("class is not null").agg(F.sum("n_shingles")).first()[0] or 0
-    parts = int(min(60_000, max(4, total // how.part_tokens + 1)))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(parts // 2, min(shuffles, 64), 1)
-    searchable = materialize(_searchable(_shared(_packed(docs, parts, how), parts, groups, how), sizes, groups, how), "searchable")
+    texts = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*_text_id(), "text")
+    # bytes over five are words at most; only sizes of ranges follow from it
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(max(4, size // 5 // how.part_tokens + 1))
+    homes = max(1, min(shuffles, parts))
+    once = texts.groupBy("text_id", "text_id2").agg(F.first("text").alias("text")).sortWithinPartitions("text_id", "text_id2")
+    lists = materialize(_lists(_packed(once, parts, homes, how), parts, homes), "lists")
+    return lists, _members(lists)
+
+
+def class_links(lists: DataFrame, members: DataFrame, how: Join = Join()) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): links between classes that give every component, and the tables they are read from."""
+    spark = lists.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    searchable = materialize(_searchable(lists, members, how), "searchable")
     posts = searchable.select("class", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))
     heads = posts.groupBy("token").agg(F.min("class").alias("head"), F.count("*").alias("k")).where("k > 1").select("token", "head")
     edges = materialize(posts.join(heads, "token").where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct(), "edges")
@@ -398,31 +458,45 @@ def class_links(docs: DataFrame, sizes: DataFrame, how: Join = Join()) -> tuple[
 
 
 def _rooted(docs: DataFrame, how: Join) -> DataFrame:
-    """(doc_id, text_id, n_shingles, class, root) for every row; null root for an empty set."""
-    sizes = materialize(describe(docs, how.width), "sets")
-    links, used = class_links(docs, sizes, how)
+    """(doc_id, text_id, text_id2, n_shingles, class, root) for every row; null class and root for an empty set."""
+    lists, found = _prepared(docs, how)
+    members = materialize(found.select("block", "ord", "text_id", "text_id2", "class", "n_shingles"), "members")
+    links, used = class_links(lists, members, how)
     root = components(links, "near")
-    discard(*used)
-    return sizes.join(root.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    discard(lists, *used)
+    texts = members.join(root.select(F.col("node").alias("class"), "root"), "class", "left").select("text_id", "text_id2", F.struct("n_shingles", "class", F.coalesce("root", "class").alias("root")).alias("x"))
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_id()), "names")
+    by_name = skew_join(rows.withColumn("name", F.struct("text_id", "text_id2")), texts.select(F.struct("text_id", "text_id2").alias("name"), "x"), "name", "x")
+    return materialize(by_name.select("doc_id", "text_id", "text_id2", F.coalesce("x.n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.col("x.class").alias("class"), F.col("x.root").alias("root")), "rooted")
 
 
 def near_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
     keyed = _rooted(docs, how)
     least = keyed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
-    return keyed.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+    return skew_join(keyed.select("doc_id", "n_shingles", "root"), least, "root", "first").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+
+
+def _unused(names: list[str], like: str) -> str:
+    """A column name that no column has in any case of letters."""
+    taken = {n.lower() for n in names}
+    while like in taken:
+        like += "_"
+    return like
 
 
 def keep_one(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id, and of several texts with
-    that doc_id in the group one of the smallest (class, text_id). Rows that repeat its doc_id and text stay once; documents
-    without words or without a doc_id stay."""
+    that doc_id in the group one of the smallest (class, name of the text). Rows that repeat its doc_id and text stay once; documents
+    without words or without a doc_id stay. Other columns pass through, whatever their names."""
     names = docs.columns
+    keep, text, text2 = (_unused(names, x) for x in ("keep", "keep_text", "keep_text2"))
     found = _rooted(docs.select("doc_id", "text"), how).where("root is not null and doc_id is not null")
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "class", "text_id")).alias("x")).select(F.col("x.doc_id").alias("__keep"), F.col("x.text_id").alias("__keep_text"))
-    full = docs.withColumn("__words", F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("__text", _text_id())
-    blank = full.where(~F.coalesce("__words", F.lit(False)) | F.col("doc_id").isNull()).select(*names)
-    with_words = full.where(F.coalesce("__words", F.lit(False)) & F.col("doc_id").isNotNull())
-    same = (F.col("doc_id") == F.col("__keep")) & (F.col("__text") == F.col("__keep_text"))
-    kept = with_words.join(first, same, "left_semi").dropDuplicates(["doc_id", "__text"]).select(*names)
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "class", "text_id", "text_id2")).alias("x")).select(F.col("x.doc_id").alias(keep), F.col("x.text_id").alias(text), F.col("x.text_id2").alias(text2))
+    one, two = _text_id()
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
+    blank = docs.where(~wordy)
+    with_words = docs.where(wordy).withColumn(text + "_own", one).withColumn(text2 + "_own", two)
+    same = (F.col("doc_id") == F.col(keep)) & (F.col(text + "_own") == F.col(text)) & (F.col(text2 + "_own") == F.col(text2))
+    kept = with_words.join(first, same, "left_semi").dropDuplicates(["doc_id", text + "_own", text2 + "_own"]).select(*names)
     return kept.unionByName(blank)
