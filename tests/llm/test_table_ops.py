@@ -159,6 +159,70 @@ def test_fingerprints_equal_sets(spark):
     assert alone["near_next"] == 1.0 and alone["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
 
 
+def inverted(text):
+    """(b, digests) of a fingerprint, from its text alone: each group is peeled place by place."""
+    bits, groups = text.split("|")
+    found = set()
+    for group in filter(None, groups.split(";")):
+        size, places = group.split(":")[1].split("/")
+        state = {}
+        for place in filter(None, places.split("-")):
+            c, n, k, h = (int(x, 16) for x in place.split("."))
+            state[c] = [n, k, h]
+        members = {}  # a pure place gives a digest, whose other places hold it as well
+        while pure := [(c, x) for c, x in state.items() if x[0] == 1]:
+            k, h = pure[0][1][1:]
+            members[k] = h
+            for c in _places[k, int(size)]:
+                state[c] = [state[c][0] - 1, state[c][1] ^ k, state[c][2] ^ h]
+        assert all(x == [0, 0, 0] for x in state.values())
+        found |= set(members)
+    return int(bits), found
+
+
+#: (digest, size) to its places, filled by the test
+_places: dict = {}
+
+
+def test_likeness_follows_from_the_fingerprints_alone(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    line = lambda: " ".join(str(rng.randint(0, 10**6)) for _ in range(14))
+    base_ = [line() for _ in range(300)]
+    texts = ["\n".join(base_), "\n".join(base_[:150] + [line() for _ in range(150)]), "\n".join(base_[:4]), "", line(), "\n".join(base_[:40]), "\n".join(base_[1:40])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(fingerprint.compare_with_edits(df).collect())
+    keys = [int(r[0]) & (2**64 - 1) for r in df.select(F.explode(fingerprint.digests(F.col("text")))).distinct().collect()]
+    edits = spark.createDataFrame([(i, texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[(i + 1) % len(texts)][: len(texts[i]) // 2]) for i in range(len(texts))], "doc_id long, text string")
+    keys += [int(r[0]) & (2**64 - 1) for r in edits.select(F.explode(fingerprint.digests(F.col("text")))).distinct().collect()]
+    signed = spark.createDataFrame([(k - (1 << 64) if k >= 1 << 63 else k,) for k in set(keys)], "k long")
+    for i, size in enumerate(fingerprint.PLACES):
+        for r in signed.select("k", F.array(*(fingerprint._place(F.col("k"), j, size // 3, i) for j in range(3))).alias("p")).collect():
+            _places[r["k"] & (2**64 - 1), size] = r["p"]
+    alike = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    sets = [inverted(r["fingerprint"])[1] for r in got]
+    for i, r in enumerate(got):
+        assert abs(r["near_edited"] - alike(sets[i], inverted(r["edited_fingerprint"])[1])) < 1e-12
+        assert abs(r["near_next"] - alike(sets[i], sets[(i + 1) % len(sets)])) < 1e-12
+
+
+def test_fingerprints_meet_the_next_document_whatever_the_ids(spark):
+    rng = random.Random(4)
+    ids = [1, 9_200_000_000_000_000_000, -(1 << 63), 10**15, *range(100, 400)]
+    rows = [(i, f"text {i} " + "y" * rng.randint(0, 40)) for i in ids] + [(None, "none")] + [(7, "same")] * 400
+    x = spark.createDataFrame(rows, "doc_id long, t string").repartition(5).selectExpr("doc_id", "t", "array(xxhash64(t)) as keys")
+    got = fingerprint.with_next(x, rows=20).collect()
+    assert len(got) == len(rows)
+    after = {(r["doc_id"], r["t"], r["next"]["t"]) for r in got}
+    order = sorted(set(rows), key=lambda r: (-(1 << 63) if r[0] is None else r[0], r[1]))
+    least = [r for r in order if r[0] is None or r[0] == -(1 << 63)]
+    for a, b in zip(order[2:], order[3:], strict=False):
+        assert (*a, b[1]) in after
+    assert (7, "same", "same") in after and sum(r["next"]["t"] == "same" for r in got) == 400
+    assert any((*order[-1], x[1]) in after for x in least)
+
+
 def test_preference_prompt_is_the_common_prefix(spark):
     turns = lambda p, *x: [(p, i, r, t) for i, (r, t) in enumerate(x)]
     chosen = turns(1, ("user", "hi"), ("assistant", "hello"), ("user", "why"), ("assistant", "because")) + turns(2, ("user", "q"), ("assistant", None))
