@@ -7,13 +7,16 @@ member within it). A word of a bucket is told from the others there by a further
 counts are of all words of the corpus and stay a table, joined by word; what is left of a bucket is for words never counted.
 A text's score is the sum of the log-probabilities of all its words.
 
-What is learned covers the corpus: word counts are over all texts, and each scan partition trains a copy on every position of every
-text in it, in each round; copies are averaged, weighted by positions, up a tree of fan-in 64, so the driver gets 64
-models at most and what is gathered grows with the input. Scoring is one more pass, every token of every text.
-Network, gradients and Adagrad are plain numpy.
-
-Defined results: null, empty and punctuation-only texts have no tokens, sum 0 and mean 0. Repeated rows score alike. A corpus
-without words leaves the network at its start. Other columns pass through; clashing names are replaced.
+What is learned covers the corpus: word counts are over all texts, and texts, as token ids, are dealt by hash into buckets of about
+``bucket_tokens``. In each round each bucket trains a copy on every position of every text in it, in an order that follows from the
+rows alone; copies are averaged, weighted by positions, up a tree of fan-in 64, so the driver gets 64 models at most, what is gathered
+grows with the input, and nothing depends on how files are split. Scoring is one more pass, every token of every text.
+Network, gradients and Adagrad are plain numpy. A batch's hidden layer is a sum of rows of tables (tokens x hidden), one for each side's
+place, and its gradient is summed by token before it meets the embeddings; batches double from ``batch`` to ``most_batch``.
+
+Defined results: null, empty and punctuation-only texts have no tokens, sum 0 and mean 0. Repeated rows score alike. Words that are
+equally common rank by hash. A corpus without words leaves the network at its start, and an empty table gives an empty result. Other
+columns pass through; those named like a result, in any case of letters, are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftspark.llm import kernel
-from siftspark.llm.store import materialize
+from siftspark.llm.store import discard, materialize
 
 _DROP = bytes(c for c in range(33, 127) if not chr(c).isalpha())
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -44,9 +47,11 @@ class Net:
     dim: int = 16
     hidden: int = 24
     rounds: int = 2
-    #: one position in so many is trained on in a round; 1 is all of them
-    every: int = 1
     batch: int = 512
+    #: a batch doubles after so many steps, up to the largest
+    steps: int = 64
+    most_batch: int = 2048
+    bucket_tokens: int = 2_000_000
     rate: float = 0.08
     seed: int = 5
 
@@ -68,9 +73,18 @@ def _clean(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER, _DROP)
 
 
+def hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts, end to end, and the number of words of each text."""
+    clean = [_clean(t) for t in texts]
+    return kernel.word_hashes(b" ".join(clean)), np.array([len(x.split()) for x in clean], dtype=np.int64)
+
+
 def ids_of(text: str | None, names: np.ndarray, order: np.ndarray, net: Net) -> np.ndarray:
     """Token ids: ``names`` sorted word hashes, ``order`` their ids."""
-    h = kernel.word_hashes(_clean(text))
+    return _ids(kernel.word_hashes(_clean(text)), names, order, net)
+
+
+def _ids(h: np.ndarray, names: np.ndarray, order: np.ndarray, net: Net) -> np.ndarray:
     rare = net.tokens - net.rare + (h % np.uint64(net.rare)).astype(np.int64)
     if not len(names):
         return rare
@@ -78,6 +92,10 @@ def ids_of(text: str | None, names: np.ndarray, order: np.ndarray, net: Net) ->
     return np.where(names[at] == h, order[at], rare)
 
 
+def _sides(net: Net) -> np.ndarray:
+    return np.array([*range(-net.reach, 0), *range(1, net.reach + 1)])
+
+
 def contexts(ids: np.ndarray, at: np.ndarray, net: Net) -> np.ndarray:
     """Ids around each position, left to right; the padding id beyond the ends."""
     padded = np.concatenate([np.full(net.reach, net.tokens), ids, np.full(net.reach, net.tokens)])
@@ -85,11 +103,6 @@ def contexts(ids: np.ndarray, at: np.ndarray, net: Net) -> np.ndarray:
     return padded[at[:, None] + steps]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def _tables(w: Weights) -> np.ndarray:
     return np.einsum("td,pdh->pth", w["e"], w["p"])
 
@@ -97,47 +110,108 @@ def _tables(w: Weights) -> np.ndarray:
 def log_probs(context: np.ndarray, target: np.ndarray, w: Weights, net: Net, tables: np.ndarray | None = None) -> np.ndarray:
     """log p(target | both sides)."""
     tables = _tables(w) if tables is None else tables
-    h = w["b"] + tables[0][context[:, 0]]
+    h = tables[0].take(context[:, 0], axis=0)
     for p in range(1, context.shape[1]):
-        h += tables[p][context[:, p]]
-    h = np.tanh(h)
+        h += tables[p].take(context[:, p], axis=0)
+    h += w["b"]
+    np.tanh(h, out=h)
     cls, mem = np.divmod(target, net.members)
-    out = _log_softmax(h @ w["c"] + w["cb"])[np.arange(len(target)), cls]
-    by = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[by], np.arange(net.classes + 1))
+    by = np.argsort(cls.astype(np.uint16), kind="stable")
+    h, cls, mem = h[by], cls[by], mem[by]
+    cut = np.searchsorted(cls, np.arange(net.classes + 1)).tolist()
+    first = h @ w["c"] + w["cb"]
+    second = np.empty((len(target), net.members), h.dtype)
     for k in range(net.classes):
-        rows = by[cut[k] : cut[k + 1]]
-        if len(rows):
-            out[rows] += _log_softmax(h[rows] @ w["m"][k] + w["mb"][k])[np.arange(len(rows)), mem[rows]]
+        if cut[k + 1] > cut[k]:
+            np.matmul(h[cut[k] : cut[k + 1]], w["m"][k], out=second[cut[k] : cut[k + 1]])
+    second += w["mb"].take(cls, axis=0)
+    out = np.empty(len(target), h.dtype)
+    rows = np.arange(len(target))
+    out[by] = first[rows, cls] - _log_total(first) + second[rows, mem] - _log_total(second)
     return out
 
 
-def learn(context: np.ndarray, target: np.ndarray, w: Weights, square: Weights, net: Net) -> None:
-    """One Adagrad step on the mean negative log-probability of a batch."""
-    n = len(target)
-    tables = w["e"][context]  # (n, positions, dim)
-    h = np.tanh(w["b"] + np.einsum("npd,pdh->nh", tables, w["p"], optimize=True))
+def _log_total(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials of each row."""
+    if len(x) and x.max() < 80:
+        return np.log(np.exp(x) @ np.ones(x.shape[1], x.dtype))
+    most = x.max(axis=1)
+    return most + np.log(np.exp(x - most[:, None]).sum(axis=1))
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Of rows, in place; logits are cut at 80, so that no row's largest has to be sought."""
+    np.exp(np.minimum(x, 80, out=x), out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
+
+
+def gradients(context: np.ndarray, target: np.ndarray, w: Weights, net: Net) -> Weights:
+    """Of the mean negative log-probability of a batch."""
+    n, sides, width = len(target), context.shape[1], len(w["b"])
+    tables = np.matmul(w["e"][None], w["p"])
+    z = tables[0].take(context[:, 0], axis=0)
+    for p in range(1, sides):
+        z += tables[p].take(context[:, p], axis=0)
+    z += w["b"]
+    h = np.tanh(z, out=z)
     cls, mem = np.divmod(target, net.members)
-    g = {k: np.zeros_like(v) for k, v in w.items()}
-    d = np.exp(_log_softmax(h @ w["c"] + w["cb"]))
-    d[np.arange(n), cls] -= 1
-    d /= n
-    g["c"], g["cb"] = h.T @ d, d.sum(axis=0)
+    by = np.argsort(cls.astype(np.uint16), kind="stable")  # rows of a class lie together
+    h, cls, mem, context = h[by], cls[by], mem[by], context[by]
+    cut = np.searchsorted(cls, np.arange(net.classes + 1)).tolist()
+    rows = np.arange(n)
+    d = _softmax(h @ w["c"] + w["cb"])
+    d[rows, cls] -= 1
     dh = d @ w["c"].T
-    for k in np.unique(cls):
-        rows = np.flatnonzero(cls == k)
-        q = np.exp(_log_softmax(h[rows] @ w["m"][k] + w["mb"][k]))
-        q[np.arange(len(rows)), mem[rows]] -= 1
-        q /= n
-        g["m"][k], g["mb"][k] = h[rows].T @ q, q.sum(axis=0)
-        dh[rows] += q @ w["m"][k].T
-    dz = dh * (1 - h * h)
+    q = np.empty((n, net.members), h.dtype)
+    for k in range(net.classes):
+        if cut[k + 1] > cut[k]:
+            np.matmul(h[cut[k] : cut[k + 1]], w["m"][k], out=q[cut[k] : cut[k + 1]])
+    _softmax(np.add(q, w["mb"].take(cls, axis=0), out=q))
+    q[rows, mem] -= 1
+    g = {"c": h.T @ d / n, "cb": d.sum(axis=0) / n, "m": np.zeros_like(w["m"]), "mb": np.zeros_like(w["mb"])}
+    for k in range(net.classes):
+        at = slice(cut[k], cut[k + 1])
+        if cut[k + 1] > cut[k]:
+            np.matmul(h[at].T, q[at], out=g["m"][k])
+            g["mb"][k] = q[at].sum(axis=0)
+            dh[at] += q[at] @ w["m"][k].T
+    g["m"] /= n
+    g["mb"] /= n
+    dz = dh * (1 - h * h) / n
     g["b"] = dz.sum(axis=0)
-    g["p"] = np.einsum("npd,nh->pdh", tables, dz, optimize=True)
-    np.add.at(g["e"], context, np.einsum("nh,pdh->npd", dz, w["p"], optimize=True))
-    for k in w:
-        square[k] += g[k] ** 2
-        w[k] -= net.rate * g[k] / (np.sqrt(square[k]) + 1e-4)
+    by_token = np.zeros((sides, len(w["e"]), width), dz.dtype)
+    small = context.astype(np.uint16) if len(w["e"]) <= 1 << 16 else context
+    for p in range(sides):
+        order = np.argsort(small[:, p], kind="stable")
+        token = context[order, p]
+        head = np.flatnonzero(np.diff(token, prepend=-1))
+        by_token[p][token[head]] = np.add.reduceat(dz[order], head, axis=0)
+    g["p"] = np.matmul(w["e"].T[None], by_token)
+    g["e"] = np.matmul(by_token, w["p"].transpose(0, 2, 1)).sum(axis=0)
+    return g
+
+
+def learn(context: np.ndarray, target: np.ndarray, w: Weights, square: Weights, net: Net) -> None:
+    """One Adagrad step on a batch."""
+    for k, g in gradients(context, target, w, net).items():
+        square[k] += g * g
+        w[k] -= net.rate * g / (np.sqrt(square[k]) + 1e-4)
+
+
+def learn_all(texts: list[np.ndarray], w: Weights, net: Net, seed: int) -> None:
+    """Adagrad over every position of the texts, each once, in a mixed order."""
+    square = {k: np.full_like(v, 1e-3) for k, v in w.items()}
+    pad = np.full(net.reach, net.tokens, dtype=np.int32)
+    flat = np.concatenate([pad, *(y for x in texts for y in (x, pad))])
+    at = np.flatnonzero(flat != net.tokens)
+    at = at[np.random.default_rng(seed).permutation(len(at))]
+    sides = _sides(net)
+    done, step = 0, 0
+    while done < len(at):
+        pick = at[done : done + min(net.most_batch, net.batch << min(step // net.steps, 40))]
+        learn(flat[pick[:, None] + sides], flat[pick], w, square, net)
+        done, step = done + len(pick), step + 1
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -146,8 +220,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                hashes = [kernel.word_hashes(_clean(t)) for t in batch.column(0).slice(i, 1000).to_pylist()]
-                names, times = np.unique(np.concatenate(hashes), return_counts=True)
+                hashes, _ = hashes_of(batch.column(0).slice(i, 1000).to_pylist())
+                names, times = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(times.astype(np.int64))], names=["word", "times"])
 
     return docs.select("text").mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
@@ -219,53 +293,48 @@ def _average(copies: DataFrame, like: Weights) -> Weights:
     return {k: v.astype(np.float32) for k, v in mean.items()}
 
 
-def train(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], net: Net = Net()) -> Weights:
-    from pyspark import TaskContext
+def tokens_of(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], buckets: int, net: Net = Net()) -> DataFrame:
+    """(bucket, key, ids): the token ids, two or four bytes each, of all texts that have some. Equal texts are dealt by doc_id too."""
+    kind = "<u2" if net.tokens < 1 << 16 else "<u4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                hashes, lens = hashes_of(part.column(1).to_pylist())
+                raw = [x.tobytes() for x in np.split(_ids(hashes, *vocab, net).astype(kind), np.cumsum(lens)[:-1])]
+                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["key", "ids"])
+                yield out.filter(pa.array([bool(x) for x in raw]))
+
+    key = F.xxhash64("doc_id", "text") if "doc_id" in docs.columns else F.xxhash64("text")
+    return docs.select(key.alias("key"), "text").mapInArrow(run, "key long, ids binary").select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key", "ids")
 
+
+def _round(w: Weights, net: Net, seed: int, kind: str):
+    """Trains a copy of ``w`` on a bucket."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = {k: v.copy() for k, v in w.items()}
+        pdf = pdf.sort_values(["key", "ids"])
+        texts = [np.frombuffer(x, kind).astype(np.int32) for x in pdf["ids"]]
+        learn_all(texts, own, net, seed)
+        return pd.DataFrame({"id": [int(pdf["bucket"].iloc[0])], "n": [sum(map(len, texts))], "raw": [_pack(own)]})
+
+    return run
+
+
+def train(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], net: Net = Net(), total: int | None = None) -> Weights:
+    """``total``: the number of words of ``docs``, where it is known."""
     w = start(net)
-    names, order = vocab
+    if total is None:
+        total = word_counts(docs).agg(F.sum("times")).first()[0] or 0
+    buckets = max(1, total // net.bucket_tokens)
+    tokens = materialize(tokens_of(docs, vocab, buckets, net), "lm-tokens")
+    kind = "<u2" if net.tokens < 1 << 16 else "<u4"
     for turn in range(net.rounds):
 
-        def run(batches: Iterator[pa.RecordBatch], w=w, turn=turn) -> Iterator[pa.RecordBatch]:
-            own = {k: v.copy() for k, v in w.items()}
-            square = {k: np.full_like(v, 1e-3) for k, v in own.items()}
-            part, rng, most = TaskContext.get().partitionId(), np.random.default_rng(net.seed + turn), 256 * net.batch
-            seen, cs, ts, held = 0, [], [], 0
-
-            def drain() -> None:
-                nonlocal held
-                context, target = np.concatenate(cs), np.concatenate(ts)
-                mixed = rng.permutation(len(target))
-                for i in range(0, len(target), net.batch):
-                    pick = mixed[i : i + net.batch]
-                    learn(context[pick], target[pick], own, square, net)
-                cs.clear()
-                ts.clear()
-                held = 0
-
-            for batch in batches:
-                for i in range(0, batch.num_rows, 256):
-                    for text in batch.column(0).slice(i, 256).to_pylist():
-                        ids = ids_of(text, names, order, net)
-                        at = np.arange((turn * net.every // net.rounds + len(ids)) % net.every, len(ids), net.every)
-                        if len(ids) and not len(at):
-                            at = np.array([turn % len(ids)])
-                        for j in range(0, len(at), most):
-                            block = at[j : j + most]
-                            cs.append(contexts(ids, block, net))
-                            ts.append(ids[block])
-                            held += len(block)
-                            seen += len(block)
-                            if held >= most:
-                                drain()
-                    if held >= 16 * net.batch:
-                        drain()
-            if held:
-                drain()
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([_pack(own)], pa.binary())], names=["id", "n", "raw"])
-
-        w = _average(docs.select("text").mapInArrow(run, "id long, n long, raw binary"), w)
+        w = _average(tokens.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_round(w, net, net.seed + turn, kind), "id long, n long, raw binary"), w)
+    discard(tokens)
     return w
 
 
@@ -284,35 +353,33 @@ def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], w: Weights, net
 
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())]
     names = {f.name for f in new}
-    kept = [f for f in docs.schema.fields if f.name not in names and (keep_text or f.name != text)]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in names and (keep_text or f.name != text)]
     passed = [f.name for f in kept]
     held = [T.StructField("__row", T.LongType()), T.StructField("__words", T.ArrayType(T.LongType())), T.StructField("__times", T.ArrayType(T.LongType()))] if rare else []
     least = net.tokens - net.rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(w)
+        tables, sides = _tables(w), _sides(net)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             n, total, words, times = [], [], [], []
-            for i in range(0, batch.num_rows, 128):
-                texts = batch.column(batch.schema.get_field_index(text)).slice(i, 128).to_pylist()
-                ids = [ids_of(t, *vocab, net) for t in texts]
+            for i in range(0, batch.num_rows, 256):
+                hashes, lens = hashes_of(batch.column(batch.schema.get_field_index(text)).slice(i, 256).to_pylist())
+                ids, cuts = _ids(hashes, *vocab, net), np.cumsum(lens)
                 if held:
-                    for t, x in zip(texts, ids, strict=True):
-                        name, k = np.unique(kernel.word_hashes(_clean(t))[x >= least], return_counts=True)
+                    for x, y in zip(np.split(hashes, cuts[:-1]), np.split(ids, cuts[:-1]), strict=True):
+                        name, k = np.unique(x[y >= least], return_counts=True)
                         words.append(name.view(np.int64))
                         times.append(k)
-                near = [contexts(x, np.arange(len(x)), net) for x in ids]
-                flat = np.concatenate(ids)
-                around = np.concatenate(near)
-                lp = np.zeros(len(flat))
-                for j in range(0, len(flat), 8192):
-                    lp[j : j + 8192] = log_probs(around[j : j + 8192], flat[j : j + 8192], w, net, tables)
-                lens = np.array([len(x) for x in ids])
-                ends = np.concatenate([[0], np.cumsum(lp)])[np.cumsum(lens)] if len(lens) else np.empty(0)
-                sums = np.diff(np.concatenate([[0.0], ends]))
+                # texts end to end, with the padding id between them
+                padded = np.full(len(ids) + net.reach * (len(lens) + 1), net.tokens, dtype=np.int64)
+                at = np.arange(len(ids)) + net.reach * (1 + np.repeat(np.arange(len(lens)), lens))
+                padded[at] = ids
+                lp = np.zeros(len(ids))
+                for j in range(0, len(ids), 4096):
+                    lp[j : j + 4096] = log_probs(padded[at[j : j + 4096, None] + sides], ids[j : j + 4096], w, net, tables)
                 n += lens.tolist()
-                total += sums.tolist()
+                total += [float(x.sum()) for x in np.split(lp, cuts[:-1])]
             mean = [t / k if k else 0.0 for t, k in zip(total, n, strict=True)]
             cols = [batch.column(batch.schema.get_field_index(p)) for p in passed] + [pa.array(n, pa.int64()), pa.array([t if k else 0.0 for t, k in zip(total, n, strict=True)], pa.float64()), pa.array(mean, pa.float64())]
             if held:

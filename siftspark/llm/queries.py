@@ -79,7 +79,8 @@ def op10_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = materialize(pseudo_lm.word_counts(docs), "lm-words")
     vocab = pseudo_lm.vocabulary(docs, counts=counts)
-    return pseudo_lm.score(docs, vocab, pseudo_lm.train(docs, vocab), rare=pseudo_lm.rare_words(counts, vocab), keep_text=False)
+    total = counts.agg(F.sum("times")).first()[0] or 0
+    return pseudo_lm.score(docs, vocab, pseudo_lm.train(docs, vocab, total=total), rare=pseudo_lm.rare_words(counts, vocab), keep_text=False)
 
 
 def queries() -> dict[str, Query]:

@@ -248,7 +248,7 @@ def test_pseudo_likelihood_learns_an_order(spark):
     seq = ["north", "east", "south", "west"]
     texts = [" ".join(seq[(s + i) % 4] for i in range(80)) for s in rng.integers(0, 4, 60)]
     docs = spark.createDataFrame([*enumerate(texts), (900, None), (900, "!!!")], "doc_id long, text string")
-    net = pseudo_lm.Net(classes=4, members=4, rare=4, every=2, rounds=2)
+    net = pseudo_lm.Net(classes=4, members=4, rare=4, rounds=2)
     vocab = pseudo_lm.vocabulary(docs, net)
     got = {r["doc_id"]: r for r in pseudo_lm.score(docs, vocab, pseudo_lm.train(docs, vocab, net), net).collect()}
     assert got[0]["mean_log_likelihood"] > -0.7 and got[900]["n_tokens"] == 0 and got[900]["log_likelihood"] == 0.0
@@ -266,6 +266,32 @@ def test_pseudo_likelihood_trains_on_every_position(spark):
     assert lp[0] > -1.0
 
 
+def test_pseudo_likelihood_gradients():
+    net = pseudo_lm.Net(classes=3, members=4, rare=2, dim=3, hidden=4)
+    rng = np.random.default_rng(6)
+    w = {k: v.astype(np.float64) + rng.standard_normal(v.shape) * 0.3 for k, v in pseudo_lm.start(net).items()}
+    context, target = rng.integers(0, net.tokens + 1, (9, 4)), rng.integers(0, net.tokens, 9)
+    g = pseudo_lm.gradients(context, target, w, net)
+    loss = lambda: -float(pseudo_lm.log_probs(context, target, w, net).mean())
+    for k in w:
+        for i in {tuple(rng.integers(0, n) for n in w[k].shape) for _ in range(6)}:
+            old = w[k][i]
+            w[k][i] = old + 1e-4
+            up = loss()
+            w[k][i] = old - 1e-4
+            down = loss()
+            w[k][i] = old
+            assert abs((up - down) / 2e-4 - g[k][i]) < 1e-6, k
+
+
+def test_pseudo_likelihood_does_not_depend_on_the_split_of_files(spark):
+    rng = np.random.default_rng(7)
+    docs = spark.createDataFrame([(i, " ".join("abcdefgh"[j] * 2 for j in rng.integers(0, 8, 50))) for i in range(80)] + [(3, "aa bb"), (3, "aa bb")], "doc_id long, text string")
+    net = pseudo_lm.Net(classes=4, members=4, rare=4, batch=32, bucket_tokens=1000)
+    one, five = ({k: v.tolist() for k, v in pseudo_lm.train(d, pseudo_lm.vocabulary(d, net), net).items()} for d in (docs.coalesce(1), docs.repartition(5)))
+    assert one == five
+
+
 def test_pseudo_likelihood_tells_rare_words_apart(spark):
     net = pseudo_lm.Net(classes=2, members=4, rare=2)
     common = "a b c d e f " * 40
