@@ -203,9 +203,9 @@ def learn_all(texts: list[np.ndarray], w: Weights, net: Net, seed: int) -> None:
     """Adagrad over every position of the texts, each once, in a mixed order."""
     square = {k: np.full_like(v, 1e-3) for k, v in w.items()}
     pad = np.full(net.reach, net.tokens, dtype=np.int32)
-    flat = np.concatenate([pad, *(y for x in texts for y in (x, pad))])
-    at = np.flatnonzero(flat != net.tokens)
-    at = at[np.random.default_rng(seed).permutation(len(at))]
+    flat = np.concatenate([pad, *(y for x in texts for y in (x, pad))], dtype=np.int32)
+    at = np.flatnonzero(flat != net.tokens).astype(np.int32)
+    np.random.default_rng(seed).shuffle(at)
     sides = _sides(net)
     done, step = 0, 0
     while done < len(at):
@@ -313,12 +313,13 @@ def tokens_of(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], buckets: in
 def _round(w: Weights, net: Net, seed: int, kind: str):
     """Trains a copy of ``w`` on a bucket."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         own = {k: v.copy() for k, v in w.items()}
-        pdf = pdf.sort_values(["key", "ids"])
-        texts = [np.frombuffer(x, kind).astype(np.int32) for x in pdf["ids"]]
+        bucket = rows.column("bucket")[0].as_py()
+        texts = [np.frombuffer(x, kind) for _, x in sorted(zip(rows.column("key").to_pylist(), rows.column("ids").to_pylist(), strict=True))]
+        del rows
         learn_all(texts, own, net, seed)
-        return pd.DataFrame({"id": [int(pdf["bucket"].iloc[0])], "n": [sum(map(len, texts))], "raw": [_pack(own)]})
+        return pa.table({"id": pa.array([bucket], pa.int64()), "n": pa.array([sum(map(len, texts))], pa.int64()), "raw": pa.array([_pack(own)], pa.binary())})
 
     return run
 
@@ -333,7 +334,7 @@ def train(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], net: Net = Net(
     kind = "<u2" if net.tokens < 1 << 16 else "<u4"
     for turn in range(net.rounds):
 
-        w = _average(tokens.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_round(w, net, net.seed + turn, kind), "id long, n long, raw binary"), w)
+        w = _average(tokens.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_round(w, net, net.seed + turn, kind), "id long, n long, raw binary"), w)
     discard(tokens)
     return w
 
