@@ -60,6 +60,7 @@ def passing_test_name(c: Column) -> Column:
 def is_boilerplate(c: Column) -> Column:
     t = trim_end(c)
     s = trim_start(t)
+    # fixed values
     heads = ("Running unittests ", "Running tests/", "Running tests\\", "Running benches/", "Doc-tests ", "note: run with `RUST_BACKTRACE=1`", "Blocking waiting for file lock", "rootdir: ", "cachedir: ", "configfile: ", "plugins: ")
     return (
         reduce(lambda a, b: a | b, (s.startswith(h) for h in heads))
@@ -147,6 +148,11 @@ def dependency_line(path: Column, line: Column) -> Column:
     return F.when((body == "") | body.startswith("#") | body.startswith("//"), F.lit(False)).otherwise(found)
 
 
+def is_program(display: Column, name: str) -> Column:
+    """Whether a command's display, ``program [n arguments redacted]``, is of a program."""
+    return display.contains(" [") & ascii_lower(F.substring_index(display, " [", 1)).isin(name, f"{name}.exe")
+
+
 def valid_text(b: Column) -> Column:
     """UTF-8 without NUL."""
     return F.is_valid_utf8(b.cast("string")) & (F.instr(b.cast("string"), "\x00") == 0)

@@ -1,8 +1,9 @@
 """The reduction plan: which lines may be hidden, each with a reason.
 
 ``lines`` has a row for each line: capture_id, stream, line_no, line (terminator included). Stages run in a fixed order and the first
-to give a reason wins; a stage sees the reasons of the ones before it. All of them are windows over (capture_id, stream) in line
-order, so one shuffle by that key serves the whole plan, and row-wise classification happens before it.
+to give a reason wins; a stage sees the reasons of the ones before it. Nearly all of them are windows over (capture_id, stream) in line
+order, so one shuffle by that key serves them, and row-wise classification happens once, before it. A capture is bounded (see
+``pack.MOST_BYTES``); frames that look ahead are run backwards, so that no frame is computed anew for each row.
 """
 
 from __future__ import annotations
@@ -55,15 +56,22 @@ def whole(*more: str) -> W:
 
 
 def prepare(lines: DataFrame, goal: str | None = None, kind: str = "output") -> DataFrame:
-    """Row-wise facts of each line, and empty reasons. ``kind``: output, search or diff; ``goal`` a column with the task's
-    text, or none."""
+    """Row-wise facts of each line, and empty reasons. ``kind``: output, search or diff, or auto: diff where a line of the stream
+    begins a file of a diff, else output. ``goal``: a column with the task's goal and constraints, a line each, or none."""
     x = lines.withColumn("t", X.trim_end(F.col("line"))).withColumn("n_bytes", F.octet_length("line").cast("long"))
     x = x.withColumn("fact", C.fact_kind(F.col("line"))).withColumn("blank", F.regexp_replace("t", r"^(?U:\s)+|(?U:\s)+$", "") == "")
     said = X.ascii_lower(F.regexp_replace("t", r"^(?U:\s)+|(?U:\s)+$", ""))
     x = x.withColumn("mentioned", F.coalesce((F.octet_length(said) >= 4) & F.contains(X.ascii_lower(F.col(goal)), said), F.lit(False)) if goal else F.lit(False))
     x = x.withColumn("goal_text", X.ascii_lower(F.col(goal)) if goal else F.lit(None).cast("string"))
     x = x.withColumn("tokens", X.goal_tokens(F.col(goal)) if goal else F.array().cast("array<string>"))
-    return x.withColumn("kind", F.lit(kind)).withColumn("reason", F.lit(None).cast("string"))
+    x = x.withColumn("passed", C.passing_test_name(F.col("line"))).withColumn("prog", C.is_test_progress(F.col("line")))
+    of = F.when(F.max(F.col("line").startswith("diff --git a/")).over(whole()), "diff").otherwise("output") if kind == "auto" else F.lit(kind)
+    return x.withColumn("kind", of).withColumn("reason", F.lit(None).cast("string"))
+
+
+def named_by_goal(text: Column) -> Column:
+    """Whether the goal holds a text, in lower case."""
+    return F.coalesce(F.contains("goal_text", X.ascii_lower(text)), F.lit(False))
 
 
 def set_reason(x: DataFrame, when: Column, reason: str, *drop: str) -> DataFrame:
@@ -88,8 +96,14 @@ def repeated_hits(x: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def build_progress(x: DataFrame, p: Params = Params()) -> DataFrame:
-    """Runs of build progress: all but the first and last two."""
-    x = x.withColumn("own", C.progress_name(F.col("line")).isNotNull())
+    """Runs of build progress: all but the first and last two. Lines of a package that the goal names end a run. Where lines have
+    ``command_display`` or ``exit_code``, only successful runs of the build tool count, and of these the error stream."""
+    own = C.progress_name(F.col("line")).isNotNull() & ~named_by_goal(C.progress_name(F.col("line")))
+    if "command_display" in x.columns:
+        own = own & F.coalesce(C.is_program(F.col("command_display"), "cargo"), F.lit(False))
+    if "exit_code" in x.columns:
+        own = own & F.coalesce(F.col("exit_code") == 0, F.lit(False)) & (F.col("stream") == "stderr")
+    x = x.withColumn("own", own)
     x = islands(x, F.col("own") != F.lag("own").over(by_line()))
     x = x.withColumn("k", F.count("*").over(whole("island"))).withColumn("r", F.row_number().over(by_line("island")))
     return set_reason(x, F.col("own") & (F.col("k") >= p.build_run) & (F.col("r") > 2) & (F.col("r") <= F.col("k") - 2), BUILD, "own", "island", "k", "r")
@@ -110,51 +124,64 @@ def runtime_frames(x: DataFrame, p: Params = Params()) -> DataFrame:
     x = x.withColumn("py", F.col("frame") & F.col("fact").isNull() & F.col("reason").isNull() & X.trim_start(F.col("t")).startswith('File "'))
     w = by_line()
     follows = F.coalesce(F.lag("py").over(w), F.lit(False)) & (F.col("indent") > F.lag("indent").over(w)) & ~F.col("frame") & ~X.trim_start(F.col("t")).startswith('File "')
-    return set_reason(x.withColumn("follows", follows), F.col("fact").isNull() & (F.col("frame") | F.col("follows")), FRAMES, "frame", "indent", "py", "follows")
+    return set_reason(x.withColumn("follows", follows), (F.col("kind") == "output") & F.col("fact").isNull() & (F.col("frame") | F.col("follows")), FRAMES, "frame", "indent", "py", "follows")
 
 
 def passing_tests(x: DataFrame, p: Params = Params()) -> DataFrame:
-    x = x.withColumn("name", C.passing_test_name(F.col("line"))).withColumn("prog", C.is_test_progress(F.col("line")))
-    x = x.withColumn("n_pass", F.count("name").over(whole())).withColumn("n_prog", F.count_if("prog").over(whole()))
+    """Passing tests and runner progress. Tests that the goal names stay; where lines have ``preferred_test``, so do that one and
+    the first."""
+    x = x.withColumn("n_pass", F.count("passed").over(whole())).withColumn("n_prog", F.count_if("prog").over(whole()))
     on = (F.col("n_pass") > p.inventory) | ((F.col("n_pass") + F.col("n_prog") > p.inventory) & (F.col("n_prog") > 0))
-    named = F.contains(F.coalesce("goal_text", F.lit("")), X.ascii_lower(F.col("name")))
-    is_test = on & F.col("name").isNotNull() & ~(F.col("prog") & F.col("fact").isNull()) & (F.col("n_pass") > p.inventory) & ~named
-    x = x.withColumn("is_test", is_test).withColumn("is_prog", on & F.col("prog") & F.col("fact").isNull())
-    return set_reason(set_reason(x, F.col("is_prog"), PROGRESS_OF_TESTS), F.col("is_test"), TESTS, "name", "prog", "n_pass", "n_prog", "is_test", "is_prog")
+    x = set_reason(x, on & F.col("prog") & F.col("fact").isNull(), PROGRESS_OF_TESTS)
+    is_test = on & (F.col("n_pass") > p.inventory) & F.col("passed").isNotNull() & ~named_by_goal(F.col("passed"))
+    if "preferred_test" in x.columns:
+        x = x.withColumn("nth", F.sum(F.when(F.col("passed").isNotNull() & F.col("reason").isNull(), 1).otherwise(0)).over(by_line()))
+        is_test = is_test & (F.col("preferred_test").isNull() | ((F.col("nth") > 1) & (X.ascii_lower(F.col("preferred_test")) != X.ascii_lower(F.col("passed")))))
+    return set_reason(x, is_test, TESTS, "n_pass", "n_prog", "nth")
 
 
 def with_sections(x: DataFrame) -> DataFrame:
-    """Diff sections: ``section`` from 1 (0 before the first), its path on the old side, and the row's place in it."""
-    head = F.col("line").startswith("diff --git a/")
+    """Diff sections: ``section`` from 1 (0 before the first), its path on the old side, empty where the header has none, and the
+    row's place in it."""
+    head = F.col("line").startswith("diff --git ")
     x = x.withColumn("section", F.sum(F.when(head, 1).otherwise(0)).over(by_line()))
-    path = F.regexp_extract("t", r"^diff --git a/(.*?)(?: b/.*)?$", 1)
+    path = F.regexp_extract("t", r"^diff --git a/(.*?) b/", 1)
     x = x.withColumn("path", F.first(path).over(by_line("section").rowsBetween(W.unboundedPreceding, 0)))
     return x.withColumn("place", F.row_number().over(by_line("section")))
 
 
 def generated_diffs(x: DataFrame, p: Params = Params()) -> DataFrame:
+    """Bodies of generated files that the goal doesn't name."""
     x = with_sections(x).withColumn("size", F.count("*").over(whole("section")))
-    return set_reason(x, (F.col("section") > 0) & C.is_generated(F.col("path")) & (F.col("size") > 6) & (F.col("place") > 1), GENERATED, "section", "path", "place", "size")
+    said = F.regexp_replace("path", r"^(?U:\s)+|(?U:\s)+$", "")
+    named = (F.octet_length(said) >= 4) & named_by_goal(said)
+    on = (F.col("kind") == "diff") & (F.col("section") > 0) & (F.col("path") != "") & C.is_generated(F.col("path")) & ~named
+    return set_reason(x, on & (F.col("size") > 6) & (F.col("place") > 1), GENERATED, "section", "path", "place", "size")
 
 
 def edit_signatures(x: DataFrame) -> DataFrame:
-    """(capture_id, stream, section, first, gone, come): identifiers only removed and only added by each section."""
+    """(capture_id, stream, section, first, n, hidden, named, gone, come): identifiers only removed and only added by each section,
+    and whether the goal names a part of its header."""
     ids = lambda c: F.filter(F.split(c, "[^A-Za-z0-9_]+"), lambda w: w.rlike("^[A-Za-z_]"))
     body = F.substring("t", 2, 1 << 30)
+    parts = F.filter(F.split(X.ascii_lower(F.col("t")), "[ /]"), lambda w: (F.octet_length(w) >= 4) & w.contains("."))
+    named = F.exists(parts, lambda w: F.coalesce(F.contains("goal_text", w), F.lit(False)))
     changed = ~F.col("t").startswith("---") & ~F.col("t").startswith("+++") & F.col("t").rlike("^[-+]")
     per = with_sections(x).where("section > 0").groupBy(*KEY, "section").agg(
         F.min("line_no").alias("first"),
         F.count_if(changed).alias("n"),
         F.count_if(F.col("reason").isNotNull()).alias("hidden"),
+        F.max(F.when(F.col("place") == 1, named)).alias("named"),
         F.array_distinct(F.flatten(F.collect_list(F.when(changed & F.col("t").startswith("-"), ids(body))))).alias("a"),
         F.array_distinct(F.flatten(F.collect_list(F.when(changed & F.col("t").startswith("+"), ids(body))))).alias("b"),
     )
-    out = per.select(*KEY, "section", "first", "n", "hidden", F.array_sort(F.array_except("a", "b")).alias("gone"), F.array_sort(F.array_except("b", "a")).alias("come"))
+    out = per.select(*KEY, "section", "first", "n", "hidden", "named", F.array_sort(F.array_except("a", "b")).alias("gone"), F.array_sort(F.array_except("b", "a")).alias("come"))
     return out.where("n >= 4 and (size(gone) > 0 or size(come) > 0)")
 
 
 def same_edits(x: DataFrame, p: Params = Params()) -> DataFrame:
-    sig = edit_signatures(x).where("hidden = 0").withColumn("sig", F.sha2(F.to_json(F.struct("gone", "come")), 256))
+    """Bodies of files with the edit of an earlier file, where three have it and the goal names none of them."""
+    sig = edit_signatures(x.where("kind = 'diff'")).where("hidden = 0 and not coalesce(named, false)").withColumn("sig", F.sha2(F.to_json(F.struct("gone", "come")), 256))
     w = W.partitionBy(*KEY, "sig")
     later = sig.withColumn("files", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy("first"))).where((F.col("files") >= p.same_edit_files) & (F.col("nth") > 1)).select(*KEY, "section", F.lit(True).alias("later"))
     y = with_sections(x).join(later, [*KEY, "section"], "left")
@@ -185,18 +212,37 @@ def similar_runs(x: DataFrame, p: Params = Params()) -> DataFrame:
     return set_reason(x, (F.col("kind") == "output") & F.col("ok") & (F.col("k") >= p.similar_run) & (F.col("r") > 2) & (F.col("r") < F.col("k")), SIMILAR, "tpl", "ok", "island", "k", "r")
 
 
+def _stretches(c: str, width: int) -> Column:
+    """Distinct stretches of so many characters; a shorter text is one."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - width + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(width))))
+
+
+def echoes(x: DataFrame) -> DataFrame:
+    """(capture_id, stream, said, since): texts with ``is_echo`` that a line with ``is_fact`` holds, and the first such line. A text is held
+    against the facts with its rarest stretch of eight characters, not against all. Texts of eight bytes or more but fewer characters
+    go by stretches of two, of which one isn't ASCII."""
+    facts = x.where("is_fact").groupBy(*KEY, "said").agg(F.min("line_no").alias("first"))
+    texts = x.where("is_echo").select(*KEY, F.col("said").alias("text")).distinct()
+    pairs = lambda c: F.filter(_stretches(c, 2), lambda g: g.rlike(r"[^\x00-\x7F]"))
+    held = facts.select(*KEY, "first", F.explode(F.array_union(_stretches("said", 8), pairs("said"))).alias("gram"))
+    times = held.groupBy(*KEY, "gram").agg(F.count("*").alias("times"))
+    asked = texts.select(*KEY, "text", F.explode(F.when(F.length("text") >= 8, _stretches("text", 8)).otherwise(pairs("text"))).alias("gram")).join(times, [*KEY, "gram"], "left")
+    rarest = asked.groupBy(*KEY, "text").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), F.col("gram").alias("gram"))).alias("x"))
+    met = rarest.where("x.times > 0").select(*KEY, "text", F.col("x.gram").alias("gram")).join(held, [*KEY, "gram"]).join(facts, [*KEY, "first"]).where(F.contains("said", "text"))
+    return met.groupBy(*KEY, F.col("text").alias("said")).agg(F.min("first").alias("since"))
+
+
 def recaps(x: DataFrame, p: Params = Params()) -> DataFrame:
-    """In test output: a long enough visible line seen before, or one without spaces that an earlier fact line holds."""
-    tests = C.passing_test_name(F.col("line")).isNotNull() | C.is_test_progress(F.col("line"))
-    said = F.regexp_replace("t", r"^(?U:\s)+|(?U:\s)+$", "")
-    x = x.withColumn("said", said).withColumn("any", F.count_if(tests).over(whole()))
-    x = x.withColumn("vis", F.col("reason").isNull())
+    """In test output: a long enough visible line seen before, or one without spaces that an earlier visible fact line holds."""
+    x = x.withColumn("said", F.regexp_replace("t", r"^(?U:\s)+|(?U:\s)+$", ""))
+    x = x.withColumn("any", F.count_if(F.col("passed").isNotNull() | F.col("prog")).over(whole()))
+    x = x.withColumn("vis", F.col("reason").isNull() & (F.col("any") > 0) & (F.col("kind") == "output"))
     x = x.withColumn("seen", F.row_number().over(W.partitionBy(*KEY, "said", "vis").orderBy("line_no")))
-    facts = F.collect_list(F.when(F.col("vis") & F.col("fact").isNotNull() & (F.col("any") > 0), F.col("said"))).over(by_line().rowsBetween(W.unboundedPreceding, -1))
     structural = F.col("said").endswith(":") | F.col("said").startswith('File "') | F.col("said").startswith("at ")
-    long_ = F.col("vis") & (F.octet_length("said") >= 8) & ~structural & (F.col("any") > 0)
-    x = x.withColumn("echo", F.when(long_ & ~F.col("said").rlike(r"(?U)\s"), F.exists(facts, lambda f: F.contains(f, F.col("said")))))
-    return set_reason(x, long_ & ((F.col("seen") > 1) | F.coalesce("echo", F.lit(False))), DUPLICATE, "said", "any", "vis", "seen", "echo")
+    x = x.withColumn("long_", F.col("vis") & (F.octet_length("said") >= 8) & ~structural)
+    own = x.withColumn("is_fact", F.col("vis") & F.col("fact").isNotNull()).withColumn("is_echo", F.col("long_") & ~F.col("said").rlike(r"(?U)\s"))
+    x = x.join(echoes(own.where("is_fact or is_echo").select(*KEY, "line_no", "said", "is_fact", "is_echo")), [*KEY, "said"], "left")
+    return set_reason(x, F.col("long_") & ((F.col("seen") > 1) | F.coalesce(F.col("since") < F.col("line_no"), F.lit(False))), DUPLICATE, "said", "any", "vis", "seen", "long_", "since")
 
 
 def rare_lines(x: DataFrame) -> DataFrame:
@@ -257,7 +303,8 @@ def tidy(x: DataFrame, p: Params = Params()) -> DataFrame:
     x = x.withColumn("vis", F.col("reason").isNull())
     x = x.withColumn("said", F.regexp_replace("t", r"^(?U:\s)+|(?U:\s)+$", ""))
     x = x.withColumn("seen", F.row_number().over(W.partitionBy(*KEY, "said", "vis").orderBy("line_no")))
-    below = F.first(F.when(~F.col("blank"), F.when(F.col("vis"), 1).otherwise(0)), ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    after = W.partitionBy(*KEY).orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, -1)  # from the end, so that the frame only grows
+    below = F.last(F.when(~F.col("blank"), F.when(F.col("vis"), 1).otherwise(0)), ignorenulls=True).over(after)
     x = x.withColumn("below", below)
     return set_reason(x, (F.col("kind") != "diff") & F.col("vis") & F.col("said").endswith(":") & (F.col("seen") > 1) & (F.coalesce("below", F.lit(0)) == 0), DUPLICATE, "vis", "said", "seen", "below")
 
@@ -300,24 +347,35 @@ def tiny_gaps(x: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 Stage = Callable[[DataFrame, Params], DataFrame]
-STAGES: list[tuple[str, Stage]] = [
-    ("boilerplate", boilerplate),
-    ("runtime_frames", runtime_frames),
-    ("passing_tests", passing_tests),
-    ("redraws", redraws),
-    ("identical_runs", identical_runs),
-    ("similar_runs", similar_runs),
-    ("recaps", recaps),
-    ("long_output", long_output),
-    ("tidy", tidy),
+#: in order, with the kinds of material each is for
+STAGES: list[tuple[str, Stage, tuple[str, ...]]] = [
+    ("repeated_hits", repeated_hits, ("search",)),
+    ("build_progress", build_progress, ("output", "search", "diff")),
+    ("boilerplate", boilerplate, ("output", "search", "diff")),
+    ("runtime_frames", runtime_frames, ("output",)),
+    ("passing_tests", passing_tests, ("output", "search", "diff")),
+    ("generated_diffs", generated_diffs, ("diff",)),
+    ("same_edits", same_edits, ("diff",)),
+    ("redraws", redraws, ("output", "search", "diff")),
+    ("identical_runs", identical_runs, ("output", "search")),
+    ("similar_runs", similar_runs, ("output",)),
+    ("recaps", recaps, ("output",)),
+    ("long_output", long_output, ("output",)),
+    ("search_head", search_head, ("search",)),
+    ("tidy", tidy, ("output", "search")),
 ]
-SEARCH_STAGES: list[tuple[str, Stage]] = [("repeated_hits", repeated_hits), ("boilerplate", boilerplate), ("identical_runs", identical_runs), ("search_head", search_head), ("tidy", tidy)]
-DIFF_STAGES: list[tuple[str, Stage]] = [("boilerplate", boilerplate), ("generated_diffs", generated_diffs), ("same_edits", same_edits)]
 
 
-def plan(lines: DataFrame, kind: str = "output", goal: str | None = None, p: Params = Params()) -> DataFrame:
-    """Lines with their reasons; null is visible."""
+def plan(lines: DataFrame, kind: str = "output", goal: str | None = None, p: Params = Params(), ranges: DataFrame | None = None) -> DataFrame:
+    """Lines with their reasons; null is visible. ``ranges``: what a ranker selected (capture_id, stream, start, end); search hits
+    outside go and long output and diffs are merged with it. Build progress is sought where lines name their command."""
     x = prepare(lines, goal, kind)
-    for name, stage in {"search": SEARCH_STAGES, "diff": DIFF_STAGES}.get(kind, STAGES):
-        x = stage(x, p, True) if goal and name in ("long_output", "search_head") else stage(x, p)
-    return x
+    kinds = ("output", "diff") if kind == "auto" else (kind,)
+    for name, stage, of in STAGES:
+        if not set(kinds) & set(of) or (name == "build_progress" and "command_display" not in x.columns):
+            continue
+        if name == "repeated_hits" and ranges is not None:
+            x = adaptive_search(x, ranges)
+        else:
+            x = stage(x, p, True) if goal and name in ("long_output", "search_head") else stage(x, p)
+    return adaptive_merge(x, ranges) if ranges is not None and kind != "search" else x

@@ -24,9 +24,10 @@ def diff_files(lines: DataFrame) -> DataFrame:
 
 def changed_files(lines: DataFrame) -> DataFrame:
     """Per file: lines added and removed, whether it was deleted, and the first twelve changed lines."""
-    x = diff_files(lines)
-    changed = F.array_sort(F.collect_list(F.when(F.col("sign") != "", F.struct("line_no", "t"))))
-    g = x.groupBy(*KEY, "section", "path").agg(F.count_if(F.col("sign") == "+").alias("added"), F.count_if(F.col("sign") == "-").alias("removed"), F.bool_or(F.col("t").startswith("deleted file mode")).alias("deleted"), F.array_join(F.transform(F.slice(changed, 1, 12), lambda s: F.concat(s["t"], F.lit("\n"))), "").alias("excerpt"))
+    x = diff_files(lines).withColumn("changed", F.col("sign") != "")
+    x = x.withColumn("nth", F.row_number().over(W.partitionBy(*KEY, "section", "changed").orderBy("line_no")))
+    first = F.array_sort(F.collect_list(F.when(F.col("changed") & (F.col("nth") <= 12), F.struct("line_no", "t"))))
+    g = x.groupBy(*KEY, "section", "path").agg(F.count_if(F.col("sign") == "+").alias("added"), F.count_if(F.col("sign") == "-").alias("removed"), F.bool_or(F.col("t").startswith("deleted file mode")).alias("deleted"), F.array_join(F.transform(first, lambda s: F.concat(s["t"], F.lit("\n"))), "").alias("excerpt"))
     return g.withColumn("section", F.col("section").cast("long"))
 
 

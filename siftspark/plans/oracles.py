@@ -10,14 +10,14 @@ _NUMBERED = """{name} as (select capture_id, 'stdout' stream, row_number() over
   cast(sum(strlen(line)) over (partition by capture_id order by {order}) - strlen(line) as bigint) byte_start, cast(sum(strlen(line)) over (partition by capture_id order by {order}) as bigint) byte_end, line from ({sql}))"""
 _LOG = """select {capture} capture_id, event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || case when event_type = 'error' and value >= 150 then ' ERROR ' else ' INFO ' end
   || case when event_type = 'error' then 'fault' else event_type end || ': user=' || cast(user_id as varchar) || ' cents=' || cast(cast(round(value * 100) as bigint) as varchar) || chr(10) line from events"""
-LOGS = _NUMBERED.format(name="lines", order="event_id", sql=_LOG.format(capture="'log-' || cast(cast(floor((day(ts) - 1) / 10) as int) as varchar)"))
-TYPED = _NUMBERED.format(name="lines", order="event_id", sql=_LOG.format(capture="'type-' || event_type"))
-TESTS = _NUMBERED.format(name="lines", order="o_orderkey", sql="select 'tests-' || cast(o_custkey % 20 as varchar) capture_id, o_orderkey, 'test orders::case_' || cast(o_orderkey as varchar) || ' ... ' || case when o_orderstatus = 'F' and o_orderkey % 50 = 0 then 'FAILED' else 'ok' end || chr(10) line from orders")
-HITS = _NUMBERED.format(name="lines", order="l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, line", sql="select 'hits-' || l_returnflag capture_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, 'src/p' || cast(l_orderkey % 40 as varchar) || '.rs:' || cast(l_linenumber as varchar) || ':' || case when l_partkey % 97 = 0 then 'pub fn line_' || cast(l_partkey as varchar) || '() {' else 'let status_value_for_line = next_line_of_order();' end || chr(10) line from lineitem")
-DIFFS = _NUMBERED.format(name="lines", order="n_nationkey, c, s", sql="""select 'diff-0' capture_id, * from (
-  select n_nationkey, -1 c, 0 s, 'diff --git a/' || path || ' b/' || path || chr(10) line from paths
-  union all select c_nationkey, c_custkey, 0, case when c_nationkey = 1 then '-    assert ' else '-    let ' end || replace(c_name, '#', '_') || ' ' || lower(c_mktsegment) || chr(10) from customer
-  union all select c_nationkey, c_custkey, 1, case when c_nationkey = 2 then '+    "' else '+    let ' end || replace(c_name, '#', '_') || case when c_nationkey = 2 then '": "^1.' else ' ' end || case when c_acctbal >= 5000 then 'gold' else 'plain' end || case when c_nationkey = 2 then '"' else '' end || chr(10) from customer)""")
+LOGS = _NUMBERED.format(name="lines", order="event_id", sql=_LOG.format(capture="'log-' || cast(event_id // 2000 as varchar)"))
+TYPED = _NUMBERED.format(name="lines", order="event_id", sql=_LOG.format(capture="'type-' || event_type || '-' || cast(event_id // 2000 as varchar)"))
+TESTS = _NUMBERED.format(name="lines", order="o_orderkey", sql="select 'tests-' || cast(o_orderkey // 1500 as varchar) capture_id, o_orderkey, 'test orders::case_' || cast(o_orderkey as varchar) || ' ... ' || case when o_orderstatus = 'F' and o_orderkey % 50 = 0 then 'FAILED' else 'ok' end || chr(10) line from orders")
+HITS = _NUMBERED.format(name="lines", order="l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, line", sql="select 'hits-' || l_returnflag || '-' || cast(l_orderkey // 2000 as varchar) capture_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, 'src/p' || cast(l_orderkey % 40 as varchar) || '.rs:' || cast(l_linenumber as varchar) || ':' || case when l_partkey % 97 = 0 then 'pub fn line_' || cast(l_partkey as varchar) || '() {' else 'let status_value_for_line = next_line_of_order();' end || chr(10) line from lineitem")
+DIFFS = _NUMBERED.format(name="lines", order="n_nationkey, c, s", sql="""select * from (
+  select distinct 'diff-' || cast(c_custkey // 1000 as varchar) capture_id, n_nationkey, -1 c, 0 s, 'diff --git a/' || path || ' b/' || path || chr(10) line from paths join customer on c_nationkey = n_nationkey
+  union all select 'diff-' || cast(c_custkey // 1000 as varchar), c_nationkey, c_custkey, 0, case when c_nationkey = 1 then '-    assert ' else '-    let ' end || replace(c_name, '#', '_') || ' ' || lower(c_mktsegment) || chr(10) from customer
+  union all select 'diff-' || cast(c_custkey // 1000 as varchar), c_nationkey, c_custkey, 1, case when c_nationkey = 2 then '+    "' else '+    let ' end || replace(c_name, '#', '_') || case when c_nationkey = 2 then '": "^1.' else ' ' end || case when c_acctbal >= 5000 then 'gold' else 'plain' end || case when c_nationkey = 2 then '"' else '' end || chr(10) from customer)""")
 PATHS = "paths as (select n_nationkey, case when n_nationkey = 0 then 'Cargo.lock' when n_nationkey = 1 then 'tests/orders_test.py' when n_nationkey = 2 then 'package.json' else 'src/' || lower(replace(n_name, ' ', '_')) || '.rs' end path from nation)"
 DOCS = """lines as (
   select capture_id, i - 1 line_no, cast(sum(strlen(line)) over (partition by capture_id order by i) - strlen(line) as bigint) byte_start, cast(sum(strlen(line)) over (partition by capture_id order by i) as bigint) byte_end, line
@@ -70,10 +70,82 @@ RECEIPTS = """receipts as (select cast(user_id as varchar) session_id, 'run-' ||
   from (select *, event_id % 5000 + 1 raw, cast(round(value * 100) as bigint) cents from events))"""
 GOALS = "goals as (select conv_id session_id, turn tt, left(text, 600) goal, turn // 2 revision from conversations where role = 'user' and conv_id is not null)"
 RUNS = """runs as (select cast(l_partkey as varchar) scenario, 'suite-' || cast(l_partkey % 3 as varchar) suite, case l_returnflag when 'N' then 'native' when 'A' then 'rules' else 'ranker' end arm, cast(sum(cast(l_quantity * 100 as bigint)) as bigint) est_tokens,
-  bool_and(l_partkey % 4 <> 0) verified, 2 needles_total, case when l_returnflag = 'A' and l_partkey % 5 = 0 then 1 else 2 end needles_found from lineitem where l_linenumber = 1 group by l_partkey, l_returnflag)"""
+  bool_and(l_partkey % 4 <> 0) verified, 2 needles_total, case when l_returnflag = 'A' and l_partkey % 5 = 0 then 1 else 2 end needles_found from lineitem group by l_partkey, l_returnflag)"""
 CHOICES = """numbered as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) r from events),
-  few as (select *, sum(value) over (partition by user_id) total from numbered where r <= 30),
-  choice as (select 'u' || cast(user_id as varchar) capture_id, 'e' || lpad(cast(event_id as varchar), 12, '0') candidate_id, round(case when total = 0 then 0 else value / total end, 6) probability, user_id % 9 / 2.0 need from few)"""
+  few as (select *, sum(value) over (partition by user_id, (r - 1) // 30) total from numbered),
+  choice as (select 'u' || cast(user_id as varchar) || '-' || cast((r - 1) // 30 as varchar) capture_id, 'e' || lpad(cast(event_id as varchar), 12, '0') candidate_id, round(case when total = 0 then 0 else value / total end, 6) probability, user_id % 9 / 2.0 need from few)"""
+
+
+RUN_LINES = _NUMBERED.format(name="lines", order="o_orderkey", sql="""select 'run-' || cast(o_orderkey // 1500 as varchar) capture_id, o_orderkey, case when o_orderkey % 40 in (3, 4, 5) then '' when o_orderkey % 41 = 0 then 'note: run with `RUST_BACKTRACE=1` environment variable'
+  when o_orderkey % 43 = 0 then '  File "/usr/lib/python3/site-packages/m.py", line ' || cast(o_custkey as varchar) when o_orderkey % 43 = 1 then '    return call(x)' when o_orderkey % 47 = 0 then 'failures:'
+  when o_orderkey % 53 = 0 then cast(o_orderkey % 100 as varchar) || '% done' || chr(13) || 'next' when o_orderkey % 7 = 0 and o_orderstatus = 'F' then 'test orders::case_' || cast(o_orderkey as varchar) || ' ... FAILED'
+  when o_orderkey % 11 = 0 then '    orders::case_' || cast(o_orderkey - 11 - o_orderkey % 7 as varchar) when o_orderkey % 59 = 0 then 'warning: the cache is stale' when o_orderkey % 61 = 0 then '=== RUN   Test' || cast(o_custkey as varchar)
+  when o_orderkey % 3 = 0 then 'test orders::case_' || cast(o_orderkey as varchar) || ' ... ok' when o_orderkey % 97 = 0 then 'odd' || cast(o_custkey % 7 as varchar) || ' reading of gauge ' || cast(o_custkey as varchar) when o_orderkey % 300 >= 200 then 'worker took ' || cast(o_custkey as varchar) || 'ms'
+  when o_orderkey % 300 >= 190 then 'still waiting for the shard-12 lock' else 'step_' || cast(o_custkey % 90 as varchar) || ' on ' || lower(o_orderpriority) || ' of clerk ' || cast(o_custkey as varchar) end || chr(10) line from orders""")
+#: the goal of the captures, lower case, and its telling tokens
+GOAL = "why does orders::case_35 stall at step_7 and shard-12, and who changed cargo.lock in src/p7.rs?"
+GOAL_TOKENS = ["orders::case_35", "stall", "step_7", "shard-12", "changed", "cargo.lock", "src/p7.rs"]
+LINE_FACTS = f"""l0 as (select *, {trim_end('line')} t, strlen(line) nb, {fact('line')} fact from lines),
+  l1 as (select *, trim(t, ' ' || chr(9)) said, trim(t, ' ' || chr(9)) = '' blank, nullif(regexp_extract(t, '^test ([^\\s]+) \\.\\.\\. ok$', 1), '') passed, regexp_matches(ltrim(t), '^=== (RUN|PAUSE|CONT|NAME) ') prog from l0)"""
+
+
+def _mention(goal: str | None, c: str) -> str:
+    return f"(strlen({c}) >= 4 and contains('{goal}', lower({c})))" if goal else "false"
+
+
+def _told(goal: str | None, lines: str) -> str:
+    """Tokens that at most lines / 50 lines have, within 8 and 40."""
+    if not goal:
+        return f"tok as (select capture_id, line_no, false told from {lines})"
+    hit = f"tok0 as (select l.capture_id, l.line_no, k.token from {lines} l, (select unnest({GOAL_TOKENS}) token) k where contains(lower(l.line), k.token))"
+    fit = f"tok1 as (select capture_id, token from tok0 join (select capture_id, count(*) n from {lines} group by 1) using (capture_id) group by capture_id, token, n having count(*) <= least(greatest(n // 50, 8), 40))"
+    return f"{hit}, {fit}, tok as (select l.capture_id, l.line_no, t.line_no is not null told from {lines} l left join (select distinct capture_id, line_no from tok0 semi join tok1 using (capture_id, token)) t using (capture_id, line_no))"
+
+
+def _gaps(frm: str, reason: str = "reason") -> str:
+    """Hidden runs of under 72 bytes are shown again."""
+    g = f"coalesce(case when {reason} = 'test_progress' then 'successful_test_inventory' else {reason} end, '')"
+    return f"""gap0 as (select *, {g} gg, case when {g} is distinct from lag({g}) over (partition by capture_id order by line_no) then 1 else 0 end gst from {frm}),
+  gap1 as (select *, sum(gst) over (partition by capture_id order by line_no) gi from gap0),
+  gap2 as (select *, sum(nb) over (partition by capture_id, gi) gb from gap1),
+  ended as (select *, case when gb < 72 and {reason} not in ('runner_boilerplate', 'duplicate_of_visible_line') then null else {reason} end final from gap2)"""
+
+
+def output_plan(lines: str, goal: str | None = None) -> str:
+    """The plan of output whose test lines are of one runner: a reason a line, ``final`` in ``ended``."""
+    w = "over (partition by capture_id order by line_no)"
+    return f"""with {lines}, {LINE_FACTS},
+  s0 as (select *, coalesce(lag(blank) {w}, false) pb, max(case when blank then 0 else 1 end) {w} bef, max(case when blank then null else line_no end) over (partition by capture_id) lastl, {_mention(goal, 'said')} ment from l1),
+  s1 as (select *, case when (blank and pb) or (blank and (bef = 0 or line_no > coalesce(lastl, -1))) or starts_with(ltrim(t), 'note: run with `RUST_BACKTRACE=1`') then 'runner_boilerplate' end r1, starts_with(ltrim(t), 'File "') pyl, strlen(t) - strlen(ltrim(t)) ind from s0),
+  s2a as (select *, pyl and contains(lower(t), 'site-packages') fr from s1),
+  s2b as (select *, fr and fact is null and r1 is null own from s2a),
+  s2 as (select *, coalesce(r1, case when fact is null and (fr or (coalesce(lag(own) {w}, false) and ind > lag(ind) {w} and not pyl)) then 'runtime_internal_frames' end) r2, count(passed) over (partition by capture_id) np, count(*) filter (prog) over (partition by capture_id) ng from s2b),
+  s3a as (select *, coalesce(r2, case when (np > 2 or (np + ng > 2 and ng > 0)) and prog and fact is null then 'test_progress' end) r3a from s2),
+  s3 as (select *, coalesce(r3a, case when np > 2 and passed is not null and not {"contains('" + goal + "', lower(passed))" if goal else 'false'} then 'successful_test_inventory' end) r3, contains(t, chr(13)) re from s3a),
+  s4 as (select *, coalesce(r3, case when re and fact is null and count(*) filter (re) over (partition by capture_id) >= 2 then 'terminal_progress' end) r4, case when t is distinct from lag(t) {w} then 1 else 0 end ist from s3),
+  s5a as (select *, sum(ist) {w} ii from s4),
+  s5b as (select *, count(*) over (partition by capture_id, ii) ik, count(*) filter (r4 is null) over (partition by capture_id, ii) iv, row_number() over (partition by capture_id, ii order by line_no) ir, {template('line')} tpl from s5a),
+  s5 as (select *, coalesce(r4, case when ik >= 3 and iv = ik and ir > 1 then 'repeated_identical_lines' end) r5 from s5b),
+  s6a as (select *, r5 is null and strlen(tpl) >= 6 and fact is null and not ment ok from s5),
+  s6b as (select *, case when not ok or not coalesce(lag(ok) {w}, false) or tpl is distinct from lag(tpl) {w} then 1 else 0 end sst from s6a),
+  s6c as (select *, sum(sst) {w} si from s6b),
+  s6d as (select *, count(*) over (partition by capture_id, si) sk, row_number() over (partition by capture_id, si order by line_no) sr from s6c),
+  s6 as (select *, coalesce(r5, case when ok and sk >= 8 and sr > 2 and sr < sk then 'similar_lines' end) r6 from s6d),
+  s7a as (select *, r6 is null and np + ng > 0 vis, r6 is null and np + ng > 0 and strlen(said) >= 8 and not (said like '%:' or said like 'File "%' or said like 'at %') lng from s6),
+  ech as (select a.capture_id, a.line_no from s7a a join s7a b on a.capture_id = b.capture_id and b.line_no < a.line_no and a.lng and not regexp_matches(a.said, '\\s') and b.vis and b.fact is not null and contains(b.said, a.said) group by all),
+  s7b as (select x.*, e.line_no is not null echo, row_number() over (partition by x.capture_id, said, vis order by x.line_no) nth from s7a x left join ech e on x.capture_id = e.capture_id and x.line_no = e.line_no),
+  s7 as (select *, coalesce(r6, case when lng and (nth > 1 or echo) then 'duplicate_of_visible_line' end) r7 from s7b),
+  {_told(goal, 's7')},
+  s8a as (select s7.*, told, {shape('line')} shp, count(*) filter (r7 is null) over (partition by s7.capture_id) nv, sum(case when r7 is null then nb else 0 end) over (partition by s7.capture_id) bv, sum(case when r7 is null then 1 else 0 end) over (partition by s7.capture_id order by s7.line_no) pos,
+    max(case when r7 is null and fact in ('failure_identity', 'assertion') then 1 else 0 end) over (partition by s7.capture_id order by s7.line_no rows between 8 preceding and 2 following) heavy,
+    max(case when r7 is null and fact in ('distinct_warning', 'diagnostic_location') then 1 else 0 end) over (partition by s7.capture_id order by s7.line_no rows between 1 preceding and current row) light from s7 join tok using (capture_id, line_no)),
+  s8b as (select *, r7 is null and shp <> '' and strlen(said) >= 12 and count(*) filter (r7 is null) over (partition by capture_id, shp) <= 2 rare0 from s8a),
+  s8c as (select *, rare0 and count(*) filter (rare0) over (partition by capture_id) <= 40 and 20 * count(*) filter (rare0) over (partition by capture_id) <= nv rare from s8b),
+  s8 as (select *, coalesce(r7, case when nv >= 150 and bv >= 12288 and not (pos <= 30 or pos > nv - 50 or heavy = 1 or light = 1 or ment or told or rare) then 'long_output_middle' end) r8 from s8c),
+  s9 as (select *, coalesce(r8, case when blank and (lag(r8) {w} is not null or lead(r8) {w} is not null) then 'runner_boilerplate' end) r9 from s8),
+  s10a as (select *, row_number() over (partition by capture_id, said, r9 is null order by line_no) hn, first_value(case when not blank then case when r9 is null then 1 else 0 end end ignore nulls) over (partition by capture_id order by line_no rows between 1 following and unbounded following) below from s9),
+  s10 as (select *, coalesce(r9, case when said like '%:' and hn > 1 and coalesce(below, 0) = 0 then 'duplicate_of_visible_line' end) r10 from s10a),
+  {_gaps('s10', 'r10')}"""
 
 
 def literals() -> str:
@@ -135,9 +207,9 @@ def oracle_sql() -> dict[str, str]:
         "hit_sections": f"with {HITS}, h as (select *, split_part(line, ':', 1) path, cast(split_part(line, ':', 2) as bigint) l from lines), s as (select *, case when lag(path) over w = path and lag(l) over w + 1 = l then 0 else 1 end st from h window w as (partition by capture_id order by line_no)), i as (select *, sum(st) over (partition by capture_id order by line_no) section from s) select capture_id, cast(section as bigint) section, path, min(l) first_line, max(l) last_line, min(byte_start) byte_start, max(byte_end) byte_end, count(*) n from i group by capture_id, section, path",
         "log_digest": f"with {LOGS}, k as (select *, {shape('line')} k from lines), g as (select capture_id, k, arg_min(rtrim(line, chr(10)), line_no) l, min(line_no) tt, count(*) n from k group by all) select capture_id, string_agg(l || case when n > 1 then '  [+' || cast(n - 1 as varchar) || ' similar]' else '' end || chr(10), '' order by tt) digest from g group by capture_id",
         "rankable_chunks": f"with {LOGS}, {LONG}, m as (select *, case when reason is distinct from lag(reason) over (partition by capture_id order by line_no) then 1 else 0 end st from planned), i as (select *, sum(st) over (partition by capture_id order by line_no) isl from m), z as (select *, greatest(30, cast(ceil(count(*) over (partition by capture_id) / 60) as bigint)) size, row_number() over (partition by capture_id, isl order by line_no) - 1 pos from i where reason is not null) select capture_id, cast(floor(pos / size) as bigint) chunk, min(line_no) first_line, max(line_no) last_line, count(*) n from z group by capture_id, isl, pos // size, cast(floor(pos / size) as bigint)",
-        "changed_files": f"with {PATHS}, {DIFFS}, s as (select *, sum(case when starts_with(line, 'diff --git') then 1 else 0 end) over (order by line_no) section from lines), x as (select *, row_number() over (partition by section, left(line, 1) in ('+', '-') order by line_no) r, left(line, 1) sg from s) select 'diff-0' capture_id, cast(section as bigint) section, max(path) path, count(*) filter (sg = '+') added, count(*) filter (sg = '-') removed, false deleted, coalesce(string_agg(line, '' order by line_no) filter (sg in ('+', '-') and r <= 12), '') excerpt from x join paths on n_nationkey = section - 1 group by section",
-        "diff_findings": "with c as (select * from customer where c_nationkey in (1, 2)) select 'diff-0' capture_id, 'weakened_test' kind, 'tests/orders_test.py' path, cast(count(*) as varchar) || ' assertion or test lines removed, 0 added' evidence from c where c_nationkey = 1 having count(*) > 0 union all select 'diff-0', 'dependency_change', 'package.json', '+    \"' || replace(c_name, '#', '_') || '\": \"^1.' || case when c_acctbal >= 5000 then 'gold' else 'plain' end || '\"' from c where c_nationkey = 2",
-        "generated_diffs": "select 'diff-0' capture_id, (select case when 2 * count(*) + 1 > 6 then 2 * count(*) else 0 end from customer where c_nationkey = 0) hidden, (select 2 * count(*) from customer) + (select count(*) from nation) n",
+        "changed_files": f"with {PATHS}, {DIFFS}, s as (select *, sum(case when starts_with(line, 'diff --git') then 1 else 0 end) over (partition by capture_id order by line_no) section from lines), x as (select *, row_number() over (partition by capture_id, section, left(line, 1) in ('+', '-') order by line_no) r, left(line, 1) sg, first_value(regexp_extract(ln, ' b/(.*)$', 1)) over (partition by capture_id, section order by line_no) path from (select *, rtrim(line, chr(10)) ln from s)) select capture_id, cast(section as bigint) section, max(path) path, count(*) filter (sg = '+') added, count(*) filter (sg = '-') removed, false deleted, coalesce(string_agg(line, '' order by line_no) filter (sg in ('+', '-') and r <= 12), '') excerpt from x group by capture_id, section",
+        "diff_findings": "with c as (select *, 'diff-' || cast(c_custkey // 1000 as varchar) capture_id from customer where c_nationkey in (1, 2)) select capture_id, 'weakened_test' kind, 'tests/orders_test.py' path, cast(count(*) as varchar) || ' assertion or test lines removed, 0 added' evidence from c where c_nationkey = 1 group by capture_id union all select capture_id, 'dependency_change', 'package.json', '+    \"' || replace(c_name, '#', '_') || '\": \"^1.' || case when c_acctbal >= 5000 then 'gold' else 'plain' end || '\"' from c where c_nationkey = 2",
+        "generated_diffs": "select 'diff-' || cast(c_custkey // 1000 as varchar) capture_id, case when 2 * count(*) filter (c_nationkey = 0) + 1 > 6 then 2 * count(*) filter (c_nationkey = 0) else 0 end hidden, 2 * count(*) + count(distinct c_nationkey) n from customer group by 1",
         "gain_report": f"with {RECEIPTS}, g as (select grouping(command) total, command, count(*) runs, sum(cast(replaced as int)) reduced_runs, sum(raw_bytes) raw, sum(delivered) delivered from receipts group by grouping sets ((command), ())) select cast(total as int) total, command, runs, reduced_runs, raw, delivered, greatest(0, raw - delivered) saved, (greatest(0, raw - delivered) + 3) // 4 saved_tokens, case when raw = 0 then 0 else 10000 * greatest(0, raw - delivered) // raw end saved_bp from g",
         "top_commands": f"with {RECEIPTS}, g as (select command, count(*) runs, sum(cast(replaced as int)) reduced_runs, sum(raw_bytes) raw, sum(delivered) delivered from receipts group by command) select command, runs, reduced_runs, raw, delivered, greatest(0, raw - delivered) saved, (greatest(0, raw - delivered) + 3) // 4 saved_tokens, case when raw = 0 then 0 else 10000 * greatest(0, raw - delivered) // raw end saved_bp from g order by saved desc, command limit 15",
         "bypass_histogram": f"with {RECEIPTS} select bypass reason, count(*) n from receipts where bypass is not null group by bypass",
@@ -156,7 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "kept_candidates": f"with {CHOICES}, a as (select *, row_number() over w r, coalesce(sum(probability) over (w rows between unbounded preceding and 1 preceding), 0) b, count(*) over (partition by capture_id) n, cast(least(greatest(round(need), 0), 4) as int) lv from choice window w as (partition by capture_id order by probability desc, candidate_id)), k as (select *, count(*) filter (r <= least([1, 2, 4, 8, 16][lv + 1], n) and b < 0.55 + 0.1 * need) over (partition by capture_id) taken from a) select capture_id, candidate_id, r as rank from k where r <= greatest(taken, least([1, 1, 2, 4, 16][lv + 1], n), 1)",
         "answer_errors": f"with {CHOICES} select capture_id, case when not (min(probability) >= 0 and max(probability) <= 1) then 'probability_range' when not sum(probability) between 0.98 and 1.02 then 'probability_sum' end error from choice group by capture_id",
         "prefiltered_documents": "with s as (select source capture_id, doc_id idx, " + " + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in words) + " score from documents), r as (select *, row_number() over (partition by capture_id order by score desc, idx) r from s) select capture_id, idx, score from r where r <= 64",
-        "selected_lines": f"with {LOGS} select capture_id, line_no from lines where (capture_id = 'log-0' and byte_start >= 1000 and byte_end <= 5000) or (capture_id = 'log-1' and (byte_end <= 700 or (byte_start >= 90000 and byte_end <= 91000)))",
+        "selected_lines": f"with {LOGS} select capture_id, line_no from lines where (capture_id = 'log-0' and byte_start >= 1000 and byte_end <= 5000) or (capture_id = 'log-1' and (byte_end <= 700 or (byte_start >= 60000 and byte_end <= 61000)))",
         "goal_revisions": f"with {GOALS}, a as (select *, case when lag(tt) over w is null or tt - lag(tt) over w > 3 then 1 else 0 end fresh, lag(goal) over w old from goals window w as (partition by session_id order by tt)), b as (select *, sum(fresh) over (partition by session_id order by tt) era from a) select session_id, tt as \"at\", cast(sum(case when fresh = 1 or old <> goal then 1 else 0 end) over (partition by session_id, era order by tt) as bigint) revision from b",
         "task_revisions": f"with {GOALS}, a as (select *, max(revision) over (partition by session_id order by tt rows between unbounded preceding and 1 preceding) top, first_value(goal) over (partition by session_id, revision order by tt) first from goals) select session_id, tt seq, revision, case when top is null or revision > top then 'accepted' when revision < top then 'stale' when goal = first then 'same' else 'conflict' end outcome from a",
         "goals_at_runs": f"with {GOALS}, r as (select conv_id session_id, conv_id * 100 + turn run_id, turn tt from conversations where role = 'assistant'), l as (select r.*, (select arg_max(g.goal, g.tt) from goals g where g.session_id = r.session_id and g.tt <= r.tt) goal, (select max(g.tt) from goals g where g.session_id = r.session_id and g.tt <= r.tt) since from r) select session_id, run_id, tt as \"at\", case when tt - since <= 1 then goal end goal from l",
@@ -186,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "expected_levels": "with x as (select user_id, event_id % 5 as level, sum(round(value)) p from events where value > 0 group by all) select user_id, round(sum(level * p) / sum(p), 6) expected from x where p > 0 group by user_id",
         "candidate_minimums": "with g as (select 'u' || cast(user_id as varchar) capture_id, case user_id % 3 when 0 then 'search' when 1 then 'diff' else 'output' end kind, count(*) n from events group by all) select *, case when kind = 'search' and n > 64 then 'search_candidate_limit' when n < case kind when 'search' then 6 when 'diff' then 3 else 2 end then 'no_rankable_sections' end fallback from g",
         "evidence_gates": "select event_id, case when event_id % 100 < 70 then 'no_relevant_evidence' end fallback from events",
-        "adaptive_search": f"with {HITS} select capture_id, count(*) filter (not contains(line, ':pub fn') and not ((capture_id = 'hits-A' and byte_start >= 200 and byte_end <= 5000) or (capture_id = 'hits-N' and byte_end <= 400))) hidden, count(*) n from lines group by capture_id",
+        "adaptive_search": f"with {HITS} select capture_id, count(*) filter (not contains(line, ':pub fn') and not ((capture_id = 'hits-A-0' and byte_start >= 200 and byte_end <= 5000) or (capture_id = 'hits-N-0' and byte_end <= 400))) hidden, count(*) n from lines group by capture_id",
         "new_source_files": "select 'new_file' kind, replace(p_name, ' ', '_') || case p_size % 3 when 0 then '.rs' else '.tsx' end path from part where p_size % 3 <> 1",
         "stale_advice": "select cast(o_orderkey as varchar) capture_id, o_orderkey % 10 = 9 or o_orderkey % 6 = 0 or o_orderkey % 8 = 0 stale from orders",
     }
@@ -196,8 +268,36 @@ def oracle_sql() -> dict[str, str]:
     out["clipped_texts"] = """with b as (select doc_id, text, hex(encode(text)) h, octet_length(encode(text)) n from documents),
       c as (select *, list_max(list_filter([317, 318, 319, 320], lambda i: not regexp_matches(substr(h, 2 * i + 1, 1), '[89AB]'))) cut from b)
       select doc_id, md5(case when n <= 320 then text else decode(unhex(left(h, 2 * cut))) || '[... ' || cast(n - cut as varchar) || ' more bytes]' end) clip_md5 from c"""
-    out["edit_signatures"] = f"""with {PATHS}, {DIFFS}, s as (select *, sum(case when starts_with(line, 'diff --git') then 1 else 0 end) over (order by line_no) section from lines),
-      w as (select section, left(line, 1) sg, unnest(list_filter(regexp_split_to_array(substr(line, 2), '[^A-Za-z0-9_]+'), lambda x: regexp_matches(x, '^[A-Za-z_]'))) id from s where left(line, 1) in ('+', '-')),
-      k as (select section, id, bool_or(sg = '-') a, bool_or(sg = '+') b from w group by all), n as (select section, count(*) n from s where left(line, 1) in ('+', '-') group by all)
-      select 'diff-0' capture_id, cast(section as bigint) section, coalesce(string_agg(id, ',' order by id) filter (a and not b), '') gone, coalesce(string_agg(id, ',' order by id) filter (b and not a), '') come from k join n using (section) where n >= 4 group by section having bool_or(a <> b)"""
+    out["edit_signatures"] = f"""with {PATHS}, {DIFFS}, s as (select *, sum(case when starts_with(line, 'diff --git') then 1 else 0 end) over (partition by capture_id order by line_no) section from lines),
+      w as (select capture_id, section, left(line, 1) sg, unnest(list_filter(regexp_split_to_array(substr(line, 2), '[^A-Za-z0-9_]+'), lambda x: regexp_matches(x, '^[A-Za-z_]'))) id from s where left(line, 1) in ('+', '-')),
+      k as (select capture_id, section, id, bool_or(sg = '-') a, bool_or(sg = '+') b from w group by all), n as (select capture_id, section, count(*) n from s where left(line, 1) in ('+', '-') group by all)
+      select capture_id, cast(section as bigint) section, coalesce(string_agg(id, ',' order by id) filter (a and not b), '') gone, coalesce(string_agg(id, ',' order by id) filter (b and not a), '') come from k join n using (capture_id, section) where n >= 4 group by capture_id, section having bool_or(a <> b)"""
+    by_reason = "select capture_id, coalesce(final, 'visible') reason, count(*) n, sum(nb) bytes, sum(line_no) line_sum from ended group by all"
+    out["log_plan_reasons"] = f"{output_plan(LOGS)} select capture_id, coalesce(final, 'visible') reason, count(*) n, sum(nb) bytes from ended group by all"
+    out["run_plan_reasons"] = f"{output_plan(RUN_LINES)} {by_reason}"
+    out["goal_plan_reasons"] = f"{output_plan(RUN_LINES, GOAL)} {by_reason}"
+    w = "over (partition by capture_id order by line_no)"
+    out["goal_search_reasons"] = f"""with {HITS}, {LINE_FACTS}, h as (select *, split_part(t, ':', 1) path, cast(split_part(t, ':', 2) as bigint) ln, regexp_extract(t, '^[^:]*:[0-9]+:(.*)$', 1) body from l1),
+      c as (select *, case when path = lag(path) {w} and body = lag(body) {w} and ln > lag(ln) {w} then 0 else 1 end st from h), d as (select *, sum(st) {w} i from c),
+      e as (select *, count(*) over (partition by capture_id, i) k, row_number() over (partition by capture_id, i order by line_no) r, {_mention(GOAL, 't')} ment from d),
+      f as (select *, case when strlen(body) >= 32 and fact is null and not ment and k >= 12 and r > 2 and r <= k - 2 then 'repeated_search_match_content' end r1, case when t is distinct from lag(t) {w} then 1 else 0 end ist from e),
+      g as (select *, sum(ist) {w} ii from f), g2 as (select *, count(*) over (partition by capture_id, ii) ik, count(*) filter (r1 is null) over (partition by capture_id, ii) iv, row_number() over (partition by capture_id, ii order by line_no) ir from g),
+      s5 as (select *, coalesce(r1, case when ik >= 3 and iv = ik and ir > 1 then 'repeated_identical_lines' end) r5, regexp_matches(body, '^pub fn ') def from g2),
+      {_told(GOAL, 's5')},
+      s6 as (select s5.*, told, count(*) filter (r5 is null) over (partition by capture_id) nv, sum(case when r5 is null then nb else 0 end) over (partition by capture_id) bv, count(*) filter (r5 is null and def) over (partition by capture_id) nd, sum(case when r5 is null then 1 else 0 end) {w} pos from s5 join tok using (capture_id, line_no)),
+      s7 as (select *, coalesce(r5, case when (nv >= 40 or bv >= 4096) and not (pos <= 12 or (def and nd * 3 <= nv) or told or {_mention(GOAL, 'trim(body)')}) then 'search_matches_beyond_head' end) r7 from s6),
+      {_gaps('s7', 'r7')} {by_reason}"""
+    out["goal_diff_reasons"] = f"""with {PATHS}, {DIFFS}, {LINE_FACTS}, a as (select *, sum(case when starts_with(line, 'diff --git ') then 1 else 0 end) {w} section from l1),
+      b as (select *, regexp_extract(first_value(t) over (partition by capture_id, section order by line_no), '^diff --git a/(.*?) b/', 1) path, count(*) over (partition by capture_id, section) size, row_number() over (partition by capture_id, section order by line_no) place from a),
+      c as (select *, case when path in ('Cargo.lock') and size > 6 and place > 1 and not {{named}} then 'generated_file_diff' end r2 from b),
+      w as (select capture_id, section, left(t, 1) sg, unnest(list_filter(regexp_split_to_array(substr(t, 2), '[^A-Za-z0-9_]+'), lambda x: regexp_matches(x, '^[A-Za-z_]'))) id from c where left(t, 1) in ('+', '-')),
+      k as (select capture_id, section, id, bool_or(sg = '-') gone, bool_or(sg = '+') come from w group by all),
+      g as (select capture_id, section, string_agg(id, ',' order by id) filter (gone and not come) || '>' || string_agg(id, ',' order by id) filter (come and not gone) sig from k group by all),
+      o as (select capture_id, section, min(line_no) at_ from c where section > 0 group by all having count(*) filter (left(t, 1) in ('+', '-')) >= 4 and count(r2) = 0 and not {{part}}),
+      e as (select *, count(*) over (partition by capture_id, sig) files, row_number() over (partition by capture_id, sig order by at_) nth from g join o using (capture_id, section)),
+      d as (select c.*, coalesce(r2, case when e.files >= 3 and e.nth > 1 and place > 1 then 'same_edit_in_more_files' end) r3 from c left join e using (capture_id, section)),
+      {_gaps('d', 'r3')} {by_reason}"""
+    out["generated_diff_reasons"] = out["goal_diff_reasons"].format(named="false", part="false")
+    parts = f"len(list_filter(string_split_regex(lower(min(path)), '[ /]'), lambda x: strlen(x) >= 4 and contains(x, '.') and contains('{GOAL}', x))) > 0"
+    out["goal_diff_reasons"] = out["goal_diff_reasons"].format(named=_mention(GOAL, "path"), part=parts)
     return out

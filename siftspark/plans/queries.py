@@ -55,6 +55,41 @@ def log_plan_reasons(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("capture_id", F.coalesce("reason", F.lit("visible")).alias("reason")).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
 
 
+def _by_reason(x: DataFrame) -> DataFrame:
+    """Planned lines of each capture by reason."""
+    return reduce.tiny_gaps(x).groupBy("capture_id", F.coalesce("reason", F.lit("visible")).alias("reason")).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"), F.sum("line_no").alias("line_sum"))
+
+
+@query
+def run_plan_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The whole plan of test runs with chrome, frames, recaps, headers and redraws."""
+    return _by_reason(reduce.plan(A.run_lines(spark, d)))
+
+
+@query
+def goal_plan_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with a goal that names a test, a step and a shard."""
+    return _by_reason(reduce.plan(A.run_lines(spark, d).withColumn("goal", F.lit(A.GOAL)), goal="goal"))
+
+
+@query
+def goal_search_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of search hits, with a goal that names a file."""
+    return _by_reason(reduce.plan(A.hit_lines(spark, d).withColumn("goal", F.lit(A.GOAL)), "search", "goal"))
+
+
+@query
+def goal_diff_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of diffs, with a goal that names the lockfile: its body stays."""
+    return _by_reason(reduce.plan(A.diff_lines(spark, d).withColumn("goal", F.lit(A.GOAL)), "auto", "goal"))
+
+
+@query
+def generated_diff_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of diffs without a goal."""
+    return _by_reason(reduce.plan(A.diff_lines(spark, d), "diff"))
+
+
 @query
 def explode_lines(spark: SparkSession, d: str) -> DataFrame:
     return X.explode_lines(A.doc_captures(spark, d)).select("capture_id", "line_no", "byte_start", "byte_end", F.md5(F.col("line").cast("binary")).alias("line_md5"))
@@ -309,7 +344,7 @@ def prefiltered_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def selected_lines(spark: SparkSession, d: str) -> DataFrame:
-    ranges = spark.createDataFrame([("log-0", "stdout", 1000, 5000), ("log-1", "stdout", 0, 700), ("log-1", "stdout", 90000, 91000)], "capture_id string, stream string, start long, end long")
+    ranges = spark.createDataFrame([("log-0", "stdout", 1000, 5000), ("log-1", "stdout", 0, 700), ("log-1", "stdout", 60000, 61000)], "capture_id string, stream string, start long, end long")
     return rank.in_ranges(A.log_lines(spark, d), ranges).select("capture_id", "line_no")
 
 
@@ -502,7 +537,7 @@ def evidence_gates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def adaptive_search(spark: SparkSession, d: str) -> DataFrame:
-    ranges = spark.createDataFrame([("hits-A", "stdout", 200, 5000), ("hits-N", "stdout", 0, 400)], "capture_id string, stream string, start long, end long")
+    ranges = spark.createDataFrame([("hits-A-0", "stdout", 200, 5000), ("hits-N-0", "stdout", 0, 400)], "capture_id string, stream string, start long, end long")
     x = reduce.adaptive_search(reduce.prepare(A.hit_lines(spark, d), kind="search"), ranges)
     return x.groupBy("capture_id").agg(F.count("reason").alias("hidden"), F.count("*").alias("n"))
 

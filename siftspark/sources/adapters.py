@@ -19,8 +19,8 @@ def _numbered(x: DataFrame, *order: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
-    """Service logs of ten days each, or of an event type each."""
-    capture = "concat('type-', event_type)" if by_type else "concat('log-', cast(floor((day(ts) - 1) / 10) as int))"
+    """Service logs of two thousand events each, or of one type within so many events."""
+    capture = "concat('type-', event_type, '-', event_id div 2000)" if by_type else "concat('log-', event_id div 2000)"
     line = """concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), case when event_type = 'error' and value >= 150 then ' ERROR ' else ' INFO ' end,
       case when event_type = 'error' then 'fault' else event_type end, ': user=', cast(user_id as string), ' cents=', cast(cast(round(value * 100) as bigint) as string), chr(10))"""
     return _numbered(table(spark, sf_dir, "events").selectExpr(f"{capture} capture_id", "event_id", f"{line} line"), "event_id")
@@ -28,13 +28,13 @@ def log_lines(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFr
 
 def test_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat('test orders::case_', cast(o_orderkey as string), ' ... ', case when o_orderstatus = 'F' and o_orderkey % 50 = 0 then 'FAILED' else 'ok' end, chr(10))"
-    return _numbered(table(spark, sf_dir, "orders").selectExpr("concat('tests-', cast(o_custkey % 20 as string)) capture_id", "o_orderkey", f"{line} line"), "o_orderkey")
+    return _numbered(table(spark, sf_dir, "orders").selectExpr("concat('tests-', o_orderkey div 1500) capture_id", "o_orderkey", f"{line} line"), "o_orderkey")
 
 
 def hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat('src/p', cast(l_orderkey % 40 as string), '.rs:', cast(l_linenumber as string), ':', case when l_partkey % 97 = 0 then concat('pub fn line_', cast(l_partkey as string), '() {') else 'let status_value_for_line = next_line_of_order();' end, chr(10))"
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-    return _numbered(table(spark, sf_dir, "lineitem").selectExpr("concat('hits-', l_returnflag) capture_id", *order, f"{line} line"), *order, "line")
+    return _numbered(table(spark, sf_dir, "lineitem").selectExpr("concat('hits-', l_returnflag, '-', l_orderkey div 2000) capture_id", *order, f"{line} line"), *order, "line")
 
 
 def doc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,15 +42,31 @@ def doc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file of each nation; the changes are its customers."""
+    """A diff for a thousand customers, with a file of each of their nations; the changes are the customers."""
     path = "case when n_nationkey = 0 then 'Cargo.lock' when n_nationkey = 1 then 'tests/orders_test.py' when n_nationkey = 2 then 'package.json' else concat('src/', lower(replace(n_name, ' ', '_')), '.rs') end"
     nations = table(spark, sf_dir, "nation").selectExpr("n_nationkey", f"{path} path")
-    heads = nations.selectExpr("n_nationkey", "cast(-1 as bigint) c", "0 s", "concat('diff --git a/', path, ' b/', path, chr(10)) line")
-    c = table(spark, sf_dir, "customer").selectExpr("c_nationkey n_nationkey", "c_custkey c", "c_name", "c_mktsegment", "c_acctbal")
+    c = table(spark, sf_dir, "customer").selectExpr("concat('diff-', c_custkey div 1000) capture_id", "c_nationkey n_nationkey", "c_custkey c", "c_name", "c_mktsegment", "c_acctbal")
     tier = "case when c_acctbal >= 5000 then 'gold' else 'plain' end"
-    minus = c.selectExpr("n_nationkey", "c", "0 s", "concat(case when n_nationkey = 1 then '-    assert ' else '-    let ' end, replace(c_name, '#', '_'), ' ', lower(c_mktsegment), chr(10)) line")
-    plus = c.selectExpr("n_nationkey", "c", "1 s", f"concat(case when n_nationkey = 2 then '+    \"' else '+    let ' end, replace(c_name, '#', '_'), case when n_nationkey = 2 then '\": \"^1.' else ' ' end, {tier}, case when n_nationkey = 2 then '\"' else '' end, chr(10)) line")
-    return _numbered(heads.unionByName(minus).unionByName(plus).withColumn("capture_id", F.lit("diff-0")), "n_nationkey", "c", "s")
+    heads = c.select("capture_id", "n_nationkey").distinct().join(nations, "n_nationkey").selectExpr("capture_id", "n_nationkey", "cast(-1 as bigint) c", "0 s", "concat('diff --git a/', path, ' b/', path, chr(10)) line")
+    minus = c.selectExpr("capture_id", "n_nationkey", "c", "0 s", "concat(case when n_nationkey = 1 then '-    assert ' else '-    let ' end, replace(c_name, '#', '_'), ' ', lower(c_mktsegment), chr(10)) line")
+    plus = c.selectExpr("capture_id", "n_nationkey", "c", "1 s", f"concat(case when n_nationkey = 2 then '+    \"' else '+    let ' end, replace(c_name, '#', '_'), case when n_nationkey = 2 then '\": \"^1.' else ' ' end, {tier}, case when n_nationkey = 2 then '\"' else '' end, chr(10)) line")
+    return _numbered(heads.unionByName(minus).unionByName(plus), "n_nationkey", "c", "s")
+
+
+#: a goal that names a test, a step, a file and a package of the captures here
+GOAL = "Why does orders::case_35 stall at step_7 and shard-12, and who changed Cargo.lock in src/p7.rs?"
+
+
+def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of test suites with all that their output holds besides: blanks, chrome, frames, failures, recaps, headers, redraws."""
+    line = """case when o_orderkey % 40 in (3, 4, 5) then '' when o_orderkey % 41 = 0 then 'note: run with `RUST_BACKTRACE=1` environment variable'
+      when o_orderkey % 43 = 0 then concat('  File "/usr/lib/python3/site-packages/m.py", line ', o_custkey) when o_orderkey % 43 = 1 then '    return call(x)'
+      when o_orderkey % 47 = 0 then 'failures:' when o_orderkey % 53 = 0 then concat(o_orderkey % 100, '% done', chr(13), 'next') when o_orderkey % 7 = 0 and o_orderstatus = 'F' then concat('test orders::case_', o_orderkey, ' ... FAILED')
+      when o_orderkey % 11 = 0 then concat('    orders::case_', o_orderkey - 11 - o_orderkey % 7) when o_orderkey % 59 = 0 then 'warning: the cache is stale' when o_orderkey % 61 = 0 then concat('=== RUN   Test', o_custkey)
+      when o_orderkey % 3 = 0 then concat('test orders::case_', o_orderkey, ' ... ok') when o_orderkey % 97 = 0 then concat('odd', o_custkey % 7, ' reading of gauge ', o_custkey) when o_orderkey % 300 >= 200 then concat('worker took ', o_custkey, 'ms')
+      when o_orderkey % 300 >= 190 then 'still waiting for the shard-12 lock' else concat('step_', o_custkey % 90, ' on ', lower(o_orderpriority), ' of clerk ', o_custkey) end"""
+    x = table(spark, sf_dir, "orders").selectExpr("concat('run-', o_orderkey div 1500) capture_id", "o_orderkey", f"concat({line}, chr(10)) line")
+    return _numbered(x, "o_orderkey")
 
 
 def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,17 +87,16 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of the first thirty events of a user."""
-    w = W.partitionBy("user_id").orderBy("event_id")
-    x = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.row_number().over(w).alias("r")).where("r <= 30")
-    total = F.sum("value").over(W.partitionBy("user_id"))
+    """Probabilities of thirty events each of a user, in their order; the last answer of a user may have fewer."""
+    x = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.expr("(row_number() over (partition by user_id order by event_id) - 1) div 30").alias("part"))
+    total = F.sum("value").over(W.partitionBy("user_id", "part"))
     p = F.round(F.when(total == 0, 0.0).otherwise(F.col("value") / total), 6)
-    return x.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("capture_id"), F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("candidate_id"), p.alias("probability"), (F.col("user_id") % 9 / 2.0).alias("need"))
+    return x.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("capture_id"), F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("candidate_id"), p.alias("probability"), (F.col("user_id") % 9 / 2.0).alias("need"))
 
 
 def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A benchmark run of each order line: scenario the part, arm the return flag."""
-    x = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    """A benchmark run of the order lines of each part and return flag: scenario the part, arm the flag."""
+    x = table(spark, sf_dir, "lineitem")
     return x.selectExpr("cast(l_partkey as string) scenario", "concat('suite-', cast(l_partkey % 3 as string)) suite", "case l_returnflag when 'N' then 'native' when 'A' then 'rules' else 'ranker' end arm", "cast(l_quantity * 100 as bigint) tokens", "l_partkey % 4 <> 0 verified").groupBy("scenario", "suite", "arm").agg(F.sum("tokens").alias("est_tokens"), F.bool_and("verified").alias("verified"), F.lit(2).cast("long").alias("needles_total"), F.expr("case when arm = 'rules' and cast(scenario as bigint) % 5 = 0 then 1L else 2L end").alias("needles_found"))
 
 
