@@ -2,22 +2,27 @@
 
 Three machines over the tropical semiring (weights add along a path, the least path wins):
 
-* the *normaliser* puts the dummy prefix and takes a space to the meta symbol;
-* the *lexicon* takes characters to pieces: a trie, one final arc for each piece, and a byte-fallback arc path of heavy weight
-  for each character that no piece spells;
-* the *grammar* reads pieces. For a unigram model it has one state, and a piece weighs minus its score. For a BPE model it has
-  a state for each last piece, and the arc from piece a to piece b is there only where merging would keep a and b apart
-  (see ``Grammar.holds``); any sequence without a missing arc is the one that merging arrives at, so the
-  least path is the BPE segmentation, not an approximation of it.
-
-An input is composed with the machines lazily, and the shortest path is taken left to right over the composed lattice.
-The lattice has a bridge (a position that every path passes in the start state) wherever no piece spells the two characters
-next to each other, and before a word's first meta symbol where no piece holds one inside. Between bridges stretches are solved each
-for itself, and a worker remembers those it has solved, up to a bound. So memory follows the longest stretch, not the text.
+* the *normaliser* takes characters to characters: a trie of the model's rewrites (its precompiled charsmap), left to right, the
+  longest match first, and an arc that copies where none matches. The meta symbol for a space, the dummy prefix and the squeezing
+  of spaces follow, as the model has them;
+* the *lexicon* takes characters to pieces: a trie with an arc back to its start for each piece, weighing minus its score, and a path of
+  heavy weight for a character that no piece spells, which gives its byte pieces or the unknown one;
+* the *grammar* reads pieces. For a unigram model it has one state. For a BPE model a piece weighs nothing in the lexicon, and the
+  grammar has a state for each last piece, with an arc of weight 0 from piece a to piece b where merging keeps a and b apart (see
+  ``Grammar.holds``) and of infinite weight elsewhere; any sequence of finite weight is the one that merging arrives at,
+  so the least path is the BPE segmentation, not an approximation of it.
+
+A normalised input is composed with lexicon and grammar lazily: states are (position, grammar state) at the lexicon's start, arcs are
+relaxed from left to right, and the least path is read back. The composition has a bridge (a position that every path passes in the
+start state) wherever no piece spells the two characters next to each other, and before a word's first meta symbol where no piece
+holds one inside. Between bridges stretches are solved each for itself, and a worker remembers those it has solved, up to a bound. So
+memory follows the longest stretch, not the text.
 
 Defined results: null gives null ids, an empty text none. Unknown characters give byte pieces where the model has them, else the
-unknown id. Control pieces in a text are ordinary characters. ``decode`` takes back byte runs as UTF-8, invalid bytes as U+FFFD.
-Only ids and text are read or written; other columns pass through.
+unknown id, once for a run of them. Control pieces in a text are ordinary characters. ``decode`` takes back byte runs as UTF-8,
+invalid bytes as U+FFFD. Where several paths weigh the same, the one found first stands (shorter pieces first). Repeated rows are
+encoded alike, and an empty table gives an empty one. Only ids and text are read or written; other columns pass through, and those
+named like a result, in any case of letters, are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +30,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -35,11 +39,86 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
-_FALLBACK = 1e6
+_FALLBACK, _INFINITE = 1e6, float("inf")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE, _UNUSED = 1, 2, 3, 4, 6, 5
 _BPE = 2
 
 
+class Normaliser:
+    """The rewrites of a charsmap: a trie over characters whose states may have an output."""
+
+    def __init__(self, rewrites: dict[str, str]) -> None:
+        self.arcs: list[dict[str, int]] = [{}]
+        self.output: list[str | None] = [None]
+        for key, value in rewrites.items():
+            state = 0
+            for c in key:
+                if c not in self.arcs[state]:
+                    self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.output.append(None)
+                state = self.arcs[state][c]
+            self.output[state] = value
+        first = {c for key in rewrites for c in key[:1]}
+        # of ASCII texts, only rewrites that are ASCII all through can match
+        self._plain = re.compile("|".join(map(re.escape, sorted((k for k in rewrites if k.isascii()), key=len, reverse=True))) or "(?!)")
+        self._starts = first
+
+    def __call__(self, text: str) -> str:
+        if len(self.arcs) == 1:
+            return text
+        if text.isascii():
+            return self._plain.sub(lambda m: self._longest(text, m.start())[1], text)
+        out, at, n, starts = [], 0, len(text), self._starts
+        while at < n:
+            if text[at] in starts:
+                at, piece = self._longest(text, at)
+                out.append(piece)
+            else:
+                out.append(text[at])
+                at += 1
+        return "".join(out)
+
+    def _longest(self, text: str, at: int) -> tuple[int, str]:
+        """(end, output) of the longest rewrite that begins at a place, or of a copy of its character."""
+        state, end, found = 0, at + 1, text[at]
+        for i in range(at, len(text)):
+            state = self.arcs[state].get(text[i], -1)
+            if state < 0:
+                break
+            if self.output[state] is not None:
+                end, found = i + 1, self.output[state]
+        return end, found
+
+
+def rewrites_of(charsmap: bytes) -> dict[str, str]:
+    """The pairs of a precompiled charsmap: the size of a double-array trie, its units, and the outputs, each ended by a zero byte.
+
+    A unit holds a label in its low byte, a flag for an output at bit 8, and an offset above; a unit with bit 31 holds a value."""
+    if not charsmap:
+        return {}
+    size = int.from_bytes(charsmap[:4], "little")
+    units = np.frombuffer(charsmap[4 : 4 + size], "<u4").astype(np.int64)
+    outputs = charsmap[4 + size :]
+    offset = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+    found: dict[str, str] = {}
+    labels = np.arange(1, 256)
+    todo = [(int(offset(units[0])), b"")]
+    while todo:
+        base, key = todo.pop()
+        to = base ^ labels
+        to, own = to[to < len(units)], labels[to < len(units)]
+        fits = (units[to] & ((1 << 31) | 0xFF)) == own
+        for node, label in zip(to[fits].tolist(), own[fits].tolist(), strict=True):
+            unit, more = int(units[node]), key + bytes([label])
+            below = node ^ int(offset(unit))
+            if unit >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                found[more.decode()] = outputs[start : outputs.index(b"\0", start)].decode()
+            todo.append((below, more))
+    return found
+
+
 @dataclass
 class Machines:
     pieces: list[str]
@@ -48,9 +127,13 @@ class Machines:
     bpe: bool
     dummy_prefix: bool
     squeeze: bool
+    rewrites: dict[str, str] = field(default_factory=dict)
     number: dict[str, int] = field(default_factory=dict)
     bytes_: dict[int, int] = field(default_factory=dict)
     unknown: int = 0
+    #: weight of each piece in the lexicon, and of a character that no piece spells
+    weights: list[float] = field(default_factory=list)
+    fallback: float = _FALLBACK
     longest: int = 1
     joined: frozenset[str] = frozenset()
     bridges: re.Pattern | None = None
@@ -60,6 +143,12 @@ class Machines:
         self.number = dict(spelled)
         self.bytes_ = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == _BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == _UNKNOWN), 0)
+        if self.bpe:
+            self.weights = [0.0] * len(self.pieces)
+        else:  # user pieces win over any way to spell them, and unknown characters lose
+            scores = [self.scores[i] for _, i in spelled if self.kinds[i] == _NORMAL] or [0.0]
+            self.weights = [-(len(p) * max(scores) - 0.1) if k == _USER else -x for p, k, x in zip(self.pieces, self.kinds, self.scores, strict=True)]
+            self.fallback = 10.0 - min(scores)
         self.longest = max((len(p) for p in self.number), default=1)
         self.joined = frozenset(p[i : i + 2] for p in self.number for i in range(len(p) - 1))
         self.bridges = self._bridges()
@@ -84,14 +173,12 @@ class Machines:
 
 
 def load(path: str = MODEL) -> Machines:
-    """Compile the machines of a model file. Only identity normalisation is compiled; a charsmap is refused."""
+    """Compile the machines of a model file."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
     m.ParseFromString(Path(path).read_bytes())
-    if m.normalizer_spec.precompiled_charsmap:
-        raise ValueError("a precompiled charsmap is not supported; use a model with identity normalisation")
-    return Machines([p.piece for p in m.pieces], [p.type for p in m.pieces], [p.score for p in m.pieces], m.trainer_spec.model_type == _BPE, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces)
+    return Machines([p.piece for p in m.pieces], [p.type for p in m.pieces], [p.score for p in m.pieces], m.trainer_spec.model_type == _BPE, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, rewrites_of(m.normalizer_spec.precompiled_charsmap))
 
 
 class Grammar:
@@ -102,7 +189,7 @@ class Grammar:
     def __init__(self, m: Machines) -> None:
         self.m = m
         self._spine: dict[tuple[str, bool], list[tuple[str, tuple, tuple]]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, float] = {}
 
     def _rank(self, piece: str) -> float:
         i = self.m.number.get(piece)
@@ -142,9 +229,18 @@ class Grammar:
         return self.spine(self.m.pieces[piece], True) is not None
 
     def holds(self, a: int, b: int) -> bool:
+        return self._apart(self.m.pieces[a], self.m.pieces[b])
+
+    def weigh(self, state: int, piece: int) -> float:
+        """Weight of the arc that reads a piece, remembered up to a bound. State and piece are -1 for the start and -2 for a
+        character outside the lexicon, next to which any piece may stand that merging arrives at."""
         if len(self.pairs) > 1_000_000:
             self.pairs.clear()
-        found = self.pairs[a << 20 | b] = self._apart(self.m.pieces[a], self.m.pieces[b])
+        if piece < 0:
+            fits = True
+        else:
+            fits = self.sound(piece) if state < 0 else self.holds(state, piece)
+        found = self.pairs[(state + 2) << 20 | (piece + 2)] = 0.0 if fits else _INFINITE
         return found
 
     def _apart(self, a: str, b: str) -> bool:
@@ -186,70 +282,44 @@ class Codec:
                 node = node.setdefault(c, {})
             node[""] = i
         self._cut = machines.bridges
+        self.normalise = Normaliser(machines.rewrites)
 
     # -- composition and shortest path ---------------------------------------------------------------------------------
     def shortest(self, s: str) -> list[int]:
-        """Ids on the least path of the composition of one stretch with lexicon and grammar, opened from the left an arc at a
-        time. With the unigram grammar a position has one state; the BPE grammar is searched by ``_only``."""
-        if self.m.bpe:
-            return self._only(s)
-        m, n = self.m, len(s)
-        trie = self.trie
-        last: list[int | None] = [None] * (n + 1)
-        before, weight = [0] * (n + 1), [float("inf")] * (n + 1)
-        last[0], weight[0] = -1, 0.0
+        """Ids on the least path of the composition of one stretch with lexicon and grammar. ``reached[i]`` holds the composed states at
+        position i: grammar state to (weight, position before, state before, piece). Positions are closed from left to right, as every
+        arc leads on."""
+        n, bpe, weights, known, weigh = len(s), self.m.bpe, self.m.weights, self.grammar.pairs.get, self.grammar.weigh
+        fallback = self.m.fallback
+        reached: list[dict[int, tuple[float, int, int, int]] | None] = [None] * (n + 1)
+        reached[0] = {-1: (0.0, -1, -1, -1)}
         for at in range(n):
-            if last[at] is None:
+            now = reached[at]
+            if now is None:
                 continue
-            so_far, node, alone = weight[at], trie, False
-            for end in range(at + 1, n + 1):
-                node = node.get(s[end - 1])
-                if node is None:
-                    break
-                piece = node.get("")
-                if piece is None:
-                    continue
-                alone = alone or end == at + 1
-                w = so_far - m.scores[piece]
-                if w < weight[end]:
-                    last[end], before[end], weight[end] = piece, at, w
-            if not alone and so_far + _FALLBACK < weight[at + 1]:
-                last[at + 1], before[at + 1], weight[at + 1] = -2, at, so_far + _FALLBACK
-        if last[n] is None:
+            for end, piece in self._arcs(s, at):
+                lexical = weights[piece] if piece >= 0 else fallback
+                for state, (so_far, _, _, _) in now.items():
+                    weight = so_far + lexical
+                    if bpe:
+                        more = known((state + 2) << 20 | (piece + 2))
+                        weight += weigh(state, piece) if more is None else more
+                        if weight == _INFINITE:
+                            continue
+                    to = piece if bpe else 0
+                    after = reached[end]
+                    if after is None:
+                        reached[end] = {to: (weight, at, state, piece)}
+                    elif to not in after or weight < after[to][0]:
+                        after[to] = (weight, at, state, piece)
+        if not reached[n]:
             raise ValueError(f"no path through {s!r}")
-        return self._ids(s, last, before)
-
-    def _only(self, s: str) -> list[int]:
-        """The least path where arcs that the BPE grammar forbids weigh infinity. A prefix has one segmentation without such
-        an arc, so a position is reached with one last piece, and has been settled once it was left for good: the search
-        goes depth first, longest arc first, and opens no position twice."""
-        n, pairs, holds, sound = len(s), self.grammar.pairs, self.grammar.holds, self.grammar.sound
-        last: list[int | None] = [None] * (n + 1)
-        before = [0] * (n + 1)
-        last[0], at, open_ = -1, 0, [(0, self._arcs(s, 0))]
-        while at < n:
-            if not open_:
-                raise ValueError(f"no path through {s!r}")
-            at, arcs = open_[-1]
-            own = last[at]
-            while arcs:
-                end, piece = arcs.pop()
-                if last[end] is not None:
-                    continue
-                if own >= 0 and piece >= 0:
-                    fits = pairs.get(own << 20 | piece)
-                    if fits is None:
-                        fits = holds(own, piece)
-                else:
-                    fits = piece < 0 or sound(piece)
-                if fits:
-                    last[end], before[end], at = piece, at, end
-                    if end < n:
-                        open_.append((end, self._arcs(s, end)))
-                    break
-            else:
-                open_.pop()
-        return self._ids(s, last, before)
+        path, at, state = [], n, min(reached[n], key=lambda g: reached[n][g][0])
+        while at > 0:
+            _, before, old, piece = reached[at][state]
+            path.append((before, at, piece))
+            at, state = before, old
+        return self._ids(s, path[::-1])
 
     def _arcs(self, s: str, at: int) -> list[tuple[int, int]]:
         """Lexicon arcs from a position, the shortest first: (end, piece), piece -2 for the byte fallback of one character."""
@@ -266,16 +336,16 @@ class Codec:
             found.insert(0, (at + 1, -2))
         return found
 
-    def _ids(self, s: str, last: list[int | None], before: list[int]) -> list[int]:
-        m, out, at = self.m, [], len(s)
-        while at > 0:
-            piece, start = last[at], before[at]
-            if piece == -2:
-                out.append([m.bytes_[b] for b in s[start:at].encode("utf-8", "surrogatepass")] if m.bytes_ else [m.unknown])
+    def _ids(self, s: str, path: list[tuple[int, int, int]]) -> list[int]:
+        m, out = self.m, []
+        for start, end, piece in path:
+            if piece >= 0:
+                out.append(piece)
+            elif m.bytes_:
+                out += [m.bytes_[b] for b in s[start:end].encode("utf-8", "surrogatepass")]
             else:
-                out.append([piece])
-            at = start
-        return [i for ids in reversed(out) for i in ids]
+                out.append(m.unknown)
+        return out
 
     def _stretch(self, s: str) -> bytes:
         """Ids of a stretch, as int32 bytes, cut further at characters that no piece holds together."""
@@ -289,8 +359,11 @@ class Codec:
     def encode_bytes(self, text: str) -> bytes:
         if not text:
             return b""
+        text = self.normalise(text)
         if self.m.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
+            if not text:
+                return b""
         s = (" " if self.m.dummy_prefix else "") + text
         s = s.replace(" ", META)
         solved, out = self.solved, []
@@ -303,7 +376,12 @@ class Codec:
                         solved.clear()
                     solved[part] = ids
             out.append(ids)
-        return b"".join(out)
+        raw = b"".join(out)
+        if self.m.bytes_:
+            return raw
+        ids = np.frombuffer(raw, np.int32)  # a run of unknown characters is one
+        again = np.concatenate([[False], (ids[1:] == self.m.unknown) & (ids[:-1] == self.m.unknown)]) if len(ids) else np.empty(0, bool)
+        return ids[~again].tobytes() if again.any() else raw
 
     def encode(self, text: str | None) -> list[int] | None:
         return None if text is None else np.frombuffer(self.encode_bytes(text), np.int32).tolist()
@@ -365,23 +443,30 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
-    return Codec(load(path))
+_codecs: dict[int, Codec] = {}
+
+
+def _codec(machines: Machines) -> Codec:
+    """The codec of a worker process, kept from task to task."""
+    key = hash((tuple(machines.pieces), tuple(machines.scores), tuple(machines.kinds), machines.bpe, machines.dummy_prefix, machines.squeeze, len(machines.rewrites)))
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(machines)
+    return _codecs[key]
 
 
 def encode(docs: DataFrame, text: str = "text", column: str = "ids", model: str = MODEL, check: bool = False) -> DataFrame:
     """``docs`` with the ids of each text; with ``check``, also ``n_tokens`` and ``round_trip`` (decoding gives the text back,
-    the meta symbol counting as a space). Works in the scan's own partitions; the model is read from ``model`` by each worker,
-    or where workers can't open that path, from what the driver read."""
+    the meta symbol counting as a space). Works in the scan's own partitions; the driver reads the model, and workers get its machines with the
+    task."""
     machines = load(model)
-    new = {column, *(("n_tokens", "round_trip") if check else ())}
-    kept = [f for f in docs.schema.fields if f.name not in new]
+    new = {column.lower(), *(("n_tokens", "round_trip") if check else ())}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in new]
     passed = [f.name for f in kept]
     fields = [T.StructField(column, T.ArrayType(T.IntegerType()))] + ([T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())] if check else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Codec(machines)
+        c = _codec(machines)
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
@@ -404,11 +489,11 @@ def encode(docs: DataFrame, text: str = "text", column: str = "ids", model: str
 def decode(rows: DataFrame, ids: str = "ids", column: str = "decoded", model: str = MODEL) -> DataFrame:
     """``rows`` with the text of each id list. Ids out of range are an error."""
     machines = load(model)
-    kept = [f for f in rows.schema.fields if f.name != column]
+    kept = [f for f in rows.schema.fields if f.name.lower() != column.lower()]
     passed = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Codec(machines)
+        c = _codec(machines)
         for batch in batches:
             out = [c.decode(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(p)) for p in passed), pa.array(out, pa.string())], names=[*passed, column])

@@ -126,6 +126,41 @@ def test_unigram_models_take_the_cheapest_path():
     assert [m.pieces[i] for i in c.encode("ab")] == ["▁", "ab"]
 
 
+def unigram_model():
+    """A unigram model with a charsmap, made by hand: pieces with scores, byte fallback off."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf").serialized_model_proto())
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(p, -1.0 - 0.37 * i % 3 - len(p) * 0.9, 1) for i, p in enumerate([*"abcdefghiklmnoprstuvwy▁0123456789.,", "▁the", "the", "he", "▁a", "an", "and", "ing", "in", "er", "re", "▁s", "st", "ch", "sch", "über", "ü", "é", "fi", "ffi", "ab", "abc", "bc", "▁▁", "12", "123"])]
+    del m.pieces[:]
+    for p, score, kind in pieces:
+        m.pieces.add(piece=p, score=score, type=kind)
+    m.trainer_spec.model_type = 1
+    m.normalizer_spec.add_dummy_prefix = True
+    m.normalizer_spec.remove_extra_whitespaces = True
+    m.normalizer_spec.escape_whitespaces = True
+    return m.SerializeToString()
+
+
+def test_unigram_models_with_a_charsmap_equal_the_public_library(tmp_path):
+    import random
+
+    import sentencepiece
+
+    raw = unigram_model()
+    (tmp_path / "u.model").write_bytes(raw)
+    ref = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    c = piece_codec.Codec(piece_codec.load(str(tmp_path / "u.model")), most_stretches=50)
+    rng = random.Random(5)
+    alphabet = "abcdehinrst ,.12  ABC é\u0301ﬁüÜ①ＡＢ\u00a0\u3000Ⅳ中½ \t"
+    for t in HARD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(1500)]:
+        if "\x00" not in t:
+            assert c.encode(t) == ref.encode(t), repr(t)
+
+
 def test_encode_on_a_table(spark):
     df = spark.createDataFrame([(1, "hello there", "k"), (2, None, "k"), (3, "", "k"), (3, "", "k")], "doc_id long, text string, ids string")
     got = sorted(piece_codec.encode(df, check=True).collect(), key=lambda r: r["doc_id"])
