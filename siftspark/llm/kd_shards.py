@@ -1,19 +1,21 @@
 """Sharding by a k-d tree over metadata, with leaves of nearly equal bytes.
 
-A node is split across its widest metadata dimension (size, language, source, id; each scaled to the same range over all rows) at
-the median weighted by bytes, until a leaf holds no more than the target or the depth is reached. A dimension's order goes on with
-the text's checksum, then the id, then the row, so a cut can fall inside a group of ties of any size; equal texts stay
-together unless the cut falls among them.
+A node that stands for k of the n shards is split across its widest metadata dimension (size, language, source, id; each scaled to
+the same range over all rows) into k // 2 shards and the rest, at the median weighted by bytes, or at the quantile of that share where k is
+odd, until a node stands for one shard. A dimension's order goes on with the text's checksum, then the id, then the row, so a
+cut can fall inside a group of ties of any size; equal texts stay together unless the cut falls among them.
 
-Medians are exact and distributed: the order is a number of 128 bits, read 12 bits at a time. Each pass sums bytes by (node, digit)
-in the scan's partitions before a shuffle of those sums; all nodes of a level share a pass, and at most nodes x 4096 sums
-reach the driver. Texts are scanned once, to a narrow table of sizes and checksums.
+Cuts are exact and distributed: between two rows, where the bytes before are nearest to the share. The order is a number of 128 bits,
+read 12 bits at a time until one row is left (rows that agree in all 128 bits stay together). Each pass sums bytes by (node, digit) in
+the scan's partitions before a shuffle of those sums; all nodes of a level share a pass, and at most nodes x 4096 sums reach the
+driver. Texts are scanned once, to a narrow table of sizes and checksums.
 
 Slots are gapless: rows are dealt to buckets by a hash of the row, a shard's buckets begin where the ones before end, and only the
 inside of a bucket is sorted, so a shard is never in one task.
 
 Defined results: a null text has size 1 and the checksum of the empty text. Null labels are a value of their own; null ids
 come first. Repeated rows get slots of their own. Fewer rows than shards leave shards empty. An empty table gives an empty result.
+Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ class Node:
     name: int
     bytes_: int
     rows: int
+    #: how many shards it stands for
+    shards: int = 1
     dim: int = 0
     #: rows with (high, low) of the node's order up to these go left
     cut: tuple[int, int] | None = None
@@ -74,7 +78,7 @@ def _walk(node: Node, value) -> Column:
 
 
 def _medians(rows: DataFrame, nodes: list[Node]) -> None:
-    """Set the cut of each node: the end of a prefix of its order with nearly half of its bytes."""
+    """Set the cut of each node: the end of a prefix of its order with nearly its left shards' part of the bytes."""
     pick = lambda f: F.coalesce(*(F.when(F.col("node") == n.name, f(n)) for n in nodes))
     rows = rows.withColumn("high", pick(lambda n: F.col(f"k{n.dim}")))
     before = {n.name: 0 for n in nodes}
@@ -97,16 +101,15 @@ def _medians(rows: DataFrame, nodes: list[Node]) -> None:
         sums = rows.where(keep).groupBy("node", digit.alias("digit")).agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()
         for name, n in list(open_.items()):
             mine = sorted((r["digit"], r["w"], r["n"]) for r in sums if r["node"] == name)
-            half, at = n.bytes_ / 2, before[name]
+            half, at = n.bytes_ * (n.shards // 2) / n.shards, before[name]
             for digit_, w, count in mine:
                 if at + w >= half:
                     break
                 at += w
             before[name] = at
             prefix[name][part] = (prefix[name][part] << _DIGIT) | digit_
-            fine = w <= n.bytes_ * 2e-4 or count == 1 or level == 11
-            if fine:  # the cut is before or after this last piece, whichever is nearer to half
-                take = at + w - half <= half - at or at == 0
+            if count == 1 or level == 11:  # the cut is before or after this last row, whichever is nearer; no side is empty
+                take = at == 0 or (at + w - half <= half - at and at + w < n.bytes_)
                 hi, lo = prefix[name]
                 if part == 0:
                     end = ((hi + 1) << shift) - 1 if take else (hi << shift) - 1
@@ -118,42 +121,40 @@ def _medians(rows: DataFrame, nodes: list[Node]) -> None:
             return
 
 
-def grow(rows: DataFrame, total: int, count: int, target: int, depth: int) -> Node:
+def grow(rows: DataFrame, total: int, count: int, n: int) -> Node:
     """The tree over described and scaled rows."""
-    root, level = Node(1, total, count), 0
+    root = Node(1, total, count, n)
     leaves = [root]
-    while level < depth and (big := [n for n in leaves if n.bytes_ > target and n.rows > 1]):
-        placed = rows.withColumn("node", _walk(root, lambda n: n.name)) if level else rows.withColumn("node", F.lit(1))
-        wide = placed.groupBy("node").agg(*(f(F.shiftright(f"k{i}", 32)).alias(f"{n}{i}") for i in range(4) for n, f in (("a", F.min), ("z", F.max)))).collect()
+    while big := [x for x in leaves if x.shards > 1 and x.rows > 1]:
+        placed = rows.withColumn("node", _walk(root, lambda x: x.name)) if root.cut else rows.withColumn("node", F.lit(1))
+        wide = placed.groupBy("node").agg(*(f(F.shiftright(f"k{i}", 32)).alias(f"{end}{i}") for i in range(4) for end, f in (("a", F.min), ("z", F.max)))).collect()
         spread = {r["node"]: [r[f"z{i}"] - r[f"a{i}"] for i in range(4)] for r in wide}
-        for n in big:
-            n.dim = max(range(4), key=lambda i: (spread[n.name][i], -i))
+        for x in big:
+            x.dim = max(range(4), key=lambda i: (spread[x.name][i], -i))
         _medians(placed, big)
-        for n in big:
-            n.left, n.right = Node(2 * n.name, 0, 0), Node(2 * n.name + 1, 0, 0)
-        held = rows.withColumn("node", _walk(root, lambda n: n.name)).groupBy("node").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()
+        for x in big:
+            x.left, x.right = Node(2 * x.name, 0, 0, x.shards // 2), Node(2 * x.name + 1, 0, 0, x.shards - x.shards // 2)
+        held = rows.withColumn("node", _walk(root, lambda x: x.name)).groupBy("node").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()
         of = {r["node"]: (r["w"], r["n"]) for r in held}
-        leaves = [c for n in big for c in (n.left, n.right)]
+        leaves = [c for x in big for c in (x.left, x.right)]
         for c in leaves:
             c.bytes_, c.rows = of.get(c.name, (0, 0))
-        level += 1
     return root
 
 
 def _number(node: Node, at: int = 0) -> dict[int, int]:
     if node.cut is None:
         return {node.name: at}
-    left = _number(node.left, at)
-    return left | _number(node.right, at + len(left))
+    return _number(node.left, at) | _number(node.right, at + node.left.shards)
 
 
-def shards(docs: DataFrame, n: int = 8, slack: float = 1.05, bucket_rows: int = 20_000) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for rows (doc_id, text, lang, source): leaves of at most
-    ``slack`` times an equal part of the bytes, as far as rows can be parted, and at most ``n`` of them."""
+def shards(docs: DataFrame, n: int = 8, bucket_rows: int = 20_000) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for rows (doc_id, text, lang, source): shards 0 to n - 1 of
+    nearly equal bytes, as far as rows can be parted. The tree is an expression of the plan: n is some hundreds at most."""
     rows, total, count = _scaled(materialize(describe(docs), "shard-rows"))
     if not count:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    root = grow(rows, total, count, int(total / n * slack), (n - 1).bit_length())
+    root = grow(rows, total, count, n)
     number = _number(root)
     buckets = count // bucket_rows + 1
     placed = rows.withColumn("shard", _walk(root, lambda x: number[x.name])).withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(buckets)).cast("int"))

@@ -1,8 +1,8 @@
 """Tables written to the folder that every node of the cluster shares.
 
 Iterative operators cut their lineage here: a table in the shared folder outlives any executor, so a lost one costs only
-the tasks it was running. The folder is read from ``spark.checkpoint.dir``; a temporary one is set only where the session
-has none (tests, notebooks).
+the tasks it was running. The folder is read from ``spark.checkpoint.dir``. Only a session without executors of its own (local mode:
+tests, notebooks) may go without the setting; a temporary folder is set for it. On a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that every node shares")
         found = tempfile.mkdtemp(prefix="siftspark-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -134,6 +134,33 @@ def test_shards_are_even_and_gapless(spark):
     assert {r["shard"] for r in kd_shards.shards(df.limit(3)).collect()} <= set(range(8))
 
 
+@pytest.mark.parametrize("n", [1, 3, 6, 8])
+def test_shards_equal_a_plain_tree(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.randrange(5000), "y" * rng.randint(0, 300), rng.choice(["en", "de", None]), rng.choice(["a", "b", "hot", "hot", "hot"])) for _ in range(400)] + [(7, "same", "en", "hot")] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    narrow, _, _ = kd_shards._scaled(kd_shards.describe(df))
+    points = [r.asDict() for r in narrow.collect()]
+
+    def split(part, k):
+        if k == 1 or len(part) < 2:
+            return [part] + [[] for _ in range(k - 1)]
+        spread = [max(x[f"k{d}"] >> 32 for x in part) - min(x[f"k{d}"] >> 32 for x in part) for d in range(4)]
+        d = max(range(4), key=lambda i: (spread[i], -i))
+        part = sorted(part, key=lambda x: (x[f"k{d}"], x["low"]))
+        share, sums = sum(x["size"] for x in part) * (k // 2) / k, [0]
+        for x in part:
+            sums.append(sums[-1] + x["size"])
+        cut = min(range(1, len(part)), key=lambda i: (abs(sums[i] - share), -i))
+        return split(part[:cut], k // 2) + split(part[cut:], k - k // 2)
+
+    want = [sorted((x["doc_id"], x["size"], x["text_crc32"]) for x in leaf) for leaf in split(points, n)]
+    got = [[] for _ in range(n)]
+    for r in kd_shards.shards(df, n).collect():
+        got[r["shard"]].append((r["doc_id"], r["size"], r["text_crc32"]))
+    assert [sorted(x) for x in got] == want
+
+
 def likeness(a, b):
     cells = lambda t: set(re.findall(r"[^\n]{1,128}", t))
     x, y = cells(a), cells(b)
