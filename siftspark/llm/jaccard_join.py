@@ -55,9 +55,10 @@ class Join:
     width: int = 5
     numerator: int = 80
     denominator: int = 100
-    #: shingles in one block of texts, and in one range of hashes
-    block_tokens: int = 2_000_000
-    part_tokens: int = 4_000_000
+    #: shingles in one block of texts, and in one range of hashes; a worker takes some 60 bytes a shingle of either, and fewer and larger
+    #: ones make fewer rows of more postings, so executors with more memory should have larger ones
+    block_tokens: int = 1_000_000
+    part_tokens: int = 2_000_000
     #: a block with more classes or shingles is thinned and cut into chunks
     block_classes: int = 1000
     block_size: int = 2_000_000
@@ -186,24 +187,29 @@ def _lists(packed: DataFrame, parts: int, homes: int) -> DataFrame:
             return pd.DataFrame({"block": pdf["block"], "kind": pdf["kind"], "tokens": pdf["low"], "ords": pdf["ords"], "lengths": pdf["counts"]})
         start = part_start(part, parts)
         blocks = pdf["block"].to_numpy()
-        size = (pdf["low"].str.len() // pdf["width"]).to_numpy()
-        tokens = np.concatenate([unpack(x, k, start) for x, k in zip(pdf["low"], pdf["width"], strict=True)])
-        ords = np.frombuffer(b"".join(pdf["ords"]), np.uint16)
-        counts = np.frombuffer(b"".join(pdf["counts"]), np.int32)
-        del pdf
-        weight = np.ones(len(tokens), dtype=np.int32)
-        weight[ords == _MANY] = counts
-        row = np.repeat(np.arange(len(blocks), dtype=np.int32), size)
-        by = np.argsort(tokens, kind="stable")
-        tokens, ords, weight, row = tokens[by], ords[by], weight[by], row[by]
-        del by
-        head = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        length = np.add.reduceat(weight.astype(np.int64), head)
-        length = np.repeat(length, np.diff(np.append(head, len(tokens))))
-        live = np.flatnonzero(length > 1)
-        live = live[np.argsort(row[live], kind="stable")]
-        cuts = np.searchsorted(row[live], np.arange(len(blocks) + 1))
-        out = [(int(blocks[i]), _POSTS, tokens[at].tobytes(), ords[at].tobytes(), np.minimum(length[at], 2**31 - 1).astype(np.int32).tobytes()) for i in np.flatnonzero(np.diff(cuts)).tolist() for at in (live[cuts[i] : cuts[i + 1]],)]
+        cuts = np.concatenate([[0], np.cumsum([len(x) // k for x, k in zip(pdf["low"], pdf["width"], strict=True)])])
+        tokens = np.empty(cuts[-1], dtype=np.uint64)
+        ords = np.empty(cuts[-1], dtype=np.uint16)
+        weight = np.ones(cuts[-1], dtype=np.int32)
+        for i, (low, width, own, counts) in enumerate(zip(pdf["low"], pdf["width"], pdf["ords"], pdf["counts"], strict=True)):
+            at = slice(cuts[i], cuts[i + 1])
+            tokens[at], ords[at] = unpack(low, width, start), np.frombuffer(own, np.uint16)
+            if counts:
+                weight[at][ords[at] == _MANY] = np.frombuffer(counts, np.int32)
+        by = np.argsort(tokens, kind="stable").astype(np.int32)
+        sorted_ = tokens[by]
+        head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        del sorted_
+        total = np.minimum(np.add.reduceat(weight[by], head, dtype=np.int64), 2**31 - 1).astype(np.int32)
+        length = weight  # of the list of each posting, in the order of the rows
+        length[by] = np.repeat(total, np.diff(np.append(head, len(by))))
+        del by, head, total
+        out = []
+        for i in range(len(blocks)):
+            at = slice(cuts[i], cuts[i + 1])
+            live = length[at] > 1
+            if live.any():
+                out.append((int(blocks[i]), _POSTS, tokens[at][live].tobytes(), ords[at][live].tobytes(), length[at][live].tobytes()))
         return pd.DataFrame(out, columns=["block", "kind", "tokens", "ords", "lengths"])
 
     return packed.repartition(parts + homes, "part").groupBy("part").applyInPandas(run, _LISTS)
