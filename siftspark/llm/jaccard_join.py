@@ -2,12 +2,12 @@
 
 A document is the set of its distinct five-word shingles. Two documents link when 100 * |A and B| >= 80 * |A or B|.
 
-1. Equal texts meet first and go on once. Texts are taken in blocks of some millions of shingles; a text is a two-byte number in
-   its block. Equal sets are one *class*, named by a 64-bit hash of the set; one text of a class is searched for all.
+1. Texts are taken in blocks of a million shingles, in the scan's partitions. Equal sets are one *class*, named by a 64-bit hash of
+   the set; a class is a two-byte number in each block that has it, and one block's is searched for all.
 2. Lengths of the inverted lists. A block's shingle hashes are sorted, and those of a hash range travel together as differences of
-   six bytes with the text's number: eight bytes a posting, however many ranges there are. A shingle that several texts of a block
+   six bytes with the class's number: eight bytes a posting, however many ranges there are. A shingle that several classes of a block
    have sends one posting with their count, so a shingle of a third of all texts weighs a posting a block. Ranges add the counts up,
-   and send the length of each list back to the blocks on it. A shingle that only one text has can't be shared and goes no further.
+   and send the length of each list back to the blocks on it. A shingle of one class in one block can't be shared and goes no further.
 3. A class of n shingles needs T = ceil(0.8 n) of them in any partner, whatever the partner's size. With fewer than T shared
    shingles it has no partner. The rest keep their shared shingles, shortest list first; all lists but the last T - 1 are
    *short*: a partner is on at least one.
@@ -108,12 +108,13 @@ def unpack(low: bytes, width: int, start: int) -> np.ndarray:
 
 def _packed(texts: DataFrame, parts: int, homes: int, how: Join) -> DataFrame:
     """Blocks of texts. A block sends its postings to the ranges of their hashes, and to its home (one of ``homes`` numbers from
-    -1 down) the names, classes and sizes of its texts, and the members of each shingle that several of them have."""
+    -1 down) the names of its texts with their classes, sizes and numbers, and the members of each shingle that several classes have."""
 
-    def flush(names: list[tuple], sets: list[np.ndarray]) -> Iterator[tuple]:
-        block = names[0][0]
+    from pyspark import TaskContext
+
+    def flush(block: int, names: dict[tuple, tuple], sets: list[np.ndarray]) -> Iterator[tuple]:
         home = -1 - block % homes
-        table = np.array([(t, u, c, len(s)) for (t, u, c), s in zip(names, sets, strict=True)], dtype=np.int64)
+        table = np.array([(*name, *found) for name, found in names.items()], dtype=np.int64)
         yield home, block, _TEXTS, 0, table.tobytes(), b"", b""
         tokens = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
@@ -135,14 +136,15 @@ def _packed(texts: DataFrame, parts: int, homes: int, how: Join) -> DataFrame:
             yield p, block, _POSTS, width, low, ords[at].tobytes(), times[at][many[at]].astype(np.int32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[tuple[int, int, int]] = []
+        names: dict[tuple[int, int], tuple[int, int, int]] = {}  # name of a text to class, size and number in the block
+        classes: dict[int, int] = {}
         sets: list[np.ndarray] = []
-        total = 0
+        total, block = 0, TaskContext.get().partitionId() << 32
 
         def emit() -> Iterator[pa.RecordBatch]:
             held: list[tuple] = []
             weight = 0
-            for row in flush(names, sets) if names else ():
+            for row in flush(block, names, sets) if names else ():
                 held.append(row)
                 weight += len(row[4])
                 if len(held) >= 256 or weight > 1 << 22:
@@ -151,19 +153,25 @@ def _packed(texts: DataFrame, parts: int, homes: int, how: Join) -> DataFrame:
             if held:
                 yield _batch(held)
             names.clear()
+            classes.clear()
             sets.clear()
 
         for batch in batches:
             for t, u, x in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
+                if (t, u) in names:
+                    continue
                 s = kernel.shingles(_bytes(x.as_py()), how.width)
                 if not len(s):
                     continue
-                names.append((t, u, _set_id(s)))
-                sets.append(s)
-                total += len(s)
+                own = _set_id(s)
+                if own not in classes:
+                    classes[own] = len(sets)
+                    sets.append(s)
+                    total += len(s)
+                names[t, u] = (own, len(s), classes[own])
                 if total >= how.block_tokens or len(sets) >= _MANY:
                     yield from emit()
-                    total = 0
+                    total, block = 0, block + 1
         yield from emit()
 
     return texts.select("text_id", "text_id2", "text").mapInArrow(run, _PACKED)
@@ -221,10 +229,10 @@ def _members(lists: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.int64).reshape(-1, 4)
+                x = np.frombuffer(raw, np.int64).reshape(-1, 5)
                 for i in range(0, len(x), 10_000):
                     y = x[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), block)), pa.array(np.arange(i, i + len(y), dtype=np.int32)), pa.array(y[:, 0]), pa.array(y[:, 1].astype(np.int32)), pa.array(y[:, 2]), pa.array(y[:, 3])], names=["block", "ord", "text_id", "text_id2", "class", "n_shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), block)), pa.array(y[:, 4].astype(np.int32)), pa.array(y[:, 0]), pa.array(y[:, 1].astype(np.int32)), pa.array(y[:, 2]), pa.array(y[:, 3])], names=["block", "ord", "text_id", "text_id2", "class", "n_shingles"])
 
     return lists.where(F.col("kind") == _TEXTS).select("block", "tokens").mapInArrow(run, "block long, ord int, text_id long, text_id2 int, class long, n_shingles long")
 
@@ -433,8 +441,7 @@ def _prepared(docs: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(4, size // 5 // how.part_tokens + 1))
     homes = max(1, min(shuffles, parts))
-    once = texts.groupBy("text_id", "text_id2").agg(F.first("text").alias("text")).sortWithinPartitions("text_id", "text_id2")
-    lists = materialize(_lists(_packed(once, parts, homes, how), parts, homes), "lists")
+    lists = materialize(_lists(_packed(texts, parts, homes, how), parts, homes), "lists")
     return lists, _members(lists)
 
 
@@ -470,7 +477,8 @@ def _rooted(docs: DataFrame, how: Join) -> DataFrame:
     links, used = class_links(lists, members, how)
     root = components(links, "near")
     discard(lists, *used)
-    texts = members.join(root.select(F.col("node").alias("class"), "root"), "class", "left").select("text_id", "text_id2", F.struct("n_shingles", "class", F.coalesce("root", "class").alias("root")).alias("x"))
+    named = members.groupBy("text_id", "text_id2").agg(F.first("class").alias("class"), F.first("n_shingles").alias("n_shingles"))
+    texts = named.join(root.select(F.col("node").alias("class"), "root"), "class", "left").select("text_id", "text_id2", F.struct("n_shingles", "class", F.coalesce("root", "class").alias("root")).alias("x"))
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_id()), "names")
     by_name = skew_join(rows.withColumn("name", F.struct("text_id", "text_id2")), texts.select(F.struct("text_id", "text_id2").alias("name"), "x"), "name", "x")
     return materialize(by_name.select("doc_id", "text_id", "text_id2", F.coalesce("x.n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.col("x.class").alias("class"), F.col("x.root").alias("root")), "rooted")
