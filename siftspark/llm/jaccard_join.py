@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from siftspark.llm import kernel
 from siftspark.llm.graph import components
-from siftspark.llm.joins import skew_join
+from siftspark.llm.joins import skew_join, unused
 from siftspark.llm.store import discard, materialize
 
 
@@ -491,20 +491,12 @@ def near_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
     return skew_join(keyed.select("doc_id", "n_shingles", "root"), least, "root", "first").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
 
 
-def _unused(names: list[str], like: str) -> str:
-    """A column name that no column has in any case of letters."""
-    taken = {n.lower() for n in names}
-    while like in taken:
-        like += "_"
-    return like
-
-
 def keep_one(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id, and of several texts with
     that doc_id in the group one of the smallest (class, name of the text). Rows that repeat its doc_id and text stay once; documents
     without words or without a doc_id stay. Other columns pass through, whatever their names."""
     names = docs.columns
-    keep, text, text2 = (_unused(names, x) for x in ("keep", "keep_text", "keep_text2"))
+    keep, text, text2 = (unused(names, x) for x in ("keep", "keep_text", "keep_text2"))
     found = _rooted(docs.select("doc_id", "text"), how).where("root is not null and doc_id is not null")
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "class", "text_id", "text_id2")).alias("x")).select(F.col("x.doc_id").alias(keep), F.col("x.text_id").alias(text), F.col("x.text_id2").alias(text2))
     one, two = _text_id()

@@ -1,4 +1,4 @@
-"""A left join whose keys may be few and heavy."""
+"""A left join whose keys may be few and heavy, and names for helper columns."""
 
 from __future__ import annotations
 
@@ -25,3 +25,11 @@ def skew_join(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFr
     on_spot = rows.join(hot, key).select(*kept)
     rest = rows.join(F.broadcast(table.join(F.broadcast(heavy), key, "left_semi").select(key)), key, "left_anti").join(table, key, "left").select(*kept)
     return on_spot.unionByName(rest)
+
+
+def unused(names: list[str], like: str) -> str:
+    """A column name that no column has, in any case of letters."""
+    taken = {n.lower() for n in names}
+    while like in taken:
+        like += "_"
+    return like

@@ -12,7 +12,7 @@ in which it ends is sorted: a leaf with a third of all rows is no heavier for on
 
 Defined results: null labels form nodes of their own, named ``unknown``; null or wordless texts have no tokens and are left
 out. Rows with the same doc_id in a leaf are taken or left together. Nodes without a weight get the default; a weight of 0
-gets nothing. Amounts are rounded down, so up to one token for each child stays undealt. An empty table gives an empty result.
+gets nothing. In ``select`` other columns pass through, whatever their names. Amounts are rounded down, so up to one token for each child stays undealt. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def _weight(name: Column, weights: dict[str, int], default: int) -> Column:
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns of the tree and ``n_tokens``, under names that no column of it has."""
+    """``docs`` with the columns of the tree and its tokens, under names of two underscores, which no column of ``docs`` may have."""
     return docs.select("*", domain_of(F.col("source")).alias("__domain"), F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias("__lang"), F.coalesce(F.col("source").cast("string"), F.lit("unknown")).alias("__source"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("__tokens"))
 
 
@@ -108,7 +108,7 @@ def plan(narrow: DataFrame, how: Mix) -> DataFrame:
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return materialize(labelled(docs).where("__tokens > 0").select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens")), "mix-docs")
+    return materialize(labelled(docs.select("doc_id", "text", "lang", "source")).where("__tokens > 0").select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens")), "mix-docs")
 
 
 def _taken(rows: DataFrame, leaves: DataFrame, names: list[str], doc_id: str, how: Mix) -> DataFrame:
@@ -130,4 +130,5 @@ def select(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     narrow = _narrow(docs)
     leaves = plan(narrow, how)
     discard(narrow)
-    return _taken(labelled(docs).where("__tokens > 0"), leaves, ["__domain", "__lang", "__source"], "doc_id", how).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang", "source")  # columns of any name are safe inside
+    return _taken(labelled(rows).where("__tokens > 0"), leaves, ["__domain", "__lang", "__source"], "doc_id", how).select("row.*")

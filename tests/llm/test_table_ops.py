@@ -102,6 +102,19 @@ def test_near_duplicates_keep_one_and_blanks(spark):
     assert jaccard_join.keep_one(got.where("false")).count() == 0
 
 
+def test_stages_take_columns_of_any_name_and_empty_tables(spark):
+    import corpus_pipeline
+
+    names = ["keep", "KEEP_TEXT", "__tokens", "__Lang", "row", "Kept", "toxicity", "x__words"]
+    rows = [(i, "some words of a text that are here for all to read " * 2 + f"number {i // 2}", "en", "s1", *(f"{n}{i}" for n in names)) for i in range(6)] + [(None, None, None, None, *(None for _ in names)), (9, "", "en", "s1", *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        got = stage(spark, df, str(DATA))
+        assert got.columns == df.columns
+        assert all(r["keep"] == f"keep{r['doc_id']}" for r in got.collect() if r["doc_id"] is not None and r["doc_id"] < 9)
+        assert stage(spark, df.where("false"), str(DATA)).count() == 0
+
+
 def test_near_duplicates_of_repeated_ids_keep_one_of_each_group(spark):
     one, two, three = "a b c d e f g h", "other words are here for sure", "and a third text that nothing else is like"
     rows = [(1, one), (1, two), (1, three), (2, one), (7, three), (3, two), (1, one)]
