@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame. ``run`` writes each stage's
 result to the folder the cluster shares and reads it back as the next one's input. All stages but the last return the columns of
-``documents``.
+``documents``; other columns pass through them, whatever their names.
+
+Defined results: an empty table stays empty. Null and empty texts score as the toxicity model scores a text without words, and then
+fail the base rule. Repeated rows are judged alike; of those that agree in doc_id and text one stays as a near copy. Rows without a
+doc_id are no near copies of others. Rows without words have no tokens and are in no mixture.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.llm import compression_rules, jaccard_join, mixing, piece_codec, toxicity
+from siftspark.llm.joins import unused
 from siftspark.llm.store import materialize
 from siftspark.session import ship
 
@@ -23,7 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(toxicity.fold() != 0))
-    return toxicity.score(docs, model, column="__toxicity").where(F.col("__toxicity") < 0.5).drop("__toxicity")
+    column = unused(docs.columns, "toxicity")
+    return toxicity.score(docs, model, column=column).where(F.col(column) < 0.5).drop(column)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
