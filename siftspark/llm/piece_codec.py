@@ -12,8 +12,8 @@ Three machines over the tropical semiring (weights add along a path, the least p
   ``Grammar.holds``) and of infinite weight elsewhere; any sequence of finite weight is the one that merging arrives at,
   so the least path is the BPE segmentation, not an approximation of it.
 
-A normalised input is composed with lexicon and grammar lazily: states are (position, grammar state) at the lexicon's start, arcs are
-relaxed from left to right, and the least path is read back. The composition has a bridge (a position that every path passes in the
+A normalised input is composed with lexicon and grammar lazily: states are (position, grammar state) at the lexicon's start, which are
+relaxed from left to right (unigram) or settled by weight (BPE), and the least path is read back. The composition has a bridge (a position that every path passes in the
 start state) wherever no piece spells the two characters next to each other, and before a word's first meta symbol where no piece
 holds one inside. Between bridges stretches are solved each for itself, and a worker remembers those it has solved, up to a bound. So
 memory follows the longest stretch, not the text.
@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -272,9 +273,11 @@ class Grammar:
 class Codec:
     """Encodes and decodes; one for each worker."""
 
-    def __init__(self, machines: Machines, most_stretches: int = 300_000) -> None:
+    def __init__(self, machines: Machines, most_stretches: int = 250_000) -> None:
         self.m, self.grammar, self.most = machines, Grammar(machines), most_stretches
+        #: stretches solved since the last turn, and those of the turn before, which are forgotten at the next one
         self.solved: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.trie: dict = {}
         for piece, i in machines.number.items():
             node = self.trie
@@ -286,40 +289,58 @@ class Codec:
 
     # -- composition and shortest path ---------------------------------------------------------------------------------
     def shortest(self, s: str) -> list[int]:
-        """Ids on the least path of the composition of one stretch with lexicon and grammar. ``reached[i]`` holds the composed states at
-        position i: grammar state to (weight, position before, state before, piece). Positions are closed from left to right, as every
-        arc leads on."""
-        n, bpe, weights, known, weigh = len(s), self.m.bpe, self.m.weights, self.grammar.pairs.get, self.grammar.weigh
-        fallback = self.m.fallback
-        reached: list[dict[int, tuple[float, int, int, int]] | None] = [None] * (n + 1)
-        reached[0] = {-1: (0.0, -1, -1, -1)}
+        """Ids on the least path of the composition of one stretch with lexicon and grammar. A composed state is a position and a grammar
+        state: the last piece of a BPE model, and always the same one of a unigram model."""
+        return self._ids(s, self._settled(s) if self.m.bpe else self._relaxed(s))
+
+    def _relaxed(self, s: str) -> list[tuple[int, int, int]]:
+        """With one grammar state: positions are closed from left to right, as every arc leads on."""
+        n, weights, fallback = len(s), self.m.weights, self.m.fallback
+        weight, last, before = [0.0] + [_INFINITE] * n, [-1] * (n + 1), [0] * (n + 1)
         for at in range(n):
-            now = reached[at]
-            if now is None:
-                continue
             for end, piece in self._arcs(s, at):
-                lexical = weights[piece] if piece >= 0 else fallback
-                for state, (so_far, _, _, _) in now.items():
-                    weight = so_far + lexical
-                    if bpe:
-                        more = known((state + 2) << 20 | (piece + 2))
-                        weight += weigh(state, piece) if more is None else more
-                        if weight == _INFINITE:
-                            continue
-                    to = piece if bpe else 0
-                    after = reached[end]
-                    if after is None:
-                        reached[end] = {to: (weight, at, state, piece)}
-                    elif to not in after or weight < after[to][0]:
-                        after[to] = (weight, at, state, piece)
-        if not reached[n]:
-            raise ValueError(f"no path through {s!r}")
-        path, at, state = [], n, min(reached[n], key=lambda g: reached[n][g][0])
+                w = weight[at] + (weights[piece] if piece >= 0 else fallback)
+                if w < weight[end]:
+                    weight[end], last[end], before[end] = w, piece, at
+        path, at = [], n
         while at > 0:
-            _, before, old, piece = reached[at][state]
-            path.append((before, at, piece))
-            at, state = before, old
-        return self._ids(s, path[::-1])
+            path.append((before[at], at, last[at]))
+            at = before[at]
+        return path[::-1]
+
+    def _settled(self, s: str) -> list[tuple[int, int, int]]:
+        """With a grammar state for each last piece: states are settled by weight (none is below 0), of equal ones the farthest first, so
+        that most of the composition is never built. A state is ``position << 21 | piece + 2``."""
+        n, known, weigh, fallback = len(s), self.grammar.pairs.get, self.grammar.weigh, self.m.fallback
+        heap, back, done = [(0.0, 0, 1)], {}, set()
+        while heap:
+            weight, minus, state = heappop(heap)
+            key = -minus << 21 | state
+            if key in done:
+                continue
+            done.add(key)
+            if minus == -n:
+                break
+            row = state << 20
+            for end, piece in self._arcs(s, -minus):
+                more = known(row | (piece + 2))
+                if more is None:
+                    more = weigh(state - 2, piece)
+                if more == _INFINITE:
+                    continue
+                w, to = weight + more if piece >= 0 else weight + more + fallback, end << 21 | (piece + 2)
+                old = back.get(to)
+                if old is None or w < old[0]:
+                    back[to] = (w, key, piece)
+                    heappush(heap, (w, -end, piece + 2))
+        else:
+            raise ValueError(f"no path through {s!r}")
+        path = []
+        while key != 1:
+            _, before, piece = back[key]
+            path.append((before >> 21, key >> 21, piece))
+            key = before
+        return path[::-1]
 
     def _arcs(self, s: str, at: int) -> list[tuple[int, int]]:
         """Lexicon arcs from a position, the shortest first: (end, piece), piece -2 for the byte fallback of one character."""
@@ -370,10 +391,13 @@ class Codec:
         for part in self._cut.findall(s) if self._cut else [s]:
             ids = solved.get(part)
             if ids is None:
-                ids = self._stretch(part)
+                ids = self.older.get(part)
+                if ids is None:
+                    ids = self._stretch(part)
                 if len(part) <= 64:
                     if len(solved) >= self.most:
-                        solved.clear()
+                        self.older, self.solved = solved, {}
+                        solved = self.solved
                     solved[part] = ids
             out.append(ids)
         raw = b"".join(out)
