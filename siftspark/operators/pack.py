@@ -36,6 +36,35 @@ def facts(planned: DataFrame) -> DataFrame:
     return planned.where("reason is null and fact is not null and kind <> 'diff'").select(*KEY, F.col("fact").alias("kind"), F.col("t").alias("value"), F.lit("capture").alias("source"), "byte_start", "byte_end")
 
 
+def protected(planned: DataFrame, captures: DataFrame) -> DataFrame:
+    """What a pack must carry: the status and exit code of its process, the task's constraints, and facts on visible lines.
+    ``captures(capture_id, status, exit_code, constraints)``; ``constraints`` is an array of texts or null."""
+    none = F.lit(None).cast("long")
+    said = lambda rows, kind, value, source: rows.select("capture_id", F.lit(None).cast("string").alias("stream"), F.lit(kind).alias("kind"), value.alias("value"), F.lit(source).alias("source"), none.alias("byte_start"), none.alias("byte_end"))
+    status = F.when(F.col("status").isin("completed", "interrupted", "tool_error"), F.col("status")).otherwise("unknown")
+    return (
+        said(captures, "process_status", status, "process")
+        .unionByName(said(captures.where("exit_code is not null"), "exit_code", F.col("exit_code").cast("string"), "process"))
+        .unionByName(said(captures.withColumn("one", F.explode("constraints")), "user_constraint", F.col("one"), "trusted_task_frame"))
+        .unionByName(facts(planned))
+    )
+
+
+def delivery(packs: DataFrame, budget: int) -> DataFrame:
+    """What a run delivers: its rendered pack, or its original bytes and why. ``packs(raw_bytes, rendered_bytes, reason, overflow,
+    store_error)``; ``rendered_bytes`` is null where there is no pack, for ``reason``."""
+    size = F.col("rendered_bytes")
+    bypass = (
+        F.when(size.isNull() | F.col("overflow"), F.col("reason"))
+        .when(size > budget, "rendered_pack_exceeds_budget")
+        .when(size >= F.col("raw_bytes"), "rendered_pack_no_net_reduction")
+        .when(F.col("store_error").isNotNull(), F.concat(F.lit("pack_store_failed: "), "store_error"))
+        .otherwise(F.col("reason"))
+    )
+    stands = size.isNotNull() & ~F.col("overflow") & (size <= budget) & (size < F.col("raw_bytes")) & F.col("store_error").isNull()
+    return packs.withColumn("bypass", bypass).withColumn("replaced", stands).withColumn("delivered_bytes", F.when(stands, size).otherwise(F.col("raw_bytes")))
+
+
 def summary(planned: DataFrame) -> DataFrame:
     """Lines and bytes shown and hidden of each capture."""
     hid = F.col("reason").isNotNull()

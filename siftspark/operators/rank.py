@@ -76,3 +76,37 @@ def chunks(lines: DataFrame, least: int = 30) -> DataFrame:
     x = x.withColumn("size", F.greatest(F.lit(least), F.ceil(F.count("*").over(whole()) / 60))).withColumn("pos", F.row_number().over(by_line("island")) - 1)
     g = x.groupBy(*KEY, "island", F.expr("cast(floor(pos / size) as bigint)").alias("chunk")).agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n"))
     return g.drop("island")
+
+
+def section_limit(lengths: Column, overhead: Column | int, state: int = 56 << 10, least: int = 320, most: int = 2400, request: int = 64 << 10) -> Column:
+    """Bytes of text for each section so that a request fits: an equal part of the state, within bounds, cut by a quarter until the
+    sections and the overhead are within the request's bytes; null where half of the least doesn't do."""
+    n = F.greatest(F.size(lengths), F.lit(1))
+    first = F.least(F.greatest(F.floor(F.lit(state) / n).cast("long"), F.lit(least).cast("long")), F.lit(most).cast("long"))
+    size = lambda k: F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + F.least(x.cast("long"), k)) + overhead
+    step = lambda k: F.when(k.isNull() | (size(k) <= request), k).when(k <= least // 2, F.lit(None).cast("long")).otherwise(F.expr("0L") + F.floor(k * 3 / 4).cast("long"))
+    cuts = F.aggregate(F.sequence(F.lit(1), F.lit(12)), first, lambda k, _: step(k))
+    return F.when(size(cuts) <= request, cuts)
+
+
+def cache_key(version: str, raw_sha256: Column, request: Column) -> Column:
+    return F.sha2(F.concat(F.lit(version), raw_sha256, request).cast("binary"), 256)
+
+
+def cached(requests: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """Decisions kept from earlier equal requests: ``requests(cache_key, ids)`` with the candidates' ids, ``cache(cache_key,
+    schema_version, model, exists_p, need, kept_ids)``. ``found`` is miss, invalid or hit; kept ids only of hits."""
+    kept = F.col("kept_ids")
+    sound = (
+        (F.col("schema_version") == 2) & F.col("model").startswith(model) & F.col("exists_p").between(LEAST_EVIDENCE, 1) & F.col("need").between(0, 4)
+        & F.size(kept).between(1, CAPS[-1]) & (F.size(F.array_distinct(kept)) == F.size(kept)) & (F.size(F.array_except(kept, F.col("ids"))) == 0)
+    )
+    x = requests.join(cache, "cache_key", "left")
+    found = F.when(F.col("schema_version").isNull(), "miss").when(F.coalesce(sound, F.lit(False)), "hit").otherwise("invalid")
+    return x.withColumn("found", found).withColumn("kept_ids", F.when(F.col("found") == "hit", kept)).drop("schema_version")
+
+
+def remember(decisions: DataFrame, cache: DataFrame) -> DataFrame:
+    """Decisions that the cache doesn't hold yet, each key once (the first by model): what is there wins."""
+    w = W.partitionBy("cache_key").orderBy("model", "need")
+    return decisions.join(cache.select("cache_key"), "cache_key", "left_anti").withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")

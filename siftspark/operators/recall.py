@@ -73,3 +73,9 @@ def conflicts(new: DataFrame, old: DataFrame, keys: list[str], content: str) ->
     """New immutable rows: append where the key is free, same where the content is equal, conflict otherwise."""
     x = new.join(old.select(*keys, F.col(content).alias("__old")), keys, "left")
     return x.withColumn("outcome", F.when(F.col("__old").isNull(), "append").when(F.col("__old") == F.col(content), "same").otherwise("conflict")).drop("__old")
+
+
+def store_bytes(captures: DataFrame, *columns: str) -> DataFrame:
+    """(n, n_bytes): how many captures a store has and the bytes of their texts."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in columns), F.lit(0).cast("long"))
+    return captures.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0).cast("long")).alias("n_bytes"))

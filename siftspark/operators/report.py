@@ -42,6 +42,18 @@ def accounting(receipts: DataFrame, by: str | None = None) -> DataFrame:
     return g.withColumn("input_tokens_complete", (F.col("missing_tokens") == 0) & (F.col("unknown") == 0)).withColumn("cost_complete", (F.col("unpriced") == 0) & (F.col("unknown") == 0))
 
 
+def session_report(receipts: DataFrame) -> DataFrame:
+    """Each session's runs, bytes, recalls and requests, and its cost as far as it is known."""
+    sums = receipts.groupBy("session_id").agg(*(F.coalesce(F.sum(f), F.lit(0).cast("long")).alias(n) for n, f in (("raw", "raw_bytes"), ("delivered", "delivered_bytes"), ("recalls", "recalls"), ("recalled_bytes", "recalled_bytes"))), F.count("*").alias("runs"))
+    cost = (
+        F.when((F.col("attempted") == 0) & (F.col("unknown") == 0), "none (no ranker calls)")
+        .when((F.col("unpriced") == F.col("attempted")) & (F.col("unknown") == 0), "unknown (no priced response)")
+        .otherwise(F.format_string("$%.8f known; %d attempt(s) unpriced; %d outcome(s) unknown", F.col("cost_micros") / 1e6, "unpriced", "unknown"))
+    )
+    asked = accounting(receipts, "session_id").select("session_id", "attempted", "succeeded", "failed", "cache_hits", "unknown", "fallbacks", cost.alias("cost"))
+    return sums.join(asked, "session_id")
+
+
 def session_status(receipts: DataFrame) -> DataFrame:
     """Each session's mode (uniform, or mixed), runs by fate, and bytes; run ids only of at most eight runs."""
     any_ = lambda f: F.exists("coverage", f)

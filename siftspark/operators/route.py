@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,3 +136,20 @@ def tool_output(events: DataFrame) -> DataFrame:
     """Hook events (session_id, tool, output) whose output may be replaced: text that isn't cut off, and within 512 KiB."""
     cut = F.lower("output").rlike("output truncated|truncated output|output too large")
     return events.withColumn("skip", F.when(F.col("output").isNull(), "no_output").when(~valid_session(F.col("session_id")), "invalid_session").when(F.octet_length("output") > 512 * 1024, "too_large").when(cut, "truncated"))
+
+
+def build_verifier(command: Column) -> Column:
+    """A test, check or build command of the build tool with none but harmless flags, its spaces made single; null for any other."""
+    flag = r"(--workspace|--all-targets|--locked|--offline|--lib|--doc|--quiet|-q|(-p|--package)[ \t\f]+[A-Za-z0-9_.-]+)"
+    fine = (F.octet_length(command) <= 512) & command.rlike(rf"^[ \t\f]*cargo[ \t\f]+(test|check|build)([ \t\f]+{flag})*[ \t\f]*\z")
+    return F.when(fine, F.trim(F.regexp_replace(command, r"[ \t\f]+", " ")))
+
+
+def bounded(chunks: DataFrame, limit: int) -> DataFrame:
+    """Chunks (run_id, seq, n_bytes) of a run's output against the bytes that may be held: ``kept`` while they all fit; the chunk that
+    doesn't fit makes those before it ``flushed``, and it and all after it ``forwarded``."""
+    run = W.partitionBy("run_id")
+    x = chunks.withColumn("held", F.sum("n_bytes").over(run.orderBy("seq")))
+    over = F.col("held") > limit
+    first = F.max("held").over(run) > limit
+    return x.withColumn("fate", F.when(over, "forwarded").when(first, "flushed").otherwise("kept")).drop("held")

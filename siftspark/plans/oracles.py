@@ -272,6 +272,30 @@ def oracle_sql() -> dict[str, str]:
       w as (select capture_id, section, left(line, 1) sg, unnest(list_filter(regexp_split_to_array(substr(line, 2), '[^A-Za-z0-9_]+'), lambda x: regexp_matches(x, '^[A-Za-z_]'))) id from s where left(line, 1) in ('+', '-')),
       k as (select capture_id, section, id, bool_or(sg = '-') a, bool_or(sg = '+') b from w group by all), n as (select capture_id, section, count(*) n from s where left(line, 1) in ('+', '-') group by all)
       select capture_id, cast(section as bigint) section, coalesce(string_agg(id, ',' order by id) filter (a and not b), '') gone, coalesce(string_agg(id, ',' order by id) filter (b and not a), '') come from k join n using (capture_id, section) where n >= 4 group by capture_id, section having bool_or(a <> b)"""
+    visible = f"select capture_id, 'stdout' stream, fact kind, {trim_end('line')} as value, 'capture' source, byte_start, byte_end from q where reason0 is null and fact is not null"
+    out["protected_facts"] = f"""with {TESTS}, {PASSED}, c as (select capture_id, cast(regexp_extract(capture_id, '([0-9]+)$', 1) as int) n, max(case when contains(line, 'FAILED') then 101 end) exit_code from lines group by capture_id)
+      {visible} union all select capture_id, null, 'process_status', case when n % 2 = 0 then 'completed' else 'unknown' end, 'process', null, null from c
+      union all select capture_id, null, 'exit_code', cast(exit_code as varchar), 'process', null, null from c where exit_code is not null
+      union all select capture_id, null, 'user_constraint', unnest(['keep the API', 'no new files']), 'trusted_task_frame', null, null from c where n % 3 = 0"""
+    out["deliveries"] = """with x as (select event_id run_id, event_id % 4000 + 1 raw, case when event_id % 5 <> 0 then cast(round(value * 10) as bigint) end r, case when event_id % 5 = 0 then 'already_lean' end reason, event_id % 17 = 0 o, event_id % 23 = 0 e from events)
+      select run_id, case when r is null or o then reason when r > 1500 then 'rendered_pack_exceeds_budget' when r >= raw then 'rendered_pack_no_net_reduction' when e then 'pack_store_failed: quota' else reason end bypass,
+      coalesce(r is not null and not o and r <= 1500 and r < raw and not e, false) replaced, case when r is not null and not o and r <= 1500 and r < raw and not e then r else raw end delivered_bytes from x"""
+    out["verifier_commands"] = "select p_partkey, case when p_partkey % 11 = 0 or p_partkey % 7 = 0 or p_partkey % 5 = 0 then null else 'cargo ' || case p_partkey % 3 when 0 then 'check' when 1 then 'test' else 'build' end || ' -p part_' || cast(p_partkey as varchar) || case when p_partkey % 2 = 0 then ' --locked -q' else '' end end verifier from part"
+    out["bounded_output"] = """with x as (select cast(user_id as varchar) || '-' || cast(event_id // 2000 as varchar) run_id, event_id, cast(round(value) as bigint) b from events),
+      y as (select *, sum(b) over (partition by run_id order by event_id) held, sum(b) over (partition by run_id) total from x) select case when held > 2000 then 'forwarded' when total > 2000 then 'flushed' else 'kept' end fate, count(*) n, sum(b) n_bytes from y group by 1"""
+    cut = "k{b} as (select *, case when k{a} is null or size{a} <= 65536 then k{a} when k{a} <= 160 then null else k{a} * 3 // 4 end k{b}, list_sum(list_transform(sizes, lambda x: least(x, case when k{a} is null or size{a} <= 65536 then k{a} when k{a} <= 160 then null else k{a} * 3 // 4 end))) + extra size{b} from k{a})"
+    out["section_limits"] = "with x as (select l_orderkey, list(cast(l_quantity * 400 as bigint)) sizes, 51000 + l_orderkey % 15000 extra from lineitem group by l_orderkey), k00 as (select *, least(greatest(57344 // len(sizes), 320), 2400) k0 from x), k0 as (select *, list_sum(list_transform(sizes, lambda x: least(x, k0))) + extra size0 from k00), " + ", ".join(cut.format(a=i, b=i + 1) for i in range(12)) + " select l_orderkey, case when size12 <= 65536 then k12 end section_bytes from k12"
+    out["cached_decisions"] = """with c as (select c_custkey k, c_mktsegment seg, sha256('v1' || md5(c_name) || c_mktsegment) cache_key from customer),
+      d as (select *, k % 3 <> 0 has, k % 13 <> 0 and k % 5 <> 0 and k % 50 / 50.0 + 0.5 between 0.7 and 1 and k % 6 <= 4 and k % 7 <> 0 and k % 11 <> 0 sound from c)
+      select k, cache_key, case when not has then 'miss' when sound then 'hit' else 'invalid' end found, case when has and sound then 'b,' || seg end kept from d"""
+    out["store_size"] = "select count(*) n, cast(sum(coalesce(strlen(text), 0) + coalesce(strlen(source), 0)) as bigint) n_bytes from documents"
+    out["session_reports"] = f"""with {RECEIPTS}, o as (select *, case event_type when 'signup' then 'succeeded' when 'error' then 'failed' when 'view' then 'cache_hit' when 'click' then 'not_attempted' end oc, tokens is not null or micros is not null used from receipts),
+      x as (select *, coalesce(oc = 'cache_hit', false) cache, coalesce(oc in ('succeeded', 'failed'), false) or event_id % 13 = 0 or used tried, micros is not null priced from o),
+      y as (select *, not cache and tried attempt, not cache and coalesce(oc = 'succeeded', oc is null and used) success, not cache and coalesce(oc = 'failed', false) failure from x),
+      z as (select *, not cache and not success and not failure and (attempt or (oc is null and (mode = 'adaptive' or event_type = 'error'))) unk from y),
+      g as (select session_id, cast(sum(raw_bytes) as bigint) raw, cast(sum(delivered) as bigint) delivered, cast(sum(recalls) as bigint) recalls, 0 recalled_bytes, count(*) runs, count(*) filter (attempt) attempted, count(*) filter (success) succeeded, count(*) filter (failure) failed, count(*) filter (cache) cache_hits, count(*) filter (unk) as unknown,
+        count(*) filter (event_type = 'error') fallbacks, count(*) filter (attempt and not priced) unpriced, coalesce(sum(micros) filter (attempt and priced), 0) cost_micros from z group by session_id)
+      select * exclude (unpriced, cost_micros), case when attempted = 0 and unknown = 0 then 'none (no ranker calls)' when unpriced = attempted and unknown = 0 then 'unknown (no priced response)' else printf('$%.8f known; %d attempt(s) unpriced; %d outcome(s) unknown', cost_micros / 1e6, unpriced, unknown) end as cost from g"""
     by_reason = "select capture_id, coalesce(final, 'visible') reason, count(*) n, sum(nb) bytes, sum(line_no) line_sum from ended group by all"
     out["log_plan_reasons"] = f"{output_plan(LOGS)} select capture_id, coalesce(final, 'visible') reason, count(*) n, sum(nb) bytes from ended group by all"
     out["run_plan_reasons"] = f"{output_plan(RUN_LINES)} {by_reason}"

@@ -273,6 +273,65 @@ def edit_signatures(spark: SparkSession, d: str) -> DataFrame:
     return x.select("capture_id", F.col("section").cast("long").alias("section"), F.array_join("gone", ",").alias("gone"), F.array_join("come", ",").alias("come"))
 
 
+@query
+def protected_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Status, exit code, a constraint for every third capture, and visible facts of the test captures."""
+    lines = A.test_lines(spark, d)
+    n = F.substring_index("capture_id", "-", -1).cast("int")
+    c = lines.groupBy("capture_id").agg(F.max(F.when(F.col("line").contains("FAILED"), 101)).alias("exit_code")).withColumn("status", F.when(n % 2 == 0, "completed").otherwise("killed")).withColumn("constraints", F.when(n % 3 == 0, F.array(F.lit("keep the API"), F.lit("no new files"))))
+    return pack.protected(reduce.passing_tests(reduce.prepare(lines)), c)
+
+
+@query
+def deliveries(spark: SparkSession, d: str) -> DataFrame:
+    x = A.table(spark, d, "events").selectExpr("event_id run_id", "event_id % 4000 + 1 raw_bytes", "case when event_id % 5 <> 0 then cast(round(value * 10) as bigint) end rendered_bytes", "case when event_id % 5 = 0 then 'already_lean' end reason", "event_id % 17 = 0 overflow", "case when event_id % 23 = 0 then 'quota' end store_error")
+    return pack.delivery(x, 1500).select("run_id", "bypass", "replaced", "delivered_bytes")
+
+
+@query
+def verifier_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Commands that name a part as their package; some have a flag that isn't harmless, a second line or another program."""
+    k = F.col("p_partkey")
+    program = F.when(k % 11 == 0, "cargo run").when(k % 3 == 0, "cargo  check").when(k % 3 == 1, " cargo test").otherwise("cargo build")
+    tail = F.when(k % 7 == 0, " --release").when(k % 5 == 0, "\n").when(k % 2 == 0, "  --locked -q ").otherwise("")
+    command = F.concat(program, F.lit(" -p part_"), k.cast("string"), tail)
+    return A.table(spark, d, "part").select("p_partkey", route.build_verifier(command).alias("verifier"))
+
+
+@query
+def bounded_output(spark: SparkSession, d: str) -> DataFrame:
+    """Events as chunks of their users' runs of twenty; a run may hold 2000 bytes."""
+    x = A.table(spark, d, "events").selectExpr("concat(user_id, '-', event_id div 2000) run_id", "event_id seq", "cast(round(value) as bigint) n_bytes")
+    return route.bounded(x, 2000).groupBy("fate").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+
+
+@query
+def section_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as requests whose sections are their lines."""
+    x = A.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.expr("cast(l_quantity * 400 as bigint)")).alias("sizes"))
+    return x.select("l_orderkey", rank.section_limit(F.col("sizes"), F.expr("51000 + l_orderkey % 15000")).alias("section_bytes"))
+
+
+@query
+def cached_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of the customers against decisions of two thirds of them, some of which don't hold."""
+    c = A.table(spark, d, "customer").withColumn("k", F.col("c_custkey")).withColumn("cache_key", rank.cache_key("v1", F.md5(F.col("c_name").cast("binary")), F.col("c_mktsegment")))
+    requests = c.select("k", "cache_key", F.array(F.lit("a"), F.lit("b"), F.col("c_mktsegment")).alias("ids"))
+    ids = F.when(F.col("k") % 7 == 0, F.array(F.lit("a"), F.lit("a"))).when(F.col("k") % 11 == 0, F.array(F.lit("z"))).otherwise(F.array(F.lit("b"), F.col("c_mktsegment")))
+    cache = c.where("k % 3 <> 0").select("cache_key", F.when(F.col("k") % 13 == 0, 1).otherwise(2).alias("schema_version"), F.when(F.col("k") % 5 == 0, "other-1").otherwise("ranker-2").alias("model"), (F.col("k") % 50 / 50 + 0.5).alias("exists_p"), (F.col("k") % 6).cast("double").alias("need"), ids.alias("kept_ids"))
+    return rank.cached(requests, cache, "ranker-").select("k", "cache_key", "found", F.array_join("kept_ids", ",").alias("kept"))
+
+
+@query
+def store_size(spark: SparkSession, d: str) -> DataFrame:
+    return recall.store_bytes(A.table(spark, d, "documents"), "text", "source")
+
+
+@query
+def session_reports(spark: SparkSession, d: str) -> DataFrame:
+    return report.session_report(A.receipts(spark, d))
+
+
 @query
 def gain_report(spark: SparkSession, d: str) -> DataFrame:
     return report.gain(A.receipts(spark, d)).withColumn("total", F.col("total").cast("int"))
