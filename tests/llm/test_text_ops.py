@@ -230,6 +230,77 @@ def test_toxicity_on_tables(spark):
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
+def test_toxicity_forward_equals_a_plain_loop():
+    shape = toxicity.Shape(width=5, stride=3, hidden=3, word_dim=2, char_dim=2, attention=2, word_bits=5, char_bits=5)
+    rng = np.random.default_rng(3)
+    w = {k: v + 0.1 * rng.standard_normal(v.shape).astype(v.dtype) for k, v in toxicity._start(shape, rng).items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def window(ws):
+        k, x = shape.hidden, []
+        for word in ws:
+            one, two, rows, _ = toxicity._hashed([word], shape)
+            x.append(np.concatenate([w["e1"][one[0]] + w["e2"][two[0]], w["c"][rows].mean(axis=0)]) @ w["wx"] + w["bx"] if len(word) else w["bx"])
+        sides = []
+        for u, off, order in ((w["uf"], 0, range(len(x))), (w["ub"], 3 * k, range(len(x) - 1, -1, -1))):
+            h, states = np.zeros(k), {}
+            for t in order:
+                g, own = h @ u, x[t][off : off + 3 * k]
+                z, r = sig(own[:k] + g[:k]), sig(own[k : 2 * k] + g[k : 2 * k])
+                n = np.tanh(own[2 * k :] + r * g[2 * k :])
+                h = (1 - z) * n + z * h
+                states[t] = h
+            sides.append(states)
+        states = np.array([np.concatenate([sides[0][t], sides[1][t]]) for t in range(len(x))])
+        e = np.tanh(states @ w["wa"]) @ w["va"]
+        a = np.exp(e - e.max())
+        return float((a / a.sum()) @ states @ w["wo"] + w["bo"][0])
+
+    scorer = toxicity.Scorer(toxicity.Model(shape, 0.1, w), batch=4)
+    for text in ("one", "a b c d e f g h i j k", "Words, of MANY kinds! " * 9):
+        ws = toxicity.words_of(text)
+        want = max(window(ws[s : s + shape.width]) for s in toxicity.window_starts(len(ws), shape))
+        assert abs(scorer.scores([text])[0] - sig(want)) < 1e-5
+
+
+def test_held_out_rows_stay_out_of_the_fit(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, t) for i, t, _ in toxic_corpus(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in toxic_corpus(60)], "doc_id long, toxic int")
+    turned = labels.withColumn("toxic", F.when(toxicity.fold() == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = (toxicity.fit(docs, x.where(toxicity.fold() != 0), how=toxicity.Training(epochs=2, steps=4)) for x in (labels, turned))
+    assert all((one.weights[k] == two.weights[k]).all() for k in one.weights)
+
+
+def test_weak_scorer_equals_a_plain_loop():
+    texts, labels, how = [b"good words here for all", b"### $$$ buy buy", b"good words again", b""], [0.9, 0.1, 0.8, 0.4], weak_quality.Fit(bits=6, epochs=3)
+    w, b = weak_quality.fit(texts, labels, how)
+    weights, square = {}, {}
+    mean = float(np.mean(labels))
+    bias = float(np.log(mean / (1 - mean)))
+    rng = np.random.default_rng(how.seed)
+    for _ in range(how.epochs):
+        for i in rng.permutation(len(texts)):
+            pairs = list(zip(*(x.tolist() for x in weak_quality.features(texts[i], how.bits)), strict=True))
+            p = 1 / (1 + np.exp(-(bias + sum(weights.get(a, 0.0) * v for a, v in pairs))))
+            for a, v in pairs:
+                g = (p - labels[i]) * v + how.decay * weights.get(a, 0.0)
+                square[a] = square.get(a, 1e-2) + g * g
+                weights[a] = weights.get(a, 0.0) - how.rate * g / np.sqrt(square[a])
+            bias -= 0.01 * (p - labels[i])
+    assert abs(b - bias) < 1e-9 and all(abs(w[a] - v) < 1e-9 for a, v in weights.items())
+
+
+def test_weak_quality_agrees_with_the_labels(spark):
+    from conftest import DATA
+
+    got = weak_quality.judge(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"))
+    both = got.join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("quality is not null").collect()
+    assert all(r["kept"] == (r["score"] >= 0.5) for r in both)
+    assert np.mean([r["kept"] == (r["quality"] == 1) for r in both]) > 0.8
+
+
 def test_weak_labels_recover_planted_kinds():
     rng = np.random.default_rng(2)
     n, patterns, truth = 4000, {}, []
