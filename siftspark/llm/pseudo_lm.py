@@ -147,49 +147,53 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def gradients(context: np.ndarray, target: np.ndarray, w: Weights, net: Net) -> Weights:
-    """Of the mean negative log-probability of a batch."""
-    n, sides, width = len(target), context.shape[1], len(w["b"])
+    """Of the mean negative log-probability of a batch. Biases ride along as a last row of their matrix, read by a column of ones."""
+    n, sides, width, vocab = len(target), context.shape[1], len(w["b"]), len(w["e"])
+    kind = w["e"].dtype
     tables = np.matmul(w["e"][None], w["p"])
-    z = tables[0].take(context[:, 0], axis=0)
-    for p in range(1, sides):
-        z += tables[p].take(context[:, p], axis=0)
-    z += w["b"]
-    h = np.tanh(z, out=z)
+    tables[0] += w["b"]
     cls, mem = np.divmod(target, net.members)
     by = np.argsort(cls.astype(np.uint16), kind="stable")  # rows of a class lie together
-    h, cls, mem, context = h[by], cls[by], mem[by], context[by]
+    cls, mem = cls[by], mem[by]
+    sides_of = context.T.take(by, axis=1).astype(np.intp)
+    z = tables[0].take(sides_of[0], axis=0)
+    for p in range(1, sides):
+        z += tables[p].take(sides_of[p], axis=0)
+    np.tanh(z, out=z)
+    h = np.ones((n, width + 1), kind)
+    h[:, :width] = z
     cut = np.searchsorted(cls, np.arange(net.classes + 1)).tolist()
     rows = np.arange(n)
-    d = _softmax(h @ w["c"] + w["cb"])
+    d = _softmax(h @ np.vstack([w["c"], w["cb"]]))
     d[rows, cls] -= 1
     dh = d @ w["c"].T
-    q = np.empty((n, net.members), h.dtype)
-    for k in range(net.classes):
-        if cut[k + 1] > cut[k]:
-            np.matmul(h[cut[k] : cut[k + 1]], w["m"][k], out=q[cut[k] : cut[k + 1]])
-    _softmax(np.add(q, w["mb"].take(cls, axis=0), out=q))
+    m = np.concatenate([w["m"], w["mb"][:, None]], axis=1)
+    filled = [(k, slice(cut[k], cut[k + 1])) for k in range(net.classes) if cut[k + 1] > cut[k]]
+    q = np.empty((n, net.members), kind)
+    for k, at in filled:
+        np.matmul(h[at], m[k], out=q[at])
+    _softmax(q)
     q[rows, mem] -= 1
-    g = {"c": h.T @ d / n, "cb": d.sum(axis=0) / n, "m": np.zeros_like(w["m"]), "mb": np.zeros_like(w["mb"])}
-    for k in range(net.classes):
-        at = slice(cut[k], cut[k + 1])
-        if cut[k + 1] > cut[k]:
-            np.matmul(h[at].T, q[at], out=g["m"][k])
-            g["mb"][k] = q[at].sum(axis=0)
-            dh[at] += q[at] @ w["m"][k].T
-    g["m"] /= n
-    g["mb"] /= n
-    dz = dh * (1 - h * h) / n
-    g["b"] = dz.sum(axis=0)
-    by_token = np.zeros((sides, len(w["e"]), width), dz.dtype)
-    small = context.astype(np.uint16) if len(w["e"]) <= 1 << 16 else context
+    first, second, back = h.T @ d / n, np.zeros_like(m), np.empty((n, width), kind)
+    for k, at in filled:
+        np.matmul(h[at].T, q[at], out=second[k])
+        np.matmul(q[at], w["m"][k].T, out=back[at])
+    second /= n
+    dh += back
+    z *= z
+    np.subtract(1, z, out=z)
+    z *= dh
+    z /= n
+    # the gradient of a table's rows: sums by token, of all columns at once
+    dz, columns = z.astype(np.float64).ravel(), np.arange(width)
+    by_token = np.empty((sides, vocab, width), kind)
     for p in range(sides):
-        order = np.argsort(small[:, p], kind="stable")
-        token = context[order, p]
-        head = np.flatnonzero(np.diff(token, prepend=-1))
-        by_token[p][token[head]] = np.add.reduceat(dz[order], head, axis=0)
-    g["p"] = np.matmul(w["e"].T[None], by_token)
-    g["e"] = np.matmul(by_token, w["p"].transpose(0, 2, 1)).sum(axis=0)
-    return g
+        place = (sides_of[p] * width)[:, None] + columns
+        by_token[p] = np.bincount(place.ravel(), dz, minlength=vocab * width).reshape(vocab, width)
+    return {
+        "c": first[:width], "cb": first[width], "m": second[:, :width], "mb": second[:, width], "b": by_token[0].sum(axis=0),
+        "p": np.matmul(w["e"].T[None], by_token), "e": np.matmul(by_token, w["p"].transpose(0, 2, 1)).sum(axis=0),
+    }
 
 
 def learn(context: np.ndarray, target: np.ndarray, w: Weights, square: Weights, net: Net) -> None:
