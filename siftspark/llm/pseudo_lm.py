@@ -110,31 +110,36 @@ def _tables(w: Weights) -> np.ndarray:
 def log_probs(context: np.ndarray, target: np.ndarray, w: Weights, net: Net, tables: np.ndarray | None = None) -> np.ndarray:
     """log p(target | both sides)."""
     tables = _tables(w) if tables is None else tables
-    h = tables[0].take(context[:, 0], axis=0)
-    for p in range(1, context.shape[1]):
-        h += tables[p].take(context[:, p], axis=0)
-    h += w["b"]
-    np.tanh(h, out=h)
+    n, width = len(target), len(w["b"])
     cls, mem = np.divmod(target, net.members)
     by = np.argsort(cls.astype(np.uint16), kind="stable")
-    h, cls, mem = h[by], cls[by], mem[by]
+    cls, mem = cls[by], mem[by]
+    sides_of = context.T.take(by, axis=1)
+    z = tables[0].take(sides_of[0], axis=0)
+    for p in range(1, len(sides_of)):
+        z += tables[p].take(sides_of[p], axis=0)
+    z += w["b"]
+    np.tanh(z, out=z)
+    h = np.ones((n, width + 1), z.dtype)
+    h[:, :width] = z
     cut = np.searchsorted(cls, np.arange(net.classes + 1)).tolist()
-    first = h @ w["c"] + w["cb"]
-    second = np.empty((len(target), net.members), h.dtype)
+    first = h @ np.vstack([w["c"], w["cb"]])
+    m = np.concatenate([w["m"], w["mb"][:, None]], axis=1)
+    second = np.empty((n, net.members), h.dtype)
     for k in range(net.classes):
         if cut[k + 1] > cut[k]:
-            np.matmul(h[cut[k] : cut[k + 1]], w["m"][k], out=second[cut[k] : cut[k + 1]])
-    second += w["mb"].take(cls, axis=0)
-    out = np.empty(len(target), h.dtype)
-    rows = np.arange(len(target))
-    out[by] = first[rows, cls] - _log_total(first) + second[rows, mem] - _log_total(second)
+            np.matmul(h[cut[k] : cut[k + 1]], m[k], out=second[cut[k] : cut[k + 1]])
+    rows = np.arange(n)
+    own = first[rows, cls] + second[rows, mem]
+    out = np.empty(n, h.dtype)
+    out[by] = own - _log_total(first) - _log_total(second)
     return out
 
 
 def _log_total(x: np.ndarray) -> np.ndarray:
-    """log of the sum of exponentials of each row."""
+    """log of the sum of exponentials of each row; ``x`` is used up."""
     if len(x) and x.max() < 80:
-        return np.log(np.exp(x) @ np.ones(x.shape[1], x.dtype))
+        return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
     most = x.max(axis=1)
     return most + np.log(np.exp(x - most[:, None]).sum(axis=1))
 
@@ -218,6 +223,14 @@ def learn_all(texts: list[np.ndarray], w: Weights, net: Net, seed: int) -> None:
         done, step = done + len(pick), step + 1
 
 
+def _distinct(words: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of each of ``texts`` texts, in order; how often each occurs there; and where a next text's words begin."""
+    order = np.lexsort((words, text))
+    words, text = words[order], text[order]
+    head = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (text[1:] != text[:-1]))) if len(words) else np.empty(0, np.int64)
+    return words[head], np.diff(head, append=len(words)), np.searchsorted(text[head], np.arange(1, texts))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, times): hashes of all words of all texts, and how often they occur."""
 
@@ -372,10 +385,9 @@ def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], w: Weights, net
                 hashes, lens = hashes_of(batch.column(batch.schema.get_field_index(text)).slice(i, 256).to_pylist())
                 ids, cuts = _ids(hashes, *vocab, net), np.cumsum(lens)
                 if held:
-                    for x, y in zip(np.split(hashes, cuts[:-1]), np.split(ids, cuts[:-1]), strict=True):
-                        name, k = np.unique(x[y >= least], return_counts=True)
-                        words.append(name.view(np.int64))
-                        times.append(k)
+                    name, k, held_by = _distinct(hashes[ids >= least], np.repeat(np.arange(len(lens)), lens)[ids >= least], len(lens))
+                    words += np.split(name.view(np.int64), held_by)
+                    times += np.split(k, held_by)
                 # texts end to end, with the padding id between them
                 padded = np.full(len(ids) + net.reach * (len(lens) + 1), net.tokens, dtype=np.int64)
                 at = np.arange(len(ids)) + net.reach * (1 + np.repeat(np.arange(len(lens)), lens))
