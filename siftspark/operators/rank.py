@@ -67,17 +67,57 @@ def in_ranges(lines: DataFrame, ranges: DataFrame, inside: bool = True) -> DataF
     return lines.join(r, on, "left_semi" if inside else "left_anti")
 
 
+def _cuts(n: Column, size: Column, blanks: Column) -> Column:
+    """Where the chunks of a run of ``n`` lines begin: each takes ``size`` lines, or ends after the last blank line in the second half
+    of them. ``blanks``: places of blank lines in the run. Steps are two for each ``size`` of lines at most."""
+    start = lambda state: F.element_at(state, -1)
+
+    def step(state: Column, _: Column) -> Column:
+        limit = start(state) + size
+        blank = F.array_max(F.filter(blanks, lambda b: (b >= start(state) + F.floor(size / 2)) & (b < limit)))
+        return F.when(limit >= n, state).otherwise(F.concat(state, F.array(F.coalesce(blank + 1, limit))))
+
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.ceil(2 * n / size) + 1), F.array(F.lit(0).cast("long")), step)
+
+
 def chunks(lines: DataFrame, least: int = 30) -> DataFrame:
-    """Runs of hidden middle lines cut into chunks of equal size: at least ``least`` lines, at most sixty chunks a stream."""
+    """Runs of hidden middle lines cut into chunks: ``least`` lines, or a sixtieth of the stream's hidden ones where that is more, and
+    rather after a blank line in the second half. ``chunk`` numbers those of a run."""
     from siftspark.operators.reduce import KEY, MIDDLE, by_line, islands, whole
 
     x = lines.withColumn("m", F.coalesce(F.col("reason") == MIDDLE, F.lit(False)))
     x = islands(x, F.col("m") != F.lag("m").over(by_line())).where("m")
-    x = x.withColumn("size", F.greatest(F.lit(least), F.ceil(F.count("*").over(whole()) / 60))).withColumn("pos", F.row_number().over(by_line("island")) - 1)
-    g = x.groupBy(*KEY, "island", F.expr("cast(floor(pos / size) as bigint)").alias("chunk")).agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n"))
+    x = x.withColumn("size", F.greatest(F.lit(least), F.ceil(F.count("*").over(whole()) / 60)).cast("long")).withColumn("pos", (F.row_number().over(by_line("island")) - 1).cast("long"))
+    empty = F.collect_list(F.when(F.regexp_replace("line", r"(?U)\s", "") == "", F.col("pos")))
+    runs = x.groupBy(*KEY, "island").agg(_cuts(F.count("*"), F.max("size"), F.array_sort(empty)).alias("cuts"))
+    x = x.join(runs, [*KEY, "island"]).withColumn("chunk", (F.size(F.filter("cuts", lambda c: c <= F.col("pos"))) - 1).cast("long"))
+    g = x.groupBy(*KEY, "island", "chunk").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n"), F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"))
     return g.drop("island")
 
 
+def rank_sections(planned: DataFrame) -> DataFrame:
+    """The sections that a ranker chooses among, each an exact byte range, by the kind of the capture: the hit sections of a search, the
+    files of a diff, the hidden chunks of other output. (capture_id, kind, idx, id, stream, byte_start, byte_end, label); captures
+    without sections have no row. ``planned``: lines with their kind and reason. Of searches and diffs only stdout counts."""
+    from siftspark.operators import pack
+    from siftspark.operators.review import diff_files
+
+    out = F.col("stream") == "stdout"
+    hits = pack.hit_sections(planned.where((F.col("kind") == "search") & out))
+    hits = hits.select("capture_id", F.lit("search").alias("kind"), "stream", "byte_start", "byte_end", F.format_string("%s lines %d-%d", "path", "first_line", "last_line").alias("label"))
+    files = diff_files(planned.where((F.col("kind") == "diff") & out)).groupBy("capture_id", "stream", "section")
+    head = F.split_part(F.substring(F.min_by("t", "line_no"), 14, 1 << 20), F.lit(" b/"), F.lit(1))
+    diffs = files.agg(F.min("byte_start").alias("byte_start"), F.max("byte_end").alias("byte_end"), head.alias("path"), F.count("*").alias("n"))
+    diffs = diffs.select("capture_id", F.lit("diff").alias("kind"), "stream", "byte_start", "byte_end", F.format_string("diff of %s (%d lines)", "path", "n").alias("label"))
+    middle = chunks(planned.where("kind = 'output'"))
+    middle = middle.select("capture_id", F.lit("output").alias("kind"), "stream", "byte_start", "byte_end", F.format_string("%s lines %d-%d", "stream", F.col("first_line") + 1, F.col("last_line") + 1).alias("label"))
+    order = W.partitionBy("capture_id").orderBy(F.when(out, 0).otherwise(1), "byte_start")
+    x = hits.unionByName(diffs).unionByName(middle).withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+    number = F.when(F.col("idx") < 10, F.concat(F.lit("0"), F.col("idx").cast("string"))).otherwise(F.col("idx").cast("string"))
+    of_search = F.concat(F.lit("section_"), number, F.lit("_"), F.col("byte_start").cast("string"), F.lit("_"), F.col("byte_end").cast("string"))
+    return x.withColumn("id", F.when(F.col("kind") == "search", of_search).otherwise(F.concat(F.lit("s"), number)))
+
+
 def section_limit(lengths: Column, overhead: Column | int, state: int = 56 << 10, least: int = 320, most: int = 2400, request: int = 64 << 10) -> Column:
     """Bytes of text for each section so that a request fits: an equal part of the state, within bounds, cut by a quarter until the
     sections and the overhead are within the request's bytes; null where half of the least doesn't do."""

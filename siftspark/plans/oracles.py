@@ -207,6 +207,17 @@ def oracle_sql() -> dict[str, str]:
         "hit_sections": f"with {HITS}, h as (select *, split_part(line, ':', 1) path, cast(split_part(line, ':', 2) as bigint) l from lines), s as (select *, case when lag(path) over w = path and lag(l) over w + 1 = l then 0 else 1 end st from h window w as (partition by capture_id order by line_no)), i as (select *, sum(st) over (partition by capture_id order by line_no) section from s) select capture_id, cast(section as bigint) section, path, min(l) first_line, max(l) last_line, min(byte_start) byte_start, max(byte_end) byte_end, count(*) n from i group by capture_id, section, path",
         "log_digest": f"with {LOGS}, k as (select *, {shape('line')} k from lines), g as (select capture_id, k, arg_min(rtrim(line, chr(10)), line_no) l, min(line_no) tt, count(*) n from k group by all) select capture_id, string_agg(l || case when n > 1 then '  [+' || cast(n - 1 as varchar) || ' similar]' else '' end || chr(10), '' order by tt) digest from g group by capture_id",
         "rankable_chunks": f"with {LOGS}, {LONG}, m as (select *, case when reason is distinct from lag(reason) over (partition by capture_id order by line_no) then 1 else 0 end st from planned), i as (select *, sum(st) over (partition by capture_id order by line_no) isl from m), z as (select *, greatest(30, cast(ceil(count(*) over (partition by capture_id) / 60) as bigint)) size, row_number() over (partition by capture_id, isl order by line_no) - 1 pos from i where reason is not null) select capture_id, cast(floor(pos / size) as bigint) chunk, min(line_no) first_line, max(line_no) last_line, count(*) n from z group by capture_id, isl, pos // size, cast(floor(pos / size) as bigint)",
+        "rank_sections": f"""with s as (
+          select capture_id, 'search' kind, byte_start, byte_end, path || ' lines ' || first_line || '-' || last_line as label from (with {HITS}, h as (select *, split_part(line, ':', 1) path, cast(split_part(line, ':', 2) as bigint) l from lines),
+            t as (select *, case when lag(path) over w = path and lag(l) over w + 1 = l then 0 else 1 end st from h window w as (partition by capture_id order by line_no)), i as (select *, sum(st) over (partition by capture_id order by line_no) section from t)
+            select capture_id, path, min(l) first_line, max(l) last_line, min(byte_start) byte_start, max(byte_end) byte_end from i group by capture_id, section, path)
+          union all select capture_id, 'diff', byte_start, byte_end, 'diff of ' || path || ' (' || n || ' lines)' from (with {PATHS}, {DIFFS}, t as (select *, sum(case when starts_with(line, 'diff --git a/') then 1 else 0 end) over (partition by capture_id order by line_no) section from lines)
+            select capture_id, max(regexp_extract(line, '^diff --git a/(.*?) b/', 1)) path, min(byte_start) byte_start, max(byte_end) byte_end, count(*) n from t group by capture_id, section)
+          union all select capture_id, 'output', byte_start, byte_end, 'stdout lines ' || (first_line + 1) || '-' || (last_line + 1) from (with {LOGS}, {LONG}, m as (select *, case when reason is distinct from lag(reason) over (partition by capture_id order by line_no) then 1 else 0 end st from planned),
+            i as (select *, sum(st) over (partition by capture_id order by line_no) isl from m), z as (select *, greatest(30, cast(ceil(count(*) over (partition by capture_id) / 60) as bigint)) size, row_number() over (partition by capture_id, isl order by line_no) - 1 pos from i where reason is not null)
+            select capture_id, min(line_no) first_line, max(line_no) last_line, min(byte_start) byte_start, max(byte_end) byte_end from z group by capture_id, isl, pos // size)),
+          n as (select *, row_number() over (partition by capture_id order by byte_start) - 1 idx from s)
+          select *, 'stdout' stream, case when kind = 'search' then 'section_' || printf('%02d', idx) || '_' || byte_start || '_' || byte_end else 's' || printf('%02d', idx) end id from n""",
         "changed_files": f"with {PATHS}, {DIFFS}, s as (select *, sum(case when starts_with(line, 'diff --git') then 1 else 0 end) over (partition by capture_id order by line_no) section from lines), x as (select *, row_number() over (partition by capture_id, section, left(line, 1) in ('+', '-') order by line_no) r, left(line, 1) sg, first_value(regexp_extract(ln, ' b/(.*)$', 1)) over (partition by capture_id, section order by line_no) path from (select *, rtrim(line, chr(10)) ln from s)) select capture_id, cast(section as bigint) section, max(path) path, count(*) filter (sg = '+') added, count(*) filter (sg = '-') removed, false deleted, coalesce(string_agg(line, '' order by line_no) filter (sg in ('+', '-') and r <= 12), '') excerpt from x group by capture_id, section",
         "diff_findings": "with c as (select *, 'diff-' || cast(c_custkey // 1000 as varchar) capture_id from customer where c_nationkey in (1, 2)) select capture_id, 'weakened_test' kind, 'tests/orders_test.py' path, cast(count(*) as varchar) || ' assertion or test lines removed, 0 added' evidence from c where c_nationkey = 1 group by capture_id union all select capture_id, 'dependency_change', 'package.json', '+    \"' || replace(c_name, '#', '_') || '\": \"^1.' || case when c_acctbal >= 5000 then 'gold' else 'plain' end || '\"' from c where c_nationkey = 2",
         "generated_diffs": "select 'diff-' || cast(c_custkey // 1000 as varchar) capture_id, case when 2 * count(*) filter (c_nationkey = 0) + 1 > 6 then 2 * count(*) filter (c_nationkey = 0) else 0 end hidden, 2 * count(*) + count(distinct c_nationkey) n from customer group by 1",

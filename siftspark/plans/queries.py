@@ -248,7 +248,17 @@ def log_digest(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rankable_chunks(spark: SparkSession, d: str) -> DataFrame:
     x = reduce.long_output(reduce.prepare(A.log_lines(spark, d)))
-    return rank.chunks(x).drop("stream")
+    return rank.chunks(x).drop("stream", "byte_start", "byte_end")
+
+
+@query
+def rank_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Of searches, diffs and logs in one table, each capture by its kind."""
+    hits = reduce.prepare(A.hit_lines(spark, d), kind="search")
+    diffs = reduce.prepare(A.diff_lines(spark, d), kind="auto")
+    logs = reduce.long_output(reduce.prepare(A.log_lines(spark, d)))
+    cols = ["capture_id", "stream", "kind", "line_no", "byte_start", "byte_end", "line", "reason"]
+    return rank.rank_sections(hits.select(cols).unionByName(diffs.select(cols)).unionByName(logs.select(cols)))
 
 
 @query

@@ -127,3 +127,37 @@ def test_offsets_of_long_captures_whose_rows_repeat(spark):
                 want.append((i, at, at + len(p.encode()), p))
                 at += len(p.encode())
         assert got == sorted(want)
+
+
+def test_chunks_end_after_blank_lines(spark):
+    import random
+
+    rng = random.Random(3)
+    rows, expected = [], []
+    for c in range(6):
+        n, share = rng.randint(1, 400), rng.choice([0, 0.02, 0.2, 1])
+        gap = rng.randint(0, n)
+        hidden = [i != gap for i in range(n)]
+        blank = [rng.random() < share for _ in range(n)]
+        rows += [(f"c{c}", "stdout", i, 2 * i, 2 * i + 2, " \n" if blank[i] else "x\n", "long_output_middle" if hidden[i] else None) for i in range(n)]
+        size = max(30, -(-sum(hidden) // 60))
+        for begin, end in ((0, min(gap, n)), (gap + 1, n)):
+            at = begin
+            while at < end:
+                to = min(at + size, end)
+                if to < end:
+                    to = next((i + 1 for i in range(to - 1, at + size // 2 - 1, -1) if blank[i]), to)
+                expected.append((f"c{c}", at, to - 1, 2 * at, 2 * to))
+                at = to
+    lines = spark.createDataFrame(rows, "capture_id string, stream string, line_no long, byte_start long, byte_end long, line string, reason string")
+    got = rank.chunks(lines).select("capture_id", "first_line", "last_line", "byte_start", "byte_end").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert rank.chunks(lines.where("false")).count() == 0
+
+
+def test_program_of_a_command_display(spark):
+    from siftspark.functions.classify import runs_program
+
+    rows = [("rg [3 args]", True), ("RG.exe [1 args]", True), ("rg", False), ("rgx [1 args]", False), (None, False)]
+    df = spark.createDataFrame(rows, "d string, want boolean")
+    assert df.where(runs_program(df.d, "rg") != df.want).count() == 0
