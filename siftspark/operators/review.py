@@ -55,3 +55,41 @@ def stale(advice: DataFrame, current: DataFrame) -> DataFrame:
     """Advice (capture_id, revision, candidate_sha256) against the present state of the same id."""
     now = current.select("capture_id", F.col("revision").alias("now_revision"), F.col("candidate_sha256").alias("now_sha256"))
     return advice.join(now, "capture_id", "left").withColumn("stale", ~(F.col("revision").eqNullSafe(F.col("now_revision")) & F.col("candidate_sha256").eqNullSafe(F.col("now_sha256"))))
+
+
+SNAPSHOT_VERSION = "candidate-manifest-1"
+REVIEW_BYTES, SAMPLE_BYTES = 2 << 20, 4096
+
+
+def reviewable(files: DataFrame) -> DataFrame:
+    """Untracked files (path, regular, content) with ``reviewed``: regular, of two MiB at most, and text by their first 4096 bytes. A
+    null content is empty."""
+    b = F.coalesce(F.col("content").cast("binary"), F.lit(b""))
+    return files.withColumn("reviewed", F.coalesce("regular", F.lit(False)) & (F.octet_length(b) <= REVIEW_BYTES) & C.valid_text(F.substring(b, 1, SAMPLE_BYTES)))
+
+
+def snapshots(bases: DataFrame, files: DataFrame) -> DataFrame:
+    """(capture_id, candidate_sha256, reviewed, unreviewed): one hash of what a candidate is, from ``bases(capture_id, base_commit, diff)``
+    and the untracked ``files(capture_id, path, regular, content)``. Contents are hashed where they lie; what meets is a path, a
+    length and a hash of each file, in the order of paths."""
+    b = F.coalesce(F.col("content").cast("binary"), F.lit(b""))
+    held = F.when(F.coalesce("regular", F.lit(False)), F.concat(F.octet_length(b).cast("string"), F.lit(":"), F.sha2(b, 256))).otherwise("nonregular")
+    one = F.concat(F.octet_length("path").cast("string"), F.lit(":"), F.col("path"), held)
+    per = reviewable(files).withColumn("one", one).groupBy("capture_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "one"))), lambda x: x["one"]), "").alias("manifest"), F.count_if("reviewed").alias("reviewed"), F.count_if(~F.col("reviewed")).alias("unreviewed")
+    )
+    whole = F.concat(F.lit(SNAPSHOT_VERSION), F.col("base_commit"), F.sha2(F.col("diff").cast("binary"), 256), F.coalesce("manifest", F.lit("")))
+    none = F.lit(0).cast("long")
+    return bases.join(per, "capture_id", "left").select("capture_id", F.sha2(whole.cast("binary"), 256).alias("candidate_sha256"), F.coalesce("reviewed", none).alias("reviewed"), F.coalesce("unreviewed", none).alias("unreviewed"))
+
+
+def scope_files(changed: DataFrame, most: int = 24) -> DataFrame:
+    """The files that a scope review asks about: of ``changed_files``, those that stand and hold no secret, the first ``most`` of a diff."""
+    x = changed.where(~F.col("deleted") & ~C.contains_secret(F.col("excerpt")) & ~C.contains_secret(F.col("path")))
+    return x.withColumn("nth", F.row_number().over(W.partitionBy(*KEY).orderBy("section"))).where(F.col("nth") <= most).drop("nth")
+
+
+def scope_findings(needed: DataFrame) -> DataFrame:
+    """Files ``(capture_id, path, probability)`` whose change is hardly needed for the goal: under three in ten."""
+    said = F.format_string("a %.0f%% probability that this file's change is needed for the goal", F.col("probability") * 100)
+    return needed.where("probability < 0.3").select("capture_id", F.lit("possible_scope_creep").alias("kind"), "path", said.alias("evidence"))

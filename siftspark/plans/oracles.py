@@ -218,6 +218,14 @@ def oracle_sql() -> dict[str, str]:
             select capture_id, min(line_no) first_line, max(line_no) last_line, min(byte_start) byte_start, max(byte_end) byte_end from z group by capture_id, isl, pos // size)),
           n as (select *, row_number() over (partition by capture_id order by byte_start) - 1 idx from s)
           select *, 'stdout' stream, case when kind = 'search' then 'section_' || printf('%02d', idx) || '_' || byte_start || '_' || byte_end else 's' || printf('%02d', idx) end id from n""",
+        "scope_findings": f"""with {PATHS}, {DIFFS}, t as (select *, sum(case when starts_with(line, 'diff --git a/') then 1 else 0 end) over (partition by capture_id order by line_no) section from lines),
+          g as (select capture_id, section, max(regexp_extract(line, '^diff --git a/.*? b/([^\n]*)', 1)) path, count(*) filter (line[1] = '+') added from t group by capture_id, section),
+          k as (select *, row_number() over (partition by capture_id order by section) r from g)
+          select capture_id, 'possible_scope_creep' kind, path, 'a ' || (added % 10 * 10) || '% probability that this file''s change is needed for the goal' evidence from k where r <= 24 and added % 10 < 3""",
+        "candidate_snapshots": """with f as (select 'tree-' || doc_id // 100 capture_id, 'docs/' || doc_id || '.md' path, doc_id % 17 <> 0 regular, coalesce(text, '') c from documents),
+          j as (select *, regular and strlen(c) <= 2097152 and not coalesce(hex(encode(c)[4097:4097]) between '80' and 'BF', false) and instr(c, chr(0)) = 0 ok from f)
+          select capture_id, sha256('candidate-manifest-1' || md5(capture_id) || sha256('diff of ' || capture_id) || string_agg(strlen(path) || ':' || path || case when regular then strlen(c) || ':' || sha256(c) else 'nonregular' end, '' order by path)) candidate_sha256,
+            count(*) filter (ok) reviewed, count(*) filter (not ok) unreviewed from j group by capture_id""",
         "changed_files": f"with {PATHS}, {DIFFS}, s as (select *, sum(case when starts_with(line, 'diff --git') then 1 else 0 end) over (partition by capture_id order by line_no) section from lines), x as (select *, row_number() over (partition by capture_id, section, left(line, 1) in ('+', '-') order by line_no) r, left(line, 1) sg, first_value(regexp_extract(ln, ' b/(.*)$', 1)) over (partition by capture_id, section order by line_no) path from (select *, rtrim(line, chr(10)) ln from s)) select capture_id, cast(section as bigint) section, max(path) path, count(*) filter (sg = '+') added, count(*) filter (sg = '-') removed, false deleted, coalesce(string_agg(line, '' order by line_no) filter (sg in ('+', '-') and r <= 12), '') excerpt from x group by capture_id, section",
         "diff_findings": "with c as (select *, 'diff-' || cast(c_custkey // 1000 as varchar) capture_id from customer where c_nationkey in (1, 2)) select capture_id, 'weakened_test' kind, 'tests/orders_test.py' path, cast(count(*) as varchar) || ' assertion or test lines removed, 0 added' evidence from c where c_nationkey = 1 group by capture_id union all select capture_id, 'dependency_change', 'package.json', '+    \"' || replace(c_name, '#', '_') || '\": \"^1.' || case when c_acctbal >= 5000 then 'gold' else 'plain' end || '\"' from c where c_nationkey = 2",
         "generated_diffs": "select 'diff-' || cast(c_custkey // 1000 as varchar) capture_id, case when 2 * count(*) filter (c_nationkey = 0) + 1 > 6 then 2 * count(*) filter (c_nationkey = 0) else 0 end hidden, 2 * count(*) + count(distinct c_nationkey) n from customer group by 1",

@@ -266,6 +266,21 @@ def changed_files(spark: SparkSession, d: str) -> DataFrame:
     return review.changed_files(A.diff_lines(spark, d)).drop("stream")
 
 
+@query
+def scope_findings(spark: SparkSession, d: str) -> DataFrame:
+    files = review.scope_files(review.changed_files(A.diff_lines(spark, d)))
+    return review.scope_findings(files.withColumn("probability", F.col("added") % 10 / F.lit(10.0)))
+
+
+@query
+def candidate_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as untracked files, a hundred to a candidate."""
+    tree = "concat('tree-', doc_id div 100) capture_id"
+    files = A.table(spark, d, "documents").selectExpr(tree, "concat('docs/', doc_id, '.md') path", "doc_id % 17 <> 0 regular", "text content")
+    bases = A.table(spark, d, "documents").selectExpr(tree).distinct().selectExpr("capture_id", "md5(cast(capture_id as binary)) base_commit", "concat('diff of ', capture_id) diff")
+    return review.snapshots(bases, files)
+
+
 @query
 def diff_findings(spark: SparkSession, d: str) -> DataFrame:
     return review.diff_findings(A.diff_lines(spark, d))

@@ -161,3 +161,21 @@ def test_program_of_a_command_display(spark):
     rows = [("rg [3 args]", True), ("RG.exe [1 args]", True), ("rg", False), ("rgx [1 args]", False), (None, False)]
     df = spark.createDataFrame(rows, "d string, want boolean")
     assert df.where(runs_program(df.d, "rg") != df.want).count() == 0
+
+
+def test_untracked_files_that_can_be_reviewed(spark):
+    rows = [("text", True, b"fine"), ("none", True, None), ("link", False, b"fine"), ("null", True, b"a\x00b"), ("late", True, b"a" * 5000 + b"\x00"), ("bytes", True, b"\xff"), ("cut", True, b"a" * 4095 + "é".encode()), ("large", True, b"a" * ((2 << 20) + 1))]
+    files = spark.createDataFrame([("c", *r) for r in rows], "capture_id string, path string, regular boolean, content binary")
+    assert {r["path"] for r in review.reviewable(files).where("reviewed").collect()} == {"text", "none", "late"}
+    bases = spark.createDataFrame([("c", "x", "d"), ("alone", "x", "d")], "capture_id string, base_commit string, diff string")
+    first = {r["capture_id"]: r for r in review.snapshots(bases, files).collect()}
+    again = {r["capture_id"]: r for r in review.snapshots(bases, files.repartition(5)).collect()}
+    other = {r["capture_id"]: r for r in review.snapshots(bases, files.where("path <> 'link'")).collect()}
+    assert first == again and first["c"]["candidate_sha256"] != other["c"]["candidate_sha256"] and (first["c"]["reviewed"], first["c"]["unreviewed"]) == (3, 5)
+    assert first["alone"] == other["alone"] and first["alone"]["reviewed"] == 0
+
+
+def test_scope_review_leaves_out_secrets_and_deleted_files(spark):
+    rows = [("c", "stdout", i, f"p{i}", 1, 0, i == 3, "+ api_key = 'sk-" + "a1B2" * 12 + "'\n" if i == 5 else "+ x\n") for i in range(30)]
+    changed = spark.createDataFrame(rows, "capture_id string, stream string, section long, path string, added long, removed long, deleted boolean, excerpt string")
+    assert [r["path"] for r in review.scope_files(changed).orderBy("section").collect()] == [f"p{i}" for i in range(26) if i not in (3, 5)]
