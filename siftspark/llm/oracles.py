@@ -86,6 +86,20 @@ times as (select *, epochs + case when upto <= remain then 1 else 0 end t from c
 select doc_id, "domain", lang, source, cast(n_tokens as bigint) n_tokens, cast(unnest(range(0, t)) as bigint) epoch from times where t > 0
 """
 
+OP13 = r"""
+with units as (
+  select doc_id, coalesce(text, '') txt, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') u, sha256('1:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+hashed as (
+  select doc_id, txt, u, cast(len(u) as bigint) n, cast('0x' || h[1:8] as bigint) h1, cast('0x' || h[9:16] as bigint) h2, cast('0x' || h[17:24] as bigint) h3, cast('0x' || h[25:32] as bigint) h4 from units),
+cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+    case when txt = '' or contains(txt, '<P>') or contains(txt, '<S>') or contains(txt, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form from hashed),
+parts as (select *, array_to_string(u[1:a], '') pre, array_to_string(u[a + 1:b], '') mid, array_to_string(u[b + 1:n], '') suf from cut)
+select doc_id, n, form, case when form <> 'plain' then cast(length(pre) as bigint) end prefix_chars, case when form <> 'plain' then cast(length(mid) as bigint) end middle_chars,
+  sha256(case form when 'plain' then txt when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(txt) restored_sha256
+from parts
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": OP4, "op7_preference_format": OP7, "op8_hierarchical_mix": OP8}
+    return {"op4_ngram_jaccard_join": OP4, "op7_preference_format": OP7, "op8_hierarchical_mix": OP8, "op13_fill_in_middle": OP13}

@@ -83,5 +83,11 @@ def op10_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame
     return pseudo_lm.score(docs, vocab, pseudo_lm.train(docs, vocab, total=total), rare=pseudo_lm.rare_words(counts, vocab), keep_text=False)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftspark.llm.infill import digests
+
+    return digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
