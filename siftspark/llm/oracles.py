@@ -86,6 +86,18 @@ times as (select *, epochs + case when upto <= remain then 1 else 0 end t from c
 select doc_id, "domain", lang, source, cast(n_tokens as bigint) n_tokens, cast(unnest(range(0, t)) as bigint) epoch from times where t > 0
 """
 
+OP11 = r"""
+with sound as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id anchor_id, b.vec_id id, a.l = b.l same, cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as bigint) score
+  from sound a join sound b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+pos as (select anchor_id, id positive_id, score positive_score from scored where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, id) as int) as rank, id negative_id, positive_score, score negative_score
+from pos join scored using (anchor_id) where not same and 100 * score between 30 * positive_score and 90 * positive_score qualify rank <= 10
+"""
+
 OP13 = r"""
 with units as (
   select doc_id, coalesce(text, '') txt, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') u, sha256('1:' || coalesce(cast(doc_id as varchar), '')) h from documents),
@@ -102,4 +114,4 @@ from parts
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": OP4, "op7_preference_format": OP7, "op8_hierarchical_mix": OP8, "op13_fill_in_middle": OP13}
+    return {"op4_ngram_jaccard_join": OP4, "op7_preference_format": OP7, "op8_hierarchical_mix": OP8, "op11_hard_negatives": OP11, "op13_fill_in_middle": OP13}

@@ -83,6 +83,12 @@ def op10_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame
     return pseudo_lm.score(docs, vocab, pseudo_lm.train(docs, vocab, total=total), rare=pseudo_lm.rare_words(counts, vocab), keep_text=False)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftspark.llm.hard_negatives import of_embeddings
+
+    return of_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftspark.llm.infill import digests
 
