@@ -89,6 +89,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftspark.llm.prefix_forest import of_embeddings
+
+    return of_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftspark.llm.infill import digests
 
