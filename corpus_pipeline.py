@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from siftspark.llm import compression_rules, jaccard_join, mixing, piece_codec, toxicity
 from siftspark.llm.joins import unused
-from siftspark.llm.store import materialize
 from siftspark.session import ship
+from siftspark.store import discard, materialize
 
 #: every stage needs Python on the executors or a fitted model, which SQL can't express; tests hold run() against brute force
 ORACLE_SQL = None
@@ -69,5 +69,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # nothing reads a stage's input once its result is written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -70,9 +70,10 @@ def ranker_tokens(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[^\p{IsAlphabetic}\p{IsDigit}_]+"), F.lower), lambda w: F.octet_length(w) >= 4)
 
 
-def hit(c: Column, default_path: str | None = None) -> Column:
+def hit(c: Column, default_path: str | Column | None = None) -> Column:
     """``path:line:content`` as a struct (path, line, content); null where the line has an escape, no numeric part between
-    colons or more than one. A Windows drive may lead the path. ``default_path`` takes ``line:content``."""
+    colons or more than one. A Windows drive may lead the path. ``default_path``, a text or a column, is the path of ``line:content``; where it is null or
+    empty such a line is no hit."""
     t = trim_end(c)
     parts = F.split(t, ":")
     numeric = F.size(F.filter(parts, lambda p, i: (i > 0) & (i < F.size(parts) - 1) & p.rlike("^[0-9]+$")))
@@ -82,7 +83,8 @@ def hit(c: Column, default_path: str | None = None) -> Column:
     if default_path is None:
         return found
     line, rest = F.regexp_extract(t, r"(?s)^([0-9]+):(.+)$", 1), F.regexp_extract(t, r"(?s)^([0-9]+):(.+)$", 2)
-    return F.coalesce(found, F.when(~t.contains("\x1b") & line.rlike("^0*[1-9][0-9]{0,17}$"), F.struct(F.lit(default_path).alias("path"), line.cast("long").alias("line"), rest.alias("content"))))
+    of = F.lit(default_path) if isinstance(default_path, str) else default_path
+    return F.coalesce(found, F.when((of != "") & ~t.contains("\x1b") & line.rlike("^0*[1-9][0-9]{0,17}$"), F.struct(of.alias("path"), line.cast("long").alias("line"), rest.alias("content"))))
 
 
 def hit_content(c: Column) -> Column:

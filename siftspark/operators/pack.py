@@ -85,6 +85,11 @@ def decision(binary: Column, partial: Column, search: Column, exit_code: Column,
     )
 
 
+def plan_errors(planned: DataFrame) -> DataFrame:
+    """(capture_id, plan_error): why a capture can't be planned, for ``decision``; null where it can."""
+    return planned.groupBy("capture_id").agg(F.max("plan_error").alias("plan_error"))
+
+
 def views(planned: DataFrame, captures: DataFrame) -> DataFrame:
     """(capture_id, omitted, view): a header, blocks and markers by (stdout first, byte start), and how to recall.
     ``captures(capture_id, exit_code)``."""

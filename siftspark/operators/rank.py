@@ -60,11 +60,10 @@ def enough(candidates: DataFrame) -> DataFrame:
 
 
 def in_ranges(lines: DataFrame, ranges: DataFrame, inside: bool = True) -> DataFrame:
-    """Lines wholly inside a selected byte range of their stream, or outside all of them. The equality on (capture, stream) is
-    what joins; the containment is checked within it."""
-    r = ranges.select(F.col("capture_id").alias("rc"), F.col("stream").alias("rs"), "start", "end")
-    on = (F.col("capture_id") == F.col("rc")) & (F.col("stream") == F.col("rs")) & (F.col("byte_start") >= F.col("start")) & (F.col("byte_end") <= F.col("end"))
-    return lines.join(r, on, "left_semi" if inside else "left_anti")
+    """Lines wholly inside a selected byte range of their stream, or outside all of them: one pass over lines and ranges in byte order."""
+    from siftspark.operators.reduce import with_selection
+
+    return with_selection(lines, ranges).where(F.col("chosen") == inside).drop("chosen", "asked")
 
 
 def _cuts(n: Column, size: Column, blanks: Column) -> Column:

@@ -1,9 +1,11 @@
 """The reduction plan: which lines may be hidden, each with a reason.
 
 ``lines`` has a row for each line: capture_id, stream, line_no, line (terminator included). Stages run in a fixed order and the first
-to give a reason wins; a stage sees the reasons of the ones before it. Nearly all of them are windows over (capture_id, stream) in line
-order, so one shuffle by that key serves them, and row-wise classification happens once, before it. A capture is bounded (see
-``pack.MOST_BYTES``); frames that look ahead are run backwards, so that no frame is computed anew for each row.
+to give a reason wins; a stage sees the reasons of the ones before it. They are windows over (capture_id, stream), or over parts of it, in
+line order, so one shuffle by that key serves a chain of them; row-wise classification happens once, before it. Three things need the lines of
+a capture a second time: equal edits, recaps of facts, and which goal tokens tell something. For these the chain is cut once by a written table. Each
+reads its own columns of that table, and what it finds comes back as marker rows of the chain, which windows spread, so lines are shuffled
+twice in all. A capture is the unit of order and bounded; frames that look ahead are run backwards, so that no frame is computed anew for each row.
 """
 
 from __future__ import annotations
@@ -17,12 +19,16 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import classify as C
 from siftspark.functions import text as X
+from siftspark.store import materialize
 
 KEY = ("capture_id", "stream")
 TESTS, PROGRESS_OF_TESTS, IDENTICAL, SIMILAR, REDRAW = "successful_test_inventory", "test_progress", "repeated_identical_lines", "similar_lines", "terminal_progress"
 GENERATED, MIDDLE, BOILERPLATE, DUPLICATE = "generated_file_diff", "long_output_middle", "runner_boilerplate", "duplicate_of_visible_line"
 FRAMES, SAME_EDIT, MORE_HITS, REPEATED_HITS, BUILD = "runtime_internal_frames", "same_edit_in_more_files", "search_matches_beyond_head", "repeated_search_match_content", "successful_cargo_progress"
 SILENT = (BOILERPLATE, DUPLICATE)
+UNSUPPORTED = "unsupported_search_format"
+ADAPTIVE_SEARCH, ADAPTIVE = "adaptive_search_nonselected", "adaptive_nonselected"
+LONG_WORD = 1024
 
 
 @dataclass(frozen=True)
@@ -83,15 +89,32 @@ def islands(x: DataFrame, starts: Column, name: str = "island") -> DataFrame:
     return x.withColumn(name, F.sum(F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0)).over(by_line()))
 
 
+def default_path(x: DataFrame) -> Column | None:
+    """The path of a search of one file, where lines have it."""
+    return F.col("default_path") if "default_path" in x.columns else None
+
+
+def search_format(x: DataFrame) -> DataFrame:
+    """``plan_error`` of streams of search output that has a line which is no hit: they are delivered as they are."""
+    bad = (F.col("kind") == "search") & (F.col("stream") == "stdout") & X.hit(F.col("line"), default_path(x)).isNull()
+    return x.withColumn("plan_error", F.when(F.max(bad).over(whole()), UNSUPPORTED))
+
+
+def hit_named(path: Column, content: Column) -> Column:
+    """Whether the goal holds the path or the content of a hit."""
+    return named_by_goal(path) | named_by_goal(content)
+
+
 def repeated_hits(x: DataFrame, p: Params = Params()) -> DataFrame:
-    """Rising search hits of one path with equal long content: all but the first and last two of a run."""
-    x = x.withColumn("h", X.hit(F.col("line")))
+    """Rising search hits on stdout of one path with equal long content: all but the first and last two of a run. Facts are sought in the content
+    alone; the goal may name the path or the content."""
+    x = x.withColumn("h", X.hit(F.col("line"), default_path(x)))
     w = by_line()
     goes_on = (F.lag("h.path").over(w) == F.col("h.path")) & (F.lag("h.content").over(w) == F.col("h.content")) & (F.lag("h.line").over(w) < F.col("h.line"))
     x = islands(x.withColumn("on", F.coalesce(goes_on, F.lit(False))), ~F.col("on"))
     x = x.withColumn("k", F.count("*").over(whole("island"))).withColumn("r", F.row_number().over(by_line("island")))
     content = F.col("h.content")
-    fine = (F.octet_length(content) >= 32) & F.col("fact").isNull() & ~F.col("mentioned") & (F.col("k") >= p.repeat_hits)
+    fine = (F.col("stream") == "stdout") & (F.octet_length(content) >= 32) & C.fact_kind(content).isNull() & ~hit_named(F.col("h.path"), content) & (F.col("k") >= p.repeat_hits)
     return set_reason(x, fine & (F.col("r") > 2) & (F.col("r") <= F.col("k") - 2), REPEATED_HITS, "h", "on", "island", "k", "r")
 
 
@@ -140,11 +163,10 @@ def passing_tests(x: DataFrame, p: Params = Params()) -> DataFrame:
     return set_reason(x, is_test, TESTS, "n_pass", "n_prog", "nth")
 
 
-def with_sections(x: DataFrame) -> DataFrame:
+def with_sections(x: DataFrame, head: str = "diff --git ") -> DataFrame:
     """Diff sections: ``section`` from 1 (0 before the first), its path on the old side, empty where the header has none, and the
     row's place in it."""
-    head = F.col("line").startswith("diff --git ")
-    x = x.withColumn("section", F.sum(F.when(head, 1).otherwise(0)).over(by_line()))
+    x = x.withColumn("section", F.sum(F.when(F.col("line").startswith(head), 1).otherwise(0)).over(by_line()))
     path = F.regexp_extract("t", r"^diff --git a/(.*?) b/", 1)
     x = x.withColumn("path", F.first(path).over(by_line("section").rowsBetween(W.unboundedPreceding, 0)))
     return x.withColumn("place", F.row_number().over(by_line("section")))
@@ -161,13 +183,14 @@ def generated_diffs(x: DataFrame, p: Params = Params()) -> DataFrame:
 
 def edit_signatures(x: DataFrame) -> DataFrame:
     """(capture_id, stream, section, first, n, hidden, named, gone, come): identifiers only removed and only added by each section,
-    and whether the goal names a part of its header."""
+    and whether the goal names a part of its header. Lines may have their ``section`` and ``place`` already."""
     ids = lambda c: F.filter(F.split(c, "[^A-Za-z0-9_]+"), lambda w: w.rlike("^[A-Za-z_]"))
     body = F.substring("t", 2, 1 << 30)
     parts = F.filter(F.split(X.ascii_lower(F.col("t")), "[ /]"), lambda w: (F.octet_length(w) >= 4) & w.contains("."))
     named = F.exists(parts, lambda w: F.coalesce(F.contains("goal_text", w), F.lit(False)))
     changed = ~F.col("t").startswith("---") & ~F.col("t").startswith("+++") & F.col("t").rlike("^[-+]")
-    per = with_sections(x).where("section > 0").groupBy(*KEY, "section").agg(
+    x = x if "section" in x.columns else with_sections(x)
+    per = x.where("section > 0").groupBy(*KEY, "section").agg(
         F.min("line_no").alias("first"),
         F.count_if(changed).alias("n"),
         F.count_if(F.col("reason").isNotNull()).alias("hidden"),
@@ -179,18 +202,23 @@ def edit_signatures(x: DataFrame) -> DataFrame:
     return out.where("n >= 4 and (size(gone) > 0 or size(come) > 0)")
 
 
-def same_edits(x: DataFrame, p: Params = Params()) -> DataFrame:
-    """Bodies of files with the edit of an earlier file, where three have it and the goal names none of them."""
+def later_edits(x: DataFrame, p: Params = Params()) -> DataFrame:
+    """(capture_id, stream, section, later): sections with the edit of an earlier file, where three have it and the goal names none of them."""
     sig = edit_signatures(x.where("kind = 'diff'")).where("hidden = 0 and not coalesce(named, false)").withColumn("sig", F.sha2(F.to_json(F.struct("gone", "come")), 256))
     w = W.partitionBy(*KEY, "sig")
-    later = sig.withColumn("files", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy("first"))).where((F.col("files") >= p.same_edit_files) & (F.col("nth") > 1)).select(*KEY, "section", F.lit(True).alias("later"))
-    y = with_sections(x).join(later, [*KEY, "section"], "left")
-    return set_reason(y, F.col("later") & (F.col("place") > 1), SAME_EDIT, "section", "path", "place", "later")
+    later = sig.withColumn("files", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy("first"))).where((F.col("files") >= p.same_edit_files) & (F.col("nth") > 1))
+    return later.select(*KEY, "section", F.lit(True).alias("later"))
+
+
+def same_edits(x: DataFrame, p: Params = Params()) -> DataFrame:
+    """Bodies of the sections that a marker row calls ``later``."""
+    later = (F.col("kind") == "diff") & F.coalesce(F.max("later").over(whole("section")), F.lit(False))
+    return set_reason(x, later & (F.col("place") > 1), SAME_EDIT)
 
 
 def redraws(x: DataFrame, p: Params = Params()) -> DataFrame:
     x = x.withColumn("re", C.has_redraw(F.col("line")))
-    x = x.withColumn("n", F.count_if("re").over(whole()))
+    x = x.withColumn("n", F.count_if(F.col("re") & ~is_marker(x)).over(whole()))
     return set_reason(x, F.col("re") & (F.col("n") >= 2) & F.col("fact").isNull(), REDRAW, "re", "n")
 
 
@@ -217,32 +245,48 @@ def _stretches(c: str, width: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - width + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(width))))
 
 
+def with_recap_flags(x: DataFrame) -> DataFrame:
+    """Of test output: ``said``, ``long_`` (a visible line long enough to be a recap), ``is_fact`` and ``is_echo`` (one without spaces)."""
+    x = x.withColumn("said", F.regexp_replace("t", r"^(?U:\s)+|(?U:\s)+$", ""))
+    x = x.withColumn("any", F.count_if(F.col("passed").isNotNull() | F.col("prog")).over(whole()))
+    x = x.withColumn("shown", F.col("reason").isNull() & (F.col("any") > 0) & (F.col("kind") == "output")).drop("any")
+    structural = F.col("said").endswith(":") | F.col("said").startswith('File "') | F.col("said").startswith("at ")
+    x = x.withColumn("long_", F.col("shown") & (F.octet_length("said") >= 8) & ~structural)
+    return x.withColumn("is_fact", F.col("shown") & F.col("fact").isNotNull()).withColumn("is_echo", F.col("long_") & ~F.col("said").rlike(r"(?U)\s"))
+
+
 def echoes(x: DataFrame) -> DataFrame:
-    """(capture_id, stream, said, since): texts with ``is_echo`` that a line with ``is_fact`` holds, and the first such line. A text is held
-    against the facts with its rarest stretch of eight characters, not against all. Texts of eight bytes or more but fewer characters
-    go by stretches of two, of which one isn't ASCII."""
-    facts = x.where("is_fact").groupBy(*KEY, "said").agg(F.min("line_no").alias("first"))
-    texts = x.where("is_echo").select(*KEY, F.col("said").alias("text")).distinct()
-    pairs = lambda c: F.filter(_stretches(c, 2), lambda g: g.rlike(r"[^\x00-\x7F]"))
-    held = facts.select(*KEY, "first", F.explode(F.array_union(_stretches("said", 8), pairs("said"))).alias("gram"))
-    times = held.groupBy(*KEY, "gram").agg(F.count("*").alias("times"))
-    asked = texts.select(*KEY, "text", F.explode(F.when(F.length("text") >= 8, _stretches("text", 8)).otherwise(pairs("text"))).alias("gram")).join(times, [*KEY, "gram"], "left")
-    rarest = asked.groupBy(*KEY, "text").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), F.col("gram").alias("gram"))).alias("x"))
-    met = rarest.where("x.times > 0").select(*KEY, "text", F.col("x.gram").alias("gram")).join(held, [*KEY, "gram"]).join(facts, [*KEY, "first"]).where(F.contains("said", "text"))
-    return met.groupBy(*KEY, F.col("text").alias("said")).agg(F.min("first").alias("since"))
+    """(capture_id, stream, said, since): texts with ``is_echo`` that a line with ``is_fact`` holds, and the first such line.
+
+    A text without spaces lies within one word of the line, so it is held against words, and not against all but against those with
+    its rarest stretch of eight characters. Texts of eight bytes or more but fewer characters go by stretches of two, of which one isn't
+    ASCII. Long words are cut into pieces that overlap, and also held whole against texts that are longer than the overlap. One
+    shuffle, by capture; what follows groups within it."""
+    pieces = lambda w: F.transform(F.sequence(F.lit(1), F.length(w), F.lit(LONG_WORD)), lambda i: F.substring(w, i, F.lit(2 * LONG_WORD)))
+    item = lambda kind, words: F.transform(words, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+    words = F.filter(F.split("said", r"(?U)\s+"), lambda w: F.octet_length(w) >= 8)
+    whole_, cut = F.filter(words, lambda w: F.length(w) > LONG_WORD), F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG_WORD, pieces(w)).otherwise(F.array(w))))
+    of_facts, none = F.concat(item("fact", cut), item("long fact", whole_)), F.expr("cast(array() as array<struct<kind: string, word: string>>)")
+    items = F.concat(F.when(F.col("is_fact"), of_facts).otherwise(none), F.when(F.col("is_echo"), item("echo", F.array("said"))).otherwise(none))
+    found = x.where("is_fact or is_echo").select(*KEY, "line_no", items.alias("items")).repartition(*KEY)
+    each = found.select(*KEY, "line_no", F.explode("items").alias("x")).groupBy(*KEY, "x.kind", "x.word").agg(F.min("line_no").alias("first"))
+
+    pairs = F.filter(_stretches("word", 2), lambda g: g.rlike(r"[^\x00-\x7F]"))
+    longest = (F.col("kind") == "long fact") | ((F.col("kind") == "echo") & (F.length("word") > LONG_WORD))
+    grams = F.when(longest, F.array(F.lit(""))).when(F.col("kind") == "fact", F.array_union(_stretches("word", 8), pairs)).otherwise(F.when(F.length("word") >= 8, _stretches("word", 8)).otherwise(pairs))
+    held = each.withColumn("gram", F.explode(grams)).withColumn("times", F.count_if(F.col("kind") != "echo").over(W.partitionBy(*KEY, "gram")))
+    held = held.withColumn("nth", F.row_number().over(W.partitionBy(*KEY, "kind", "word").orderBy("times", "gram"))).where("kind <> 'echo' or (nth = 1 and times > 0)")
+    met = held.groupBy(*KEY, "gram").agg(F.collect_list(F.when(F.col("kind") != "echo", F.struct("word", "first"))).alias("facts"), F.collect_list(F.when(F.col("kind") == "echo", F.col("word"))).alias("asked"))
+    asked = met.where("size(facts) > 0").select(*KEY, "facts", F.explode("asked").alias("said"))
+    since = F.array_min(F.transform(F.filter("facts", lambda f: F.contains(f["word"], F.col("said"))), lambda f: f["first"]))
+    return asked.select(*KEY, "said", since.alias("since")).where("since is not null")
 
 
 def recaps(x: DataFrame, p: Params = Params()) -> DataFrame:
-    """In test output: a long enough visible line seen before, or one without spaces that an earlier visible fact line holds."""
-    x = x.withColumn("said", F.regexp_replace("t", r"^(?U:\s)+|(?U:\s)+$", ""))
-    x = x.withColumn("any", F.count_if(F.col("passed").isNotNull() | F.col("prog")).over(whole()))
-    x = x.withColumn("vis", F.col("reason").isNull() & (F.col("any") > 0) & (F.col("kind") == "output"))
-    x = x.withColumn("seen", F.row_number().over(W.partitionBy(*KEY, "said", "vis").orderBy("line_no")))
-    structural = F.col("said").endswith(":") | F.col("said").startswith('File "') | F.col("said").startswith("at ")
-    x = x.withColumn("long_", F.col("vis") & (F.octet_length("said") >= 8) & ~structural)
-    own = x.withColumn("is_fact", F.col("vis") & F.col("fact").isNotNull()).withColumn("is_echo", F.col("long_") & ~F.col("said").rlike(r"(?U)\s"))
-    x = x.join(echoes(own.where("is_fact or is_echo").select(*KEY, "line_no", "said", "is_fact", "is_echo")), [*KEY, "said"], "left")
-    return set_reason(x, F.col("long_") & ((F.col("seen") > 1) | F.coalesce(F.col("since") < F.col("line_no"), F.lit(False))), DUPLICATE, "said", "any", "vis", "seen", "long_", "since")
+    """In test output: a long enough visible line seen before, or one without spaces that an earlier visible fact line holds, as
+    a marker row with ``since`` says."""
+    x = x.withColumn("since", F.min("since").over(whole("said"))).withColumn("seen", F.row_number().over(W.partitionBy(*KEY, "said", "shown").orderBy("line_no")))
+    return set_reason(x, F.col("long_") & ((F.col("seen") > 1) | F.coalesce(F.col("is_echo") & (F.col("since") < F.col("line_no")), F.lit(False))), DUPLICATE, "said", "shown", "seen", "long_", "since", "is_fact", "is_echo")
 
 
 def rare_lines(x: DataFrame) -> DataFrame:
@@ -254,20 +298,27 @@ def rare_lines(x: DataFrame) -> DataFrame:
     return x.withColumn("rare", F.col("rare") & (n <= 40) & (n * 20 <= seen)).drop("vis", "shape", "like")
 
 
-def token_hits(x: DataFrame) -> DataFrame:
-    """``told``: lines with a goal token that isn't too frequent: at most lines / 50 of them, within 8 and 40."""
+def telling_tokens(x: DataFrame) -> DataFrame:
+    """(capture_id, stream, telling): goal tokens that aren't too frequent: lines / 50 of the lines have them at most, within 8 and 40. Tokens
+    found are counted where lines are, and only counts are shuffled."""
     low = X.ascii_lower(F.col("line"))
-    per = x.select(*KEY, "line_no", low.alias("low"), F.explode("tokens").alias("token")).where(F.contains("low", "token"))
-    total = x.groupBy(*KEY).agg(F.count("*").alias("n"))
-    limit = F.least(F.greatest(F.expr("n div 50"), F.lit(8)), F.lit(40))
-    fit = per.groupBy(*KEY, "token").agg(F.count("*").alias("k")).join(total, list(KEY)).where(F.col("k") <= limit).select(*KEY, "token")
-    told = per.join(fit, [*KEY, "token"]).select(*KEY, "line_no", F.lit(True).alias("told")).distinct()
-    return x.join(told, [*KEY, "line_no"], "left").withColumn("told", F.coalesce("told", F.lit(False)))
+    found = F.concat(F.array(F.lit("")), F.filter("tokens", lambda k: F.contains(low, k)))  # the empty one counts all lines
+    counts = x.select(*KEY, F.explode(found).alias("token")).groupBy(*KEY, "token").agg(F.count("*").alias("n"))
+    per = counts.groupBy(*KEY).agg(F.max(F.when(F.col("token") == "", F.col("n"))).alias("lines"), F.collect_list(F.when(F.col("token") != "", F.struct("token", "n"))).alias("found"))
+    limit = F.least(F.greatest(F.expr("lines div 50"), F.lit(8)), F.lit(40))
+    return per.select(*KEY, F.transform(F.filter("found", lambda f: f["n"] <= limit), lambda f: f["token"]).alias("telling")).where("size(telling) > 0")
+
 
+def told(x: DataFrame) -> Column:
+    """Whether a line has a telling token of the goal."""
+    if "telling" not in x.columns:
+        return F.lit(False)
+    return F.coalesce(F.exists("telling", lambda k: F.contains(X.ascii_lower(F.col("line")), k)), F.lit(False))
 
-def long_output(x: DataFrame, p: Params = Params(), goals: bool = False) -> DataFrame:
+
+def long_output(x: DataFrame, p: Params = Params()) -> DataFrame:
     """Beyond the thresholds: head, tail, facts with context, goal lines and rare lines stay."""
-    x = token_hits(rare_lines(x)) if goals else rare_lines(x).withColumn("told", F.lit(False))
+    x = rare_lines(x).withColumn("told", told(x))
     x = x.withColumn("vis", F.col("reason").isNull())
     x = x.withColumn("n_vis", F.count_if("vis").over(whole())).withColumn("b_vis", F.sum(F.when(F.col("vis"), F.col("n_bytes")).otherwise(0)).over(whole()))
     x = x.withColumn("nth", F.sum(F.when(F.col("vis"), 1).otherwise(0)).over(by_line()))
@@ -282,9 +333,9 @@ def long_output(x: DataFrame, p: Params = Params(), goals: bool = False) -> Data
     return set_reason(x, on & F.col("vis") & ~keep, MIDDLE, "rare", "told", "vis", "n_vis", "b_vis", "nth", "heavy", "light", "near")
 
 
-def search_head(x: DataFrame, p: Params = Params(), goals: bool = False) -> DataFrame:
+def search_head(x: DataFrame, p: Params = Params()) -> DataFrame:
     """Long search output: the head, definitions if they stand out, and goal lines stay."""
-    x = token_hits(x) if goals else x.withColumn("told", F.lit(False))
+    x = x.withColumn("told", told(x))
     x = x.withColumn("vis", F.col("reason").isNull())
     x = x.withColumn("def", F.col("vis") & C.is_definition(X.hit_content(F.col("line"))))
     x = x.withColumn("n_vis", F.count_if("vis").over(whole())).withColumn("b_vis", F.sum(F.when(F.col("vis"), F.col("n_bytes")).otherwise(0)).over(whole())).withColumn("n_def", F.count_if("def").over(whole()))
@@ -310,30 +361,32 @@ def tidy(x: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def with_selection(x: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``chosen``: whether a line lies in a selected byte range (capture_id, stream, start, end) of its stream."""
-    r = ranges.select("capture_id", "stream", "start", "end")
-    hit = x.select(*KEY, "line_no", "byte_start", "byte_end").join(r, list(KEY)).where("byte_start >= start and byte_end <= end").select(*KEY, "line_no").distinct().withColumn("chosen", F.lit(True))
-    return x.join(hit, [*KEY, "line_no"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    """``chosen``: whether a line lies in a selected byte range (capture_id, stream, start, end) of its stream, and ``asked``: whether its stream
+    has any range. Ranges and lines are one stream in the order of their first bytes; a line lies in a range if the largest end of those begun so
+    far isn't before its own."""
+    r = ranges.select("capture_id", "stream", F.col("start").cast("long").alias("byte_start"), F.col("end").cast("long").alias("__end"), F.lit(True).alias("__range"))
+    both = x.withColumn("__end", F.lit(None).cast("long")).withColumn("__range", F.lit(False)).unionByName(r, allowMissingColumns=True)
+    begun = W.partitionBy(*KEY).orderBy("byte_start", F.desc("__range")).rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("chosen", F.coalesce(F.max("__end").over(begun) >= F.col("byte_end"), F.lit(False))).withColumn("asked", F.max("__range").over(whole()))
+    return both.where("not __range").drop("__end", "__range")
 
 
 def adaptive_search(x: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Search hits outside the selected ranges go, but for definitions and what the goal names."""
-    h = X.hit(F.col("line"))
-    x = with_selection(x, ranges).withColumn("h", h)
-    goal = F.coalesce("goal_text", F.lit(""))
-    named = F.contains(goal, F.lower("h.path")) | F.contains(goal, F.lower("h.content"))
-    return set_reason(x, ~F.col("chosen") & ~F.coalesce(named, F.lit(False)) & ~C.is_definition(F.col("h.content")), "adaptive_search_nonselected", "h", "chosen")
+    """Search hits on stdout outside the selected ranges go, but for definitions and what the goal names."""
+    x = with_selection(x, ranges).withColumn("h", X.hit(F.col("line"), default_path(x)))
+    stays = F.col("chosen") | hit_named(F.col("h.path"), F.col("h.content")) | C.is_definition(F.col("h.content"))
+    return set_reason(x, (F.col("stream") == "stdout") & ~stays, ADAPTIVE_SEARCH, "h", "chosen", "asked")
 
 
 def adaptive_merge(x: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Selected chunks of long output are shown again. In diffs, a selected file shows its generated body, and others lose
-    theirs."""
-    y = with_selection(x, ranges)
-    out = y.withColumn("reason", F.when((F.col("kind") != "diff") & (F.col("reason") == MIDDLE) & F.col("chosen"), None).otherwise(F.col("reason")))
-    out = with_sections(out).withColumn("picked", F.max("chosen").over(whole("section"))).withColumn("any", F.max("chosen").over(whole()))
+    """Selected chunks of long output are shown again. In diffs, a file with a selected line shows its generated body; where ranges were given, others lose
+    theirs, also if no line lies whole in any range."""
+    out = with_selection(x, ranges)
+    out = out.withColumn("reason", F.when((F.col("kind") != "diff") & (F.col("reason") == MIDDLE) & F.col("chosen"), None).otherwise(F.col("reason")))
+    out = with_sections(out, "diff --git a/").withColumn("picked", F.max("chosen").over(whole("section")))
     diff = (F.col("kind") == "diff") & (F.col("section") > 0)
     out = out.withColumn("reason", F.when(diff & F.col("picked") & (F.col("reason") == GENERATED), None).otherwise(F.col("reason")))
-    return set_reason(out, diff & ~F.col("picked") & F.col("any") & (F.col("place") > 1), "adaptive_nonselected", "section", "path", "place", "picked", "any", "chosen")
+    return set_reason(out, diff & ~F.col("picked") & F.col("asked") & (F.col("place") > 1), ADAPTIVE, "section", "path", "place", "picked", "asked", "chosen")
 
 
 def tiny_gaps(x: DataFrame, p: Params = Params()) -> DataFrame:
@@ -347,35 +400,80 @@ def tiny_gaps(x: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 Stage = Callable[[DataFrame, Params], DataFrame]
-#: in order, with the kinds of material each is for
-STAGES: list[tuple[str, Stage, tuple[str, ...]]] = [
-    ("repeated_hits", repeated_hits, ("search",)),
-    ("build_progress", build_progress, ("output", "search", "diff")),
-    ("boilerplate", boilerplate, ("output", "search", "diff")),
-    ("runtime_frames", runtime_frames, ("output",)),
-    ("passing_tests", passing_tests, ("output", "search", "diff")),
-    ("generated_diffs", generated_diffs, ("diff",)),
-    ("same_edits", same_edits, ("diff",)),
-    ("redraws", redraws, ("output", "search", "diff")),
-    ("identical_runs", identical_runs, ("output", "search")),
-    ("similar_runs", similar_runs, ("output",)),
-    ("recaps", recaps, ("output",)),
-    ("long_output", long_output, ("output",)),
-    ("search_head", search_head, ("search",)),
-    ("tidy", tidy, ("output", "search")),
+#: in order, with the kinds of material each is for; the second list follows the cut
+BEFORE: list[tuple[Stage, tuple[str, ...]]] = [
+    (repeated_hits, ("search",)),
+    (build_progress, ("output", "search", "diff")),
+    (boilerplate, ("output", "search", "diff")),
+    (runtime_frames, ("output",)),
+    (passing_tests, ("output", "search", "diff")),
+    (generated_diffs, ("diff",)),
+]
+AFTER: list[tuple[Stage, tuple[str, ...]]] = [
+    (long_output, ("output",)),
+    (search_head, ("search",)),
+    (tidy, ("output", "search")),
 ]
 
 
+def is_marker(x: DataFrame) -> Column:
+    return F.col("marker") if "marker" in x.columns else F.lit(False)
+
+
+def with_findings(x: DataFrame, kinds: tuple[str, ...], goal: bool, p: Params) -> DataFrame:
+    """The lines of a written table with marker rows of what a second look at them finds: later sections, echoes and telling tokens."""
+    found = [later_edits(x, p)] if "diff" in kinds else []
+    found += [echoes(x)] if "output" in kinds else []
+    found += [telling_tokens(x)] if goal else []
+    out = x.withColumn("marker", F.lit(False))
+    for f in found:
+        out = out.unionByName(f.withColumn("marker", F.lit(True)), allowMissingColumns=True)
+    return out
+
+
 def plan(lines: DataFrame, kind: str = "output", goal: str | None = None, p: Params = Params(), ranges: DataFrame | None = None) -> DataFrame:
     """Lines with their reasons; null is visible. ``ranges``: what a ranker selected (capture_id, stream, start, end); search hits
-    outside go and long output and diffs are merged with it. Build progress is sought where lines name their command."""
-    x = prepare(lines, goal, kind)
+    outside go and long output and diffs are merged with it. Build progress is sought where lines name their command. Lines of a search of one file have
+    its ``default_path``. Of a search whose output has other lines than hits nothing is hidden, and ``plan_error`` says so."""
     kinds = ("output", "diff") if kind == "auto" else (kind,)
-    for name, stage, of in STAGES:
-        if not set(kinds) & set(of) or (name == "build_progress" and "command_display" not in x.columns):
+    fits = lambda of: bool(set(kinds) & set(of))
+    x = search_format(prepare(lines, goal, kind)) if kind == "search" else prepare(lines, goal, kind).withColumn("plan_error", F.lit(None).cast("string"))
+    for stage, of in BEFORE:
+        if not fits(of) or (stage is build_progress and "command_display" not in x.columns):
             continue
-        if name == "repeated_hits" and ranges is not None:
-            x = adaptive_search(x, ranges)
+        if stage is generated_diffs:  # sections stay: equal edits are sought in them
+            x = with_sections(generated_diffs(x, p))
         else:
-            x = stage(x, p, True) if goal and name in ("long_output", "search_head") else stage(x, p)
-    return adaptive_merge(x, ranges) if ranges is not None and kind != "search" else x
+            x = adaptive_search(x, ranges) if stage is repeated_hits and ranges is not None else stage(x, p)
+    # the look at edits counts reasons so far; runs and redraws below come after it in diffs, and don't concern it in other output
+    x = x if kinds == ("diff",) else runs_and_redraws(x, kinds, p)
+    x = with_recap_flags(x) if "output" in kinds else x
+    if kind != "search" or goal:
+        x = with_findings(materialize(x, "plan"), kinds, goal is not None, p)
+        if goal:
+            x = x.withColumn("telling", F.max("telling").over(whole()))
+    if "diff" in kinds:
+        x = set_redraws_of_diffs(same_edits(x, p), p).drop("section", "path", "place", "later")
+    if "output" in kinds:
+        x = recaps(x, p)
+    if "marker" in x.columns:
+        x = x.where("not marker")
+    for stage, of in AFTER:
+        x = stage(x, p) if fits(of) else x
+    x = adaptive_merge(x, ranges) if ranges is not None and kind != "search" else x
+    x = x.withColumn("reason", F.when(F.col("plan_error").isNull(), F.col("reason")))
+    return x.drop("marker", "telling")
+
+
+def runs_and_redraws(x: DataFrame, kinds: tuple[str, ...], p: Params) -> DataFrame:
+    """Redraws, equal lines and lines of one template, but for diffs."""
+    before = x.withColumn("__diff", F.col("kind") == "diff").withColumn("__reason", F.col("reason"))
+    y = identical_runs(redraws(before, p), p)
+    y = similar_runs(y, p) if "output" in kinds else y
+    return y.withColumn("reason", F.when(F.col("__diff"), F.col("__reason")).otherwise(F.col("reason"))).drop("__diff", "__reason")
+
+
+def set_redraws_of_diffs(x: DataFrame, p: Params) -> DataFrame:
+    """Redraws of diffs, which come after equal edits."""
+    y = redraws(x.withColumn("__reason", F.col("reason")), p)
+    return y.withColumn("reason", F.when(F.col("kind") == "diff", F.col("reason")).otherwise(F.col("__reason"))).drop("__reason")

@@ -148,6 +148,32 @@ def output_plan(lines: str, goal: str | None = None) -> str:
   {_gaps('s10', 'r10')}"""
 
 
+def ranges(prefix: str, captures: int, spread: int, name: str = "ranges") -> str:
+    return f"{name} as (select '{prefix}' || c_custkey % {captures} capture_id, c_custkey * 7919 % {spread} lo, c_custkey * 7919 % {spread} + case when c_custkey % 5 = 0 then 3 else c_custkey % 900 end hi from customer)"
+
+
+def chosen(frm: str, name: str = "sel") -> str:
+    """Lines with whether a range of their capture holds them."""
+    return f"{name} as (select x.*, exists (select 1 from ranges r where r.capture_id = x.capture_id and x.byte_start >= r.lo and x.byte_end <= r.hi) chosen from {frm} x)"
+
+
+def search_plan(lines: str, goal: str | None = None, hit: str = "^([^:]*):([0-9]+):(.*)$") -> str:
+    """The plan of searches: a reason a line, ``final`` in ``ended``; nothing in captures with a line that is no hit."""
+    w = "over (partition by capture_id order by line_no)"
+    named = f"(contains('{goal}', lower(path)) or contains('{goal}', lower(body)))" if goal else "false"
+    return f"""with {lines}, {LINE_FACTS}, h as (select *, regexp_matches(t, '{hit}') ok, regexp_extract(t, '{hit}', 1) path, try_cast(regexp_extract(t, '{hit}', 2) as bigint) ln, regexp_extract(t, '{hit}', 3) body from l1),
+      c as (select *, case when path = lag(path) {w} and body = lag(body) {w} and ln > lag(ln) {w} then 0 else 1 end st from h), d as (select *, sum(st) {w} i from c),
+      e as (select *, count(*) over (partition by capture_id, i) k, row_number() over (partition by capture_id, i order by line_no) r, {named} named, {fact('body')} fact_of_body from d),
+      f as (select *, case when strlen(body) >= 32 and fact_of_body is null and not named and k >= 12 and r > 2 and r <= k - 2 then 'repeated_search_match_content' end r1, case when t is distinct from lag(t) {w} then 1 else 0 end ist from e),
+      g as (select *, sum(ist) {w} ii from f), g2 as (select *, count(*) over (partition by capture_id, ii) ik, count(*) filter (r1 is null) over (partition by capture_id, ii) iv, row_number() over (partition by capture_id, ii order by line_no) ir from g),
+      s5 as (select *, coalesce(r1, case when ik >= 3 and iv = ik and ir > 1 then 'repeated_identical_lines' end) r5, regexp_matches(regexp_extract(t, ':[0-9]+:(.*)$', 1), '^pub fn ') def from g2),
+      {_told(goal, 's5')},
+      s6 as (select s5.*, told, count(*) filter (r5 is null) over (partition by capture_id) nv, sum(case when r5 is null then nb else 0 end) over (partition by capture_id) bv, count(*) filter (r5 is null and def) over (partition by capture_id) nd, sum(case when r5 is null then 1 else 0 end) {w} pos from s5 join tok using (capture_id, line_no)),
+      s7a as (select *, bool_and(ok) over (partition by capture_id) sound, coalesce(r5, case when (nv >= 40 or bv >= 4096) and not (pos <= 12 or (def and nd * 3 <= nv) or told or {_mention(goal, 'trim(body)')}) then 'search_matches_beyond_head' end) r7a from s6),
+      s7 as (select *, case when sound then r7a end r7 from s7a),
+      {_gaps('s7', 'r7')}"""
+
+
 def literals() -> str:
     from siftspark.plans.queries import LITERALS
 
@@ -320,16 +346,17 @@ def oracle_sql() -> dict[str, str]:
     out["run_plan_reasons"] = f"{output_plan(RUN_LINES)} {by_reason}"
     out["goal_plan_reasons"] = f"{output_plan(RUN_LINES, GOAL)} {by_reason}"
     w = "over (partition by capture_id order by line_no)"
-    out["goal_search_reasons"] = f"""with {HITS}, {LINE_FACTS}, h as (select *, split_part(t, ':', 1) path, cast(split_part(t, ':', 2) as bigint) ln, regexp_extract(t, '^[^:]*:[0-9]+:(.*)$', 1) body from l1),
-      c as (select *, case when path = lag(path) {w} and body = lag(body) {w} and ln > lag(ln) {w} then 0 else 1 end st from h), d as (select *, sum(st) {w} i from c),
-      e as (select *, count(*) over (partition by capture_id, i) k, row_number() over (partition by capture_id, i order by line_no) r, {_mention(GOAL, 't')} ment from d),
-      f as (select *, case when strlen(body) >= 32 and fact is null and not ment and k >= 12 and r > 2 and r <= k - 2 then 'repeated_search_match_content' end r1, case when t is distinct from lag(t) {w} then 1 else 0 end ist from e),
-      g as (select *, sum(ist) {w} ii from f), g2 as (select *, count(*) over (partition by capture_id, ii) ik, count(*) filter (r1 is null) over (partition by capture_id, ii) iv, row_number() over (partition by capture_id, ii order by line_no) ir from g),
-      s5 as (select *, coalesce(r1, case when ik >= 3 and iv = ik and ir > 1 then 'repeated_identical_lines' end) r5, regexp_matches(body, '^pub fn ') def from g2),
-      {_told(GOAL, 's5')},
-      s6 as (select s5.*, told, count(*) filter (r5 is null) over (partition by capture_id) nv, sum(case when r5 is null then nb else 0 end) over (partition by capture_id) bv, count(*) filter (r5 is null and def) over (partition by capture_id) nd, sum(case when r5 is null then 1 else 0 end) {w} pos from s5 join tok using (capture_id, line_no)),
-      s7 as (select *, coalesce(r5, case when (nv >= 40 or bv >= 4096) and not (pos <= 12 or (def and nd * 3 <= nv) or told or {_mention(GOAL, 'trim(body)')}) then 'search_matches_beyond_head' end) r7 from s6),
-      {_gaps('s7', 'r7')} {by_reason}"""
+    out["goal_search_reasons"] = f"{search_plan(HITS, GOAL)} {by_reason}"
+    mixed = HITS.replace("lines as (", "whole as (", 1) + """, lines as (select * replace (case when capture_id like 'hits-N%' then substr(line, instr(line, ':') + 1) when capture_id like 'hits-R%' and contains(line, ':7:') then '--' || chr(10) else line end as line) from whole)"""
+    of_one = "^(?:([^:]*):)?([0-9]+):(.*)$"
+    out["search_plan_errors"] = f"{search_plan(mixed, hit=of_one)} select capture_id, case when not bool_and(sound) then 'unsupported_search_format' end plan_error, count(final) hidden, sum(line_no) filter (final is not null) line_sum, count(*) n from ended group by capture_id"
+    out["repeated_hits"] = f"""with {HITS}, a as (select *, split_part(rtrim(line, chr(10)), ':', 3) body from lines), b as (select *, case when body is distinct from lag(body) {w} then 1 else 0 end st from a), c as (select *, sum(st) {w} i from b),
+      e as (select *, count(*) over (partition by capture_id, i) k, row_number() over (partition by capture_id, i order by line_no) r from c) select capture_id, count(*) filter (capture_id like 'hits-A%' and strlen(body) >= 32 and k >= 12 and r > 2 and r <= k - 2) hidden, count(*) n from e group by capture_id"""
+    out["selected_lines"] = f"with {LOGS}, {ranges('log-', 3, 90_000)}, {chosen('lines')} select capture_id, count(*) n, sum(line_no) line_sum from sel where chosen group by capture_id"
+    named = f"contains('{GOAL}', lower(split_part(line, ':', 1))) or contains('{GOAL}', lower(split_part(rtrim(line, chr(10)), ':', 3)))"
+    out["adaptive_search"] = f"with {HITS}, {ranges('hits-A-', 4, 60_000)}, {chosen('lines')} select capture_id, count(*) filter (not chosen and not contains(line, ':pub fn') and not ({named})) hidden, count(*) n from sel group by capture_id"
+    merged = f"{ranges('log-', 3, 90_000)}, {chosen('s10')}, s11 as (select *, case when chosen and r10 = 'long_output_middle' then null else r10 end r11 from sel)"
+    out["adaptive_log_reasons"] = f"{output_plan(LOGS).replace(_gaps('s10', 'r10'), merged + ', ' + _gaps('s11', 'r11'))} {by_reason}"
     out["goal_diff_reasons"] = f"""with {PATHS}, {DIFFS}, {LINE_FACTS}, a as (select *, sum(case when starts_with(line, 'diff --git ') then 1 else 0 end) {w} section from l1),
       b as (select *, regexp_extract(first_value(t) over (partition by capture_id, section order by line_no), '^diff --git a/(.*?) b/', 1) path, count(*) over (partition by capture_id, section) size, row_number() over (partition by capture_id, section order by line_no) place from a),
       c as (select *, case when path in ('Cargo.lock') and size > 6 and place > 1 and not {{named}} then 'generated_file_diff' end r2 from b),
@@ -340,6 +367,10 @@ def oracle_sql() -> dict[str, str]:
       e as (select *, count(*) over (partition by capture_id, sig) files, row_number() over (partition by capture_id, sig order by at_) nth from g join o using (capture_id, section)),
       d as (select c.*, coalesce(r2, case when e.files >= 3 and e.nth > 1 and place > 1 then 'same_edit_in_more_files' end) r3 from c left join e using (capture_id, section)),
       {_gaps('d', 'r3')} {by_reason}"""
+    few = ranges("diff-", 2, 9_000, "all_ranges") + ", ranges as (select * from all_ranges where lo % 17 = 0)"
+    of_files = f"""{few}, {chosen('d')}, p as (select *, bool_or(chosen) over (partition by capture_id, section) picked, capture_id in (select capture_id from ranges) asked from sel),
+      m as (select *, case when picked and r3 = 'generated_file_diff' then null else coalesce(r3, case when asked and not picked and place > 1 then 'adaptive_nonselected' end) end r4 from p)"""
+    out["adaptive_diff_reasons"] = out["goal_diff_reasons"].replace(_gaps("d", "r3"), of_files + ", " + _gaps("m", "r4")).format(named="false", part="false")
     out["generated_diff_reasons"] = out["goal_diff_reasons"].format(named="false", part="false")
     parts = f"len(list_filter(string_split_regex(lower(min(path)), '[ /]'), lambda x: strlen(x) >= 4 and contains(x, '.') and contains('{GOAL}', x))) > 0"
     out["goal_diff_reasons"] = out["goal_diff_reasons"].format(named=_mention(GOAL, "path"), part=parts)

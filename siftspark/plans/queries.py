@@ -229,12 +229,42 @@ def search_head(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def repeated_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of one made-up file with equal content, each on the line of its place."""
-    lines = A.hit_lines(spark, d).where("not line like '%pub fn%'").withColumn("line", F.concat(F.lit("src/all.rs:"), (F.col("line_no") + 1).cast("string"), F.lit(":"), F.substring_index("line", ":", -1)))
-    x = reduce.repeated_hits(reduce.prepare(lines, kind="search"))
+    """Hits of one file for each capture, each on the line of its place. The path of some has a fact's word, that of others is named by the goal."""
+    path = F.when(F.col("capture_id").startswith("hits-A"), "src/errors.rs:").otherwise("src/abcd.rs:")
+    lines = A.hit_lines(spark, d).withColumn("line", F.concat(path, (F.col("line_no") + 1).cast("string"), F.lit(":"), F.substring_index("line", ":", -1))).withColumn("goal", F.lit("who calls src/abcd.rs"))
+    x = reduce.repeated_hits(reduce.prepare(lines, "goal", kind="search"))
     return x.groupBy("capture_id").agg(F.count("reason").alias("hidden"), F.count("*").alias("n"))
 
 
+@query
+def search_plan_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of searches: those of one file have no paths, and some have separators between their hits, which keeps them from being packed."""
+    of_one = F.col("capture_id").startswith("hits-N")
+    line = F.when(of_one, F.substring("line", F.instr("line", ":") + 1, 1 << 20)).when(F.col("capture_id").startswith("hits-R") & F.col("line").contains(":7:"), F.lit("--\n")).otherwise(F.col("line"))
+    lines = A.hit_lines(spark, d).withColumn("line", line).withColumn("default_path", F.when(of_one, F.lit("src/one.rs")))
+    x = reduce.tiny_gaps(reduce.plan(lines, "search"))
+    return x.groupBy("capture_id").agg(F.max("plan_error").alias("plan_error"), F.count("reason").alias("hidden"), F.sum(F.when(F.col("reason").isNotNull(), F.col("line_no"))).alias("line_sum"), F.count("*").alias("n"))
+
+
+def ranges(spark: SparkSession, d: str, prefix: str, captures: int, spread: int) -> DataFrame:
+    """Byte ranges of captures, one for each customer; every fifth holds no whole line."""
+    capture = f"concat('{prefix}', c_custkey % {captures})"
+    return A.table(spark, d, "customer").selectExpr(f"{capture} capture_id", "'stdout' stream", f"c_custkey * 7919 % {spread} start", f"c_custkey * 7919 % {spread} + case when c_custkey % 5 = 0 then 3 else c_custkey % 900 end as end")
+
+
+@query
+def adaptive_log_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of logs with what a ranker selected: chosen lines of the long middle are shown."""
+    return _by_reason(reduce.plan(A.log_lines(spark, d), ranges=ranges(spark, d, "log-", 3, 90_000)))
+
+
+@query
+def adaptive_diff_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of diffs with what a ranker selected: files without a selected line lose their bodies where the capture has a range at all."""
+    few = ranges(spark, d, "diff-", 2, 9_000).where("start % 17 = 0")
+    return _by_reason(reduce.plan(A.diff_lines(spark, d), "diff", ranges=few))
+
+
 @query
 def hit_sections(spark: SparkSession, d: str) -> DataFrame:
     return pack.hit_sections(A.hit_lines(spark, d)).drop("stream")
@@ -428,8 +458,9 @@ def prefiltered_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def selected_lines(spark: SparkSession, d: str) -> DataFrame:
-    ranges = spark.createDataFrame([("log-0", "stdout", 1000, 5000), ("log-1", "stdout", 0, 700), ("log-1", "stdout", 60000, 61000)], "capture_id string, stream string, start long, end long")
-    return rank.in_ranges(A.log_lines(spark, d), ranges).select("capture_id", "line_no")
+    """Lines of logs that lie whole in a range of a customer."""
+    x = rank.in_ranges(A.log_lines(spark, d), ranges(spark, d, "log-", 3, 90_000))
+    return x.groupBy("capture_id").agg(F.count("*").alias("n"), F.sum("line_no").alias("line_sum"))
 
 
 @query
@@ -621,8 +652,9 @@ def evidence_gates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def adaptive_search(spark: SparkSession, d: str) -> DataFrame:
-    ranges = spark.createDataFrame([("hits-A-0", "stdout", 200, 5000), ("hits-N-0", "stdout", 0, 400)], "capture_id string, stream string, start long, end long")
-    x = reduce.adaptive_search(reduce.prepare(A.hit_lines(spark, d), kind="search"), ranges)
+    """Search hits against the ranges of customers; the goal names a file."""
+    x = reduce.prepare(A.hit_lines(spark, d).withColumn("goal", F.lit(A.GOAL)), "goal", kind="search")
+    x = reduce.adaptive_search(x, ranges(spark, d, "hits-A-", 4, 60_000))
     return x.groupBy("capture_id").agg(F.count("reason").alias("hidden"), F.count("*").alias("n"))
 
 

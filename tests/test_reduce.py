@@ -179,3 +179,88 @@ def test_scope_review_leaves_out_secrets_and_deleted_files(spark):
     rows = [("c", "stdout", i, f"p{i}", 1, 0, i == 3, "+ api_key = 'sk-" + "a1B2" * 12 + "'\n" if i == 5 else "+ x\n") for i in range(30)]
     changed = spark.createDataFrame(rows, "capture_id string, stream string, section long, path string, added long, removed long, deleted boolean, excerpt string")
     assert [r["path"] for r in review.scope_files(changed).orderBy("section").collect()] == [f"p{i}" for i in range(26) if i not in (3, 5)]
+
+
+def many_hits(path, content="let total = sum_of_all_values(rows);", n=14):
+    return "".join(f"{path}:{i + 1}:{content}\n" for i in range(n))
+
+
+def test_repeated_hits_go_by_content_and_path(spark):
+    hidden = lambda text, goal=None: [i for i, r in enumerate(reasons(planned(spark, text, "search", goal))) if r == reduce.REPEATED_HITS]
+    assert hidden(many_hits("src/errors.rs")) == list(range(2, 12))  # a fact's word in the path is no fact
+    assert hidden(many_hits("src/abcd.rs"), "look at src/abcd.rs") == []
+    assert hidden(many_hits("src/abcd.rs"), "see LET total = sum_of_all_values(rows);") == []
+    assert hidden(many_hits("src/abcd.rs", "return Err(failed_to_open_the_file);")) == []
+    assert hidden(many_hits("src/abcd.rs", "short one")) == []
+
+
+def test_search_with_other_lines_is_left_as_it_is(spark):
+    for text in (many_hits("src/a.rs") + "--\n" + many_hits("src/b.rs"), many_hits("src/a.rs") + "src/a.rs-15-context\n"):
+        rows = planned(spark, text, "search").select("reason", "plan_error").collect()
+        assert {tuple(r) for r in rows} == {(None, "unsupported_search_format")}
+    assert pack.plan_errors(planned(spark, many_hits("a.rs"), "search")).collect()[0]["plan_error"] is None
+
+
+def test_search_of_one_file_has_its_path(spark):
+    text = "".join(f"{i + 1}:let total = sum_of_all_values(rows);\n" for i in range(14))
+    lines = X.explode_lines(captures(spark, text))
+    assert reduce.plan(lines, "search").where("plan_error is null").count() == 0
+    rows = reduce.plan(lines.selectExpr("*", "'src/one.rs' default_path"), "search").where("reason = 'repeated_search_match_content'").count()
+    assert rows == 10
+
+
+def diff_of(*files):
+    return "".join(f"diff --git a/{f} b/{f}\n" + "".join(f"+added {i} in {f}\n" for i in range(8)) for f in files)
+
+
+def spans(spark, *rows):
+    return spark.createDataFrame([("c0", "stdout", *r) for r in rows], "capture_id string, stream string, start long, end long")
+
+
+def test_ranges_that_hold_no_whole_line_still_ask(spark):
+    lines = X.explode_lines(captures(spark, diff_of("one.rs", "two.rs")))
+    got = reasons(reduce.plan(lines, "diff", ranges=spans(spark, (3, 9))))
+    assert got == [None, *[reduce.ADAPTIVE] * 8] * 2
+    got = reasons(reduce.plan(lines, "diff", ranges=spans(spark)))
+    assert got == [None] * 18
+    start = len("diff --git a/one.rs b/one.rs\n")
+    got = reasons(reduce.plan(lines, "diff", ranges=spans(spark, (start, start + len("+added 0 in one.rs\n")), (0, 1))))
+    assert got == [None] * 10 + [reduce.ADAPTIVE] * 8
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 30)), max_size=6), st.lists(st.integers(1, 9), min_size=1, max_size=9))
+def test_selection_by_sweep_equals_all_pairs(spark, ranges, sizes):
+    at, lines = 0, []
+    for i, n in enumerate(sizes):
+        lines.append(("c0", "stdout", i, at, at + n))
+        at += n
+    x = spark.createDataFrame(lines, "capture_id string, stream string, line_no long, byte_start long, byte_end long")
+    got = {r["line_no"] for r in reduce.with_selection(x, spans(spark, *((a, a + n) for a, n in ranges))).where("chosen").collect()}
+    assert got == {i for _, _, i, a, b in lines if any(a >= s and b <= s + n for s, n in ranges)}
+
+
+def test_equal_edits_come_before_redraws(spark):
+    body = "-let old_name = 1;\n-old_name()\n+let new_name = 1;\n+new_name()\n 10%\r20%\n"
+    got = reasons(planned(spark, "".join(f"diff --git a/f{i}.rs b/f{i}.rs\n{body}" for i in range(3)), "auto"))
+    assert got == [None] * 5 + [reduce.REDRAW] + [None, *[reduce.SAME_EDIT] * 5] * 2
+
+
+def echo_brute(lines):
+    """Lines of eight bytes or more without spaces that an earlier fact line holds."""
+    return [len(t.encode()) >= 8 and " " not in t and any(t in f for f in lines[:i] if "error" in f) for i, t in enumerate(lines)]
+
+
+def test_echoes_of_long_short_and_odd_words(spark):
+    long_ = "".join(chr(97 + i * i % 26) for i in range(5000))
+    lines = ["test a ... ok", f"error in {long_} here", long_, long_[700:2300], long_[1000:1040], long_[4000:] + "z", "error: 漢字仮名/x tests::name_of_it, more", "漢字仮名", "tests::name_of_it", "tests::name_of_it,x", "s::name_of"]
+    got = reasons(reduce.plan(X.explode_lines(captures(spark, "".join(f"{t}\n" for t in lines)))))
+    assert [r == reduce.DUPLICATE for r in got] == echo_brute(lines)
+
+
+def test_plans_read_their_lines_once(spark):
+    """Whatever the kind, a plan is a chain: the table it is cut by and the narrow looks at it, few shuffles."""
+    lines = X.explode_lines(captures(spark, "a line\n", "diff --git a/x b/x\n+y\n")).withColumn("goal", reduce.F.lit("what about tests::one"))
+    for kind, goal in (("output", None), ("output", "goal"), ("auto", "goal"), ("search", "goal"), ("diff", None)):
+        text = reduce.plan(lines, kind, goal)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Scan parquet") <= 4 and text.count("Exchange hashpartitioning") <= 6, (kind, goal)
