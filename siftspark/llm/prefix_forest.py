@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftspark.llm.hard_negatives import sound
-from siftspark.llm.store import materialize
+from siftspark.store import materialize
 
 RESULT = "query_id long, rank int, vec_id long, score double"
 BITS = 60
@@ -125,7 +125,7 @@ def grow(blocks: DataFrame, n: int, longest: float, p: Params) -> Forest:
     for r in coded.groupBy("tree", "first").count().collect():  # trees * 2^13 rows at most
         sizes[r["tree"], r["first"]] = r["count"]
     parts = np.maximum(1, -(-sizes // p.stretch))
-    spread = coded.sparkSession.createDataFrame([(t, f, int(parts[t, f])) for t, f in zip(*np.nonzero(parts > 1), strict=True)] or [(-1, -1, 1)], "tree int, first long, parts int")
+    spread = coded.sparkSession.createDataFrame([(int(t), int(f), int(parts[t, f])) for t, f in zip(*np.nonzero(parts > 1), strict=True)] or [(-1, -1, 1)], "tree int, first long, parts int")
     dealt = coded.join(F.broadcast(spread), ["tree", "first"], "left").withColumn("part", F.expr("cast(pmod(xxhash64(ref), coalesce(parts, 1)) as int)"))
     entries = F.array_sort(F.collect_list(F.struct("code", "ref")))
     arrays = dealt.groupBy("tree", "first", "part").agg(entries.alias("e")).select("tree", "first", "part", F.col("e.code").alias("codes"), F.col("e.ref").alias("refs"))
