@@ -328,6 +328,16 @@ def oracle_sql() -> dict[str, str]:
     out["verifier_commands"] = "select p_partkey, case when p_partkey % 11 = 0 or p_partkey % 7 = 0 or p_partkey % 5 = 0 then null else 'cargo ' || case p_partkey % 3 when 0 then 'check' when 1 then 'test' else 'build' end || ' -p part_' || cast(p_partkey as varchar) || case when p_partkey % 2 = 0 then ' --locked -q' else '' end end verifier from part"
     out["bounded_output"] = """with x as (select cast(user_id as varchar) || '-' || cast(event_id // 2000 as varchar) run_id, event_id, cast(round(value) as bigint) b from events),
       y as (select *, sum(b) over (partition by run_id order by event_id) held, sum(b) over (partition by run_id) total from x) select case when held > 2000 then 'forwarded' when total > 2000 then 'flushed' else 'kept' end fate, count(*) n, sum(b) n_bytes from y group by 1"""
+    out["bounded_output_stream"] = out["bounded_output"]
+    out["goals_at_runs_stream"] = out["goals_at_runs"].replace("where role = 'assistant')", "where role = 'assistant' and conv_id is not null)")
+    out["goal_revisions_stream"] = out["goal_revisions"]
+    out["remembered_decisions"] = """with c as (select o_custkey k, min(o_orderkey) filter (o_orderkey % 2 = 0) even, min(o_orderkey) filter (o_orderkey % 2 = 1) odd from orders group by 1)
+      select cast(k as varchar) cache_key, coalesce(even, odd) first_order from c"""
+    whole = f"""{output_plan(TESTS)}, planned0 as (select *, final reason from ended),
+      g2 as (select *, case when coalesce(reason, '') is distinct from lag(coalesce(reason, '')) over (partition by capture_id order by line_no) then 1 else 0 end st2 from planned0), planned as (select * exclude (part), sum(st2) over (partition by capture_id order by line_no) part from (select *, 0 part from g2))"""
+    out["hook_deliveries"] = f"""{whole}, {OMITTED}, {SHOWN}, {VIEW.format(exit='exit_code')}, e as (select *, cast(regexp_extract(capture_id, '([0-9]+)$', 1) as int) % 5 = 4 bad from exits left join (select capture_id, v, omitted from view0) using (capture_id)),
+      w as (select *, case when bad then 'invalid_session' when omitted = 0 then 'already_lean' when strlen(v) > 4096 then 'protected_or_retained_material_exceeds_budget' when strlen(v) >= raw then 'no_net_reduction' end bypass from e)
+      select capture_id event_id, raw raw_bytes, bypass, bypass is null as replaced, case when bypass is null then strlen(v) else raw end delivered_bytes, case when bypass is null then md5(v) end output_md5 from w"""
     cut = "k{b} as (select *, case when k{a} is null or size{a} <= 65536 then k{a} when k{a} <= 160 then null else k{a} * 3 // 4 end k{b}, list_sum(list_transform(sizes, lambda x: least(x, case when k{a} is null or size{a} <= 65536 then k{a} when k{a} <= 160 then null else k{a} * 3 // 4 end))) + extra size{b} from k{a})"
     out["section_limits"] = "with x as (select l_orderkey, list(cast(l_quantity * 400 as bigint)) sizes, 51000 + l_orderkey % 15000 extra from lineitem group by l_orderkey), k00 as (select *, least(greatest(57344 // len(sizes), 320), 2400) k0 from x), k0 as (select *, list_sum(list_transform(sizes, lambda x: least(x, k0))) + extra size0 from k00), " + ", ".join(cut.format(a=i, b=i + 1) for i in range(12)) + " select l_orderkey, case when size12 <= 65536 then k12 end section_bytes from k12"
     out["cached_decisions"] = """with c as (select c_custkey k, c_mktsegment seg, sha256('v1' || md5(c_name) || c_mktsegment) cache_key from customer),

@@ -12,7 +12,7 @@ from siftspark.functions import classify as C
 from siftspark.functions import text as X
 from siftspark.operators import pack, rank, recall, reduce, report, review, route
 from siftspark.sources import adapters as A
-from siftspark.streaming import state
+from siftspark.streaming import flows, keyed, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -360,6 +360,62 @@ def bounded_output(spark: SparkSession, d: str) -> DataFrame:
     return route.bounded(x, 2000).groupBy("fate").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
 
 
+def _thirds(x: DataFrame, order: str) -> list[DataFrame]:
+    """A table in three parts of equal spans of a column."""
+    low, high = x.select(F.min(order), F.max(order)).first()
+    if low is None:
+        return [x]
+    part = F.least(F.floor((F.col(order) - low) * 3 / F.lit(max(1, high - low))), F.lit(2))
+    return [x.where(part == i) for i in range(3)]
+
+
+@query
+def bounded_output_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same chunks as a stream that comes in three parts and is started anew for each."""
+    x = A.table(spark, d, "events").selectExpr("concat(user_id, '-', event_id div 2000) run_id", "event_id seq", "cast(round(value) as bigint) n_bytes")
+    x = x.withColumn("last", F.col("seq") == F.max("seq").over(W.partitionBy("run_id")))
+    out = flows.in_parts(_thirds(x, "seq"), lambda s: keyed.bounded_stream(s, 2000))
+    return out.groupBy("fate").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+
+
+@query
+def goals_at_runs_stream(spark: SparkSession, d: str) -> DataFrame:
+    """``goals_at_runs`` over a stream of both, turns as seconds; a last row far ahead lets the watermark pass all runs."""
+    c = A.table(spark, d, "conversations").where("conv_id is not null and role in ('user', 'assistant')")
+    rows = c.selectExpr("conv_id session_id", "cast(turn as bigint) at", "case when role = 'assistant' then cast(conv_id * 100 + turn as bigint) end run_id", "case when role = 'user' then substring(text, 1, 600) end goal")
+    end = spark.range(1).selectExpr("cast(-1 as bigint) session_id", "cast(1000000 as bigint) at", "cast(null as bigint) run_id", "'end' goal")
+
+    def flow(s: DataFrame) -> DataFrame:
+        return keyed.goal_as_of_stream(s.where("run_id is not null").select("session_id", "run_id", "at"), s.where("run_id is null").select("session_id", "at", "goal"), "1000 seconds", ttl=1)
+
+    return flows.in_parts([*_thirds(rows, "at"), end], flow)
+
+
+@query
+def goal_revisions_stream(spark: SparkSession, d: str) -> DataFrame:
+    """``goal_revisions`` over a stream, with a session's goal as state that expires."""
+    g = A.goals(spark, d).selectExpr("cast(session_id as bigint) session_id", "cast(at as bigint) at", "goal")
+    return flows.in_parts(_thirds(g, "at"), lambda s: keyed.goal_revision_stream(s, ttl=3), timed=True).select("session_id", "at", "revision")
+
+
+@query
+def hook_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs of test runs as hook events, every seventh with more than may be delivered: what is put in their place."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "")
+    runs = A.test_lines(spark, d).groupBy("capture_id").agg(text.alias("output"), F.max(F.when(F.col("line").contains("FAILED"), 101).otherwise(0)).alias("exit_code"))
+    n = F.substring_index("capture_id", "-", -1).cast("int")
+    events = runs.select(F.col("capture_id").alias("event_id"), F.when(n % 5 == 4, F.lit("no session")).otherwise(F.lit("s-1")).alias("session_id"), F.lit("shell").alias("tool"), "output", "exit_code")
+    return flows.deliver(events, 4096).select("event_id", "raw_bytes", "bypass", "replaced", "delivered_bytes", F.md5(F.col("output").cast("binary")).alias("output_md5"))
+
+
+@query
+def remembered_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions about orders, replayed under a key for each customer: the first is kept, through two batches."""
+    o = A.table(spark, d, "orders").selectExpr("cast(o_custkey as string) cache_key", "2 schema_version", "'ranker-2' model", "0.9D exists_p", "cast(o_orderkey as double) need", "array('a') kept_ids")
+    cache = rank.remember(o.where("need % 2 = 0"), spark.createDataFrame([], flows.DECISIONS))
+    return cache.unionByName(rank.remember(o.where("need % 2 = 1"), cache)).selectExpr("cache_key", "cast(need as bigint) first_order")
+
+
 @query
 def section_limits(spark: SparkSession, d: str) -> DataFrame:
     """Orders as requests whose sections are their lines."""
