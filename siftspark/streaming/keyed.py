@@ -140,7 +140,7 @@ class _InForce(StatefulProcessor):
         for r in pd.concat(list(rows)).itertuples():
             if r.is_run:
                 runs.append((int(r.at), int(r.run_id)))
-                self.handle.registerTimer(int(r.at) * 1000 + 1)  # past its own second: goals of the same moment count
+                self.handle.registerTimer((int(r.at) + 1) * 1000 + 1)  # past its own second: goals of the same moment count
             else:
                 goals.append((int(r.at), r.goal))
         if goals:
@@ -150,7 +150,7 @@ class _InForce(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at = (expiredTimerInfo.getExpiryTimeInMs() - 1) // 1000
+        at = (expiredTimerInfo.getExpiryTimeInMs() - 1) // 1000 - 1
         goals, runs = sorted(self.goals.get(), key=lambda g: g[0]), list(self.runs.get())
         before = [g for g in goals if g[0] <= at]
         now = [r for r in runs if r[0] == at]
@@ -169,9 +169,10 @@ class _InForce(StatefulProcessor):
 
 
 def goal_as_of_stream(runs: DataFrame, goals: DataFrame, delay: str, ttl: int = 24 * 3600) -> DataFrame:
-    """``state.goal_as_of`` over streams of ``runs(session_id long, run_id, at)`` and ``goals(session_id long, at, goal)``, ``at`` in seconds, in any order within ``delay``. A run is
+    """``state.goal_as_of`` over streams of ``runs(session_id long, run_id, at)`` and ``goals(session_id long, at, goal)``, ``at`` in seconds from 0 on, in any order within ``delay``. A run is
     answered once the watermark has passed it. A goal or run that is later than the watermark is dropped: answers that are out are never changed."""
     g = goals.select("session_id", "at", F.lit(None).cast("long").alias("run_id"), "goal", F.lit(False).alias("is_run"))
     r = runs.select("session_id", "at", F.col("run_id").cast("long").alias("run_id"), F.lit(None).cast("string").alias("goal"), F.lit(True).alias("is_run"))
-    both = g.unionByName(r).withColumn("time", F.timestamp_seconds("at")).withWatermark("time", delay)
+    # a second later than it is: the first watermark is 0, and what isn't after the watermark is late
+    both = g.unionByName(r).withColumn("time", F.timestamp_seconds(F.col("at") + 1)).withWatermark("time", delay)
     return both.groupBy("session_id").transformWithStateInPandas(_InForce(ttl), "session_id long, run_id long, at long, goal string", "Append", "EventTime")
