@@ -328,6 +328,15 @@ def oracle_sql() -> dict[str, str]:
     out["verifier_commands"] = "select p_partkey, case when p_partkey % 11 = 0 or p_partkey % 7 = 0 or p_partkey % 5 = 0 then null else 'cargo ' || case p_partkey % 3 when 0 then 'check' when 1 then 'test' else 'build' end || ' -p part_' || cast(p_partkey as varchar) || case when p_partkey % 2 = 0 then ' --locked -q' else '' end end verifier from part"
     out["bounded_output"] = """with x as (select cast(user_id as varchar) || '-' || cast(event_id // 2000 as varchar) run_id, event_id, cast(round(value) as bigint) b from events),
       y as (select *, sum(b) over (partition by run_id order by event_id) held, sum(b) over (partition by run_id) total from x) select case when held > 2000 then 'forwarded' when total > 2000 then 'flushed' else 'kept' end fate, count(*) n, sum(b) n_bytes from y group by 1"""
+    out["stored_ranges"] = """with c as (select doc_id, cast(doc_id as varchar) id, case when doc_id % 6 = 1 and doc_id % 3 = 0 then 'another text' else coalesce(text, '') end t, coalesce(source, '') e from documents),
+      r as (select id capture_id, 'stdout' stream, doc_id % 700 as start, doc_id % 700 + doc_id % 1500 as stop, hex(encode(t)) h, false gone from c union all select id || case when doc_id % 10 = 0 then '?' else '' end, 'stderr', 0, 3, hex(encode(e)), doc_id % 10 = 0 from c),
+      x as (select *, case when gone then 'missing' when stop > length(h) // 2 then 'invalid_range' end error, substr(h, 2 * start + 1, 2 * (stop - start)) part from r),
+      y as (select *, stop = start or (substr(part, 1, 1) not in ('8', '9', 'A', 'B') and not regexp_matches(part, '^(..)*([C-F].|E.[89AB].|F.[89AB].|F.[89AB].[89AB].)$')) fine from x)
+      select capture_id, stream, start, stop as "end", case when error is null then part end as hex, case when error is not null then null when fine then 'utf-8' else 'base64' end encoding, error from y"""
+    out["saved_captures"] = """with c as (select doc_id, coalesce(text, '') t, case when doc_id % 5 = 0 then 'another text' else coalesce(text, '') end u from documents),
+      j as (select doc_id, strlen(t) > 3000 old_large, strlen(u) > 3000 large, t = u as same, doc_id % 3 <> 0 was, doc_id % 7 = 0 twice from c),
+      k as (select case when large then 'too_large' when was and not old_large then case when same then 'same' else 'conflict' end else 'append' end outcome, twice from j)
+      select outcome, count(*) n from (select outcome from k union all select case when outcome = 'append' then 'same' else outcome end from k where twice) group by 1"""
     out["bounded_output_stream"] = out["bounded_output"]
     out["goals_at_runs_stream"] = out["goals_at_runs"].replace("where role = 'assistant')", "where role = 'assistant' and conv_id is not null)")
     out["goal_revisions_stream"] = out["goal_revisions"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,9 @@ from siftspark.functions import classify as C
 from siftspark.functions import text as X
 from siftspark.operators import pack, rank, recall, reduce, report, review, route
 from siftspark.sources import adapters as A
+from siftspark.sources import capture_store
+from siftspark.sources.capture_store import CaptureStore
+from siftspark.store import shared_dir
 from siftspark.streaming import flows, keyed, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -543,6 +547,30 @@ def recalled_bytes(spark: SparkSession, d: str) -> DataFrame:
     return recall.by_bytes(r, c).select("capture_id", "start", "end", F.hex("bytes").alias("hex"), "error")
 
 
+@query
+def stored_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Documents saved as captures, twice over and with other texts under some ids, and byte ranges recalled from the store, some beyond the end, some that cut a character."""
+    docs = A.table(spark, d, "documents").selectExpr("cast(doc_id as string) capture_id", "doc_id created_at", "text stdout", "source stderr", "doc_id")
+    store = CaptureStore(spark, f"{shared_dir(spark)}/siftspark-captures-{uuid.uuid4().hex}", chunk=512)
+    store.save(docs.where("doc_id % 3 <> 0"))
+    store.save(docs.withColumn("stdout", F.when(F.col("doc_id") % 6 == 1, "another text").otherwise(F.col("stdout"))))
+    start = "doc_id % 700 as start"
+    out = docs.selectExpr("capture_id", "'stdout' stream", start, "doc_id % 700 + doc_id % 1500 as end")
+    err = docs.selectExpr("concat(capture_id, case when doc_id % 10 = 0 then '?' else '' end) capture_id", "'stderr' stream", "0 as start", "3 as end")
+    got = store.recall(out.unionByName(err))
+    return got.select("capture_id", "stream", "start", "end", F.hex("bytes").alias("hex"), capture_store.shown(F.col("bytes"))["encoding"].alias("encoding"), "error")
+
+
+@query
+def saved_captures(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of captures that are saved after most of them are there, with other texts under some ids, repeats and a limit of size."""
+    docs = A.table(spark, d, "documents").selectExpr("cast(doc_id as string) capture_id", "doc_id created_at", "text stdout", "cast(null as string) stderr", "doc_id")
+    store = CaptureStore(spark, f"{shared_dir(spark)}/siftspark-captures-{uuid.uuid4().hex}", largest=3000)
+    store.save(docs.where("doc_id % 3 <> 0"))
+    again = docs.withColumn("stdout", F.when(F.col("doc_id") % 5 == 0, "another text").otherwise(F.col("stdout")))
+    return store.save(again.unionByName(again.where("doc_id % 7 = 0"))).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 @query
 def recalled_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = X.explode_lines(A.doc_captures(spark, d))
