@@ -141,3 +141,14 @@ def test_one_row_and_repeats(spark):
     assert prefix_forest.of_embeddings(spark.createDataFrame([(20, [1.0, 2.0], 1)], SCHEMA)).collect() == []
     rows = [(20, [1.0, 2.0], 1), (20, [1.0, 2.0], 1), (21, [1.0, 2.0], 2), (21, [1.0, 2.0], 2), (22, [2.0, 1.0], 1)]
     assert found(prefix_forest.of_embeddings(spark.createDataFrame(rows, SCHEMA))) == {20: [(21, 5.0), (22, 4.0)]}
+
+
+def test_rows_without_a_key_stay_where_they_are(spark):
+    from siftspark.llm.joins import skew_join
+
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else "hot" if i % 3 == 1 else f"k{i}") for i in range(3000)], "i long, k string")
+    table = spark.createDataFrame([("hot", 1), ("k2", 2), ("k5", 3)], "k string, v long")
+    got = skew_join(rows, table, "k", "v")
+    assert sorted(map(tuple, got.collect())) == sorted((i, k, {"hot": 1, "k2": 2, "k5": 3}.get(k)) for i, k in rows.collect())
+    few = skew_join(rows.where("i < 3"), table, "k", "v")
+    assert sorted(map(tuple, few.collect())) == [(0, None, None), (1, "hot", 1), (2, "k2", 2)]
