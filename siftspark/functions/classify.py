@@ -149,15 +149,10 @@ def dependency_line(path: Column, line: Column) -> Column:
 
 
 def is_program(display: Column, name: str) -> Column:
-    """Whether a command's display, ``program [n arguments redacted]``, is of a program."""
-    return display.contains(" [") & ascii_lower(F.substring_index(display, " [", 1)).isin(name, f"{name}.exe")
+    """Whether a command's display, ``name [n arguments redacted]``, is of a program, with or without ``.exe``, in any case of ASCII letters."""
+    return F.coalesce(display.contains(" [") & ascii_lower(F.substring_index(display, " [", 1)).isin(name, f"{name}.exe"), F.lit(False))
 
 
 def valid_text(b: Column) -> Column:
     """UTF-8 without NUL."""
     return F.is_valid_utf8(b.cast("string")) & (F.instr(b.cast("string"), "\x00") == 0)
-
-
-def runs_program(display: Column, program: str) -> Column:
-    """Whether a command's display, ``name [..``, is of a program, with or without ``.exe``, in any case of ASCII letters."""
-    return F.coalesce(F.contains(display, F.lit(" [")) & F.lower(F.substring_index(display, " [", 1)).isin(program, f"{program}.exe"), F.lit(False))

@@ -92,7 +92,7 @@ def plan_errors(planned: DataFrame) -> DataFrame:
 
 def views(planned: DataFrame, captures: DataFrame) -> DataFrame:
     """(capture_id, omitted, view): a header, blocks and markers by (stdout first, byte start), and how to recall.
-    ``captures(capture_id, exit_code)``."""
+    ``captures(capture_id, exit_code)``, and ``constraints``, an array, where the task has any: they come first."""
     gone = omissions(planned)
     label = F.col("reason")
     for k, v in LABELS.items():
@@ -102,10 +102,46 @@ def views(planned: DataFrame, captures: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct(F.when(F.col("stream") == "stdout", 0).otherwise(1).alias("s"), F.col("byte_start").alias("b"), F.col("part").alias("p"))))
     per = parts.groupBy("capture_id").agg(F.sum("n").alias("omitted"), F.array_join(F.transform(ordered, lambda x: x["p"]), "").alias("body"))
     head = F.format_string("siftspark exit=%s omitted=%d\n", F.coalesce(F.col("exit_code").cast("string"), F.lit("unknown")), F.col("omitted"))
+    head = F.concat(head, _constraints(captures, "constraint: "))
     foot = F.when(F.col("omitted") > 0, F.concat(F.lit("recall: siftspark recall "), F.substring("capture_id", 1, 8), F.lit(" --section ID\n"))).otherwise("")
     return per.join(captures, "capture_id").select("capture_id", "omitted", F.concat(head, "body", foot).alias("view"))
 
 
+def _constraints(captures: DataFrame, before: str) -> Column:
+    """A line for each constraint of a task."""
+    if "constraints" not in captures.columns:
+        return F.lit("")
+    return F.array_join(F.transform(F.coalesce("constraints", F.array().cast("array<string>")), lambda c: F.concat(F.lit(before), c, F.lit("\n"))), "")
+
+
+#: what the verbose view calls hidden lines; others are called as in the compact one
+VERBOSE = {"repeated_search_match_content": "repeated search match lines", "adaptive_search_nonselected": "search lines ranked below retained evidence", "successful_cargo_progress": "successful build progress lines", "successful_test_inventory": "lines of successful test inventory"}
+
+
+def verbose(planned: DataFrame, captures: DataFrame) -> DataFrame:
+    """(capture_id, view): the pack spelled out. What ran and how it ended, the task's constraints, how many tests passed, each visible block with its stream and bytes, each
+    hidden section with how to recall it. ``captures(capture_id, tool, command_display, exit_code, completeness, coverage)``, and ``constraints`` if the task has any."""
+    label = F.col("reason")
+    for k, v in {**LABELS, **VERBOSE}.items():
+        label = F.when(F.col("reason") == k, v).otherwise(label)
+    recall = F.concat(F.lit("recall with `siftspark recall "), F.col("capture_id"), F.lit(" --section "), F.col("section_id"), F.lit("`\n"))
+    hidden = omissions(planned).withColumn("part", F.concat(F.lit("- "), F.col("section_id"), F.lit(": "), F.col("factual_count").cast("string"), F.lit(" "), label, F.lit("; "), recall))
+    title = F.format_string("\n[%s bytes %d..%d]\n", "stream", "byte_start", "byte_end")
+    seen = blocks(planned).withColumn("part", F.concat(title, "rendered_text", F.when(F.col("rendered_text").endswith("\n"), "").otherwise("\n")))
+    joined = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("stream") == "stdout", 0).otherwise(1).alias("s"), F.col("byte_start").alias("b"), F.col("part").alias("p")))), lambda x: x["p"]), "")
+    ok = F.sum(F.when(F.col("reason") == TESTS, F.col("factual_count")).otherwise(0))
+    below = hidden.groupBy("capture_id").agg(joined().alias("sections"), ok.alias("deferred"))
+    above = seen.groupBy("capture_id").agg(joined().alias("body"))
+    passed = planned.where("reason is null").groupBy("capture_id").agg(F.count("passed").alias("shown"))
+    x = captures.join(above, "capture_id", "left").join(below, "capture_id", "left").join(passed, "capture_id", "left").na.fill({"deferred": 0, "shown": 0, "body": ""})
+    ended = F.when(F.col("exit_code").isNull(), "UNKNOWN").otherwise(F.concat(F.when(F.col("exit_code") == 0, "SUCCEEDED").otherwise("FAILED"), F.lit(" (exit "), F.col("exit_code").cast("string"), F.lit(")")))
+    head = F.concat(F.lit("siftspark: "), F.coalesce("command_display", "tool"), F.lit("\nprocess: "), ended, F.lit("; capture: "), F.col("completeness"), F.lit("; selection: "), F.col("coverage"), F.lit("\ncapture_id: "), F.col("capture_id"), F.lit("\n"))
+    tests = F.when(F.col("deferred") > 0, F.format_string("test inventory: %d explicit ok results (%d shown, %d deferred); see process status above\n", F.col("shown") + F.col("deferred"), "shown", "deferred")).otherwise("")
+    sections = F.when(F.col("sections").isNotNull(), F.concat(F.lit("\nDeferred exact historical sections:\n"), "sections")).otherwise("")
+    foot = F.concat(F.lit("Full historical recall: `siftspark recall "), F.col("capture_id"), F.lit(" --full`\n"))
+    return x.select("capture_id", F.concat(head, _constraints(captures, "trusted task constraint: "), tests, "body", sections, foot).alias("view"))
+
+
 def pack_ids(packs: DataFrame, columns: list[str]) -> DataFrame:
     """``pack_id``: a hash over the version and the columns, each with its length before it."""
     from siftspark.functions.text import length_prefixed

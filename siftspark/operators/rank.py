@@ -35,9 +35,25 @@ def kept(choice: DataFrame) -> DataFrame:
 
 
 def expected_level(levels: Column) -> Column:
-    """Mean level of an array of (level, probability)."""
+    """Mean level of an array of (level, probability); null where nothing has a probability."""
     total = F.aggregate(levels, F.lit(0.0), lambda a, x: a + x["probability"])
-    return F.aggregate(levels, F.lit(0.0), lambda a, x: a + x["level"] * x["probability"]) / total
+    return F.aggregate(levels, F.lit(0.0), lambda a, x: a + x["level"] * x["probability"]) / F.nullif(total, F.lit(0.0))
+
+
+def level_error(levels: Column, n: int) -> Column:
+    """Why an answer of levels, an array of (level, probability), isn't one over ``n`` levels; null where it is. Levels are consecutive whole numbers from any first one, each once."""
+    have = F.transform(levels, lambda x: x["level"])
+    p = lambda x: x["probability"].cast("double")
+    ranged = F.forall(levels, lambda x: F.coalesce((p(x) >= 0) & (p(x) <= 1) & ~F.isnan(p(x)), F.lit(False)))
+    total = F.aggregate(levels, F.lit(0.0), lambda a, x: a + p(x))
+    rising = F.array_sort(have) == F.sequence(F.array_min(have), F.array_min(have) + n - 1)
+    return F.when(levels.isNull(), "missing").when((F.size(levels) != n) | ~ranged | ~F.coalesce(rising, F.lit(False)) | ~total.between(0.98, 1.02), "shape")
+
+
+def score_level(levels: Column, n: int) -> Column:
+    """The expected level of a sound answer, counted from its first level as 0; null of others."""
+    base = F.array_min(F.transform(levels, lambda x: x["level"]))
+    return F.when(level_error(levels, n).isNull(), expected_level(F.transform(levels, lambda x: F.struct((x["level"] - base).cast("double").alias("level"), x["probability"].cast("double").alias("probability")))))
 
 
 def gate(decisions: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def build_progress(x: DataFrame, p: Params = Params()) -> DataFrame:
     ``command_display`` or ``exit_code``, only successful runs of the build tool count, and of these the error stream."""
     own = C.progress_name(F.col("line")).isNotNull() & ~named_by_goal(C.progress_name(F.col("line")))
     if "command_display" in x.columns:
-        own = own & F.coalesce(C.is_program(F.col("command_display"), "cargo"), F.lit(False))
+        own = own & C.is_program(F.col("command_display"), "cargo")
     if "exit_code" in x.columns:
         own = own & F.coalesce(F.col("exit_code") == 0, F.lit(False)) & (F.col("stream") == "stderr")
     x = x.withColumn("own", own)

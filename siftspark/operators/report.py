@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftspark.store import materialize
+
 
 def gain(receipts: DataFrame) -> DataFrame:
     """Savings in total (null command) and by command, in one pass over grouping sets. Saving and rounding are taken in each group."""
@@ -67,8 +70,6 @@ def session_status(receipts: DataFrame) -> DataFrame:
 
 def with_recalls(receipts: DataFrame, recall_log: DataFrame) -> DataFrame:
     """Receipts with the recalls of a log (capture_id, bytes) added to the first receipt of each capture."""
-    from pyspark.sql import Window as W
-
     per = recall_log.groupBy("capture_id").agg(F.count("*").alias("more"), F.sum("bytes").alias("more_bytes"))
     x = receipts.withColumn("nth", F.row_number().over(W.partitionBy("capture_id").orderBy("run_id"))).join(per, "capture_id", "left")
     first = (F.col("nth") == 1) & F.col("capture_id").isNotNull()
@@ -95,7 +96,22 @@ def suite_totals(runs: DataFrame) -> DataFrame:
 
 
 def medians(runs: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    return runs.groupBy(by).agg(*(F.round(F.median(c), 6).alias(f"median_{c}") for c in columns), F.count("*").alias("n"))
+    """The exact median of each column for each value of ``by``. Values are counted, and the counts put in order over the cluster by ranges of (by, value); running counts go
+    from one range to the next by a total for each range. So a group may be as large as it likes: no task has it whole. Nulls don't count; a group without values has none."""
+    out = runs.groupBy(by).agg(F.count("*").alias("n"))
+    for c in columns:
+        counts = runs.where(F.col(c).isNotNull()).groupBy(F.col(by), F.col(c).cast("double").alias("v")).agg(F.count("*").alias("k"))
+        placed = materialize(counts.repartitionByRange(by, "v").withColumn("part", F.spark_partition_id()), "medians")
+        ranges = placed.groupBy(by, "part").agg(F.sum("k").alias("all"))  # a row for each range and group
+        of = W.partitionBy(by)
+        ranges = ranges.withColumn("before", F.sum("all").over(of.orderBy("part")) - F.col("all")).withColumn("total", F.sum("all").over(of)).drop("all").withColumnRenamed(by, "__by")
+        x = placed.join(ranges, placed[by].eqNullSafe(ranges["__by"]) & (placed["part"] == ranges["part"])).drop(ranges["part"])
+        upto = F.col("before") + F.sum("k").over(W.partitionBy(by, "part").orderBy("v"))
+        at = lambda rank: (F.col("upto") - F.col("k") <= rank) & (rank < F.col("upto"))  # noqa: B023, E731
+        low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+        found = x.withColumn("upto", upto).groupBy(by).agg(F.round((F.max(F.when(at(low), F.col("v"))) + F.max(F.when(at(high), F.col("v")))) / 2, 6).alias(f"median_{c}")).withColumnRenamed(by, "__by")
+        out = out.join(found, out[by].eqNullSafe(found["__by"]), "left").drop("__by")
+    return out
 
 
 def paired(runs: DataFrame, keys: list[str], value: str, base: str = "native") -> DataFrame:
@@ -111,11 +127,11 @@ def consecutive_pairs(runs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def trace_sums(traces: DataFrame) -> DataFrame:
-    """Tokens and tool-result bytes by session from JSON event lines; lines that don't parse are passed over. A result is joined to
-    the use with its id."""
+    """Tokens and tool-result bytes by session from JSON event lines; lines that don't parse are passed over. A result counts if its session has a
+    use with its id, once, however often that is used."""
     schema = "type string, id string, tool string, input_tokens long, output_tokens long, content string"
     x = traces.select("session", F.from_json("value", schema).alias("e")).where("e.type is not null").select("session", "e.*")
-    uses, results = x.where("type = 'tool_use'").select("session", "id", "tool"), x.where("type = 'tool_result'").select("session", "id", F.octet_length("content").alias("bytes"))
+    uses, results = x.where("type = 'tool_use'").select("session", "id").distinct(), x.where("type = 'tool_result'").select("session", "id", F.octet_length("content").alias("bytes"))
     tools = uses.join(results, ["session", "id"]).groupBy("session").agg(F.sum("bytes").alias("tool_bytes"), F.count("*").alias("tool_calls"))
     sums = x.groupBy("session").agg(F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"), F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"))
     return sums.join(tools, "session", "left").na.fill(0, ["tool_bytes", "tool_calls"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -93,3 +93,19 @@ def scope_findings(needed: DataFrame) -> DataFrame:
     """Files ``(capture_id, path, probability)`` whose change is hardly needed for the goal: under three in ten."""
     said = F.format_string("a %.0f%% probability that this file's change is needed for the goal", F.col("probability") * 100)
     return needed.where("probability < 0.3").select("capture_id", F.lit("possible_scope_creep").alias("kind"), "path", said.alias("evidence"))
+
+
+def null_list(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name): the records of a list whose records end with NUL, as bytes and as text. Names that aren't UTF-8 survive in ``path``; empty records are none."""
+    x = spark.read.option("lineSep", "\x00").text(path).select(F.col("value").cast("binary").alias("path")).where("octet_length(path) > 0")
+    return x.select("path", F.make_valid_utf8(F.col("path").cast("string")).alias("name"))
+
+
+def binary_sections(diffs: DataFrame) -> DataFrame:
+    """(capture_id, section, header, sha256, n_bytes): the files of diffs ``(capture_id, diff)`` as bytes, whatever their encoding. A section begins at a line that
+    starts with ``diff --git ``; cuts are found in a form of one character a byte."""
+    one = F.decode(F.col("diff").cast("binary"), "ISO-8859-1")
+    cut = F.split(one, r"(?m)^(?=diff --git )")
+    x = diffs.select("capture_id", F.posexplode(F.filter(cut, lambda s: s.startswith("diff --git "))).alias("section", "part"))
+    raw = F.encode("part", "ISO-8859-1")
+    return x.select("capture_id", (F.col("section") + 1).cast("long").alias("section"), F.encode(F.substring_index("part", "\n", 1), "ISO-8859-1").alias("header"), F.sha2(raw, 256).alias("sha256"), F.length(raw).cast("long").alias("n_bytes"))

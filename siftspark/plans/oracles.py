@@ -66,7 +66,7 @@ VIEW = """parts as (select capture_id, byte_start, 0 n, rendered_text p from sho
     || case when omitted > 0 then 'recall: siftspark recall ' || left(capture_id, 8) || ' --section ID' || chr(10) else '' end as v from body join exits using (capture_id))"""
 RECEIPTS = """receipts as (select cast(user_id as varchar) session_id, 'run-' || cast(event_id as varchar) run_id, case when event_id % 7 = 0 then 'adaptive' else 'deterministic' end as mode,
   event_id % 11 <> 0 captured, cents < raw replaced, case when event_id % 11 = 0 then 'capture_limit_exceeded' when cents >= raw then 'no_net_reduction' end bypass, raw raw_bytes, least(raw, cents) delivered, event_id % 3 recalls,
-  event_type command, 'cap-' || cast(event_id % 1000 as varchar) capture_id, event_type, event_id, case when event_type in ('signup', 'view') then event_id % 900 end tokens, case when event_type = 'signup' and event_id % 5 <> 0 then cents end micros
+  event_type command, 'cap-' || cast(event_id // 5 as varchar) capture_id, event_type, event_id, case when event_type in ('signup', 'view') then event_id % 900 end tokens, case when event_type = 'signup' and event_id % 5 <> 0 then cents end micros
   from (select *, event_id % 5000 + 1 raw, cast(round(value * 100) as bigint) cents from events))"""
 GOALS = "goals as (select conv_id session_id, turn tt, left(text, 600) goal, turn // 2 revision from conversations where role = 'user' and conv_id is not null)"
 RUNS = """runs as (select cast(l_partkey as varchar) scenario, 'suite-' || cast(l_partkey % 3 as varchar) suite, case l_returnflag when 'N' then 'native' when 'A' then 'rules' else 'ranker' end arm, cast(sum(cast(l_quantity * 100 as bigint)) as bigint) est_tokens,
@@ -174,33 +174,39 @@ def search_plan(lines: str, goal: str | None = None, hit: str = "^([^:]*):([0-9]
       {_gaps('s7', 'r7')}"""
 
 
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\r", "' || chr(13) || '") + "'"
+
+
 def literals() -> str:
     from siftspark.plans.queries import LITERALS
 
-    text = lambda x: "'" + x.replace("'", "''").replace("\r", "' || chr(13) || '") + "'"
-    return "literals(id, line) as (values " + ", ".join(f"({i}, {text(x)})" for i, x in enumerate(LITERALS)) + ")"
+    return f"forms(i, form) as (values {', '.join(f'({i}, {_text(x)})' for i, x in enumerate(LITERALS))}), literals as (select p_partkey id, i, replace(form, '@', cast(p_partkey as varchar)) line from part join forms on i = p_partkey % {len(LITERALS)})"
 
 
 def _classified() -> str:
-    """The expected labels of the literal lines, written out."""
+    """The expected labels of the lines, written out by form."""
     from siftspark.plans.queries import LITERALS
 
-    passed = {0: "tests::alpha", 3: "test_one", 5: "TestGo", 6: "TestSub", 7: "test_x", 9: "adds numbers", 10: "renders", 11: "plain", 12: "name of it"}
+    passed = {0: "tests::alpha_@", 3: "test_one_@", 5: "TestGo@", 6: "TestSub", 7: "test_x@", 9: "adds @ numbers", 10: "renders", 11: "plain", 12: "name of it"}
     at = {x: i for i, x in enumerate(LITERALS)}
-    boiler = {at[x] for x in ("running 12 tests", "collected 7 items", "===== test session starts =====", "==================================", "------------------------------", "ℹ skipped 0")}
+    boiler = {at[x] for x in ("running @ tests", "collected @ items", "===== test session starts =====", "==================================", "------------------------------", "ℹ skipped 0")}
     progress = {at[x] for x in ("=== RUN   TestGo", "tests/test_a.py ..s..  [ 40%]")}
     frames = {at[x] for x in LITERALS if x.startswith("    at node") or "(node:" in x or "node_modules" in x or "lib/python" in x or x.startswith("    at java")}
-    defs = {at[x] for x in ("pub fn a() {", "export default class B {", "#define X 1", "async def c():")}
-    build = {at["   Compiling serde v1.0.1"]: "serde", at["    Checking a_b v0.1.0 (/tmp/x)"]: "a_b"}
-    pick = lambda ids: "id in (" + ",".join(map(str, sorted(ids))) + ")"
-    case = lambda d: "case id " + " ".join(f"when {k} then '{v}'" for k, v in d.items()) + " end"
+    defs = {at[x] for x in ("pub fn a@() {", "export default class B {", "#define X 1", "async def c():")}
+    build = {at["   Compiling serde-@ v1.0.1"]: "serde-@", at["    Checking a_b v0.1.0 (/tmp/x)"]: "a_b"}
+    pick = lambda ids: "i in (" + ",".join(map(str, sorted(ids))) + ")"
+    case = lambda d: "case i " + " ".join(f"when {k} then replace('{v}', '@', cast(id as varchar))" for k, v in d.items()) + " end"
     return f"with {literals()} select id, {fact('line')} fact, {case(passed)} passed, {pick(boiler)} boilerplate, {pick(progress)} progress, {pick(frames)} frame, {pick(defs)} definition, {case(build)} build, regexp_matches(lower(line), '{SECRETS}') secret, contains(line, chr(13)) redraw from literals"
 
 
 def _values(names: str, rows: list[tuple]) -> str:
-    """Results worked out by hand, as rows."""
+    """Results worked out by hand for each form, for the parts that have it; ``@`` is the part's key."""
     cell = lambda x: "null" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return f"select * from (values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
+    columns = names.split(", ")
+    told = lambda c, x: f"replace({c}, '@', cast(p_partkey as varchar)) {c}" if isinstance(x, str) else c
+    sample = [next((r[k] for r in rows if r[k] is not None), None) for k in range(len(columns))]
+    return f"select p_partkey id, {', '.join(told(c, x) for c, x in zip(columns[1:], sample[1:], strict=True))} from part join (values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t(i, {', '.join(columns[1:])}) on i = p_partkey % {len(rows)}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -265,14 +271,14 @@ def oracle_sql() -> dict[str, str]:
           count(*) filter (attempt and tokens is null) missing_tokens, count(*) filter (attempt and not priced) unpriced, coalesce(sum(micros) filter (attempt and priced), 0) cost_micros, count(*) filter (event_type = 'error') fallbacks,
           count(*) filter (attempt and tokens is null) = 0 and count(*) filter (unk) = 0 input_tokens_complete, count(*) filter (attempt and not priced) = 0 and count(*) filter (unk) = 0 cost_complete from c group by command""",
         "session_status": f"with {RECEIPTS} select session_id, case when count(distinct mode) = 1 then min(mode) else 'mixed' end as mode, count(*) runs, count(*) filter (captured) captured, count(*) filter (replaced) replaced, count(*) filter (bypass is not null) bypassed, sum(raw_bytes) raw, sum(delivered) delivered, sum(recalls) recalls, case when count(*) <= 8 then string_agg(run_id, ',' order by run_id) end run_ids from receipts group by session_id",
-        "recorded_recalls": f"with {RECEIPTS}, l as (select 'cap-' || cast(event_id % 700 as varchar) capture_id, count(*) n, sum(event_id % 97) b from events group by 1), r as (select *, row_number() over (partition by capture_id order by run_id) nth from receipts) select run_id, recalls + case when nth = 1 then coalesce(n, 0) else 0 end recalls, case when nth = 1 then coalesce(b, 0) else 0 end recalled_bytes from r left join l using (capture_id)",
+        "recorded_recalls": f"with {RECEIPTS}, l as (select 'cap-' || cast(event_id // 7 as varchar) capture_id, count(*) n, sum(event_id % 97) b from events group by 1), r as (select *, row_number() over (partition by capture_id order by run_id) nth from receipts) select run_id, recalls + case when nth = 1 then coalesce(n, 0) else 0 end recalls, case when nth = 1 then coalesce(b, 0) else 0 end recalled_bytes from r left join l using (capture_id)",
         "suite_totals": f"with {RUNS}, g as (select suite, arm, sum(est_tokens) tokens, sum(needles_found) as found, sum(needles_total) total from runs group by grouping sets ((suite, arm), (arm))) select g.suite, g.arm, g.tokens, g.found, g.total, ((n.tokens - g.tokens) * 10000) / greatest(n.tokens, 1) reduction0, trunc(((n.tokens - g.tokens) * 10000) / greatest(n.tokens, 1)) reduction_bp from g join g n on n.arm = 'native' and n.suite is not distinct from g.suite",
         "effective_tokens": f"with {RUNS} select r.scenario, r.arm, r.est_tokens + case when r.needles_found < r.needles_total then n.est_tokens else 0 end effective from runs r join runs n on n.arm = 'native' and n.scenario = r.scenario",
         "median_by_arm": f"with {RUNS} select arm, round(median(est_tokens), 6) median_est_tokens, count(*) n from runs group by arm",
         "paired_savings": f"with {RUNS} select r.scenario, r.arm, r.est_tokens, n.est_tokens base_value, cast(trunc(((n.est_tokens - r.est_tokens) * 10000) / greatest(n.est_tokens, 1)) as bigint) saving_bp from runs r join runs n on n.arm = 'native' and n.scenario = r.scenario where r.arm <> 'native' and r.verified and n.verified",
         "kept_candidates": f"with {CHOICES}, a as (select *, row_number() over w r, coalesce(sum(probability) over (w rows between unbounded preceding and 1 preceding), 0) b, count(*) over (partition by capture_id) n, cast(least(greatest(round(need), 0), 4) as int) lv from choice window w as (partition by capture_id order by probability desc, candidate_id)), k as (select *, count(*) filter (r <= least([1, 2, 4, 8, 16][lv + 1], n) and b < 0.55 + 0.1 * need) over (partition by capture_id) taken from a) select capture_id, candidate_id, r as rank from k where r <= greatest(taken, least([1, 1, 2, 4, 16][lv + 1], n), 1)",
         "answer_errors": f"with {CHOICES} select capture_id, case when not (min(probability) >= 0 and max(probability) <= 1) then 'probability_range' when not sum(probability) between 0.98 and 1.02 then 'probability_sum' end error from choice group by capture_id",
-        "prefiltered_documents": "with s as (select source capture_id, doc_id idx, " + " + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in words) + " score from documents), r as (select *, row_number() over (partition by capture_id order by score desc, idx) r from s) select capture_id, idx, score from r where r <= 64",
+        "prefiltered_documents": "with s as (select source || '-' || doc_id // 10000 capture_id, doc_id idx, " + " + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in words) + " score from documents), r as (select *, row_number() over (partition by capture_id order by score desc, idx) r from s) select capture_id, idx, score from r where r <= 64",
         "selected_lines": f"with {LOGS} select capture_id, line_no from lines where (capture_id = 'log-0' and byte_start >= 1000 and byte_end <= 5000) or (capture_id = 'log-1' and (byte_end <= 700 or (byte_start >= 60000 and byte_end <= 61000)))",
         "goal_revisions": f"with {GOALS}, a as (select *, case when lag(tt) over w is null or tt - lag(tt) over w > 3 then 1 else 0 end fresh, lag(goal) over w old from goals window w as (partition by session_id order by tt)), b as (select *, sum(fresh) over (partition by session_id order by tt) era from a) select session_id, tt as \"at\", cast(sum(case when fresh = 1 or old <> goal then 1 else 0 end) over (partition by session_id, era order by tt) as bigint) revision from b",
         "task_revisions": f"with {GOALS}, a as (select *, max(revision) over (partition by session_id order by tt rows between unbounded preceding and 1 preceding) top, first_value(goal) over (partition by session_id, revision order by tt) first from goals) select session_id, tt seq, revision, case when top is null or revision > top then 'accepted' when revision < top then 'stale' when goal = first then 'same' else 'conflict' end outcome from a",
@@ -280,35 +286,36 @@ def oracle_sql() -> dict[str, str]:
         "recalled_bytes": "with r as (select cast(doc_id as varchar) capture_id, doc_id % 50 as start, doc_id % 50 + doc_id % 400 as stop, hex(encode(text)) h from documents) select capture_id, start, stop as \"end\", case when stop <= length(h) // 2 then substr(h, 2 * start + 1, 2 * (stop - start)) end hex, case when h is null then 'missing' when stop > length(h) // 2 then 'invalid_range' end error from r",
         "recalled_lines": f"with {DOCS}, r as (select 'doc-' || cast(doc_id as varchar) capture_id, 1 + doc_id % 4 a, 1 + doc_id % 4 + doc_id % 5 b from documents), g as (select r.capture_id, a, b, max(line_no) + 1 n, string_agg(line, '' order by line_no) filter (line_no + 1 between a and b) t from r left join lines l on l.capture_id = r.capture_id group by all) select capture_id, a, b, case when b <= n then t end as text, case when n is null then 'missing' when b > n then 'invalid_range' end error from g",
         "resolved_ids": "with c as (select md5(cast(doc_id as varchar)) full_id from documents), r as (select doc_id request_id, substr(md5(cast(doc_id * 2 as varchar)), 1, 6 + doc_id % 5) prefix from documents), g as (select request_id, prefix, count(full_id) n, min(full_id) f from r left join c on starts_with(full_id, prefix) and length(prefix) >= 8 group by all) select request_id, case when length(prefix) >= 8 and n = 1 then f end capture_id, case when length(prefix) < 8 then 'invalid_id' when n = 0 then 'missing' when n > 1 then 'invalid_id' end error from g",
-        "capture_limits": "with s as (select source run_id, doc_id seq, sum(strlen(text)) over (partition by source order by doc_id) so_far from documents) select run_id, seq, cast(so_far as bigint) so_far, max(so_far) over (partition by run_id) > 40000 bypassed from s",
+        "capture_limits": "with s as (select source || '-' || doc_id // 100 run_id, doc_id seq, sum(strlen(text)) over (partition by source, doc_id // 100 order by doc_id) so_far from documents) select run_id, seq, cast(so_far as bigint) so_far, max(so_far) over (partition by run_id) > 40000 bypassed from s",
         "manifest_changes": "select cast(doc_id as varchar) path, case doc_id % 10 when 7 then 'missing' when 3 then 'extra' else 'changed' end as change from documents where doc_id % 10 in (3, 5, 7)",
         "retained_events": "select event_id from events where event_id * 10 + 86400 >= 90000",
     }
     out["suite_totals"] = out["suite_totals"].replace("((n.tokens - g.tokens) * 10000) / greatest(n.tokens, 1) reduction0, trunc(", "cast(trunc(").replace("greatest(n.tokens, 1)) reduction_bp", "greatest(n.tokens, 1)) as bigint) reduction_bp")
     out |= {
-        "routed_commands": _values("id, parsed, eligible", [(0, "cargo|test", True), (1, "cargo|+nightly|test", True), (2, "cargo|run", False), (3, "go|vet|./...", True), (4, "python|-m|pytest|-q", True), (5, "python|app.py", False), (6, "C:toolsRG.exe|x", False), (7, "npm|run|build", True), (8, "npm|run|dev:web", False), (9, "npx|jest", True), (10, "grep|-rn|x|.", True), (11, "grep|--color|x", False), (12, "git|log|-3", True), (13, "git|push", False), (14, "cmake|--build|out", True), (15, "mvn|-q|verify", True), (16, "bundle|exec|rspec", True), (17, "docker|build|.", True), (18, "kubectl|get|pods", False), (19, "FOO=1|make", True), (20, "cd|a&make|b c", True), (21, None, False), (22, None, False), (23, "git|show|a b|c d", True), (24, None, False), (25, None, False), (26, None, False)]),
+        "routed_commands": _values("id, parsed, eligible", [(0, "cargo|test|case_@", True), (1, "cargo|+nightly|test", True), (2, "cargo|run", False), (3, "go|vet|./...", True), (4, "python|-m|pytest|-q", True), (5, "python|app_@.py", False), (6, "C:toolsRG.exe|x", False), (7, "npm|run|build", True), (8, "npm|run|dev:web", False), (9, "npx|jest", True), (10, "grep|-rn|x@|.", True), (11, "grep|--color|x", False), (12, "git|log|-@", True), (13, "git|push", False), (14, "cmake|--build|out", True), (15, "mvn|-q|verify", True), (16, "bundle|exec|rspec", True), (17, "docker|build|.", True), (18, "kubectl|get|pods", False), (19, "FOO=@|make", True), (20, "cd|a&make|b @ c", True), (21, None, False), (22, None, False), (23, "git|show|a @|c d", True), (24, None, False), (25, None, False), (26, None, False)]),
         "search_privacy": _values("id, denied", [(0, None), (1, None), (2, "privacy_denied_query"), (3, "privacy_denied_query"), (4, "privacy_denied_search_target"), (5, "privacy_denied_search_target"), (6, "unsupported_search_command"), (7, "unsupported_search_command"), (8, "privacy_denied_query"), (9, "privacy_denied_search_target"), (10, "privacy_denied_query")]),
-        "command_labels": _values("id, label, display", [(0, "cargo test", "/usr/bin/Cargo [2 arguments redacted]"), (1, "python -m pytest", "C:\\py\\python.exe [2 arguments redacted]"), (2, "python", "python [2 arguments redacted]"), (3, "git", "git [0 arguments redacted]"), (4, "rg", "rg [1 arguments redacted]"), (5, "npm", "npm [1 arguments redacted]"), (6, "tool", "tool [1 arguments redacted]")]),
+        "command_labels": _values("id, label, display", [(0, "cargo test", "/usr/bin/Cargo [2 arguments redacted]"), (1, "python -m pytest", "C:\\py\\python.exe [2 arguments redacted]"), (2, "python", "python [2 arguments redacted]"), (3, "git@", "git@ [0 arguments redacted]"), (4, "rg", "rg [1 arguments redacted]"), (5, "npm", "npm [1 arguments redacted]"), (6, "tool", "tool [1 arguments redacted]")]),
         "hook_events": "select role tool, case when octet_length(encode(text)) > 524288 then 'too_large' end as skip, count(*) n, sum(octet_length(encode(text))) bytes from conversations where (conv_id + turn) % 9 <> 0 group by all",
-        "build_progress": "with a as (select 'build-' || p_brand capture_id, p_partkey, p_partkey % 100 <> 0 own from part), b as (select *, case when own is distinct from lag(own) over (partition by capture_id order by p_partkey) then 1 else 0 end st from a), c as (select *, sum(st) over (partition by capture_id order by p_partkey) isl from b), e as (select capture_id, own, count(*) k from c group by capture_id, isl, own) select capture_id, sum(case when own and k >= 16 then k - 4 else 0 end) hidden, sum(k) n from e group by capture_id",
-        "redrawn_lines": "select 'o-' || o_orderstatus capture_id, case when count(*) filter (o_orderkey % 3 = 0) >= 2 then count(*) filter (o_orderkey % 3 = 0) else 0 end hidden from orders group by 1",
+        "build_progress": "with a as (select 'build-' || p_brand || '-' || p_partkey // 5000 capture_id, p_partkey, p_partkey % 100 <> 0 own from part), b as (select *, case when own is distinct from lag(own) over (partition by capture_id order by p_partkey) then 1 else 0 end st from a), c as (select *, sum(st) over (partition by capture_id order by p_partkey) isl from b), e as (select capture_id, own, count(*) k from c group by capture_id, isl, own) select capture_id, sum(case when own and k >= 16 then k - 4 else 0 end) hidden, sum(k) n from e group by capture_id",
+        "redrawn_lines": "select 'o-' || o_orderstatus || '-' || o_orderkey // 2000 capture_id, case when count(*) filter (o_orderkey % 3 = 0) >= 2 then count(*) filter (o_orderkey % 3 = 0) else 0 end hidden from orders group by 1",
         "recalled_sections": f"with {TESTS}, {PASSED}, {OMITTED} select g.capture_id, g.section_id, sha256(string_agg(l.line, '' order by l.line_no)) sha256, null error from gone g join lines l on l.capture_id = g.capture_id and l.byte_start >= g.byte_start and l.byte_end <= g.byte_end group by all union all select distinct capture_id, 'stdout-5-6', null, 'invalid_range' from lines",
         "capture_status": "select doc_id, case when doc_id % 9 = 0 then 'missing' when doc_id % 48 > 24 then 'expired' when doc_id % 7 = 0 then 'corrupt' else 'ok' end status from documents",
         "pack_conflicts": "select doc_id pack_id, case when doc_id % 3 = 0 then 'append' when doc_id % 5 = 0 then 'conflict' else 'same' end outcome from documents",
         "superseded_results": "select r.event_id run_id, exists (select 1 from events a where a.event_type = 'purchase' and a.user_id = r.user_id and a.event_id > r.event_id and a.event_id <= r.event_id + 500 and a.event_id // 100 > r.event_id // 100) superseded from events r where r.event_type = 'view'",
         "purged_packs": "select cast(event_id as varchar) capture_id, event_id * 10 pack_id from events where event_id * 10 + 86400 >= 95000",
-        "traced_tokens": "with e as (select user_id as session, event_type, event_id % 97 n, cast((event_id % 97) % 7 as varchar) id from events where event_id % 50 <> 0), t as (select u.session, sum(r.n) tool_bytes, count(*) tool_calls from e u join e r on u.session = r.session and u.id = r.id and u.event_type = 'click' and r.event_type = 'view' group by u.session) select session, coalesce(sum(n) filter (event_type not in ('click', 'view')), 0) input_tokens, 0 output_tokens, coalesce(max(tool_bytes), 0) tool_bytes, coalesce(max(tool_calls), 0) tool_calls from e left join t using (session) group by session",
+        "traced_tokens": "with e as (select user_id as session, event_type, event_id % 97 n, event_id // 3 id from events where event_id % 50 <> 0), t as (select r.session, sum(r.n) tool_bytes, count(*) tool_calls from e r where r.event_type = 'view' and exists (select 1 from e u where u.session = r.session and u.id = r.id and u.event_type = 'click') group by r.session) select session, coalesce(sum(n) filter (event_type not in ('click', 'view')), 0) input_tokens, 0 output_tokens, coalesce(max(tool_bytes), 0) tool_bytes, coalesce(max(tool_calls), 0) tool_calls from e left join t using (session) group by session",
         "consecutive_pairs": "with p as (select o_orderkey // 2 pair, count(*) n, count(*) filter (o_orderstatus = 'F') na, sum(cast(trunc(o_totalprice) as bigint)) filter (o_orderstatus = 'F') a, sum(cast(trunc(o_totalprice) as bigint)) filter (o_orderstatus <> 'F') b from orders group by 1) select pair, a, b, b - a delta from p where n = 2 and na = 1",
-        "found_needles": "select source scenario, cast(doc_id as varchar) arm, cast(contains(text, 'the') as int) + cast(contains(text, 'qui') as int) + cast(contains(text, 'zz') as int) needles_found, 3 needles_total, array_to_string(list_filter(['qui', 'the', 'zz'], lambda x: not contains(text, x)), ',') missing from documents",
-        "expected_levels": "with x as (select user_id, event_id % 5 as level, sum(round(value)) p from events where value > 0 group by all) select user_id, round(sum(level * p) / sum(p), 6) expected from x where p > 0 group by user_id",
+        "found_needles": "select source || '-' || doc_id // 1000 scenario, cast(doc_id as varchar) arm, cast(contains(text, 'the') as int) + cast(contains(text, 'qui') as int) + cast(contains(text, 'zz') as int) needles_found, 3 needles_total, array_to_string(list_filter(['qui', 'the', 'zz'], lambda x: not contains(text, x)), ',') missing from documents",
+        "expected_levels": "with x as (select user_id, event_id % 5 as level, sum(round(value)) p from events group by all) select user_id, round(sum(level * p) / nullif(sum(p), 0), 6) expected from x group by user_id",
         "candidate_minimums": "with g as (select 'u' || cast(user_id as varchar) capture_id, case user_id % 3 when 0 then 'search' when 1 then 'diff' else 'output' end kind, count(*) n from events group by all) select *, case when kind = 'search' and n > 64 then 'search_candidate_limit' when n < case kind when 'search' then 6 when 'diff' then 3 else 2 end then 'no_rankable_sections' end fallback from g",
         "evidence_gates": "select event_id, case when event_id % 100 < 70 then 'no_relevant_evidence' end fallback from events",
         "adaptive_search": f"with {HITS} select capture_id, count(*) filter (not contains(line, ':pub fn') and not ((capture_id = 'hits-A-0' and byte_start >= 200 and byte_end <= 5000) or (capture_id = 'hits-N-0' and byte_end <= 400))) hidden, count(*) n from lines group by capture_id",
         "new_source_files": "select 'new_file' kind, replace(p_name, ' ', '_') || case p_size % 3 when 0 then '.rs' else '.tsx' end path from part where p_size % 3 <> 1",
         "stale_advice": "select cast(o_orderkey as varchar) capture_id, o_orderkey % 10 = 9 or o_orderkey % 6 = 0 or o_orderkey % 8 = 0 stale from orders",
     }
-    hits = {"src/a.rs:12:let x = 1;": ("src/a.rs", 12, "let x = 1;"), "C:\\a\\b.rs:7:code": ("C:\\a\\b.rs", 7, "code"), "12:only content": ("one.rs", 12, "only content"), "2024-01-02T03:04:05Z INFO start: user=5 ok": ("2024-01-02T03", 4, "05Z INFO start: user=5 ok")}
-    rows = " ".join(f"when '{k}' then {{'p': '{v[0]}', 'l': {v[1]}, 'c': '{v[2]}'}}" for k, v in hits.items())
+    hits = {"src/a@.rs:12:let x = @;": ("src/a@.rs", 12, "let x = @;"), "C:\\a\\b@.rs:7:code": ("C:\\a\\b@.rs", 7, "code"), "12:only content @": ("one.rs", 12, "only content @"), "2024-01-02T03:04:05Z INFO start: user=5 ok": ("2024-01-02T03", 4, "05Z INFO start: user=5 ok")}
+    key = "cast(id as varchar)"
+    rows = " ".join(f"when replace('{k}', '@', {key}) then {{'p': replace('{v[0]}', '@', {key}), 'l': {v[1]}, 'c': replace('{v[2]}', '@', {key})}}" for k, v in hits.items())
     out["parsed_literal_hits"] = f"with {literals()}, h as (select id, line, case line {rows} end h from literals) select id, h.p path, cast(h.l as bigint) line, h.c as content, case when regexp_matches(line, ':[0-9]+:') then regexp_extract(line, '^.*?:[0-9]+:(.*)$', 1) else line end rest from h"
     out["clipped_texts"] = """with b as (select doc_id, text, hex(encode(text)) h, octet_length(encode(text)) n from documents),
       c as (select *, list_max(list_filter([317, 318, 319, 320], lambda i: not regexp_matches(substr(h, 2 * i + 1, 1), '[89AB]'))) cut from b)
@@ -337,6 +344,23 @@ def oracle_sql() -> dict[str, str]:
       j as (select doc_id, strlen(t) > 3000 old_large, strlen(u) > 3000 large, t = u as same, doc_id % 3 <> 0 was, doc_id % 7 = 0 twice from c),
       k as (select case when large then 'too_large' when was and not old_large then case when same then 'same' else 'conflict' end else 'append' end outcome, twice from j)
       select outcome, count(*) n from (select outcome from k union all select case when outcome = 'append' then 'same' else outcome end from k where twice) group by 1"""
+    told = "case when n % 3 = 0 then '{0}keep the API' || chr(10) || '{0}no new files' || chr(10) else '' end"
+    out["verbose_views"] = f"""with {TESTS}, {PASSED}, {OMITTED}, {SHOWN}, {VIEW.format(exit='0')},
+      c as (select capture_id, cast(regexp_extract(capture_id, '([0-9]+)$', 1) as int) n, max(case when contains(line, 'FAILED') then 101 else 0 end) code from lines group by capture_id),
+      above as (select capture_id, string_agg(chr(10) || '[stdout bytes ' || byte_start || '..' || byte_end || ']' || chr(10) || rendered_text, '' order by byte_start) body from shown group by capture_id),
+      below as (select capture_id, sum(factual_count) deferred, string_agg('- ' || section_id || ': ' || factual_count || ' lines of successful test inventory; recall with `siftspark recall ' || capture_id || ' --section ' || section_id || '`' || chr(10), '' order by byte_start) sections from gone group by capture_id),
+      ok as (select capture_id, count(*) filter (pass and reason is null) seen from planned group by capture_id),
+      x as (select c.capture_id, v, n, 'siftspark: ' || case when n % 2 = 0 then 'cargo [1 arguments redacted]' else 'shell' end || chr(10) || 'process: ' || case when n % 5 = 4 then 'UNKNOWN' when code = 0 then 'SUCCEEDED (exit 0)' else 'FAILED (exit 101)' end
+        || '; capture: complete; selection: selected' || chr(10) || 'capture_id: ' || c.capture_id || chr(10) || {told.format('trusted task constraint: ')}
+        || case when deferred > 0 then 'test inventory: ' || cast(seen + deferred as bigint) || ' explicit ok results (' || seen || ' shown, ' || cast(deferred as bigint) || ' deferred); see process status above' || chr(10) else '' end || coalesce(body, '')
+        || case when sections is not null then chr(10) || 'Deferred exact historical sections:' || chr(10) || sections else '' end || 'Full historical recall: `siftspark recall ' || c.capture_id || ' --full`' || chr(10) long_
+        from c join view0 using (capture_id) join ok using (capture_id) left join above using (capture_id) left join below using (capture_id))
+      select capture_id, md5(long_) verbose_md5, strlen(long_) verbose_bytes, md5(left(v, instr(v, chr(10))) || {told.format('constraint: ')} || substr(v, instr(v, chr(10)) + 1)) view_md5 from x"""
+    out["level_answers"] = """with g as (select l_orderkey k, count(*) n, count(distinct l_linenumber) d, max(l_linenumber) - min(l_linenumber) + 1 span, sum(l_quantity) total, sum((l_linenumber - 1) * l_quantity) s, min(l_linenumber) lo from lineitem group by 1)
+      select k l_orderkey, case when n <> 4 or d <> 4 or span <> 4 or k % 5 = 0 or (k % 7 = 0 and lo <= 4) then 'shape' end error, case when not (n <> 4 or d <> 4 or span <> 4 or k % 5 = 0 or (k % 7 = 0 and lo <= 4)) then round(s / total - (lo - 1), 6) end as level from g"""
+    out["binary_diffs"] = """with c as (select c_custkey k, 'diff-' || c_custkey // 50 capture_id, 'diff --git a/f' || c_custkey || ' b/f' || c_custkey head from customer),
+      s as (select *, row_number() over (partition by capture_id order by k) section, encode(head || chr(10)) || case when k % 3 = 0 then unhex('FFFE00') else encode('+x') end || encode(chr(10)) b from c)
+      select capture_id, section, head as header, sha256(b) sha256, octet_length(b) n_bytes from s"""
     out["bounded_output_stream"] = out["bounded_output"]
     out["goals_at_runs_stream"] = out["goals_at_runs"].replace("where role = 'assistant')", "where role = 'assistant' and conv_id is not null)")
     out["goal_revisions_stream"] = out["goal_revisions"]

@@ -21,14 +21,14 @@ from siftspark.streaming import flows, keyed, state
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
 
-#: literal lines for classifiers that the tables can't exercise
+#: lines of every format that classifiers know, for the tables' own keys: ``@`` is the key of a part
 LITERALS = [
-    "test tests::alpha ... ok", "test tests::beta ... FAILED", "test with space here ... ok", "test_one (pkg.mod.Case) ... ok", "bad name (x y) ... ok", "--- PASS: TestGo (0.00s)", "    --- PASS: TestSub (0.01s)",
-    "tests/test_a.py::test_x PASSED [ 10%]", "tests/a b.py::t PASSED", "✔ adds numbers (1.2ms)", "✓ renders (3 ms)", "√ plain", "ok 12 - name of it", "ok 3 - later # SKIP soon", "ok x - no", "running 12 tests", "running tests",
-    "collected 7 items", "===== test session starts =====", "==================================", "------------------------------", "ℹ skipped 0", "ℹ skipped 1", "=== RUN   TestGo", "tests/test_a.py ..s..  [ 40%]", "tests/test_a.py ..F..  [ 40%]",
+    "test tests::alpha_@ ... ok", "test tests::beta_@ ... FAILED", "test with space here ... ok", "test_one_@ (pkg.mod.Case) ... ok", "bad name (x y) ... ok", "--- PASS: TestGo@ (0.@s)", "    --- PASS: TestSub (0.01s)",
+    "tests/test_a.py::test_x@ PASSED [ 10%]", "tests/a b.py::t PASSED", "✔ adds @ numbers (1.2ms)", "✓ renders (3 ms)", "√ plain", "ok @ - name of it", "ok 3 - later # SKIP soon", "ok x - no", "running @ tests", "running tests",
+    "collected @ items", "===== test session starts =====", "==================================", "------------------------------", "ℹ skipped 0", "ℹ skipped 1", "=== RUN   TestGo", "tests/test_a.py ..s..  [ 40%]", "tests/test_a.py ..F..  [ 40%]",
     "    at node:internal/main:1:1", "    at foo (node:vm:3)", "    at Object.<anonymous> (/app/node_modules/x.js:1)", "    at app.js:1", '  File "/usr/lib/python3/x.py", line 3', '  File "/srv/app.py", line 3', "    at java.base/x",
-    "pub fn a() {", "export default class B {", "let fn = 1", "#define X 1", "async def c():", "   Compiling serde v1.0.1", "    Checking a_b v0.1.0 (/tmp/x)", "   Compiling x vX", "error: it failed", "warn: low disk", "Expected 3", "  --> src/a.rs:1",
-    "plain text", "", "   ", "api_key = 1", "token=abc", "token = abc", "Bearer xyz", "src/a.rs:12:let x = 1;", "C:\\a\\b.rs:7:code", "a:1:2:x", "x:0:zero", ":5:y", "12:only content", "deadbeef01 took 15ms in 0x1f", "2024-01-02T03:04:05Z INFO start: user=5 ok", "50% done\r60% done",
+    "pub fn a@() {", "export default class B {", "let fn = @", "#define X 1", "async def c():", "   Compiling serde-@ v1.0.1", "    Checking a_b v0.1.0 (/tmp/x)", "   Compiling x vX", "error: it failed @ times", "warn: low disk", "Expected 3", "  --> src/a.rs:@",
+    "plain text @", "", "   ", "api_key = 1", "token=abc@", "token = abc", "Bearer xyz", "src/a@.rs:12:let x = @;", "C:\\a\\b@.rs:7:code", "a:1:2:x", "x:0:zero", ":5:y", "12:only content @", "deadbeef01 took 15ms in 0x1f", "2024-01-02T03:04:05Z INFO start: user=5 ok", "@% done\r60% done",
 ]
 
 
@@ -37,8 +37,17 @@ def query(f: Query) -> Query:
     return f
 
 
-def literals(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, x) for i, x in enumerate(LITERALS)], "id long, line string")
+def _of_parts(spark: SparkSession, d: str, forms: list, kind: str) -> DataFrame:
+    """(id, i, x): for each part one of the forms in turn, the part's key in it where the form has ``@``."""
+    key = F.col("p_partkey")
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(forms)], f"i long, form {kind}")
+    x = A.table(spark, d, "part").select(key.cast("long").alias("id"), (key % len(forms)).cast("long").alias("i")).join(F.broadcast(table), "i")
+    put = lambda c: F.replace(c, F.lit("@"), F.col("id").cast("string"))
+    return x.select("id", "i", (F.transform("form", put) if kind.startswith("array") else put(F.col("form"))).alias("x"))
+
+
+def literals(spark: SparkSession, d: str) -> DataFrame:
+    return _of_parts(spark, d, LITERALS, "string").withColumnRenamed("x", "line")
 
 
 def _yes(c: Column) -> Column:
@@ -108,7 +117,7 @@ def trimmed_lines(spark: SparkSession, d: str) -> DataFrame:
 @query
 def classify_literals(spark: SparkSession, d: str) -> DataFrame:
     line = F.col("line")
-    return literals(spark).select("id", C.fact_kind(line).alias("fact"), C.passing_test_name(line).alias("passed"), _yes(C.is_boilerplate(line)).alias("boilerplate"), _yes(C.is_test_progress(line)).alias("progress"), _yes(C.is_runtime_frame(line)).alias("frame"), _yes(C.is_definition(line)).alias("definition"), C.progress_name(line).alias("build"), _yes(C.contains_secret(line)).alias("secret"), _yes(C.has_redraw(line)).alias("redraw"))
+    return literals(spark, d).select("id", C.fact_kind(line).alias("fact"), C.passing_test_name(line).alias("passed"), _yes(C.is_boilerplate(line)).alias("boilerplate"), _yes(C.is_test_progress(line)).alias("progress"), _yes(C.is_runtime_frame(line)).alias("frame"), _yes(C.is_definition(line)).alias("definition"), C.progress_name(line).alias("build"), _yes(C.contains_secret(line)).alias("secret"), _yes(C.has_redraw(line)).alias("redraw"))
 
 
 @query
@@ -140,7 +149,7 @@ def parsed_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def parsed_literal_hits(spark: SparkSession, d: str) -> DataFrame:
-    return literals(spark).withColumn("h", X.hit(F.col("line"), "one.rs")).withColumn("rest", X.hit_content(F.col("line"))).select("id", "h.path", "h.line", "h.content", "rest")
+    return literals(spark, d).withColumn("h", X.hit(F.col("line"), "one.rs")).withColumn("rest", X.hit_content(F.col("line"))).select("id", "h.path", "h.line", "h.content", "rest")
 
 
 @query
@@ -213,6 +222,41 @@ def pack_views(spark: SparkSession, d: str) -> DataFrame:
     return pack.views(x, captures).select("capture_id", "omitted", F.md5(F.col("view").cast("binary")).alias("view_md5"), F.octet_length("view").cast("long").alias("view_bytes"))
 
 
+@query
+def verbose_views(spark: SparkSession, d: str) -> DataFrame:
+    """Test captures spelled out, every third with constraints, every fifth without an exit code."""
+    lines = A.test_lines(spark, d)
+    x = reduce.tiny_gaps(reduce.passing_tests(reduce.prepare(lines)))
+    n = F.substring_index("capture_id", "-", -1).cast("int")
+    code = F.max(F.when(F.col("line").contains("FAILED"), 101).otherwise(0))
+    c = lines.groupBy("capture_id").agg(code.alias("code")).withColumn("exit_code", F.when(n % 5 != 4, F.col("code"))).withColumn("constraints", F.when(n % 3 == 0, F.array(F.lit("keep the API"), F.lit("no new files"))))
+    c = c.select("capture_id", "exit_code", "constraints", F.lit("shell").alias("tool"), F.when(n % 2 == 0, F.lit("cargo [1 arguments redacted]")).alias("command_display"), F.lit("complete").alias("completeness"), F.lit("selected").alias("coverage"))
+    long_ = pack.verbose(x, c).select("capture_id", F.md5(F.col("view").cast("binary")).alias("verbose_md5"), F.octet_length("view").cast("long").alias("verbose_bytes"))
+    short = pack.views(x, c.withColumn("exit_code", F.lit(0))).select("capture_id", F.md5(F.col("view").cast("binary")).alias("view_md5"))
+    return long_.join(short, "capture_id")
+
+
+@query
+def level_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of orders as answers of four levels: their quantities as probabilities, which are sound for some."""
+    x = A.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("q"))
+    total = F.aggregate("q", F.lit(0.0), lambda a, y: a + y["l_quantity"])
+    whole = F.when(F.col("l_orderkey") % 5 == 0, total * 2).otherwise(total)
+    x = x.withColumn("levels", F.transform("q", lambda y: F.struct((y["l_linenumber"] + F.col("l_orderkey") % 3 + F.when((F.col("l_orderkey") % 7 == 0) & (y["l_linenumber"] == 4), 1).otherwise(0)).alias("level"), (y["l_quantity"] / whole).alias("probability"))))
+    return x.select("l_orderkey", rank.level_error(F.col("levels"), 4).alias("error"), F.round(rank.score_level(F.col("levels"), 4), 6).alias("level"))
+
+
+@query
+def binary_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Diffs of customers as bytes, a section for each, with bytes that are no UTF-8 in some."""
+    c = A.table(spark, d, "customer").withColumn("k", F.col("c_custkey"))
+    head = F.concat(F.lit("diff --git a/f"), F.col("k").cast("string"), F.lit(" b/f"), F.col("k").cast("string"), F.lit("\n"))
+    part = F.concat(head.cast("binary"), F.when(F.col("k") % 3 == 0, F.unhex(F.lit("FFFE00"))).otherwise(F.lit("+x").cast("binary")), F.lit("\n").cast("binary"))
+    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("k", part.alias("p")))), F.lit("before\n").cast("binary"), lambda a, y: F.concat(a, y["p"]))
+    diffs = c.groupBy(F.expr("concat('diff-', k div 50)").alias("capture_id")).agg(whole.alias("diff"))
+    return review.binary_sections(diffs).select("capture_id", "section", F.col("header").cast("string").alias("header"), "sha256", "n_bytes")
+
+
 @query
 def pack_decisions(spark: SparkSession, d: str) -> DataFrame:
     """What happens to each test capture's pack at a budget of 2 KiB."""
@@ -474,7 +518,7 @@ def session_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def recorded_recalls(spark: SparkSession, d: str) -> DataFrame:
-    log = A.table(spark, d, "events").selectExpr("concat('cap-', cast(event_id % 700 as string)) capture_id", "event_id % 97 bytes")
+    log = A.table(spark, d, "events").selectExpr("concat('cap-', cast(event_id div 7 as string)) capture_id", "event_id % 97 bytes")
     return report.with_recalls(A.receipts(spark, d), log).select("run_id", "recalls", "recalled_bytes")
 
 
@@ -511,8 +555,8 @@ def answer_errors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prefiltered_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The 64 documents of each source that hold most words of a goal."""
-    x = A.table(spark, d, "documents").select(F.col("source").alias("capture_id"), F.col("doc_id").alias("idx"), "text").withColumn("tokens", X.ranker_tokens(F.lit("the thing that stands, Under the table with reason")))
+    """The 64 documents of each source and ten thousand that hold most words of a goal."""
+    x = A.table(spark, d, "documents").select(F.expr("concat(source, '-', doc_id div 10000)").alias("capture_id"), F.col("doc_id").alias("idx"), "text").withColumn("tokens", X.ranker_tokens(F.lit("the thing that stands, Under the table with reason")))
     return rank.prefilter(x).select("capture_id", "idx", F.col("score").cast("long").alias("score"))
 
 
@@ -587,7 +631,7 @@ def resolved_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def capture_limits(spark: SparkSession, d: str) -> DataFrame:
-    x = A.table(spark, d, "documents").selectExpr("source run_id", "doc_id seq", "text data")
+    x = A.table(spark, d, "documents").selectExpr("concat(source, '-', doc_id div 100) run_id", "doc_id seq", "text data")
     return recall.captured_size(x, 40_000).select("run_id", "seq", "so_far", "bypassed")
 
 
@@ -605,11 +649,11 @@ def retained_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 COMMANDS = [
-    "cargo test", "cargo +nightly test", "cargo run", "go vet ./...", "python -m pytest -q", "python app.py", "C:\\tools\\RG.exe x", "npm run build", "npm run dev:web", "npx jest", "grep -rn x .", "grep --color x", "git log -3", "git push",
-    "cmake --build out", "mvn -q verify", "bundle exec rspec", "docker build .", "kubectl get pods", "FOO=1 make", "cd a && make 'b c'", "ls | wc", "echo $(x)", 'git show "a b" c\\ d', "a && ", "echo 'open", "",
+    "cargo test case_@", "cargo +nightly test", "cargo run", "go vet ./...", "python -m pytest -q", "python app_@.py", "C:\\tools\\RG.exe x", "npm run build", "npm run dev:web", "npx jest", "grep -rn x@ .", "grep --color x", "git log -@", "git push",
+    "cmake --build out", "mvn -q verify", "bundle exec rspec", "docker build .", "kubectl get pods", "FOO=@ make", "cd a && make 'b @ c'", "ls | wc", "echo $(x@)", 'git show "a @" c\\ d', "a && ", "echo 'open", "",
 ]
 SEARCHES = [
-    ["rg", "-n", "-H", "needle"], ["/usr/bin/rg", "-n", "-H", "needle", "src", "--sort=path"], ["rg", "-n", "-H", "-x"], ["rg", "-n", "-H", "my password"], ["rg", "-n", "-H", "ok", "../up"], ["rg", "-n", "-H", "ok", "/etc"],
+    ["rg", "-n", "-H", "needle @"], ["/usr/bin/rg", "-n", "-H", "needle", "src", "--sort=path"], ["rg", "-n", "-H", "-x"], ["rg", "-n", "-H", "my password @"], ["rg", "-n", "-H", "ok @", "../up"], ["rg", "-n", "-H", "ok", "/etc"],
     ["rg", "-n", "x"], ["grep", "-n", "-H", "x"], ["rg", "-n", "-H", "\u00e9"], ["rg", "-n", "-H", "q", "C:x"], ["rg", "-n", "-H", " "],
 ]
 
@@ -617,7 +661,7 @@ SEARCHES = [
 @query
 def routed_commands(spark: SparkSession, d: str) -> DataFrame:
     """Commands as words, and whether their last segment's program is one to reduce."""
-    x = route.with_segments(spark.createDataFrame(list(enumerate(COMMANDS)), "id long, command string"))
+    x = route.with_segments(_of_parts(spark, d, COMMANDS, "string").withColumnRenamed("x", "command"))
     words = F.filter(F.element_at("segments", -1), lambda w: ~route.is_assignment(w))
     x = x.withColumn("words", words)
     yes = route.eligible(route.program_name(F.get("words", F.lit(0))), F.slice("words", 2, 1 << 20))
@@ -626,7 +670,7 @@ def routed_commands(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_privacy(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SEARCHES)), "id long, argv array<string>").select("id", route.query_privacy(F.col("argv")).alias("denied"))
+    return _of_parts(spark, d, SEARCHES, "array<string>").select("id", route.query_privacy(F.col("x")).alias("denied"))
 
 
 @query
@@ -639,9 +683,9 @@ def hook_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def build_progress(spark: SparkSession, d: str) -> DataFrame:
-    """Build progress of the parts, a capture of each brand; a warning breaks the run of every hundredth."""
+    """Build progress of the parts, a capture for each brand of five thousand; a warning breaks the run of every hundredth."""
     line = F.when(F.col("p_partkey") % 100 == 0, F.lit("warning: unused\n")).otherwise(F.concat(F.lit("   Compiling part-"), F.col("p_partkey").cast("string"), F.lit(" v1."), F.col("p_size").cast("string"), F.lit(".0\n")))
-    lines = A._numbered(A.table(spark, d, "part").select(F.concat(F.lit("build-"), F.col("p_brand")).alias("capture_id"), "p_partkey", line.alias("line")), "p_partkey")
+    lines = A._numbered(A.table(spark, d, "part").select(F.expr("concat('build-', p_brand, '-', p_partkey div 5000)").alias("capture_id"), "p_partkey", line.alias("line")), "p_partkey")
     x = reduce.build_progress(reduce.prepare(lines))
     return x.groupBy("capture_id").agg(F.count("reason").alias("hidden"), F.count("*").alias("n"))
 
@@ -649,7 +693,7 @@ def build_progress(spark: SparkSession, d: str) -> DataFrame:
 @query
 def redrawn_lines(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("% done\rnext")).otherwise(F.lit(" plain")), F.lit("\n"))
-    lines = A._numbered(A.table(spark, d, "orders").select(F.concat(F.lit("o-"), F.col("o_orderstatus")).alias("capture_id"), "o_orderkey", line.alias("line")), "o_orderkey")
+    lines = A._numbered(A.table(spark, d, "orders").select(F.expr("concat('o-', o_orderstatus, '-', o_orderkey div 2000)").alias("capture_id"), "o_orderkey", line.alias("line")), "o_orderkey")
     return reduce.redraws(reduce.prepare(lines)).groupBy("capture_id").agg(F.count("reason").alias("hidden"))
 
 
@@ -699,7 +743,7 @@ def traced_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Agent traces from events: clicks use a tool, views answer it, the rest count tokens; some lines are broken."""
     e = A.table(spark, d, "events").selectExpr("user_id session", "event_id", "event_type", "cast(event_id % 97 as bigint) n")
     kind = F.when(F.col("event_type") == "click", "tool_use").when(F.col("event_type") == "view", "tool_result").otherwise("usage")
-    obj = F.to_json(F.struct(kind.alias("type"), (F.col("n") % 7).cast("string").alias("id"), F.lit("shell").alias("tool"), F.when(kind == "usage", F.col("n")).alias("input_tokens"), F.repeat(F.lit("x"), F.col("n").cast("int")).alias("content")))
+    obj = F.to_json(F.struct(kind.alias("type"), F.expr("cast(event_id div 3 as string)").alias("id"), F.lit("shell").alias("tool"), F.when(kind == "usage", F.col("n")).alias("input_tokens"), F.repeat(F.lit("x"), F.col("n").cast("int")).alias("content")))
     return report.trace_sums(e.select("session", F.when(F.col("event_id") % 50 == 0, F.lit("oops {")).otherwise(obj).alias("value")))
 
 
@@ -711,14 +755,14 @@ def consecutive_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def found_needles(spark: SparkSession, d: str) -> DataFrame:
-    x = A.table(spark, d, "documents").select(F.col("source").alias("scenario"), F.col("doc_id").cast("string").alias("arm"), F.col("text").alias("view"))
-    needles = A.table(spark, d, "documents").groupBy(F.col("source").alias("scenario")).agg(F.expr("array('the', 'qui', 'zz')").alias("n")).select("scenario", F.explode("n").alias("needle"))
+    x = A.table(spark, d, "documents").select(F.expr("concat(source, '-', doc_id div 1000)").alias("scenario"), F.col("doc_id").cast("string").alias("arm"), F.col("text").alias("view"))
+    needles = A.table(spark, d, "documents").groupBy(F.expr("concat(source, '-', doc_id div 1000)").alias("scenario")).agg(F.expr("array('the', 'qui', 'zz')").alias("n")).select("scenario", F.explode("n").alias("needle"))
     return report.needles(x, needles)
 
 
 @query
 def expected_levels(spark: SparkSession, d: str) -> DataFrame:
-    x = A.table(spark, d, "events").where("value > 0").select(F.col("user_id"), (F.col("event_id") % 5).alias("level"), F.round("value").alias("probability")).groupBy("user_id", "level").agg(F.sum("probability").alias("probability")).where("probability > 0")
+    x = A.table(spark, d, "events").select(F.col("user_id"), (F.col("event_id") % 5).alias("level"), F.round("value").alias("probability")).groupBy("user_id", "level").agg(F.sum("probability").alias("probability"))
     g = x.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("level", "probability"))).alias("levels"))
     return g.select("user_id", F.round(rank.expected_level(F.col("levels")), 6).alias("expected"))
 
@@ -757,9 +801,8 @@ def stale_advice(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def command_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = [["/usr/bin/Cargo", "test", "-q"], ["C:\\py\\python.exe", "-m", "pytest"], ["python", "-m", "a.b"], ["git"], ["rg", "-n"], ["npm", "averyverylongword"], ["tool", "run2"]]
-    x = spark.createDataFrame(list(enumerate(rows)), "id long, argv array<string>")
-    return x.select("id", X.command_label(F.col("argv")).alias("label"), X.command_display(F.col("argv")).alias("display"))
+    rows = [["/usr/bin/Cargo", "test", "-q"], ["C:\\py\\python.exe", "-m", "pytest"], ["python", "-m", "a.@"], ["git@"], ["rg", "-n"], ["npm", "averyverylongword"], ["tool", "run@"]]
+    return _of_parts(spark, d, rows, "array<string>").select("id", X.command_label(F.col("x")).alias("label"), X.command_display(F.col("x")).alias("display"))
 
 
 def queries() -> dict[str, Query]:

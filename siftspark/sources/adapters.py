@@ -79,7 +79,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.selectExpr(
         "cast(user_id as string) session_id", "concat('run-', cast(event_id as string)) run_id", "case when event_id % 7 = 0 then 'adaptive' else 'deterministic' end mode",
         "array(named_struct('tool_path', 'shell', 'captured', event_id % 11 <> 0, 'replaced', cents < raw, 'bypass_reason', case when event_id % 11 = 0 then 'capture_limit_exceeded' when cents >= raw then 'no_net_reduction' end)) coverage",
-        "raw raw_bytes", "least(raw, cents) delivered_bytes", "cast(event_id % 3 as bigint) recalls", "event_type command", "concat('cap-', cast(event_id % 1000 as string)) capture_id",
+        "raw raw_bytes", "least(raw, cents) delivered_bytes", "cast(event_id % 3 as bigint) recalls", "event_type command", "concat('cap-', cast(event_id div 5 as string)) capture_id",
         "case event_type when 'signup' then 'succeeded' when 'error' then 'failed' when 'view' then 'cache_hit' when 'click' then 'not_attempted' end ranker_call_outcome", "false ranker_cache_hit", "event_id % 13 = 0 ranker_call_attempted",
         "case when event_type in ('signup', 'view') then event_id % 900 end tokens", "case when event_type = 'signup' and event_id % 5 <> 0 then cents / 1000000D end cost", "'USD' currency",
         "case when event_type = 'error' then 'missing_ranker_key' end adaptive_fallback", "cast(null as string) requested_mode", "cast(0 as bigint) recalled_bytes",
@@ -100,22 +100,18 @@ def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.selectExpr("cast(l_partkey as string) scenario", "concat('suite-', cast(l_partkey % 3 as string)) suite", "case l_returnflag when 'N' then 'native' when 'A' then 'rules' else 'ranker' end arm", "cast(l_quantity * 100 as bigint) tokens", "l_partkey % 4 <> 0 verified").groupBy("scenario", "suite", "arm").agg(F.sum("tokens").alias("est_tokens"), F.bool_and("verified").alias("verified"), F.lit(2).cast("long").alias("needles_total"), F.expr("case when arm = 'rules' and cast(scenario as bigint) % 5 = 0 then 1L else 2L end").alias("needles_found"))
 
 
-def write_captures(captures: DataFrame, path: str, quota: int | None = None, limit: int = 64 << 20) -> None:
-    """Append captures under the size limit; refuses where the store would pass its quota. Spark's committer makes the files
-    visible at once."""
-    fit = captures.where(F.coalesce(F.octet_length("stdout"), F.lit(0)) + F.coalesce(F.octet_length("stderr"), F.lit(0)) <= limit)
-    if quota is not None:
-        size = fit.agg(F.sum(F.coalesce(F.octet_length("stdout"), F.lit(0)).cast("long") + F.coalesce(F.octet_length("stderr"), F.lit(0)) + 4096)).first()[0] or 0
-        if size > quota:
-            raise ValueError(f"captures need {size} bytes; the quota is {quota}")
-    fit.write.mode("append").parquet(path)
-
-
 def read_receipts(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """Receipts as JSON lines; malformed ones are dropped, or an error in strict mode."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def read_traces(spark: SparkSession, path: str, schema: str = "session string, type string, id string, tool string, input_tokens long, output_tokens long, content string") -> tuple[DataFrame, DataFrame]:
+    """The events of JSON-lines files, and (file, lines, broken): how many lines each has and how many of them don't parse. Files of any size are split at line ends by the
+    scan. A line without a type is broken."""
+    x = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e")).withColumn("fine", F.coalesce(F.col("e.type").isNotNull(), F.lit(False)))
+    return x.where("fine").select("e.*"), x.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(~F.col("fine")).alias("broken"))
+
+
 def read_events(lines: DataFrame, schema: str, value: str = "value", most_bytes: int = 1 << 20) -> DataFrame:
     """JSON events of a batch or a stream of lines; malformed and oversized ones are passed over."""
     x = lines.where(F.octet_length(value) <= most_bytes).select(F.from_json(value, schema, {"mode": "PERMISSIVE"}).alias("e"))

@@ -76,11 +76,23 @@ def task_revision_stream(tasks: DataFrame) -> DataFrame:
 
 
 def superseded(results: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Results (session_id, run_id, revision, start, end) and whether a newer revision was accepted while they ran. Per session,
-    an equality join; the interval is checked within it."""
-    a = accepted.select("session_id", F.col("revision").alias("r"), F.col("at").alias("t"))
-    hit = results.join(a, "session_id").where("r > revision and t > start and t <= end").select("session_id", "run_id").distinct().withColumn("superseded", F.lit(True))
-    return results.join(hit, ["session_id", "run_id"], "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
+    """Results (session_id, run_id, revision, start, end) and whether a newer revision was accepted while they ran, after their start and not after
+    their end. Acceptances and the starts and ends of runs are one stream of a session in order of time, with the greatest revision so far: a run that wasn't behind at its start
+    is superseded if it is at its end. Only runs that were behind at their start already are held against the acceptances themselves."""
+    keys = ["session_id", "run_id"]
+    none = lambda name: F.lit(None).cast("long").alias(name)
+    said = accepted.select("session_id", F.col("at").cast("long").alias("at"), F.col("revision").cast("long").alias("r"), none("run_id"), none("start"))
+    edge = lambda name: results.select("session_id", F.col(name).cast("long").alias("at"), none("r"), F.col("run_id").cast("long").alias("run_id"), F.lit(int(name == "start")).cast("long").alias("start"))
+    w = W.partitionBy("session_id").orderBy("at", F.col("run_id").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    seen = said.unionByName(edge("start")).unionByName(edge("end")).withColumn("top", F.max("r").over(w)).where("run_id is not null")
+    tops = seen.groupBy(*keys).agg(F.max(F.when(F.col("start") == 1, F.col("top"))).alias("__first"), F.max(F.when(F.col("start") == 0, F.col("top"))).alias("__last"))
+    x = results.join(tops, keys, "left")
+    behind = F.coalesce(F.col("__first") > F.col("revision"), F.lit(False))
+    a = accepted.select("session_id", F.col("revision").alias("__r"), F.col("at").alias("__t"))
+    hit = x.where(behind).join(a, "session_id").where("__r > revision and __t > start and __t <= end").select(*keys).distinct().withColumn("__hit", F.lit(True))
+    x = x.join(hit, keys, "left")
+    later = F.coalesce(F.col("__last") > F.col("revision"), F.lit(False)) & (F.col("end") > F.col("start"))
+    return x.withColumn("superseded", F.when(behind, F.coalesce("__hit", F.lit(False))).otherwise(later)).drop("__first", "__last", "__hit")
 
 
 def retain(rows: DataFrame, at: str, now: int, ttl: int = 24 * 3600) -> DataFrame:
