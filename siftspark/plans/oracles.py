@@ -344,6 +344,10 @@ def oracle_sql() -> dict[str, str]:
       j as (select doc_id, strlen(t) > 3000 old_large, strlen(u) > 3000 large, t = u as same, doc_id % 3 <> 0 was, doc_id % 7 = 0 twice from c),
       k as (select case when large then 'too_large' when was and not old_large then case when same then 'same' else 'conflict' end else 'append' end outcome, twice from j)
       select outcome, count(*) n from (select outcome from k union all select case when outcome = 'append' then 'same' else outcome end from k where twice) group by 1"""
+    out["session_receipts"] = f"with {RECEIPTS}, top as (select session_id from receipts group by 1 order by count(*) desc, session_id limit 1) select session_id, run_id, raw_bytes, delivered delivered_bytes from receipts join top using (session_id) where event_id % 50 <> 0"
+    out["newest_capture"] = "select cast(doc_id as varchar) capture_id from documents order by doc_id * 7919 % 1000003 desc limit 1"
+    piece = "unhex(printf('%016X', octet_length(encode({0})))) || encode({0})"
+    out["pack_identities"] = f"select doc_id, sha256({piece.format(chr(39) + 'siftspark-1' + chr(39))} || {piece.format('cast(doc_id as varchar)')} || {piece.format('case when doc_id % 9 <> 0 then source else ' + chr(39) * 2 + ' end')} || {piece.format('lang')}) pack_id from documents"
     told = "case when n % 3 = 0 then '{0}keep the API' || chr(10) || '{0}no new files' || chr(10) else '' end"
     out["verbose_views"] = f"""with {TESTS}, {PASSED}, {OMITTED}, {SHOWN}, {VIEW.format(exit='0')},
       c as (select capture_id, cast(regexp_extract(capture_id, '([0-9]+)$', 1) as int) n, max(case when contains(line, 'FAILED') then 101 else 0 end) code from lines group by capture_id),

@@ -522,6 +522,29 @@ def recorded_recalls(spark: SparkSession, d: str) -> DataFrame:
     return report.with_recalls(A.receipts(spark, d), log).select("run_id", "recalls", "recalled_bytes")
 
 
+@query
+def session_receipts(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts written as JSON lines and read back: those of the busiest session. Lines that are broken on the way are dropped."""
+    x = A.receipts(spark, d).select("session_id", "run_id", "raw_bytes", "delivered_bytes")
+    path = f"{shared_dir(spark)}/siftspark-receipts-{uuid.uuid4().hex}"
+    n = F.substring_index("run_id", "-", -1).cast("long")
+    A.write_receipts(x.where(n % 50 != 0), path)
+    x.where(n % 50 == 0).select(F.concat(F.lit("{broken "), "run_id").alias("value")).write.mode("append").text(path)
+    busiest = x.groupBy("session_id").count().orderBy(F.desc("count"), "session_id").first()
+    return A.read_receipts(spark, path, "session_id string, run_id string, raw_bytes long, delivered_bytes long", session=busiest["session_id"] if busiest else "")
+
+
+@query
+def newest_capture(spark: SparkSession, d: str) -> DataFrame:
+    return recall.newest(A.table(spark, d, "documents").selectExpr("cast(doc_id as string) capture_id", "doc_id * 7919 % 1000003 created_at"))
+
+
+@query
+def pack_identities(spark: SparkSession, d: str) -> DataFrame:
+    x = A.table(spark, d, "documents").selectExpr("doc_id", "case when doc_id % 9 <> 0 then source end source", "lang")
+    return pack.pack_ids(x, ["doc_id", "source", "lang"]).select("doc_id", "pack_id")
+
+
 @query
 def suite_totals(spark: SparkSession, d: str) -> DataFrame:
     return report.suite_totals(A.bench_runs(spark, d))

@@ -100,9 +100,15 @@ def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.selectExpr("cast(l_partkey as string) scenario", "concat('suite-', cast(l_partkey % 3 as string)) suite", "case l_returnflag when 'N' then 'native' when 'A' then 'rules' else 'ranker' end arm", "cast(l_quantity * 100 as bigint) tokens", "l_partkey % 4 <> 0 verified").groupBy("scenario", "suite", "arm").agg(F.sum("tokens").alias("est_tokens"), F.bool_and("verified").alias("verified"), F.lit(2).cast("long").alias("needles_total"), F.expr("case when arm = 'rules' and cast(scenario as bigint) % 5 = 0 then 1L else 2L end").alias("needles_found"))
 
 
-def read_receipts(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """Receipts as JSON lines; malformed ones are dropped, or an error in strict mode."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+def write_receipts(receipts: DataFrame, path: str) -> None:
+    """Appends receipts as JSON lines."""
+    receipts.write.mode("append").json(path)
+
+
+def read_receipts(spark: SparkSession, path: str, schema: str, strict: bool = False, session: str | None = None) -> DataFrame:
+    """Receipts from JSON lines, of one session if it is given; malformed ones are dropped, or an error in strict mode."""
+    x = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    return x if session is None else x.where(F.col("session_id") == session)
 
 
 def read_traces(spark: SparkSession, path: str, schema: str = "session string, type string, id string, tool string, input_tokens long, output_tokens long, content string") -> tuple[DataFrame, DataFrame]:

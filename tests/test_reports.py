@@ -91,3 +91,29 @@ def test_newest_capture_and_pack_ids(spark):
     assert recall.newest(c).first()[0] == "b"
     p = pack.pack_ids(spark.createDataFrame([("ab", "c"), ("a", "bc"), ("ab", "c"), (None, "abc")], "x string, y string"), ["x", "y"])
     assert [len({r["pack_id"] for r in p.collect()}), p.where("pack_id is null").count()] == [3, 0]
+
+
+def test_manifests_of_files(spark, tmp_path):
+    import hashlib
+
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        for i in range(3):
+            (tmp_path / name / f"f{i}").write_bytes(bytes([i, 0, 255]) * (1 + (name == "b" and i == 2)))
+    (tmp_path / "b" / "new").write_bytes(b"")
+    (tmp_path / "b" / "f0").unlink()
+    base = lambda d: adapters.read_files(spark, str(tmp_path / d)).withColumn("path", F.substring_index("path", "/", -1))
+    assert {(r["path"], r["sha256"], r["length"]) for r in base("a").collect()} == {(f"f{i}", hashlib.sha256(bytes([i, 0, 255])).hexdigest(), 3) for i in range(3)}
+    assert {tuple(r) for r in recall.manifest_diff(base("a"), base("b")).collect()} == {("f0", "missing"), ("f2", "changed"), ("new", "extra")}
+
+
+def test_receipts_by_session_and_strictly(spark, tmp_path):
+    import pytest
+
+    schema = "session_id string, run_id string, raw_bytes long"
+    adapters.write_receipts(spark.createDataFrame([("s", "1", 5), ("t", "2", 6)], schema), str(tmp_path / "r"))
+    assert [r["run_id"] for r in adapters.read_receipts(spark, str(tmp_path / "r"), schema, strict=True, session="t").collect()] == ["2"]
+    spark.range(1).selectExpr("'{oops' value").write.mode("append").text(str(tmp_path / "r"))
+    assert adapters.read_receipts(spark, str(tmp_path / "r"), schema).count() == 2
+    with pytest.raises(Exception, match="(?i)malformed"):
+        adapters.read_receipts(spark, str(tmp_path / "r"), schema, strict=True).collect()
