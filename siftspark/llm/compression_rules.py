@@ -7,7 +7,8 @@ pays for its headers and tables. Under 128 bytes zstandard stores much prose as
 entropy of the bytes of its words.
 
 Defined results: a null or empty text has no words, so its base rule fails and it is not kept. Repeated rows are judged
-each for itself; other columns pass through untouched. Nothing is sampled and no text is cut: a row's memory is its text.
+each for itself; other columns pass through untouched. Nothing is sampled and no text is cut: a row's memory is its text. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,6 +13,10 @@ driver. Texts are scanned once, to a narrow table of sizes and checksums.
 Slots are gapless: rows are dealt to buckets by a hash of the row, a shard's buckets begin where the ones before end, and only the
 inside of a bucket is sorted, so a shard is never in one task.
 
+The number of shards is given, or follows from the bytes that a leaf may have. A tree of more than LEAVES shards is grown in tiers: its upper part until each node
+stands for LEAVES shards at most, then the rows are written with their node, and each node's own tree is grown over its rows alone and written. So
+neither an expression nor what reaches the driver at once grows with the number of shards.
+
 Defined results: a null text has size 1 and the checksum of the empty text. Null labels are a value of their own; null ids
 come first. Repeated rows get slots of their own. Fewer rows than shards leave shards empty. An empty table gives an empty result.
 Other columns aren't read.
@@ -21,6 +25,7 @@ Other columns aren't read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,6 +35,8 @@ from siftspark.store import materialize
 
 DIMS = ("size", "lang", "source", "id")
 _BITS, _DIGIT = 31, 12
+#: shards of one tree; beyond, trees stand below a tree
+LEAVES = 256
 
 
 @dataclass
@@ -121,11 +128,11 @@ def _medians(rows: DataFrame, nodes: list[Node]) -> None:
             return
 
 
-def grow(rows: DataFrame, total: int, count: int, n: int) -> Node:
-    """The tree over described and scaled rows."""
+def grow(rows: DataFrame, total: int, count: int, n: int, most: int = 1) -> Node:
+    """The tree over described and scaled rows, until nodes stand for ``most`` shards."""
     root = Node(1, total, count, n)
     leaves = [root]
-    while big := [x for x in leaves if x.shards > 1 and x.rows > 1]:
+    while big := [x for x in leaves if x.shards > most and x.rows > 1]:
         placed = rows.withColumn("node", _walk(root, lambda x: x.name)) if root.cut else rows.withColumn("node", F.lit(1))
         wide = placed.groupBy("node").agg(*(f(F.shiftright(f"k{i}", 32)).alias(f"{end}{i}") for i in range(4) for end, f in (("a", F.min), ("z", F.max)))).collect()
         spread = {r["node"]: [r[f"z{i}"] - r[f"a{i}"] for i in range(4)] for r in wide}
@@ -148,16 +155,33 @@ def _number(node: Node, at: int = 0) -> dict[int, int]:
     return _number(node.left, at) | _number(node.right, at + node.left.shards)
 
 
-def shards(docs: DataFrame, n: int = 8, bucket_rows: int = 20_000) -> DataFrame:
+def _ends(node: Node) -> list[Node]:
+    return [node] if node.cut is None else _ends(node.left) + _ends(node.right)
+
+
+def _sharded(rows: DataFrame, total: int, count: int, n: int, most: int) -> DataFrame:
+    """Rows with their ``shard``; see LEAVES."""
+    root = grow(rows, total, count, n, 1 if n <= most else most)
+    number = _number(root)
+    if n <= most:
+        return rows.withColumn("shard", _walk(root, lambda x: number[x.name]))
+    tiers = materialize(rows.withColumn("node", _walk(root, lambda x: x.name)).repartition("node"), "shard-nodes")
+    parts = []
+    for node in _ends(root):
+        if node.rows:
+            own = tiers.where(F.col("node") == node.name).drop("node")
+            parts.append(materialize(_sharded(own, node.bytes_, node.rows, node.shards, most).withColumn("shard", F.col("shard") + number[node.name]), "shard-part"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def shards(docs: DataFrame, n: int = 8, bucket_rows: int = 20_000, target_bytes: int | None = None, leaves: int = LEAVES) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for rows (doc_id, text, lang, source): shards 0 to n - 1 of
-    nearly equal bytes, as far as rows can be parted. The tree is an expression of the plan: n is some hundreds at most."""
+    nearly equal bytes, as far as rows can be parted. ``target_bytes``: as many shards as leave none above these bytes on average, in place of ``n``."""
     rows, total, count = _scaled(materialize(describe(docs), "shard-rows"))
     if not count:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    root = grow(rows, total, count, n)
-    number = _number(root)
     buckets = count // bucket_rows + 1
-    placed = rows.withColumn("shard", _walk(root, lambda x: number[x.name])).withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(buckets)).cast("int"))
+    placed = _sharded(rows, total, count, n if target_bytes is None else max(1, -(-total // target_bytes)), leaves).withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(buckets)).cast("int"))
     held = placed.groupBy("shard", "bucket").agg(F.count("*").alias("k"))
     starts = held.withColumn("start", F.sum("k").over(W.partitionBy("shard").orderBy("bucket")) - F.col("k")).drop("k")
     slot = F.col("start") + F.row_number().over(W.partitionBy("shard", "bucket").orderBy("doc_id", "row")) - 1

@@ -7,6 +7,7 @@ roles). All of it is DataFrame functions: one shuffle by pair, and arrays of a p
 Defined results: turns are ordered by (turn, role, text), so ties and repeated rows have a place of their own; null text
 is rendered empty, null role as ``unknown``, and nulls equal nulls. A pair with one side only has the whole of it as completion
 and an empty prompt. Equal sides have empty completions. Rows with a null pair id are left out. Other columns aren't read.
+An empty table gives an empty result. A conversation of any length is one row: its turns must fit into a task's memory.
 """
 
 from __future__ import annotations

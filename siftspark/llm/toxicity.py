@@ -11,7 +11,8 @@ partitions, without a shuffle. A worker's memory is its word table (bounded), on
 
 Defined results: null and empty texts score like a window without words. Without labels of both kinds, every text scores the
 share of toxic labels, 0 where there are none. Repeated rows score alike. Conflicting labels of a document: toxic wins.
-Labels of null or unknown documents are left out. Columns of the input pass through; clashing names are replaced.
+Labels of null or unknown documents are left out. Columns of the input pass through; clashing names are replaced. An empty table gives an empty result.
+A text of any length is scored by its windows, some at a time.
 """
 
 from __future__ import annotations
