@@ -4,7 +4,8 @@ A text's tokens are its words, lower-cased and without ASCII punctuation: the co
 by one of a few hash buckets. A bidirectional window network predicts each token from the ``reach`` tokens on both sides, the
 token itself masked: position-wise embeddings are summed, squashed, and read by a two-step softmax (a class of tokens, then the
 member within it). A word of a bucket is told from the others there by a further step, log(times / (times of the bucket + 1)), whose
-counts are of all words of the corpus and stay a table, joined by word; what is left of a bucket is for words never counted.
+counts are of all words of the corpus and stay a table, joined by word; what is left of a bucket is for words never counted. Words with a
+large share of the corpus (``Net.frequent``), which bounds their number at any size, are added in the scan, so that no key of the join is heavy.
 A text's score is the sum of the log-probabilities of all its words.
 
 What is learned covers the corpus: word counts are over all texts, and texts, as token ids, are dealt by hash into buckets of about
@@ -54,6 +55,8 @@ class Net:
     bucket_tokens: int = 2_000_000
     rate: float = 0.08
     seed: int = 5
+    #: words of a bucket with a larger share of all words than this are frequent; there are at most 1 / share of them
+    frequent: float = 2.0**-19
 
     @property
     def tokens(self) -> int:
@@ -231,6 +234,15 @@ def _distinct(words: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarr
     return words[head], np.diff(head, append=len(words)), np.searchsorted(text[head], np.arange(1, texts))
 
 
+def _found(words: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are among the sorted ``names``, and the places there of those that are."""
+    if not len(names):
+        return np.zeros(len(words), bool), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(names, words), len(names) - 1)
+    known = names[at] == words
+    return known, at[known]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, times): hashes of all words of all texts, and how often they occur."""
 
@@ -256,10 +268,12 @@ def vocabulary(docs: DataFrame, net: Net = Net(), counts: DataFrame | None = Non
 @dataclass(frozen=True)
 class Rare:
     """Words of the buckets: a table (word, nano) of their log-probabilities within their bucket in 1e-9, so that sums don't depend
-    on an order; ``unseen`` is that of a word never counted, by bucket."""
+    on an order; ``unseen`` is that of a word never counted, by bucket. ``frequent`` holds the sorted hashes and the nanos of the
+    frequent words, which are in many texts: the scan adds these, and only the others are joined."""
 
     words: DataFrame
     unseen: list[int]
+    frequent: tuple[np.ndarray, np.ndarray]
 
 
 def _bucket(net: Net) -> str:
@@ -271,8 +285,13 @@ def rare_words(counts: DataFrame, vocab: tuple[np.ndarray, np.ndarray], net: Net
     rest = counts.where(~F.col("word").isin(vocab[0].view(np.int64).tolist())).withColumn("bucket", F.expr(_bucket(net)))
     totals = {r["bucket"]: r["n"] for r in rest.groupBy("bucket").agg(F.sum("times").alias("n")).collect()}
     total = F.element_at(F.array(*(F.lit(totals.get(k, 0) + 1) for k in range(net.rare))), F.col("bucket") + 1)
-    words = rest.select("word", F.round(F.log(F.col("times") / total) * 1e9).cast("long").alias("nano"))
-    return Rare(words, [-round(float(np.log(totals.get(k, 0) + 1)) * 1e9) for k in range(net.rare)])
+    words = rest.select("word", "times", F.round(F.log(F.col("times") / total) * 1e9).cast("long").alias("nano"))
+    often = F.col("times") > net.frequent * (counts.agg(F.sum("times")).first()[0] or 0)
+    got = words.where(often).select("word", "nano").toArrow()
+    names, nano = (got.column(c).to_numpy().astype(np.int64) for c in ("word", "nano"))
+    by = np.argsort(names.view(np.uint64))
+    unseen = [-round(float(np.log(totals.get(k, 0) + 1)) * 1e9) for k in range(net.rare)]
+    return Rare(words.where(~often).select("word", "nano"), unseen, (names.view(np.uint64)[by], nano[by]))
 
 
 def _pack(w: Weights) -> bytes:
@@ -373,19 +392,26 @@ def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], w: Weights, net
     names = {f.name for f in new}
     kept = [f for f in docs.schema.fields if f.name.lower() not in names and (keep_text or f.name != text)]
     passed = [f.name for f in kept]
-    held = [T.StructField("__row", T.LongType()), T.StructField("__words", T.ArrayType(T.LongType())), T.StructField("__times", T.ArrayType(T.LongType()))] if rare else []
+    held = [T.StructField("__row", T.LongType()), T.StructField("__words", T.ArrayType(T.LongType())), T.StructField("__times", T.ArrayType(T.LongType())), T.StructField("__often", T.LongType())] if rare else []
     least = net.tokens - net.rare
+    often, nano = rare.frequent if rare else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, sides = _tables(w), _sides(net)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, total, words, times = [], [], [], []
+            n, total, words, times, sums = [], [], [], [], []
             for i in range(0, batch.num_rows, 256):
                 hashes, lens = hashes_of(batch.column(batch.schema.get_field_index(text)).slice(i, 256).to_pylist())
                 ids, cuts = _ids(hashes, *vocab, net), np.cumsum(lens)
                 if held:
-                    name, k, held_by = _distinct(hashes[ids >= least], np.repeat(np.arange(len(lens)), lens)[ids >= least], len(lens))
+                    of = np.repeat(np.arange(len(lens)), lens)
+                    at = np.flatnonzero(ids >= least)
+                    known, found = _found(hashes[at], often)
+                    add = np.zeros(len(ids) + 1, np.int64)
+                    add[at[known] + 1] = nano[found]
+                    sums += np.diff(np.cumsum(add)[cuts], prepend=0).tolist()
+                    name, k, held_by = _distinct(hashes[at[~known]], of[at[~known]], len(lens))
                     words += np.split(name.view(np.int64), held_by)
                     times += np.split(k, held_by)
                 # texts end to end, with the padding id between them
@@ -400,7 +426,7 @@ def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], w: Weights, net
             mean = [t / k if k else 0.0 for t, k in zip(total, n, strict=True)]
             cols = [batch.column(batch.schema.get_field_index(p)) for p in passed] + [pa.array(n, pa.int64()), pa.array([t if k else 0.0 for t, k in zip(total, n, strict=True)], pa.float64()), pa.array(mean, pa.float64())]
             if held:
-                cols += [pa.array(np.arange(row, row + batch.num_rows)), pa.array(words, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+                cols += [pa.array(np.arange(row, row + batch.num_rows)), pa.array(words, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())), pa.array(sums, pa.int64())]
                 row += batch.num_rows
             yield pa.RecordBatch.from_arrays(cols, names=[*passed, *(f.name for f in [*new, *held])])
 
@@ -413,7 +439,7 @@ def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], w: Weights, net
     pairs = scored.select("__row", F.explode(F.arrays_zip("__words", "__times")).alias("x")).select("__row", F.col("x.__words").alias("word"), F.col("x.__times").alias("k"))
     unseen = F.element_at(F.array(*map(F.lit, rare.unseen)), F.expr(_bucket(net)) + 1)
     more = pairs.join(rare.words, "word", "left").groupBy("__row").agg(F.sum(F.col("k") * F.coalesce("nano", unseen)).alias("__nano"))
-    total = F.col("log_likelihood") + F.coalesce("__nano", F.lit(0)) / F.lit(1e9)
+    total = F.col("log_likelihood") + (F.col("__often") + F.coalesce("__nano", F.lit(0))) / F.lit(1e9)
     return scored.drop("__words", "__times").join(more, "__row", "left").select(
         *passed, "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).otherwise(0.0).alias("mean_log_likelihood")
     )

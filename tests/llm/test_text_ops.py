@@ -398,8 +398,9 @@ def test_pseudo_likelihood_does_not_depend_on_the_split_of_files(spark):
     assert one == five
 
 
-def test_pseudo_likelihood_tells_rare_words_apart(spark):
-    net = pseudo_lm.Net(classes=2, members=4, rare=2)
+@pytest.mark.parametrize("frequent", [0.0, 0.004, 1.0])
+def test_pseudo_likelihood_tells_rare_words_apart(spark, frequent):
+    net = pseudo_lm.Net(classes=2, members=4, rare=2, frequent=frequent)
     common = "a b c d e f " * 40
     texts = [common + " ".join(f"rare{chr(97 + i % 25)} often" for i in range(j, j + 9)) for j in range(40)]
     docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, "!!!")], "doc_id long, text string").repartition(3)
