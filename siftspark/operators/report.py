@@ -88,6 +88,17 @@ def effective_tokens(runs: DataFrame) -> DataFrame:
     return runs.join(native, "scenario").withColumn("effective", F.col("est_tokens") + F.when(F.col("needles_found") < F.col("needles_total"), F.col("native_tokens")).otherwise(0))
 
 
+def payload_runs(planned: DataFrame, views: DataFrame, suite: str) -> DataFrame:
+    """Runs of two arms for each capture: its bytes as they are (``native``) and what a plan delivers of it (``rules``): the view, or the capture where the view isn't smaller.
+    A token is four bytes, a last one fewer; needles are the lines that state a fact outside diffs, and one is found where it can be read without a recall."""
+    fact = F.col("fact").isNotNull() & F.coalesce(F.col("kind") != "diff", F.lit(True))
+    of = planned.groupBy("capture_id").agg(F.sum(F.col("n_bytes").cast("long")).alias("raw"), F.count_if(fact).alias("total"), F.count_if(fact & F.col("reason").isNull()).alias("shown"))
+    x = of.join(views.select("capture_id", F.octet_length("view").cast("long").alias("size")), "capture_id")
+    arm = lambda name, size, found: F.struct(F.lit(name).alias("arm"), F.expr(f"({size} + 3) div 4").alias("est_tokens"), F.expr(found).alias("needles_found"))
+    arms = F.array(arm("native", "raw", "total"), arm("rules", "least(size, raw)", "if(size < raw, shown, total)"))
+    return x.select(F.col("capture_id").alias("scenario"), F.lit(suite).alias("suite"), F.col("total").alias("needles_total"), F.explode(arms).alias("a")).select("scenario", "suite", "a.arm", "a.est_tokens", "needles_total", "a.needles_found")
+
+
 def suite_totals(runs: DataFrame) -> DataFrame:
     """Tokens and needles by suite and arm, and over all suites (null suite), with the reduction against native in basis points."""
     g = runs.groupingSets([["suite", "arm"], ["arm"]], "suite", "arm").agg(F.sum("est_tokens").alias("tokens"), F.sum("needles_found").alias("found"), F.sum("needles_total").alias("total"))

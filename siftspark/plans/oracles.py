@@ -64,6 +64,12 @@ VIEW = """parts as (select capture_id, byte_start, 0 n, rendered_text p from sho
   exits as (select capture_id, max(case when contains(line, 'FAILED') then 101 else 0 end) exit_code, max(byte_end) raw from lines group by capture_id),
   view0 as (select capture_id, omitted, raw, 'siftspark exit=' || cast({exit} as varchar) || ' omitted=' || cast(cast(omitted as bigint) as varchar) || chr(10) || body
     || case when omitted > 0 then 'recall: siftspark recall ' || left(capture_id, 8) || ' --section ID' || chr(10) else '' end as v from body join exits using (capture_id))"""
+#: PASSED's islands and gaps for any plan whose lines are ``judged(reason)``
+PARTED = """g0 as (select * rename (reason as reason0), case when coalesce(reason, '') is distinct from lag(coalesce(reason, '')) over (partition by capture_id order by line_no) then 1 else 0 end st from judged),
+  g1 as (select *, sum(st) over (partition by capture_id order by line_no) isl from g0),
+  planned0 as (select *, case when sum(strlen(line)) over (partition by capture_id, isl) < 72 then null else reason0 end reason from g1),
+  g2 as (select *, case when coalesce(reason, '') is distinct from lag(coalesce(reason, '')) over (partition by capture_id order by line_no) then 1 else 0 end st2 from planned0),
+  planned as (select *, sum(st2) over (partition by capture_id order by line_no) part from g2)"""
 RECEIPTS = """receipts as (select cast(user_id as varchar) session_id, 'run-' || cast(event_id as varchar) run_id, case when event_id % 7 = 0 then 'adaptive' else 'deterministic' end as mode,
   event_id % 11 <> 0 captured, cents < raw replaced, case when event_id % 11 = 0 then 'capture_limit_exceeded' when cents >= raw then 'no_net_reduction' end bypass, raw raw_bytes, least(raw, cents) delivered, event_id % 3 recalls,
   event_type command, 'cap-' || cast(event_id // 5 as varchar) capture_id, event_type, event_id, case when event_type in ('signup', 'view') then event_id % 900 end tokens, case when event_type = 'signup' and event_id % 5 <> 0 then cents end micros
@@ -71,6 +77,12 @@ RECEIPTS = """receipts as (select cast(user_id as varchar) session_id, 'run-' ||
 GOALS = "goals as (select conv_id session_id, turn tt, left(text, 600) goal, turn // 2 revision from conversations where role = 'user' and conv_id is not null)"
 RUNS = """runs as (select cast(l_partkey as varchar) scenario, 'suite-' || cast(l_partkey % 3 as varchar) suite, case l_returnflag when 'N' then 'native' when 'A' then 'rules' else 'ranker' end arm, cast(sum(cast(l_quantity * 100 as bigint)) as bigint) est_tokens,
   bool_and(l_partkey % 4 <> 0) verified, 2 needles_total, case when l_returnflag = 'A' and l_partkey % 5 = 0 then 1 else 2 end needles_found from lineitem group by l_partkey, l_returnflag)"""
+_PAYLOAD = """(with {lines}, {plan}, {omitted}, {shown}, {view}, told as (select capture_id, count(fact) total, count(fact) filter (reason is null) seen from planned group by capture_id)
+  select capture_id scenario, '{suite}' suite, total needles_total, cast(raw as bigint) raw, strlen(v) size, seen from view0 join told using (capture_id))"""
+PAYLOADS = f"""sized as (select * from {_PAYLOAD.format(lines=TESTS, plan=PASSED, omitted=OMITTED, shown=SHOWN, view=VIEW.format(exit='exit_code'), suite='tests')}
+  union all select * from {_PAYLOAD.format(lines=LOGS, plan=LONG.replace('planned as', 'judged as') + ', ' + PARTED, omitted=OMITTED, shown=SHOWN, view=VIEW.format(exit='exit_code').replace('passing tests', 'lines from the middle'), suite='logs')}),
+  runs as (select scenario, suite, 'native' arm, (raw + 3) // 4 est_tokens, needles_total, needles_total needles_found from sized
+    union all select scenario, suite, 'rules', (least(size, raw) + 3) // 4, needles_total, case when size < raw then seen else needles_total end from sized)"""
 CHOICES = """numbered as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) r from events),
   few as (select *, sum(value) over (partition by user_id, (r - 1) // 30) total from numbered),
   choice as (select 'u' || cast(user_id as varchar) || '-' || cast((r - 1) // 30 as varchar) capture_id, 'e' || lpad(cast(event_id as varchar), 12, '0') candidate_id, round(case when total = 0 then 0 else value / total end, 6) probability, user_id % 9 / 2.0 need from few)"""
@@ -273,6 +285,8 @@ def oracle_sql() -> dict[str, str]:
         "session_status": f"with {RECEIPTS} select session_id, case when count(distinct mode) = 1 then min(mode) else 'mixed' end as mode, count(*) runs, count(*) filter (captured) captured, count(*) filter (replaced) replaced, count(*) filter (bypass is not null) bypassed, sum(raw_bytes) raw, sum(delivered) delivered, sum(recalls) recalls, case when count(*) <= 8 then string_agg(run_id, ',' order by run_id) end run_ids from receipts group by session_id",
         "recorded_recalls": f"with {RECEIPTS}, l as (select 'cap-' || cast(event_id // 7 as varchar) capture_id, count(*) n, sum(event_id % 97) b from events group by 1), r as (select *, row_number() over (partition by capture_id order by run_id) nth from receipts) select run_id, recalls + case when nth = 1 then coalesce(n, 0) else 0 end recalls, case when nth = 1 then coalesce(b, 0) else 0 end recalled_bytes from r left join l using (capture_id)",
         "suite_totals": f"with {RUNS}, g as (select suite, arm, sum(est_tokens) tokens, sum(needles_found) as found, sum(needles_total) total from runs group by grouping sets ((suite, arm), (arm))) select g.suite, g.arm, g.tokens, g.found, g.total, ((n.tokens - g.tokens) * 10000) / greatest(n.tokens, 1) reduction0, trunc(((n.tokens - g.tokens) * 10000) / greatest(n.tokens, 1)) reduction_bp from g join g n on n.arm = 'native' and n.suite is not distinct from g.suite",
+        "payload_runs": f"with {PAYLOADS} select r.scenario, r.suite, r.arm, r.est_tokens, r.needles_total, r.needles_found, r.est_tokens + case when r.needles_found < r.needles_total then n.est_tokens else 0 end effective from runs r join runs n on n.arm = 'native' and n.scenario = r.scenario",
+        "payload_scores": f"with {PAYLOADS}, g as (select suite, arm, cast(sum(est_tokens) as bigint) tokens, cast(sum(needles_found) as bigint) as found, cast(sum(needles_total) as bigint) total from runs group by grouping sets ((suite, arm), (arm))) select g.suite, g.arm, g.tokens, g.found, g.total, cast(((n.tokens - g.tokens) * 10000) // greatest(n.tokens, 1) as bigint) reduction_bp from g join g n on n.arm = 'native' and n.suite is not distinct from g.suite",
         "effective_tokens": f"with {RUNS} select r.scenario, r.arm, r.est_tokens + case when r.needles_found < r.needles_total then n.est_tokens else 0 end effective from runs r join runs n on n.arm = 'native' and n.scenario = r.scenario",
         "median_by_arm": f"with {RUNS} select arm, round(median(est_tokens), 6) median_est_tokens, count(*) n from runs group by arm",
         "paired_savings": f"with {RUNS} select r.scenario, r.arm, r.est_tokens, n.est_tokens base_value, cast(trunc(((n.est_tokens - r.est_tokens) * 10000) / greatest(n.est_tokens, 1)) as bigint) saving_bp from runs r join runs n on n.arm = 'native' and n.scenario = r.scenario where r.arm <> 'native' and r.verified and n.verified",

@@ -555,6 +555,30 @@ def effective_tokens(spark: SparkSession, d: str) -> DataFrame:
     return report.effective_tokens(A.bench_runs(spark, d)).select("scenario", "arm", "effective")
 
 
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads of test and log captures, as they are and as packs, with the facts that each shows."""
+
+    def runs(planned: DataFrame, suite: str) -> DataFrame:
+        exits = planned.groupBy("capture_id").agg(F.max(F.when(F.col("line").contains("FAILED"), 101).otherwise(0)).alias("exit_code"))
+        return report.payload_runs(planned, pack.views(planned, exits), suite)
+
+    tests = reduce.tiny_gaps(reduce.passing_tests(reduce.prepare(A.test_lines(spark, d))))
+    logs = reduce.tiny_gaps(reduce.long_output(reduce.prepare(A.log_lines(spark, d))))
+    return runs(tests, "tests").unionByName(runs(logs, "logs"))
+
+
+@query
+def payload_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens and facts of each capture and arm, and tokens with a recall of the whole where a fact is missing."""
+    return report.effective_tokens(_payloads(spark, d)).select("scenario", "suite", "arm", "est_tokens", "needles_total", "needles_found", "effective")
+
+
+@query
+def payload_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens and facts kept of each suite and arm: how far packs reduce payloads, and what they cost in facts."""
+    return report.suite_totals(_payloads(spark, d))
+
+
 @query
 def median_by_arm(spark: SparkSession, d: str) -> DataFrame:
     return report.medians(A.bench_runs(spark, d), "arm", ["est_tokens"])

@@ -117,3 +117,17 @@ def test_receipts_by_session_and_strictly(spark, tmp_path):
     assert adapters.read_receipts(spark, str(tmp_path / "r"), schema).count() == 2
     with pytest.raises(Exception, match="(?i)malformed"):
         adapters.read_receipts(spark, str(tmp_path / "r"), schema, strict=True).collect()
+
+
+def test_payloads_of_plans_count_shown_facts_and_fall_back_to_the_capture(spark):
+    long_ = [("a", 0, "x" * 400, None, "other", "middle"), ("a", 1, "error: lost\n", "failure_identity", "other", "middle"), ("a", 2, "warning: kept\n", "distinct_warning", "other", None), ("a", 3, "-error\n", "failure_identity", "diff", None)]
+    short = [("b", 0, "panic\n", "failure_identity", None, "middle"), ("b", 1, "ok\n", None, None, None)]
+    planned = spark.createDataFrame([(*r, len(r[2])) for r in long_ + short], "capture_id string, line_no long, line string, fact string, kind string, reason string, n_bytes int")
+    views = spark.createDataFrame([("a", "v" * 101), ("b", "v" * 9)], "capture_id string, view string")  # b's view is as long as b
+    runs = report.payload_runs(planned, views, "s")
+    got = {(r["scenario"], r["arm"]): (r["est_tokens"], r["needles_found"], r["needles_total"]) for r in runs.collect()}
+    assert got == {("a", "native"): (-(-433 // 4), 2, 2), ("a", "rules"): (26, 1, 2), ("b", "native"): (3, 1, 1), ("b", "rules"): (3, 1, 1)}
+    assert {(r["scenario"], r["arm"]): r["effective"] for r in report.effective_tokens(runs).collect()}[("a", "rules")] == 26 + 109
+    totals = {(r["suite"], r["arm"]): (r["tokens"], r["found"], r["reduction_bp"]) for r in report.suite_totals(runs).collect()}
+    assert totals[("s", "rules")] == totals[(None, "rules")] == (29, 2, (112 - 29) * 10000 // 112)
+    assert report.payload_runs(planned.where("false"), views, "s").count() == 0
