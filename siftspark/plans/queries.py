@@ -15,7 +15,7 @@ from siftspark.operators import pack, rank, recall, reduce, report, review, rout
 from siftspark.sources import adapters as A
 from siftspark.sources import capture_store
 from siftspark.sources.capture_store import CaptureStore
-from siftspark.store import shared_dir
+from siftspark.store import materialize, shared_dir
 from siftspark.streaming import flows, keyed, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -559,6 +559,8 @@ def _payloads(spark: SparkSession, d: str) -> DataFrame:
     """Payloads of test and log captures, as they are and as packs, with the facts that each shows."""
 
     def runs(planned: DataFrame, suite: str) -> DataFrame:
+        # its blocks, its omissions and its facts are read from a table of it
+        planned = materialize(planned.select("capture_id", "stream", "line_no", "line", "byte_start", "byte_end", "n_bytes", "kind", "fact", "reason"), f"payloads-{suite}")
         exits = planned.groupBy("capture_id").agg(F.max(F.when(F.col("line").contains("FAILED"), 101).otherwise(0)).alias("exit_code"))
         return report.payload_runs(planned, pack.views(planned, exits), suite)
 
