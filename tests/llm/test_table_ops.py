@@ -95,6 +95,32 @@ def test_divide_skip_finds_every_component_of_a_large_block():
         assert [parts.root(i) for i in range(len(docs))] == [want.root(i) for i in range(len(docs))]
 
 
+@pytest.mark.parametrize("classes", [63, 64, 65, 999, 1000, 1001])
+def test_divide_skip_links_the_same_parts_by_heap_and_on_arrays(classes):
+    import numpy as np
+
+    rng, how = random.Random(classes), jaccard_join.Join()
+    cores = [rng.sample(range(3000), 30) for _ in range(classes // 20)]
+    sets = []
+    for i in range(classes):
+        core = cores[i % len(cores)]
+        sets.append(np.array(sorted(set(core) - set(rng.sample(core, i % 4)) | set(rng.sample(range(3000), i % 4))), dtype=np.int64))
+    has = np.zeros((classes, 3000), np.float32)
+    for i, x in enumerate(sets):
+        has[i, x] = 1
+    common, size = has @ has.T, has.sum(axis=1)
+    linked = 100 * common >= 80 * (size[:, None] + size[None] - common)
+    want = jaccard_join._Parts(list(range(classes)))
+    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+        want.join(i, j)
+    for how_small in ({}, {"small": 0}, {"small": 10_000}):
+        got = jaccard_join._Parts(list(range(classes)))
+        for i, j in jaccard_join.divide_skip([len(x) for x in sets], sets, list(range(classes)), how, **how_small):
+            assert linked[i, j]
+            got.join(i, j)
+        assert [got.root(i) for i in range(classes)] == [want.root(i) for i in range(classes)]
+
+
 def test_near_duplicates_keep_one_and_blanks(spark):
     rows = [(3, "a b c d e f g h", "x"), (1, "A b c d e f g h", "y"), (2, None, "z"), (2, None, "z"), (5, "other words are here for sure", "q"), (1, "A b c d e f g h", "y")]
     got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, component_id string"))
