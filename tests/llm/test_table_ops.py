@@ -121,6 +121,22 @@ def test_divide_skip_links_the_same_parts_by_heap_and_on_arrays(classes):
         assert [got.root(i) for i in range(classes)] == [want.root(i) for i in range(classes)]
 
 
+def test_groups_at_the_bound_of_a_block_equal_all_pairs(spark):
+    rng, rows = random.Random(30), []
+    for g, copies in enumerate([29, 30, 31]):
+        core = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(copies):
+            t = list(core)
+            t[rng.randrange(60)] = f"n{len(rows)}"
+            if rng.random() < 0.3:
+                t[rng.randrange(60)] = f"m{len(rows)}"
+            rows.append((len(rows), " ".join(t)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.near_components(df, jaccard_join.Join(block_classes=30)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == near_brute(rows)
+
+
 def test_near_duplicates_keep_one_and_blanks(spark):
     rows = [(3, "a b c d e f g h", "x"), (1, "A b c d e f g h", "y"), (2, None, "z"), (2, None, "z"), (5, "other words are here for sure", "q"), (1, "A b c d e f g h", "y")]
     got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, component_id string"))
