@@ -10,6 +10,7 @@ import time
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,49 +48,65 @@ def settled(query: StreamingQuery, seconds: float = 300) -> None:
         raise TimeoutError("the stream did not settle")
 
 
+#: groups of runs that ``bounded_stream`` keeps state for; a stream that is started again keeps its number
+GROUPS = 4096
+
+
 class _Held(StatefulProcessor):
     """Chunks of a run are held while they fit. The one that doesn't makes the held ones ``flushed``; it and all after it are ``forwarded``. The run's last chunk
-    makes what is still held ``kept``."""
+    makes what is still held ``kept``. A group of runs is served by one call, and only runs that go on beyond a batch are in the store, so that short runs cost no
+    calls of it."""
 
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.chunks = handle.getListState("chunks", "seq long, n_bytes long")
-        self.total = handle.getValueState("total", "held long, over boolean")
+        # chunks: pairs of seq and n_bytes, eight bytes each
+        self.open = handle.getMapState("open", "run_id string", "held long, over boolean, chunks binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held, over = self.total.get() if self.total.exists() else (0, False)
-        new, out, ended = [], [], False
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            held += int(r.n_bytes)
-            ended |= bool(r.last)
-            if not over and held > self.limit:
-                over = True
-                out += [(*c, "flushed") for c in [*self.chunks.get(), *new]]
-                self.chunks.clear()
-                new = []
-            (out.append((int(r.seq), int(r.n_bytes), "forwarded")) if over else new.append((int(r.seq), int(r.n_bytes))))
-        if ended and not over:
-            out += [(*c, "kept") for c in [*self.chunks.get(), *new]]
-        if ended:
-            self.chunks.clear()
-            self.total.clear()
-        else:
-            if new:
-                self.chunks.appendList(new)
-            self.total.update((held, over))
+        new = pd.concat(list(rows)).sort_values("seq")
+        stored = {k[0] for k in self.open.keys()}
+        runs, out = {}, []
+        for run, seq, n_bytes, last in zip(*(new[c].tolist() for c in ("run_id", "seq", "n_bytes", "last"))):
+            run = run if isinstance(run, str) else None
+            if run not in runs:
+                runs[run] = self._stored(run) if run in stored else [0, False, [], False]
+            r = runs[run]
+            r[0] += int(n_bytes)
+            r[3] |= bool(last)
+            if not r[1] and r[0] > self.limit:
+                r[1] = True
+                out += [(run, *c, "flushed") for c in r[2]]
+                r[2] = []
+            if r[1]:
+                out.append((run, int(seq), int(n_bytes), "forwarded"))
+            else:
+                r[2].append((int(seq), int(n_bytes)))
+        for run, (held, over, chunks, ended) in runs.items():
+            if not ended:
+                self.open.updateValue((run,), (held, over, np.array(chunks, np.int64).tobytes()))
+                continue
+            out += [(run, *c, "kept") for c in chunks]
+            if run in stored:
+                self.open.removeKey((run,))
         if out:
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=["run_id", "seq", "n_bytes", "fate"])
+            yield pd.DataFrame(out, columns=["run_id", "seq", "n_bytes", "fate"])
+
+    def _stored(self, run: str | None) -> list:
+        held, over, chunks = self.open.getValue((run,))
+        return [held, over, [tuple(c) for c in np.frombuffer(bytes(chunks), np.int64).reshape(-1, 2).tolist()], False]
 
     def close(self) -> None:
         pass
 
 
-def bounded_stream(chunks: DataFrame, limit: int) -> DataFrame:
+def bounded_stream(chunks: DataFrame, limit: int, groups: int = GROUPS) -> DataFrame:
     """``route.bounded`` over a stream of ``chunks(run_id, seq, n_bytes, last)``. Chunks of a run come in order of ``seq`` from batch to batch, and in any order within
-    one; ``last`` marks the end of a run, after which its state is gone. A forwarded chunk leaves with the batch it came in."""
-    return chunks.select("run_id", "seq", "n_bytes", "last").groupBy("run_id").transformWithStateInPandas(_Held(limit), "run_id string, seq long, n_bytes long, fate string", "Append", "None")
+    one; ``last`` marks the end of a run, after which its state is gone. A forwarded chunk leaves with the batch it came in. Runs are dealt to ``groups`` by hash; a
+    group's chunks of one batch meet in one call."""
+    x = chunks.select(F.pmod(F.xxhash64("run_id"), F.lit(groups)).alias("part"), "run_id", "seq", "n_bytes", "last")
+    return x.groupBy("part").transformWithStateInPandas(_Held(limit), "run_id string, seq long, n_bytes long, fate string", "Append", "None")
 
 
 class _Goals(StatefulProcessor):

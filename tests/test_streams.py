@@ -123,3 +123,34 @@ def test_the_setting_of_the_session_stays(spark, tmp_path, before):
     drained(keyed.goal_revision_stream(feed.stream()), tmp_path, timed=True)
     assert spark.conf.get(name, None) == now
     spark.conf.set(name, held) if held else spark.conf.unset(name)
+
+
+def test_short_runs_cost_no_calls_of_the_store():
+    import pandas as pd
+
+    class Open(dict):
+        calls = 0
+
+        def __getattr__(self, name):
+            def call(key, value=None):
+                self.calls += 1
+                return {"getValue": self.get, "removeKey": self.pop}[name](key) if value is None else self.update({key: value})
+
+            return call
+
+    class Handle:
+        def __init__(self):
+            self.open = Open()
+
+        def getMapState(self, *_):
+            return self.open
+
+    handle, held = Handle(), keyed._Held(100)
+    held.init(handle)
+    rows = [(f"r{i}", i * 10 + k, 40, k == i % 4) for i in range(500) for k in range(i % 4 + 1)]
+    batch = lambda rows: pd.DataFrame(rows, columns=["run_id", "seq", "n_bytes", "last"])
+    got = pd.concat(held.handleInputRows((0,), iter([batch(rows)]), None))
+    assert handle.open.calls == 0 and len(got) == len(rows) and set(got["fate"]) == {"kept", "flushed", "forwarded"}
+    assert not list(held.handleInputRows((0,), iter([batch([("a", 1, 60, False), (None, 1, 5, False)])]), None)) and handle.open.calls == 2
+    got = pd.concat(held.handleInputRows((0,), iter([batch([(None, 2, 5, True), ("a", 2, 60, True)])]), None))
+    assert set(got.itertuples(index=False, name=None)) == {("a", 1, 60, "flushed"), ("a", 2, 60, "forwarded"), (None, 1, 5, "kept"), (None, 2, 5, "kept")} and not handle.open
