@@ -16,7 +16,7 @@ from pyspark.sql.utils import AnalysisException
 
 from siftspark.functions import text as X
 from siftspark.operators import pack, rank, reduce, route
-from siftspark.store import materialize, shared_dir
+from siftspark.store import dealt, materialize, shared_dir
 from siftspark.streaming.keyed import settled, started
 
 EVENTS = "event_id string, session_id string, tool string, output string, exit_code int"
@@ -27,10 +27,12 @@ DECISIONS = "cache_key string, schema_version int, model string, exists_p double
 def deliver(events: DataFrame, budget: int = 64 << 10, kind: str = "auto") -> DataFrame:
     """What each hook event (``EVENTS``) delivers (``DELIVERED``): its output is captured, planned, packed and rendered; the rendered pack takes its place where it
     stands. ``output`` is null where nothing is replaced. An event whose output isn't to be replaced is answered with why. Ids name an event once."""
-    judged = route.tool_output(events).withColumn("raw_bytes", F.octet_length("output").cast("long"))
+    judged = materialize(route.tool_output(events).withColumn("raw_bytes", F.octet_length("output").cast("long")), "judged")  # read by its lines, their count, views and the answer
     captured = judged.where("skip is null").select(F.col("event_id").alias("capture_id"), F.lit("stdout").alias("stream"), F.col("output").alias("text"))
-    planned = reduce.tiny_gaps(reduce.plan(X.explode_lines(captured), kind))
+    lines = X.explode_lines(captured)
+    planned = reduce.tiny_gaps(reduce.plan(dealt(lines, lines), kind))
     planned = materialize(planned.select("capture_id", "stream", "line_no", "byte_start", "byte_end", "line", "reason", "plan_error"), "planned")  # read by blocks, omissions and errors
+    planned = dealt(planned, planned)
     gone = pack.omissions(planned).groupBy("capture_id").agg(F.count("*").alias("n_omissions"))
     shown = pack.views(planned, judged.select(F.col("event_id").alias("capture_id"), "exit_code"))
     errors = pack.plan_errors(planned)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siftspark.functions import text as X
 from siftspark.operators import pack, rank, recall, reduce, review
@@ -267,3 +268,19 @@ def test_plans_read_their_lines_once(spark):
     for kind, goal in (("output", None), ("output", "goal"), ("auto", "goal"), ("search", "goal"), ("diff", None)):
         text = reduce.plan(lines, kind, goal)._jdf.queryExecution().executedPlan().toString()
         assert text.count("Scan parquet") <= 4 and text.count("Exchange hashpartitioning") <= 6, (kind, goal)
+
+
+def test_lines_are_dealt_to_more_tasks_as_they_grow(spark):
+    from siftspark.store import LINES, dealt
+
+    few, many = spark.range(10).selectExpr("'a' capture_id", "id"), spark.range(3 * LINES + 1).selectExpr("cast(id div 1000 as string) capture_id", "id")
+    assert dealt(few, few).rdd.getNumPartitions() == 1 and dealt(many, many).rdd.getNumPartitions() == 4
+    held = dealt(many, many).groupBy(F.spark_partition_id().alias("p"), "capture_id").count()
+    assert held.count() == 3 * LINES // 1000 + 1  # a capture is in one task
+
+
+def test_only_the_farthest_of_ranges_with_one_start_counts(spark):
+    lines = spark.createDataFrame([("a", "stdout", i, i * 10, i * 10 + 10) for i in range(6)] + [("b", "stdout", 0, 0, 10)], "capture_id string, stream string, line_no long, byte_start long, byte_end long")
+    ranges = spark.createDataFrame([("a", 10, 15), ("a", 10, 30), ("a", 10, 12), ("a", 10, None), ("a", 40, 49)], "capture_id string, start long, end long").withColumn("stream", F.lit("stdout"))
+    got = {(r["capture_id"], r["line_no"]): (r["chosen"], r["asked"]) for r in reduce.with_selection(lines, ranges).collect()}
+    assert got == {("a", i): (i in (1, 2), True) for i in range(6)} | {("b", 0): (False, False)}
