@@ -284,3 +284,14 @@ def test_only_the_farthest_of_ranges_with_one_start_counts(spark):
     ranges = spark.createDataFrame([("a", 10, 15), ("a", 10, 30), ("a", 10, 12), ("a", 10, None), ("a", 40, 49)], "capture_id string, start long, end long").withColumn("stream", F.lit("stdout"))
     got = {(r["capture_id"], r["line_no"]): (r["chosen"], r["asked"]) for r in reduce.with_selection(lines, ranges).collect()}
     assert got == {("a", i): (i in (1, 2), True) for i in range(6)} | {("b", 0): (False, False)}
+
+
+def test_boilerplate_and_hits_by_one_pattern(spark):
+    from siftspark.functions import classify as C
+
+    lines = {"platform -- Python \n": True, "collected items\n": True, "\u00a0 Finished `dev` x target(s) in 1s\n": True, " running 2 tests\n": False, "running 2 tests\r\n": True, "x rootdir: a": False, "Ran all test suites.!": False, "\u2139 todo 0\n": True, "=" * 19: False, "-" * 20: True}
+    got = spark.createDataFrame([(k,) for k in lines], "line string").select("line", C.is_boilerplate(F.col("line")).alias("b")).collect()
+    assert {r["line"]: r["b"] for r in got} == lines
+    hits = {"a:1:b:2:c": None, "a:1:2:c": None, "a:1:b:2": "b:2", "a:1::": ":", ":5:y": None, "a:0:x": None, "C:\\b.rs:7:c\n": "c", "a:12\r:x:3:y": None}
+    got = spark.createDataFrame([(k,) for k in hits], "line string").select("line", X.hit(F.col("line"))["content"].alias("c")).collect()
+    assert {r["line"]: r["c"] for r in got} == hits
