@@ -295,3 +295,23 @@ def test_boilerplate_and_hits_by_one_pattern(spark):
     hits = {"a:1:b:2:c": None, "a:1:2:c": None, "a:1:b:2": "b:2", "a:1::": ":", ":5:y": None, "a:0:x": None, "C:\\b.rs:7:c\n": "c", "a:12\r:x:3:y": None}
     got = spark.createDataFrame([(k,) for k in hits], "line string").select("line", X.hit(F.col("line"))["content"].alias("c")).collect()
     assert {r["line"]: r["c"] for r in got} == hits
+
+
+def test_templates_and_facts_are_compiled(spark):
+    """Templates, facts and frames by patterns: no lambda, no lower-casing anew for each word. Runs over parts of a stream share the sort of their ordered window."""
+    from siftspark.functions import classify as C
+
+    lines = {"deadbeef01 took 15ms in 0x1f": "# took #ms in #x#f", "abcdefg 1234567z a1b2c3d.": "abcdefg #z #.", "é1234567é_7f\r\n": "é#é_#f", "zabc1234 ABCDEF0-ABCDEF": "zabc# #-ABCDEF", "": ""}
+    x = spark.createDataFrame([(t,) for t in lines], "line string")
+    one = x.select("line", X.template(F.col("line")).alias("t"), C.fact_kind(F.col("line")).alias("f"))
+    assert {r["line"]: r["t"] for r in one.collect()} == lines
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in text and "translate" not in text
+    said = {"a WARNING": "distinct_warning", "Warn: x": "distinct_warning", "no warn: here": None, "AssertionError": "assertion", "fatal": "failure_identity", "a --> b": "diagnostic_location", "warnıng ſatal": None}
+    y = spark.createDataFrame([(t,) for t in said], "line string")
+    assert {r["line"]: r["f"] for r in y.select("line", C.fact_kind(F.col("line")).alias("f")).collect()} == said
+    frames = {"  at node:x": True, ' File "<frozen x"': True, "at home": False, "look at node:x": False, " at java.x": True}
+    z = spark.createDataFrame([(t,) for t in frames], "line string")
+    assert {r["line"]: r["f"] for r in z.select("line", C.is_runtime_frame(F.col("line")).alias("f")).collect()} == frames
+    runs = reduce.identical_runs(reduce.prepare(X.explode_lines(captures(spark, "a\na\na\n"))))
+    assert runs._jdf.queryExecution().executedPlan().toString().count("Sort [") == 2
