@@ -278,12 +278,13 @@ class Codec:
         #: stretches solved since the last turn, and those of the turn before, which are forgotten at the next one
         self.solved: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.trie: dict = {}
+        #: nodes are [arcs, piece or None]
+        self.trie: list = [{}, None]
         for piece, i in machines.number.items():
             node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = i
         self._cut = machines.bridges
         self.normalise = Normaliser(machines.rewrites)
 
@@ -310,47 +311,42 @@ class Codec:
 
     def _settled(self, s: str) -> list[tuple[int, int, int]]:
         """With a grammar state for each last piece: states are settled by weight (none is below 0), of equal ones the farthest first, so
-        that most of the composition is never built. A state is ``position << 21 | piece + 2``."""
-        n, known, weigh, fallback = len(s), self.grammar.pairs.get, self.grammar.weigh, self.m.fallback
-        heap, back, done = [(0.0, 0, 1)], {}, set()
-        while heap:
-            weight, minus, state = heappop(heap)
-            key = -minus << 21 | state
-            if key in done:
-                continue
-            done.add(key)
-            if minus == -n:
-                break
-            row = state << 20
-            for end, piece in self._arcs(s, -minus):
-                more = known(row | (piece + 2))
-                if more is None:
-                    more = weigh(state - 2, piece)
-                if more == _INFINITE:
+        that most of the composition is never built. The grammar, whose arcs weigh nothing or are infinite, is asked about an arc when it is taken, not when it
+        is found, as most are never taken. A state is ``position << 21 | piece + 2``."""
+        n, known, weigh, fallback, places = len(s), self.grammar.pairs.get, self.grammar.weigh, self.m.fallback, (1 << 21) - 1
+        heap, back, at, key, weight = [], {}, 0, 1, 0.0
+        while at < n:
+            for end, piece in self._arcs(s, at):
+                heappush(heap, (weight if piece >= 0 else weight + fallback, -end, piece + 2, key))
+            while heap:
+                weight, minus, state, before = heappop(heap)
+                key = -minus << 21 | state
+                if key in back:
                     continue
-                w, to = weight + more if piece >= 0 else weight + more + fallback, end << 21 | (piece + 2)
-                old = back.get(to)
-                if old is None or w < old[0]:
-                    back[to] = (w, key, piece)
-                    heappush(heap, (w, -end, piece + 2))
-        else:
-            raise ValueError(f"no path through {s!r}")
+                last = before & places
+                more = known(last << 20 | state)
+                if (weigh(last - 2, state - 2) if more is None else more) == 0:
+                    break
+            else:
+                raise ValueError(f"no path through {s!r}")
+            back[key] = before
+            at = -minus
         path = []
         while key != 1:
-            _, before, piece = back[key]
-            path.append((before >> 21, key >> 21, piece))
+            before = back[key]
+            path.append((before >> 21, key >> 21, (key & places) - 2))
             key = before
         return path[::-1]
 
     def _arcs(self, s: str, at: int) -> list[tuple[int, int]]:
         """Lexicon arcs from a position, the shortest first: (end, piece), piece -2 for the byte fallback of one character."""
-        node, found, end = self.trie, [], at
+        arcs, found, end = self.trie[0], [], at
         for c in s[at : at + self.m.longest]:
-            node = node.get(c)
+            node = arcs.get(c)
             if node is None:
                 break
             end += 1
-            piece = node.get("")
+            arcs, piece = node
             if piece is not None:
                 found.append((end, piece))
         if not found or found[0][0] > at + 1:

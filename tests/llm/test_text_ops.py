@@ -423,3 +423,16 @@ def test_pseudo_likelihood_tells_rare_words_apart(spark, frequent):
         want += sum(np.log(times.get(x, 1) / (totals[bucket(x)] + 1)) for x in filter(israre, text.split()))
         assert r["n_tokens"] == n and abs(r["log_likelihood"] - want) < 1e-3 and abs(r["mean_log_likelihood"] - want / max(n, 1)) < 1e-4
     assert len({r["log_likelihood"] for r in got if r["doc_id"] == 0}) == 1
+
+
+def test_the_grammar_is_asked_about_arcs_that_are_taken(monkeypatch):
+    """The least path stays the one of the public library, and few of the arcs that the lexicon finds meet the grammar."""
+    from sentencepiece import SentencePieceProcessor
+
+    c, asked = piece_codec.Codec(piece_codec.load()), []
+    monkeypatch.setattr(c.grammar, "weigh", lambda a, b, f=c.grammar.weigh: asked.append((a, b)) or f(a, b))
+    words = ["internationalization", "untelligence", "Eraneaeser", "ofthatingon", "x\U0001F600y", "e\u0301nverlichzu"]
+    found = sum(len(c._arcs(s, at)) for s in words for at in range(len(s)))
+    public = SentencePieceProcessor(model_file=piece_codec.MODEL)
+    assert [c.encode(w) for w in words] == [public.encode(w) for w in words]
+    assert 3 * len(asked) < found
