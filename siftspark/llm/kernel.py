@@ -76,17 +76,24 @@ def bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: bytes, fold: bool = False) -> np.ndarray:
     """One hash a word, in order. ``fold`` takes A-Z as a-z, and no other letter."""
-    code, out = (_FOLD if fold else _CODE), []
+    return placed_hashes(data, fold)[1]
+
+
+def placed_hashes(data: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each word, and its hash."""
+    code, at, starts, out = (_FOLD if fold else _CODE), 0, [], []
     for piece in _pieces(data):
         raw = np.frombuffer(piece, np.uint8)
         start, end = bounds(raw)
+        at += len(raw)
         if not len(start):
             continue
+        starts.append(start + (at - len(raw)))
         _grow(len(raw) + 1)
         run = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(code[raw] * _powers[: len(raw)], out=run[1:])
         out.append(mix((run[end] - run[start]) * _inverse[start] + (end - start).astype(np.uint64)))
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+    return (np.concatenate(starts), np.concatenate(out)) if out else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64))
 
 
 _STEP = (_CODE[:64] * np.uint64(2) + np.uint64(1)).astype(np.uint64)

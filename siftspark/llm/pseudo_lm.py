@@ -79,7 +79,43 @@ def _clean(text: str | None) -> bytes:
 def hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, end to end, and the number of words of each text."""
     clean = [_clean(t) for t in texts]
-    return kernel.word_hashes(b" ".join(clean)), np.array([len(x.split()) for x in clean], dtype=np.int64)
+    starts, hashes = kernel.placed_hashes(b" ".join(clean))
+    ends = np.cumsum([len(x) + 1 for x in clean], dtype=np.int64)
+    return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+@dataclass(frozen=True)
+class Slots:
+    """Sorted hashes by their leading bits: where the names of a slot begin, and whether it has several; no slot has more than ``most``."""
+
+    first: np.ndarray
+    several: np.ndarray
+    shift: np.uint64
+    most: int
+
+
+def slots_of(names: np.ndarray) -> Slots:
+    bits = max(16, len(names).bit_length() + 3)
+    shift = np.uint64(64 - bits)
+    held = np.bincount((names >> shift).astype(np.int64), minlength=1 << bits)
+    first = np.minimum(np.cumsum(held) - held, max(0, len(names) - 1)).astype(np.int32)
+    return Slots(first, held > 1, shift, int(held.max()))
+
+
+def _found(words: np.ndarray, names: np.ndarray, slots: Slots | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are among the sorted ``names``, and the places there of those that are. ``slots``: of the names, where many calls share them."""
+    if not len(names):
+        return np.zeros(len(words), bool), np.empty(0, np.int64)
+    slots = slots_of(names) if slots is None else slots
+    slot = (words >> slots.shift).astype(np.int64)
+    at = slots.first[slot].astype(np.int64)
+    known = names[at] == words
+    rest = np.flatnonzero(~known & slots.several[slot])
+    for _ in range(slots.most - 1):
+        at[rest] = np.minimum(at[rest] + 1, len(names) - 1)
+        known[rest] = names[at[rest]] == words[rest]
+        rest = rest[~known[rest]]
+    return known, at[known]
 
 
 def ids_of(text: str | None, names: np.ndarray, order: np.ndarray, net: Net) -> np.ndarray:
@@ -87,12 +123,11 @@ def ids_of(text: str | None, names: np.ndarray, order: np.ndarray, net: Net) ->
     return _ids(kernel.word_hashes(_clean(text)), names, order, net)
 
 
-def _ids(h: np.ndarray, names: np.ndarray, order: np.ndarray, net: Net) -> np.ndarray:
-    rare = net.tokens - net.rare + (h % np.uint64(net.rare)).astype(np.int64)
-    if not len(names):
-        return rare
-    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-    return np.where(names[at] == h, order[at], rare)
+def _ids(h: np.ndarray, names: np.ndarray, order: np.ndarray, net: Net, slots: Slots | None = None) -> np.ndarray:
+    out = net.tokens - net.rare + (h % np.uint64(net.rare)).astype(np.int64)
+    known, at = _found(h, names, slots)
+    out[known] = order[at]
+    return out
 
 
 def _sides(net: Net) -> np.ndarray:
@@ -114,7 +149,8 @@ def log_probs(context: np.ndarray, target: np.ndarray, w: Weights, net: Net, tab
     """log p(target | both sides)."""
     tables = _tables(w) if tables is None else tables
     n, width = len(target), len(w["b"])
-    cls, mem = np.divmod(target, net.members)
+    cls = target // net.members
+    mem = target - cls * net.members
     by = np.argsort(cls.astype(np.uint16), kind="stable")
     cls, mem = cls[by], mem[by]
     sides_of = context.T.take(by, axis=1)
@@ -131,9 +167,9 @@ def log_probs(context: np.ndarray, target: np.ndarray, w: Weights, net: Net, tab
     second = np.empty((n, net.members), h.dtype)
     for k in range(net.classes):
         if cut[k + 1] > cut[k]:
-            np.matmul(h[cut[k] : cut[k + 1]], m[k], out=second[cut[k] : cut[k + 1]])
+            np.dot(h[cut[k] : cut[k + 1]], m[k], out=second[cut[k] : cut[k + 1]])
     rows = np.arange(n)
-    own = first[rows, cls] + second[rows, mem]
+    own = first.ravel()[rows * net.classes + cls] + second.ravel()[rows * net.members + mem]
     out = np.empty(n, h.dtype)
     out[by] = own - _log_total(first) - _log_total(second)
     return out
@@ -147,68 +183,75 @@ def _log_total(x: np.ndarray) -> np.ndarray:
     return most + np.log(np.exp(x - most[:, None]).sum(axis=1))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Of rows, in place; logits are cut at 80, so that no row's largest has to be sought."""
-    np.exp(np.minimum(x, 80, out=x), out=x)
-    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+def _softmax(x: np.ndarray, rows: int) -> np.ndarray:
+    """Of rows, in place, each divided by ``rows``; logits are cut at 80, so that no row's largest has to be sought."""
+    if len(x) and x.max() > 80:
+        np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x *= np.repeat(1 / (x @ np.full(x.shape[1], rows, x.dtype)), x.shape[1]).reshape(x.shape)
     return x
 
 
+def _crossed(a: np.ndarray, b: np.ndarray, block: int = 256) -> np.ndarray:
+    """``a.T @ b`` of tall matrices, by blocks of rows that stay near the processor."""
+    k = len(a) // block * block
+    out = a[k:].T @ b[k:]
+    if k:
+        out += np.matmul(a[:k].reshape(-1, block, a.shape[1]).transpose(0, 2, 1), b[:k].reshape(-1, block, b.shape[1])).sum(axis=0)
+    return out
+
+
 def gradients(context: np.ndarray, target: np.ndarray, w: Weights, net: Net) -> Weights:
     """Of the mean negative log-probability of a batch. Biases ride along as a last row of their matrix, read by a column of ones."""
-    n, sides, width, vocab = len(target), context.shape[1], len(w["b"]), len(w["e"])
+    n, sides, width, (vocab, dim) = len(target), context.shape[1], len(w["b"]), w["e"].shape
     kind = w["e"].dtype
-    tables = np.matmul(w["e"][None], w["p"])
-    tables[0] += w["b"]
-    cls, mem = np.divmod(target, net.members)
+    cls = target // net.members
+    mem = target - cls * net.members
     by = np.argsort(cls.astype(np.uint16), kind="stable")  # rows of a class lie together
     cls, mem = cls[by], mem[by]
-    sides_of = context.T.take(by, axis=1).astype(np.intp)
-    z = tables[0].take(sides_of[0], axis=0)
-    for p in range(1, sides):
-        z += tables[p].take(sides_of[p], axis=0)
+    tokens = context.take(by, axis=0).astype(np.intp).ravel()
+    e, p = w["e"].take(tokens, axis=0).reshape(n, sides * dim), w["p"].reshape(sides * dim, width)
+    z = e @ p
+    z += w["b"]
     np.tanh(z, out=z)
     h = np.ones((n, width + 1), kind)
     h[:, :width] = z
     cut = np.searchsorted(cls, np.arange(net.classes + 1)).tolist()
-    rows = np.arange(n)
-    d = _softmax(h @ np.vstack([w["c"], w["cb"]]))
-    d[rows, cls] -= 1
-    dh = d @ w["c"].T
+    rows, one = np.arange(n), kind.type(1 / n)
+    d = _softmax(h @ np.vstack([w["c"], w["cb"]]), n)
+    d.ravel()[rows * net.classes + cls] -= one
     m = np.concatenate([w["m"], w["mb"][:, None]], axis=1)
-    filled = [(k, slice(cut[k], cut[k + 1])) for k in range(net.classes) if cut[k + 1] > cut[k]]
-    q = np.empty((n, net.members), kind)
-    for k, at in filled:
-        np.matmul(h[at], m[k], out=q[at])
-    _softmax(q)
-    q[rows, mem] -= 1
-    first, second, back = h.T @ d / n, np.zeros_like(m), np.empty((n, width), kind)
-    for k, at in filled:
-        np.matmul(h[at].T, q[at], out=second[k])
-        np.matmul(q[at], w["m"][k].T, out=back[at])
-    second /= n
-    dh += back
+    q, back, second = np.empty((n, net.members), kind), np.empty((n, width), kind), np.zeros_like(m)
+    filled = [(k, h[i:j], q[i:j], back[i:j]) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
+    for k, own, logits, _ in filled:
+        np.dot(own, m[k], out=logits)
+    _softmax(q, n)
+    q.ravel()[rows * net.members + mem] -= one
+    upward = w["m"].transpose(0, 2, 1).copy()
+    for k, own, off, onto in filled:
+        np.dot(own.T, off, out=second[k])
+        np.dot(off, upward[k], out=onto)
+    back += d @ w["c"].T
+    first = _crossed(h, d)
     z *= z
     np.subtract(1, z, out=z)
-    z *= dh
-    z /= n
-    # the gradient of a table's rows: sums by token, of all columns at once
-    dz, columns = z.astype(np.float64).ravel(), np.arange(width)
-    by_token = np.empty((sides, vocab, width), kind)
-    for p in range(sides):
-        place = (sides_of[p] * width)[:, None] + columns
-        by_token[p] = np.bincount(place.ravel(), dz, minlength=vocab * width).reshape(vocab, width)
-    return {
-        "c": first[:width], "cb": first[width], "m": second[:, :width], "mb": second[:, width], "b": by_token[0].sum(axis=0),
-        "p": np.matmul(w["e"].T[None], by_token), "e": np.matmul(by_token, w["p"].transpose(0, 2, 1)).sum(axis=0),
-    }
+    z *= back
+    # the gradient of each column of the embeddings: its sums by token, of all sides at once
+    columns, by_token = (z @ p.T).reshape(n * sides, dim).T.astype(np.float64, order="C"), np.empty((dim, vocab), kind)
+    for k in range(dim):
+        by_token[k] = np.bincount(tokens, columns[k], minlength=vocab)
+    return {"c": first[:width], "cb": first[width], "m": second[:, :width], "mb": second[:, width], "b": np.ones(n, kind) @ z, "p": _crossed(e, z).reshape(w["p"].shape), "e": by_token.T}
 
 
 def learn(context: np.ndarray, target: np.ndarray, w: Weights, square: Weights, net: Net) -> None:
     """One Adagrad step on a batch."""
     for k, g in gradients(context, target, w, net).items():
         square[k] += g * g
-        w[k] -= net.rate * g / (np.sqrt(square[k]) + 1e-4)
+        step = np.sqrt(square[k])
+        step += 1e-4
+        np.divide(g, step, out=step)
+        step *= net.rate
+        w[k] -= step
 
 
 def learn_all(texts: list[np.ndarray], w: Weights, net: Net, seed: int) -> None:
@@ -234,15 +277,6 @@ def _distinct(words: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarr
     return words[head], np.diff(head, append=len(words)), np.searchsorted(text[head], np.arange(1, texts))
 
 
-def _found(words: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which words are among the sorted ``names``, and the places there of those that are."""
-    if not len(names):
-        return np.zeros(len(words), bool), np.empty(0, np.int64)
-    at = np.minimum(np.searchsorted(names, words), len(names) - 1)
-    known = names[at] == words
-    return known, at[known]
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, times): hashes of all words of all texts, and how often they occur."""
 
@@ -334,11 +368,12 @@ def tokens_of(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], buckets: in
     kind = "<u2" if net.tokens < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = slots_of(vocab[0])
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 hashes, lens = hashes_of(part.column(1).to_pylist())
-                raw = [x.tobytes() for x in np.split(_ids(hashes, *vocab, net).astype(kind), np.cumsum(lens)[:-1])]
+                raw = [x.tobytes() for x in np.split(_ids(hashes, *vocab, net, slots).astype(kind), np.cumsum(lens)[:-1])]
                 out = pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["key", "ids"])
                 yield out.filter(pa.array([bool(x) for x in raw]))
 
@@ -398,16 +433,17 @@ def score(docs: DataFrame, vocab: tuple[np.ndarray, np.ndarray], w: Weights, net
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, sides = _tables(w), _sides(net)
+        slots, slots_often = slots_of(vocab[0]), slots_of(often)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             n, total, words, times, sums = [], [], [], [], []
             for i in range(0, batch.num_rows, 256):
                 hashes, lens = hashes_of(batch.column(batch.schema.get_field_index(text)).slice(i, 256).to_pylist())
-                ids, cuts = _ids(hashes, *vocab, net), np.cumsum(lens)
+                ids, cuts = _ids(hashes, *vocab, net, slots), np.cumsum(lens)
                 if held:
                     of = np.repeat(np.arange(len(lens)), lens)
                     at = np.flatnonzero(ids >= least)
-                    known, found = _found(hashes[at], often)
+                    known, found = _found(hashes[at], often, slots_often)
                     add = np.zeros(len(ids) + 1, np.int64)
                     add[at[known] + 1] = nano[found]
                     sums += np.diff(np.cumsum(add)[cuts], prepend=0).tolist()

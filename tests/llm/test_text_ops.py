@@ -390,6 +390,38 @@ def test_pseudo_likelihood_gradients():
             assert abs((up - down) / 2e-4 - g[k][i]) < 1e-6, k
 
 
+def test_pseudo_likelihood_sums_the_columns_of_embeddings_by_token(monkeypatch):
+    """Not the wider hidden layer once for each side: what is added by token is most of a step."""
+    net, rng, added = pseudo_lm.Net(), np.random.default_rng(8), []
+    monkeypatch.setattr(np, "bincount", lambda x, weights=None, minlength=0, f=np.bincount: added.append(len(x)) or f(x, weights, minlength))
+    for n in (700, 1024, 3):  # with and without a rest of a block of rows
+        added.clear()
+        context, target, w = rng.integers(0, net.tokens + 1, (n, 4)), rng.integers(0, net.tokens, n), pseudo_lm.start(net)
+        g = pseudo_lm.gradients(context, target, w, net)
+        assert sum(added) == n * 4 * net.dim
+        halves = [pseudo_lm.gradients(context[i::2], target[i::2], w, net) for i in (0, 1)]
+        sizes = [len(target[i::2]) / n for i in (0, 1)]
+        assert all(np.allclose(g[k], sum(x[k] * y for x, y in zip(halves, sizes, strict=True)), atol=1e-5) for k in w)
+
+
+@pytest.mark.parametrize("size", [0, 1, 6, 1000, 70_000])
+def test_words_are_found_by_their_leading_bits(size):
+    rng = np.random.default_rng(size)
+    crowded = np.array([0, 1, 2, 3, 2**64 - 2, 2**64 - 1], np.uint64)[:size]  # several names of one slot, at both ends
+    names = np.unique(np.concatenate([crowded, rng.integers(0, 2**64 - 1, size, dtype=np.uint64)]))
+    asked = np.concatenate([names, np.array([4, 5, 2**64 - 3], np.uint64), rng.integers(0, 2**64 - 1, 2000, dtype=np.uint64)])
+    known, at = pseudo_lm._found(asked, names, pseudo_lm.slots_of(names))
+    assert (known == np.isin(asked, names)).all() and (names[at] == asked[known]).all() if size else not known.any()
+
+
+def test_words_of_texts_are_counted_where_they_begin():
+    texts = [*HARD, None, "", "!!!", "A, b", None]
+    hashes, lens = pseudo_lm.hashes_of(texts)
+    assert lens.tolist() == [len(pseudo_lm._clean(t).split()) for t in texts] and len(hashes) == lens.sum()
+    starts, same = kernel.placed_hashes(" \u00fc b\t\n cc".encode())
+    assert starts.tolist() == [1, 4, 8] and len(same) == 3
+
+
 def test_pseudo_likelihood_does_not_depend_on_the_split_of_files(spark):
     rng = np.random.default_rng(7)
     docs = spark.createDataFrame([(i, " ".join("abcdefgh"[j] * 2 for j in rng.integers(0, 8, 50))) for i in range(80)] + [(3, "aa bb"), (3, "aa bb")], "doc_id long, text string")
