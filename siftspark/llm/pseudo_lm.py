@@ -142,7 +142,10 @@ def contexts(ids: np.ndarray, at: np.ndarray, net: Net) -> np.ndarray:
 
 
 def _tables(w: Weights) -> np.ndarray:
-    return np.einsum("td,pdh->pth", w["e"], w["p"])
+    """What each token adds to the hidden layer at each side; the bias rides along with the first."""
+    out = np.matmul(w["e"][None], w["p"])
+    out[0] += w["b"]
+    return out
 
 
 def log_probs(context: np.ndarray, target: np.ndarray, w: Weights, net: Net, tables: np.ndarray | None = None) -> np.ndarray:
@@ -157,7 +160,6 @@ def log_probs(context: np.ndarray, target: np.ndarray, w: Weights, net: Net, tab
     z = tables[0].take(sides_of[0], axis=0)
     for p in range(1, len(sides_of)):
         z += tables[p].take(sides_of[p], axis=0)
-    z += w["b"]
     np.tanh(z, out=z)
     h = np.ones((n, width + 1), z.dtype)
     h[:, :width] = z
@@ -201,6 +203,17 @@ def _crossed(a: np.ndarray, b: np.ndarray, block: int = 256) -> np.ndarray:
     return out
 
 
+def _sums_by(tokens: np.ndarray, rows: np.ndarray, vocab: int) -> np.ndarray:
+    """The sum of the rows of each token. Two columns are added as one complex number."""
+    kind, width = rows.dtype, rows.shape[1]
+    pair = np.result_type(kind, np.complex64)
+    pairs = (np.pad(rows, ((0, 0), (0, 1))) if width % 2 else rows).view(pair)
+    out = np.zeros((pairs.shape[1], vocab), pair)
+    for k in range(len(out)):
+        np.add.at(out[k], tokens, pairs[:, k])
+    return out.T.copy().view(kind)[:, :width]
+
+
 def gradients(context: np.ndarray, target: np.ndarray, w: Weights, net: Net) -> Weights:
     """Of the mean negative log-probability of a batch. Biases ride along as a last row of their matrix, read by a column of ones."""
     n, sides, width, (vocab, dim) = len(target), context.shape[1], len(w["b"]), w["e"].shape
@@ -236,11 +249,8 @@ def gradients(context: np.ndarray, target: np.ndarray, w: Weights, net: Net) ->
     z *= z
     np.subtract(1, z, out=z)
     z *= back
-    # the gradient of each column of the embeddings: its sums by token, of all sides at once
-    columns, by_token = (z @ p.T).reshape(n * sides, dim).T.astype(np.float64, order="C"), np.empty((dim, vocab), kind)
-    for k in range(dim):
-        by_token[k] = np.bincount(tokens, columns[k], minlength=vocab)
-    return {"c": first[:width], "cb": first[width], "m": second[:, :width], "mb": second[:, width], "b": np.ones(n, kind) @ z, "p": _crossed(e, z).reshape(w["p"].shape), "e": by_token.T}
+    embedded = _sums_by(tokens, (z @ p.T).reshape(n * sides, dim), vocab)
+    return {"c": first[:width], "cb": first[width], "m": second[:, :width], "mb": second[:, width], "b": np.ones(n, kind) @ z, "p": _crossed(e, z).reshape(w["p"].shape), "e": embedded}
 
 
 def learn(context: np.ndarray, target: np.ndarray, w: Weights, square: Weights, net: Net) -> None:
@@ -277,15 +287,30 @@ def _distinct(words: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarr
     return words[head], np.diff(head, append=len(words)), np.searchsorted(text[head], np.arange(1, texts))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, times): hashes of all words of all texts, and how often they occur."""
+def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row a word of several counts of words."""
+    words, times = (np.concatenate(x) for x in zip(*counts, strict=True))
+    by = np.argsort(words)
+    words = words[by]
+    head = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.empty(0, np.int64)
+    total = np.add.reduceat(times[by], head) if len(head) else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(words[head].view(np.int64)), pa.array(total.astype(np.int64))], names=["word", "times"])
+
+
+def word_counts(docs: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """(word, times): hashes of all words of all texts, and how often they occur. A task sums up to about ``most`` counts of parts of its texts first, so the aggregate meets fewer rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 hashes, _ = hashes_of(batch.column(0).slice(i, 1000).to_pylist())
-                names, times = np.unique(hashes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(times.astype(np.int64))], names=["word", "times"])
+                held.append(np.unique(hashes, return_counts=True))
+                if sum(len(x) for x, _ in held) >= most:
+                    yield _summed(held)
+                    held.clear()
+        if held:
+            yield _summed(held)
 
     return docs.select("text").mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
 

@@ -391,19 +391,37 @@ def test_pseudo_likelihood_gradients():
 
 
 def test_pseudo_likelihood_sums_the_columns_of_embeddings_by_token(monkeypatch):
-    """Not the wider hidden layer once for each side: what is added by token is most of a step."""
+    """Not the wider hidden layer once for each side: what is added by token is the dearest part of a step."""
     net, rng, added = pseudo_lm.Net(), np.random.default_rng(8), []
-    monkeypatch.setattr(np, "bincount", lambda x, weights=None, minlength=0, f=np.bincount: added.append(len(x)) or f(x, weights, minlength))
+    monkeypatch.setattr(pseudo_lm, "_sums_by", lambda tokens, rows, vocab, f=pseudo_lm._sums_by: added.append(rows.shape) or f(tokens, rows, vocab))
     for n in (700, 1024, 3):  # with and without a rest of a block of rows
         added.clear()
         context, target, w = rng.integers(0, net.tokens + 1, (n, 4)), rng.integers(0, net.tokens, n), pseudo_lm.start(net)
         g = pseudo_lm.gradients(context, target, w, net)
-        assert sum(added) == n * 4 * net.dim
+        assert added == [(n * 4, net.dim)]
         halves = [pseudo_lm.gradients(context[i::2], target[i::2], w, net) for i in (0, 1)]
         sizes = [len(target[i::2]) / n for i in (0, 1)]
         assert all(np.allclose(g[k], sum(x[k] * y for x, y in zip(halves, sizes, strict=True)), atol=1e-5) for k in w)
 
 
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+@pytest.mark.parametrize("width", [1, 2, 3, 16])
+def test_rows_are_summed_by_token(kind, width):
+    rng = np.random.default_rng(width)
+    tokens, rows = rng.integers(0, 9, 400), rng.standard_normal((400, width)).astype(kind)
+    got = pseudo_lm._sums_by(tokens, rows, 11)
+    assert got.dtype == kind and np.allclose(got, [rows[tokens == t].sum(axis=0) for t in range(11)], atol=1e-4)
+
+
+def test_counts_of_words_do_not_depend_on_what_a_task_sums_first(spark):
+    docs = spark.createDataFrame([(f"a b{'cdefghi'[i % 7]} a",) for i in range(3500)], "text string").coalesce(1)
+    want = {int(kernel.word_hashes(f"b{k}".encode()).view(np.int64)[0]): 500 for k in "cdefghi"} | {int(kernel.word_hashes(b"a").view(np.int64)[0]): 7000}
+    for most in (1 << 19, 1, 9):
+        assert {r["word"]: r["times"] for r in pseudo_lm.word_counts(docs, most).collect()} == want
+    parts = [np.unique(np.array(x, np.uint64), return_counts=True) for x in ([5, 5, 2**63], [], [5, 7])]
+    assert pseudo_lm._summed(parts).to_pydict() == {"word": [5, 7, -(2**63)], "times": [3, 1, 1]} and pseudo_lm._summed(parts[1:2]).num_rows == 0
+
+
 @pytest.mark.parametrize("size", [0, 1, 6, 1000, 70_000])
 def test_words_are_found_by_their_leading_bits(size):
     rng = np.random.default_rng(size)
