@@ -107,6 +107,21 @@ def test_manifests_of_files(spark, tmp_path):
     assert {tuple(r) for r in recall.manifest_diff(base("a"), base("b")).collect()} == {("f0", "missing"), ("f2", "changed"), ("new", "extra")}
 
 
+def test_empty_files_are_in_a_manifest_by_the_names_of_others(spark, tmp_path):
+    import hashlib
+
+    for name in ("a b+c", "é%20", "plain"):
+        (tmp_path / f"{name}.full").write_bytes(b"x")
+        (tmp_path / f"{name}.none").write_bytes(b"")
+    got = {r["path"]: (r["sha256"], r["length"]) for r in adapters.read_files(spark, str(tmp_path)).collect()}
+    want = {b"x": (hashlib.sha256(b"x").hexdigest(), 1), b"": (hashlib.sha256(b"").hexdigest(), 0)}
+    full = [p for p in got if p.endswith(".full")]
+    assert len(full) == 3 and got == {p: want[b"x"] for p in full} | {p.replace(".full", ".none"): want[b""] for p in full}
+    (tmp_path / "only").mkdir()
+    (tmp_path / "only" / "e").write_bytes(b"")
+    assert [r["length"] for r in adapters.read_files(spark, str(tmp_path / "only")).collect()] == [0]
+
+
 def test_receipts_by_session_and_strictly(spark, tmp_path):
     import pytest
 
