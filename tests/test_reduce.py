@@ -315,3 +315,23 @@ def test_templates_and_facts_are_compiled(spark):
     assert {r["line"]: r["f"] for r in z.select("line", C.is_runtime_frame(F.col("line")).alias("f")).collect()} == frames
     runs = reduce.identical_runs(reduce.prepare(X.explode_lines(captures(spark, "a\na\na\n"))))
     assert runs._jdf.queryExecution().executedPlan().toString().count("Sort [") == 2
+
+
+def test_only_the_end_of_a_line_is_trimmed(spark):
+    from siftspark.functions import classify as C
+
+    x = spark.createDataFrame([("a\r\n",), ("running 3 tests\n\u2028",), ("a\rb\r\r\n",), ("\n",), ("t.py ..s [ 4%]\r\u0085",)], "line string")
+    got = x.select(X.trim_end(F.col("line")), C.is_boilerplate(F.col("line")), C.is_test_progress(F.col("line")))
+    assert [tuple(r) for r in got.collect()] == [("a", False, False), ("running 3 tests\n\u2028", False, False), ("a\rb", False, False), ("", False, False), ("t.py ..s [ 4%]\r\u0085", False, False)]
+
+
+def test_no_line_carries_the_tokens_of_a_fixed_goal(spark):
+    goal = "Why does ..orders::Case_35:: stall AT step_7, which step_7? -- src/p7.rs. About abc"
+    x = spark.createDataFrame([(goal,), ("a.b ./x/- ab_ __",), (None,), ("",)], "goal string").select(X.goal_tokens(F.col("goal")))
+    assert [r[0] for r in x.collect()] == [["orders::case_35", "stall", "step_7", "src/p7.rs"], [], [], []]
+    lines = spark.range(3).select(F.lit("c").alias("capture_id"), F.lit("stdout").alias("stream"), F.col("id").alias("line_no"), F.concat(F.lit("test a::b"), "id", F.lit(" ... ok\n")).alias("line"), F.lit(goal).alias("goal"))
+    chain = reduce.tiny_gaps(reduce.passing_tests(reduce.prepare(lines, "goal"))).select("line", "reason", "tokens", "goal_text")
+    sorted_ = chain._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]
+    assert "tokens" not in sorted_ and "goal_text" not in sorted_
+    lines = spark.createDataFrame([("c", "stdout", 0, "say STEP_7 now\n", ["step_7"]), ("c", "stdout", 1, "say\n", ["step_7"]), ("d", "stdout", 0, "step_7\n", None)], "capture_id string, stream string, line_no long, line string, telling array<string>")
+    assert [(r["capture_id"], r["line_no"], r["told"]) for r in reduce.with_told(lines).orderBy("capture_id", "line_no").collect()] == [("c", 0, True), ("c", 1, False), ("d", 0, False)]
