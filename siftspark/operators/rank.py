@@ -6,15 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftspark.store import materialize
+
 #: by level of need; fixed values
 CAPS, FLOORS = (1, 2, 4, 8, 16), (1, 1, 2, 4, 16)
 LEAST_EVIDENCE = 0.7
 
 
+def scored(sections: DataFrame) -> DataFrame:
+    """How many goal tokens each section holds: ``sections(capture_id, idx, text, tokens)``."""
+    return sections.withColumn("score", F.aggregate("tokens", F.lit(0), lambda acc, t: acc + F.contains(F.lower("text"), t).cast("int")))
+
+
+def standings(sections: DataFrame, most: int = 64) -> DataFrame:
+    """(capture_id, idx, score, rank, kept) of every section: its place in the order of ``prefilter``, and whether that keeps it. Sections are put in order over the cluster by ranges of
+    (capture, score, place); running counts go from one range to the next by a total for each range, so a capture may be as large as it likes: no task has it whole."""
+    narrow = materialize(scored(sections).select("capture_id", "idx", "score"), "scores")
+    placed = materialize(narrow.repartitionByRange("capture_id", F.desc("score"), "idx").withColumn("part", F.spark_partition_id()), "standings")
+    ranges = placed.groupBy(F.col("capture_id").alias("__of"), F.col("part").alias("__part")).agg(F.count("*").alias("all"))
+    ranges = ranges.withColumn("before", F.sum("all").over(W.partitionBy("__of").orderBy("__part")) - F.col("all")).drop("all")
+    x = placed.join(ranges, placed["capture_id"].eqNullSafe(ranges["__of"]) & (placed["part"] == ranges["__part"]))
+    rank = F.col("before") + F.row_number().over(W.partitionBy("capture_id", "part").orderBy(F.desc("score"), "idx"))
+    return x.withColumn("rank", rank).select("capture_id", "idx", F.col("score").cast("long").alias("score"), "rank", (F.col("rank") <= most).alias("kept"))
+
+
 def prefilter(sections: DataFrame, most: int = 64) -> DataFrame:
     """Per capture, the sections with most goal tokens, first come first: ``sections(capture_id, idx, text, tokens)``."""
-    score = F.aggregate("tokens", F.lit(0), lambda acc, t: acc + F.contains(F.lower("text"), t).cast("int"))
-    x = sections.withColumn("score", score)
+    x = scored(sections)
     return x.withColumn("r", F.row_number().over(W.partitionBy("capture_id").orderBy(F.desc("score"), "idx"))).where(F.col("r") <= most).drop("r")
 
 

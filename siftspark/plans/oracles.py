@@ -292,7 +292,7 @@ def oracle_sql() -> dict[str, str]:
         "paired_savings": f"with {RUNS} select r.scenario, r.arm, r.est_tokens, n.est_tokens base_value, cast(trunc(((n.est_tokens - r.est_tokens) * 10000) / greatest(n.est_tokens, 1)) as bigint) saving_bp from runs r join runs n on n.arm = 'native' and n.scenario = r.scenario where r.arm <> 'native' and r.verified and n.verified",
         "kept_candidates": f"with {CHOICES}, a as (select *, row_number() over w r, coalesce(sum(probability) over (w rows between unbounded preceding and 1 preceding), 0) b, count(*) over (partition by capture_id) n, cast(least(greatest(round(need), 0), 4) as int) lv from choice window w as (partition by capture_id order by probability desc, candidate_id)), k as (select *, count(*) filter (r <= least([1, 2, 4, 8, 16][lv + 1], n) and b < 0.55 + 0.1 * need) over (partition by capture_id) taken from a) select capture_id, candidate_id, r as rank from k where r <= greatest(taken, least([1, 1, 2, 4, 16][lv + 1], n), 1)",
         "answer_errors": f"with {CHOICES} select capture_id, case when not (min(probability) >= 0 and max(probability) <= 1) then 'probability_range' when not sum(probability) between 0.98 and 1.02 then 'probability_sum' end error from choice group by capture_id",
-        "prefiltered_documents": "with s as (select source capture_id, doc_id idx, " + " + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in words) + " score from documents), r as (select *, row_number() over (partition by capture_id order by score desc, idx) r from s) select capture_id, idx, score from r where r <= 64",
+        "prefiltered_documents": "with s as (select source capture_id, doc_id idx, " + " + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in words) + " score from documents), r as (select *, row_number() over (partition by capture_id order by score desc, idx) as rank from s) select capture_id, idx, score, rank, rank <= 64 kept from r",
         "selected_lines": f"with {LOGS} select capture_id, line_no from lines where (capture_id = 'log-0' and byte_start >= 1000 and byte_end <= 5000) or (capture_id = 'log-1' and (byte_end <= 700 or (byte_start >= 60000 and byte_end <= 61000)))",
         "goal_revisions": f"with {GOALS}, a as (select *, case when lag(tt) over w is null or tt - lag(tt) over w > 3 then 1 else 0 end fresh, lag(goal) over w old from goals window w as (partition by session_id order by tt)), b as (select *, sum(fresh) over (partition by session_id order by tt) era from a) select session_id, tt as \"at\", cast(sum(case when fresh = 1 or old <> goal then 1 else 0 end) over (partition by session_id, era order by tt) as bigint) revision from b",
         "task_revisions": f"with {GOALS}, a as (select *, max(revision) over (partition by session_id order by tt rows between unbounded preceding and 1 preceding) top, first_value(goal) over (partition by session_id, revision order by tt) first from goals) select session_id, tt seq, revision, case when top is null or revision > top then 'accepted' when revision < top then 'stale' when goal = first then 'same' else 'conflict' end outcome from a",
